@@ -71,7 +71,7 @@ def fold(parts: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(parts[0]), np.uint64)
     for k, part in enumerate(parts):
         total += part * mix(np.array([k + 1], np.uint64))[0]
-    return mix(total + np.uint64(len(parts)) * _ODD)
+    return mix(total + mix(np.array([len(parts)], np.uint64)))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -56,6 +56,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def sample_length(n: int, percent: int) -> int:
+    """The first filter looks at a tenth of the set more than the prefix; that many items and one must then be shared."""
+    return min(n, prefix_length(n, percent) + n // 10)
+
+
 def pack48(h: np.ndarray) -> bytes:
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -84,26 +89,30 @@ _SKETCH = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.
 
 
 def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
-    """kind 0: a row for each document; kind 1: first prefix, a bucket's hashes and a node of each; kind 2: nodes that met."""
+    """kind 0: a row for each document; kind 1: sampled items of a bucket with a node that has each and whether others
+    of the same chunk have it; kind 2: how many sampled items each node shares within its chunk."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def prefixes(nodes: list[int], heads: list[np.ndarray]) -> Iterator[tuple]:
-            if not nodes:
+        def samples(held: dict[int, np.ndarray]) -> Iterator[tuple]:
+            if not held:
                 return
-            h = np.concatenate(heads)
-            who = np.repeat(np.array(nodes, np.int64), [len(x) for x in heads])
-            order = np.lexsort((who, h))
+            nodes = np.fromiter(held, np.int64, len(held))
+            h = np.concatenate(list(held.values()))
+            who = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(x) for x in held.values()])
+            order = np.argsort(h, kind="stable")
             h, who = h[order], who[order]
             new = np.concatenate(([True], h[1:] != h[:-1]))
-            lead = who[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-            met = np.unique(np.concatenate((who[who != lead], lead[who != lead])))
-            if len(met):
-                yield 2, 0, 0, 0, 0, dump(met)
-            for bucket, items, first in _by_bucket(h[new], buckets, who[new]):
-                yield 1, bucket, 0, 0, 0, dump(pack48(items), first)
+            many = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
+            count = np.bincount(who[many[np.cumsum(new) - 1]], minlength=len(nodes))
+            if count.any():
+                yield 2, 0, 0, 0, 0, dump(nodes[count > 0], count[count > 0])
+            for bucket, items, lead, flag in _by_bucket(h[new], buckets, who[new], many):
+                used, where = np.unique(lead, return_inverse=True)
+                yield 1, bucket, 0, 0, 0, dump(pack48(items), nodes[used], where.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), np.packbits(flag))
 
         def out() -> Iterator[tuple]:
-            nodes, heads, weight = [], [], 0
+            held: dict[int, np.ndarray] = {}
+            weight = 0
             for b in it:
                 ids, texts = b.column(0).to_pylist(), binary_column(b, "text")
                 at = 0
@@ -115,38 +124,45 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
                     for doc, s in zip(ids[at:end], shingle_sets(texts[at:end], width), strict=True):
                         node = node_of(s) if len(s) and doc is not None else None
                         yield 0, 0, doc, node, len(s), b""
-                        if node is not None:
-                            nodes.append(node)
-                            heads.append(np.sort(s & _HALF)[: prefix_length(len(s), percent)])
+                        if node is not None and node not in held:
+                            held[node] = np.unique(s & _HALF)[: sample_length(len(s), percent)]
                     weight += size
                     at = end
                     if weight >= _CHUNK:
-                        yield from prefixes(nodes, heads)
-                        nodes, heads, weight = [], [], 0
-            yield from prefixes(nodes, heads)
+                        yield from samples(held)
+                        held, weight = {}, 0
+            yield from samples(held)
 
         yield from batches(_SKETCH, out())
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "kind int, shard int, doc_id bigint, node bigint, n bigint, payload binary")
 
 
-_NODE = pa.schema([("node", pa.int64())])
+_COUNT = pa.schema([("node", pa.int64()), ("shared", pa.int64())])
+_COUNT_SQL = "node bigint, shared bigint"
 
 
 def _met(_: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
-    """Nodes that share a hash with another node."""
-    parts = [load(p) for _, p in rows]
-    h, who = np.concatenate([unpack48(x[0]) for x in parts]), np.concatenate([x[1] for x in parts])
+    """How many items each node shares with nodes of other chunks, where its own chunk hasn't counted them."""
+    h, who, flag = [], [], []
+    for _kind, payload in rows:
+        items, nodes, where, bits = load(payload)
+        h.append(unpack48(items))
+        who.append(nodes[where])
+        flag.append(np.unpackbits(bits, count=len(where)).astype(bool))
+    h, who, flag = np.concatenate(h), np.concatenate(who), np.concatenate(flag)
     order = np.lexsort((who, h))
-    h, who = h[order], who[order]
+    h, who, flag = h[order], who[order], flag[order]
     new = np.concatenate(([True], h[1:] != h[:-1]))
-    lead = who[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-    for node in np.unique(np.concatenate((who[who != lead], lead[who != lead]))).tolist():
-        yield (node,)
+    run = np.cumsum(new) - 1
+    other = np.concatenate(([False], (h[1:] == h[:-1]) & (who[1:] != who[:-1])))
+    shared = (np.bincount(run, other | flag) > 0)[run]
+    nodes, count = np.unique(who[shared & ~flag], return_counts=True)
+    yield from zip(nodes.tolist(), count.tolist(), strict=True)
 
 
 def _spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from batches(_NODE, ((n,) for b in it for p in b.column(0).to_pylist() for n in load(p)[0].tolist()))
+    yield from batches(_COUNT, (x for b in it for p in b.column(0).to_pylist() for x in zip(*(y.tolist() for y in load(p)), strict=True)))
 
 
 _PART = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -412,20 +428,12 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     spark = docs.sparkSession
     space, parts = Workspace(spark, "jaccard"), partitions(spark)
     sketch = space.settle(_sketch(docs, width, percent, parts), "sketch")
-    rows = sketch.where("kind = 0").select("doc_id", "node", "n")
-
-    met = by_shard(sketch.where("kind = 1"), parts, _met, "node bigint", _NODE)
-    met = met.unionByName(sketch.where("kind = 2").select("payload").mapInArrow(_spread, "node bigint")).distinct()
-    chosen = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = chosen.join(met, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text").join(chosen, "_doc")
-    texts = texts.select(F.pmod(F.xxhash64("_node"), F.lit(parts)).cast("int").alias("shard"), F.col("_node").alias("node"), "text")
-    packs = space.settle(pack(_same_node(texts, width), parts, ["node"]), "packs")
-    space.sweep()
-
-    asked = by_shard(packs, parts, _ask(parts, width), _PART_SQL, _PART)
-    answers = by_shard(asked, parts, _answer, _PART_SQL, _PART)
-    lists = space.settle(by_shard(packs.unionByName(answers), parts, _lists(parts, width, percent), _LISTS_SQL, _LISTS), "lists")
+    rows = space.settle(sketch.where("kind = 0").select("doc_id", "node", "n"), "rows")
+    chosen = space.settle(_chosen(sketch, rows, percent, parts), "chosen")
+    space.drop("sketch")
+    packs = space.settle(_packs(docs, chosen, width, parts), "packs")
+    space.drop("chosen")
+    lists = space.settle(_shared_lists(packs, width, percent, parts), "lists")
     space.drop("packs")
 
     edges = by_shard(lists.where("kind = 1"), parts, _meet, "a bigint, b bigint", _EDGE)
@@ -438,9 +446,31 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     of_node = least.join(heads, "root").select("node", "component_id")
     linked = rows.where("node is not null").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    space.sweep()
     return linked.unionByName(alone)
 
 
+def _chosen(sketch: DataFrame, rows: DataFrame, percent: int, parts: int) -> DataFrame:
+    """_node, _doc: the nodes that share enough sampled items to have a partner, and a document of each."""
+    met = by_shard(sketch.where("kind = 1"), parts, _met, _COUNT_SQL, _COUNT)
+    met = met.unionByName(sketch.where("kind = 2").select("payload").mapInArrow(_spread, _COUNT_SQL)).groupBy("node").agg(F.sum("shared").alias("shared"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    need = F.least(F.col("n"), F.lit(1) + F.floor(F.col("n") / 10))
+    return nodes.join(met, "node").where(F.col("shared") >= need).select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
+
+
+def _packs(docs: DataFrame, chosen: DataFrame, width: int, parts: int) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text").join(chosen, "_doc")
+    texts = texts.select(F.pmod(F.xxhash64("_node"), F.lit(parts)).cast("int").alias("shard"), F.col("_node").alias("node"), "text")
+    return pack(_same_node(texts, width), parts, ["node"])
+
+
+def _shared_lists(packs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    asked = by_shard(packs, parts, _ask(parts, width), _PART_SQL, _PART)
+    answers = by_shard(asked, parts, _answer, _PART_SQL, _PART)
+    return by_shard(packs.unionByName(answers), parts, _lists(parts, width, percent), _LISTS_SQL, _LISTS)
+
+
 def _same_node(texts: DataFrame, width: int) -> DataFrame:
     """Without rows whose doc_id is a chosen one but whose text makes another node."""
 
