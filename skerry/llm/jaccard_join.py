@@ -93,25 +93,26 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
     of the same chunk have it; kind 2: how many sampled items each node shares within its chunk."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def samples(held: dict[int, np.ndarray]) -> Iterator[tuple]:
+        def samples(held: dict[int, tuple[int, np.ndarray]]) -> Iterator[tuple]:
             if not held:
                 return
             nodes = np.fromiter(held, np.int64, len(held))
-            h = np.concatenate(list(held.values()))
-            who = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(x) for x in held.values()])
+            sizes = np.array([n for n, _ in held.values()], np.int64)
+            h = np.concatenate([x for _, x in held.values()])
+            who = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(x) for _, x in held.values()])
             order = np.argsort(h, kind="stable")
             h, who = h[order], who[order]
             new = np.concatenate(([True], h[1:] != h[:-1]))
             many = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
             count = np.bincount(who[many[np.cumsum(new) - 1]], minlength=len(nodes))
-            if count.any():
-                yield 2, 0, 0, 0, 0, dump(nodes[count > 0], count[count > 0])
+            for shard, payload in _by_node(nodes[count > 0], count[count > 0], sizes[count > 0], buckets):
+                yield 2, shard, 0, 0, 0, payload
             for bucket, items, lead, flag in _by_bucket(h[new], buckets, who[new], many):
                 used, where = np.unique(lead, return_inverse=True)
-                yield 1, bucket, 0, 0, 0, dump(pack48(items), nodes[used], where.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), np.packbits(flag))
+                yield 1, bucket, 0, 0, 0, dump(pack48(items), nodes[used], sizes[used], where.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), np.packbits(flag))
 
         def out() -> Iterator[tuple]:
-            held: dict[int, np.ndarray] = {}
+            held: dict[int, tuple[int, np.ndarray]] = {}
             weight = 0
             for b in it:
                 ids, texts = b.column(0).to_pylist(), binary_column(b, "text")
@@ -125,7 +126,7 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
                         node = node_of(s) if len(s) and doc is not None else None
                         yield 0, 0, doc, node, len(s), b""
                         if node is not None and node not in held:
-                            held[node] = np.unique(s & _HALF)[: sample_length(len(s), percent)]
+                            held[node] = len(s), np.unique(s & _HALF)[: sample_length(len(s), percent)]
                     weight += size
                     at = end
                     if weight >= _CHUNK:
@@ -138,35 +139,50 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "kind int, shard int, doc_id bigint, node bigint, n bigint, payload binary")
 
 
-_COUNT = pa.schema([("node", pa.int64()), ("shared", pa.int64())])
-_COUNT_SQL = "node bigint, shared bigint"
+_PART = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+_PART_SQL = "shard int, kind int, payload binary"
+
 
+def _by_node(nodes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    where = hashing.mix(nodes.view(np.uint64)) % np.uint64(shards)
+    for shard in np.unique(where):
+        at = where == shard
+        yield int(shard), dump(nodes[at], counts[at].astype(np.int64), sizes[at])
 
-def _met(_: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
+
+def _met(shards: int):
     """How many items each node shares with nodes of other chunks, where its own chunk hasn't counted them."""
-    h, who, flag = [], [], []
-    for _kind, payload in rows:
-        items, nodes, where, bits = load(payload)
-        h.append(unpack48(items))
-        who.append(nodes[where])
-        flag.append(np.unpackbits(bits, count=len(where)).astype(bool))
-    h, who, flag = np.concatenate(h), np.concatenate(who), np.concatenate(flag)
-    order = np.lexsort((who, h))
-    h, who, flag = h[order], who[order], flag[order]
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    run = np.cumsum(new) - 1
-    other = np.concatenate(([False], (h[1:] == h[:-1]) & (who[1:] != who[:-1])))
-    shared = (np.bincount(run, other | flag) > 0)[run]
-    nodes, count = np.unique(who[shared & ~flag], return_counts=True)
-    yield from zip(nodes.tolist(), count.tolist(), strict=True)
 
+    def met(_: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
+        h, who, size, flag = [], [], [], []
+        for _kind, payload in rows:
+            items, nodes, sizes, where, bits = load(payload)
+            h.append(unpack48(items))
+            who.append(nodes[where])
+            size.append(sizes[where])
+            flag.append(np.unpackbits(bits, count=len(where)).astype(bool))
+        h, who, size, flag = (np.concatenate(x) for x in (h, who, size, flag))
+        order = np.lexsort((who, h))
+        h, who, size, flag = h[order], who[order], size[order], flag[order]
+        run = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
+        other = np.concatenate(([False], (h[1:] == h[:-1]) & (who[1:] != who[:-1])))
+        counted = (np.bincount(run, other | flag) > 0)[run] & ~flag
+        nodes, first, count = np.unique(who[counted], return_index=True, return_counts=True)
+        for shard, payload in _by_node(nodes, count, size[counted][first], shards):
+            yield shard, 2, payload
 
-def _spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from batches(_COUNT, (x for b in it for p in b.column(0).to_pylist() for x in zip(*(y.tolist() for y in load(p)), strict=True)))
+    return met
 
 
-_PART = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-_PART_SQL = "shard int, kind int, payload binary"
+_NODE = pa.schema([("node", pa.int64())])
+
+
+def _enough(_: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
+    """The nodes whose shared items are as many as a partner needs."""
+    nodes, counts, sizes = (np.concatenate(x) for x in zip(*(load(p) for _, p in rows), strict=True))
+    nodes, first, where = np.unique(nodes, return_index=True, return_inverse=True)
+    n = sizes[first]
+    yield from ((x,) for x in nodes[np.bincount(where, counts) >= np.minimum(n, 1 + n // 10)].tolist())
 
 
 def _ask(buckets: int, width: int):
@@ -420,7 +436,7 @@ def _link_tasks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     return rows.select("task", "node", "label", "n", "payload").repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 1000) -> DataFrame:
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text): components of the pairs of sufficient similarity.
 
     width: words in a shingle. percent: least similarity in percent. block: nodes of a candidate cluster in one task.
@@ -429,7 +445,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     space, parts = Workspace(spark, "jaccard"), partitions(spark)
     sketch = space.settle(_sketch(docs, width, percent, parts), "sketch")
     rows = space.settle(sketch.where("kind = 0").select("doc_id", "node", "n"), "rows")
-    chosen = space.settle(_chosen(sketch, rows, percent, parts), "chosen")
+    chosen = space.settle(_chosen(sketch, rows, parts), "chosen")
     space.drop("sketch")
     packs = space.settle(_packs(docs, chosen, width, parts), "packs")
     space.drop("chosen")
@@ -450,17 +466,16 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     return linked.unionByName(alone)
 
 
-def _chosen(sketch: DataFrame, rows: DataFrame, percent: int, parts: int) -> DataFrame:
+def _chosen(sketch: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
     """_node, _doc: the nodes that share enough sampled items to have a partner, and a document of each."""
-    met = by_shard(sketch.where("kind = 1"), parts, _met, _COUNT_SQL, _COUNT)
-    met = met.unionByName(sketch.where("kind = 2").select("payload").mapInArrow(_spread, _COUNT_SQL)).groupBy("node").agg(F.sum("shared").alias("shared"))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    need = F.least(F.col("n"), F.lit(1) + F.floor(F.col("n") / 10))
-    return nodes.join(met, "node").where(F.col("shared") >= need).select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
+    met = by_shard(sketch.where("kind = 1"), parts, _met(parts), _PART_SQL, _PART)
+    met = by_shard(met.unionByName(sketch.where("kind = 2").select("shard", "kind", "payload")), parts, _enough, "node bigint", _NODE)
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return nodes.join(met, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
 
 
 def _packs(docs: DataFrame, chosen: DataFrame, width: int, parts: int) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text").join(chosen, "_doc")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text").join(chosen.hint("merge"), "_doc")
     texts = texts.select(F.pmod(F.xxhash64("_node"), F.lit(parts)).cast("int").alias("shard"), F.col("_node").alias("node"), "text")
     return pack(_same_node(texts, width), parts, ["node"])
 
