@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skerry.llm.jaccard_join import jaccard_join
 from skerry.llm.lm_scoring import score_documents
+from skerry.llm.media import media_features, to_media
+from skerry.llm.mixing import ORACLE_SQL as MIXING_SQL
+from skerry.llm.mixing import mix
+from skerry.llm.packing import pack_documents
 from skerry.llm.suffix_dedup import suffix_dedup
 
 
@@ -23,6 +28,25 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), order=2, folds=10)
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=1024, end=2)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), share=1.5, most=2.0)
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    return media_features(to_media(rows, "text", width=64).drop("text"), ["doc_id", "n_bytes"], tail=64)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), length=400).drop("kept", "node")
 
@@ -32,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": MIXING_SQL}
