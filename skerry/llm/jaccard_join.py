@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm import hashing
@@ -85,7 +85,7 @@ def _by_bucket(h48: np.ndarray, buckets: int, *more: np.ndarray) -> Iterator[tup
         yield int(where[a]), h48[a:b], *(m[a:b] for m in more)
 
 
-_SKETCH = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("payload", pa.binary())])
+_SKETCH = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("text_hash", pa.int64())])
 
 
 def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
@@ -106,25 +106,25 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
             many = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
             count = np.bincount(who[many[np.cumsum(new) - 1]], minlength=len(nodes))
             for shard, payload in _by_node(nodes[count > 0], count[count > 0], sizes[count > 0], buckets):
-                yield 2, shard, 0, 0, 0, payload
+                yield 2, shard, 0, 0, 0, payload, 0
             for bucket, items, lead, flag in _by_bucket(h[new], buckets, who[new], many):
                 used, where = np.unique(lead, return_inverse=True)
-                yield 1, bucket, 0, 0, 0, dump(pack48(items), nodes[used], sizes[used], where.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), np.packbits(flag))
+                yield 1, bucket, 0, 0, 0, dump(pack48(items), nodes[used], sizes[used], where.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), np.packbits(flag)), 0
 
         def out() -> Iterator[tuple]:
             held: dict[int, tuple[int, np.ndarray]] = {}
             weight = 0
             for b in it:
-                ids, texts = b.column(0).to_pylist(), binary_column(b, "text")
+                ids, texts, hashes = b.column(0).to_pylist(), binary_column(b, "text"), b.column(2).to_pylist()
                 at = 0
                 while at < len(texts):
                     end, size = at, 0
                     while end < len(texts) and (end == at or size + len(texts[end]) <= _PIECE):
                         size += len(texts[end])
                         end += 1
-                    for doc, s in zip(ids[at:end], shingle_sets(texts[at:end], width), strict=True):
+                    for doc, text_hash, s in zip(ids[at:end], hashes[at:end], shingle_sets(texts[at:end], width), strict=True):
                         node = node_of(s) if len(s) and doc is not None else None
-                        yield 0, 0, doc, node, len(s), b""
+                        yield 0, 0, doc, node, len(s), b"", text_hash
                         if node is not None and node not in held:
                             held[node] = len(s), np.unique(s & _HALF)[: sample_length(len(s), percent)]
                     weight += size
@@ -136,7 +136,8 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
 
         yield from batches(_SKETCH, out())
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "kind int, shard int, doc_id bigint, node bigint, n bigint, payload binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "kind int, shard int, doc_id bigint, node bigint, n bigint, payload binary, text_hash bigint")
 
 
 _PART = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -444,7 +445,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     spark = docs.sparkSession
     space, parts = Workspace(spark, "jaccard"), partitions(spark)
     sketch = space.settle(_sketch(docs, width, percent, parts), "sketch")
-    rows = space.settle(sketch.where("kind = 0").select("doc_id", "node", "n"), "rows")
+    rows = space.settle(sketch.where("kind = 0").select("doc_id", "node", "n", "text_hash"), "rows")
     chosen = space.settle(_chosen(sketch, rows, parts), "chosen")
     space.drop("sketch")
     packs = space.settle(_packs(docs, chosen, width, parts), "packs")
@@ -459,13 +460,26 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left")
     least = space.settle(least.select("node", "doc_id", F.coalesce("root", "node").alias("root")), "least")
     heads = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = least.join(heads, "root").select("node", "component_id")
-    linked = rows.where("node is not null").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    of_node = least.join(heads, "root").select("node", "component_id", "root")
+    linked = rows.where("node is not null").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "root", "text_hash")
+    alone = rows.where("node is null")
+    alone = alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("root"), "text_hash")
     space.sweep()
     return linked.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, the first by doc_id and text; rows that link nothing stay, repeated or not."""
+    joined = jaccard_join(docs, width, percent)
+    first = joined.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash", F.lit(True).alias("linked_"))
+    alone = joined.where("root is null").select("doc_id", "text_hash", F.lit(False).alias("linked_")).distinct()
+    kept = first.unionByName(alone).select(F.col("doc_id").alias("doc_"), F.col("text_hash").alias("hash_"), "linked_")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("doc_id").cast("bigint").alias("id_"), F.xxhash64("text").alias("text_"))
+    keyed = keyed.join(kept.hint("merge"), F.col("id_").eqNullSafe(F.col("doc_")) & (F.col("text_") == F.col("hash_")))
+    again = F.row_number().over(Window.partitionBy("id_", "text_").orderBy("hash_"))  # exact repeats of one row only
+    return keyed.withColumn("again_", again).where("again_ = 1 or not linked_").select("row_.*")
+
+
 def _chosen(sketch: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
     """_node, _doc: the nodes that share enough sampled items to have a partner, and a document of each."""
     met = by_shard(sketch.where("kind = 1"), parts, _met(parts), _PART_SQL, _PART)

@@ -50,15 +50,17 @@ def targets(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...
     return listed.select("source", "source_size", F.round("target", 6).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = "mix-1-", slices: int = 1 << 14) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = "mix-1-", slices: int = 1 << 14, carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, epochs for each row of docs(doc_id, source, text).
 
     share: budget as a multiple of all words. most: cap of a source as a multiple of its words. weight: quality weight of
-    a row (by default from its symbols). taken: words of the row in the mix, repeats counted. epochs: times it is in it.
+    a row (by default from its symbols). taken: words of the row in the mix, repeats counted. epochs: times it is in it. carry: also return the whole input row
+    as struct row_.
     """
+    more = ["row_"] if carry else []
     space = Workspace(docs.sparkSession, "mixing")
     quality = F.greatest(F.coalesce((quality_weight(F.col("text")) if weight is None else weight).cast("double"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.ln(uniform(F.col("doc_id"), seed)) / quality).alias("key"), F.xxhash64("text").alias("tie"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.ln(uniform(F.col("doc_id"), seed)) / quality).alias("key"), F.xxhash64("text").alias("tie"), *(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(c) for c in more))
     rows = space.settle(rows.withColumn("slice", F.floor((1.0 - F.exp(-F.col("key"))) * slices).cast("int")), "rows")
 
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
@@ -80,7 +82,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weight: Column |
     upto = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     ended = rows.where("slice = cut").withColumn("extra", F.when(upto - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0).cast("bigint"))
     both = settled.unionByName(ended).withColumn("epochs", F.col("full") + F.when(F.col("rest") > 0, F.col("extra")).otherwise(0))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "source", "epochs")
+    return both.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "source", "epochs", *more)
 
 
 #: The same in SQL, for the default parameters.

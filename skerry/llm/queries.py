@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.llm.html_extraction import extract, main_texts
 from skerry.llm.jaccard_join import jaccard_join
+from skerry.llm.language_id import identify
 from skerry.llm.lm_scoring import score_documents
 from skerry.llm.media import media_features, to_media
 from skerry.llm.mixing import ORACLE_SQL as MIXING_SQL
 from skerry.llm.mixing import mix
 from skerry.llm.packing import pack_documents
+from skerry.llm.quality_classifier import classify
+from skerry.llm.quality_rules import judge
 from skerry.llm.suffix_dedup import suffix_dedup
 
 
@@ -21,7 +25,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_table(spark, sf_dir, "documents"), width=5, percent=80)
+    return jaccard_join(_table(spark, sf_dir, "documents"), width=5, percent=80).select("doc_id", "n_shingles", "component_id")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is the host; the language is the first part of the path, as in the addresses of pages."""
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs, _table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +61,26 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(to_media(rows, "text", width=64).drop("text"), ["doc_id", "n_bytes"], tail=64)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (source as host, lang as declaration) and pages (main text, html lang, address suffix, host)."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    rows = docs.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"))
+    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
+    suffix = F.concat_ws("/", F.regexp_extract(host, r"([^.]+)$", 1), F.lower(F.regexp_extract("url", r"://[^/?#]+/([a-zA-Z]{2})(?:/|$)", 1)))
+    found = main_texts(pages.select("page_id", F.when(declared != "", declared).alias("declared"), suffix.alias("suffix"), F.when(host != "", host).alias("host"), "html"))
+    rows = rows.unionByName(found.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text", "declared", "suffix", "host"))
+    out = identify(rows, docs.select("lang", "text"))
+    return out.select(F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"), F.when(F.col("kind") == "page", F.col("id")).alias("page_id"), "lang", "probability", "text_lang", "declared")
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400).drop("kept", "node")
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400).drop("kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -239,6 +239,35 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 64, most: int =
     for each row of docs(doc_id, text). length: bytes of a repeated string. gram: bytes of an anchor. most: different cells
     of a meeting that one task sorts; larger meetings are cut into finer cells.
     """
+    base, changed = _changed(docs, length, gram, most)
+    out = base.withColumnRenamed("node", "node_").join(changed, (F.col("node_") == F.col("node")) & (F.col("n_bytes") == F.col("b_")), "left")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("kept_sha", "sha").alias("kept_sha256"),
+        "kept",
+    )
+
+
+def without_repeats(docs: DataFrame, length: int = 400, gram: int = 64, most: int = 1000) -> DataFrame:
+    """docs with the remaining text in each row; n_chars follows the text where there is such a column. A character that
+    loses a byte goes as a whole."""
+    _, changed = _changed(docs, length, gram, most)
+    own = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.xxhash64(own.cast("binary")).alias("k_"), F.octet_length(own).cast("bigint").alias("l_"))
+    joined = keyed.join(changed.select("node", "b_", "kept").hint("merge"), (F.col("k_") == F.col("node")) & (F.col("l_") == F.col("b_")), "left")
+    joined = joined.select("row_", F.when(F.col("node").isNull(), F.col("row_.text")).otherwise(F.try_validate_utf8(F.col("kept").cast("string"))).alias("text_"), F.col("kept").cast("string").alias("raw_"), F.col("node").isNotNull().alias("cut_"))
+    text = F.when(~F.col("cut_") | F.col("text_").isNotNull(), F.col("text_")).otherwise(F.translate(F.make_valid_utf8("raw_"), "�", ""))
+    columns = {c: F.col(f"row_.`{c}`").alias(c) for c in docs.columns} | {"text": text.alias("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("cut_"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row_.n_chars")).alias("n_chars")
+    return joined.select(*columns.values())
+
+
+def _changed(docs: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, node, n_bytes, sha), and the texts that lose bytes (node, b_, removed, spans, kept_sha, kept)."""
     spark = docs.sparkSession
     space, parts = Workspace(spark, "suffix"), partitions(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -282,16 +311,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 64, most: int =
     whole = nodes.where("copies > 1").select("node", F.col("n_bytes").alias("b_"))
     whole = whole.select("node", "b_", F.col("b_").alias("removed"), F.lit(1).cast("bigint").alias("spans"), F.sha2(F.lit(b""), 256).alias("kept_sha"), F.lit(b"").alias("kept"))
     changed = whole.unionByName(cut.join(nodes.select("node", F.col("n_bytes").alias("b_"), "copies").where("copies = 1").drop("copies"), "node"))
-    out = base.withColumnRenamed("node", "node_").join(changed, (F.col("node_") == F.col("node")) & (F.col("n_bytes") == F.col("b_")), "left")
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.coalesce("removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha", "sha").alias("kept_sha256"),
-        "kept",
-        F.col("node_").alias("node"),
-    )
+    return base, changed
 
 
 _CUT_SQL = "node bigint, removed bigint, spans bigint, kept_sha string, kept binary"
