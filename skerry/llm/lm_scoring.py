@@ -63,21 +63,36 @@ def _bucket(items: np.ndarray, buckets: int) -> np.ndarray:
     return (((items >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _distinct(rows: list[tuple[int, bytes]], order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: the shard's distinct n-grams, their training count and the part of it in the deleted slice."""
+@dataclass
+class _Index:
+    """A shard's distinct n-grams by order, with their training count and the part of it in the deleted slice; and by
+    chunk of its documents the columns, the first place of each text and for each order the n-gram at each place."""
+
+    grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    chunks: list[tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]]
+
+
+def _index(rows: list[tuple[int, bytes]], order: int) -> _Index:
     found: list[list[tuple]] = [[] for _ in range(order)]
+    index = _Index([], [])
     for cols, texts in chunks(rows, 2 << 20):
         by_order, starts = _items(texts, order)
         flag = np.repeat(cols[1], np.diff(starts))
         train, deleted = (flag & HELD_OUT) == 0, (flag & DELETED) != 0
+        places = []
         for k, items in enumerate(by_order):
             distinct, where = np.unique(items, return_inverse=True)
             found[k].append((distinct, np.bincount(where, train, len(distinct)), np.bincount(where, train & deleted, len(distinct))))
-    out = []
-    for parts in found:
+            places.append(where.astype(np.uint32))
+        index.chunks.append((cols, starts, places))
+    for k, parts in enumerate(found):
         distinct, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        out.append((distinct, *(np.bincount(where, np.concatenate([p[j] for p in parts]), len(distinct)).astype(np.uint32) for j in (1, 2))))
-    return out
+        index.grams.append((distinct, *(np.bincount(where, np.concatenate([p[j] for p in parts]), len(distinct)).astype(np.uint32) for j in (1, 2))))
+        at = 0
+        for (_, _, places), (mine, *_) in zip(index.chunks, parts, strict=True):
+            places[k] = where[at : at + len(mine)].astype(np.uint32)[places[k]]
+            at += len(mine)
+    return index
 
 
 _PART = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -86,7 +101,7 @@ _PART_SQL = "shard int, kind int, payload binary"
 
 def _ask(order: int, buckets: int):
     def ask(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
-        for k, (items, count, deleted) in enumerate(_distinct(rows, order)):
+        for k, (items, count, deleted) in enumerate(_index(rows, order).grams):
             cuts = np.searchsorted(_bucket(items, buckets), np.arange(buckets + 1))
             for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if y > x:
@@ -117,40 +132,37 @@ def _answer(order: int):
     return answer
 
 
-class _Counts:
-    """The counts that a shard's documents need."""
-
-    def __init__(self, rows: list[tuple[int, bytes]], order: int):
-        self.rows = [r for r in rows if r[0] == 0]
-        self.items = [x[0] for x in _distinct(self.rows, order)] if self.rows else []
-        answers: list[list] = [[] for _ in range(order)]
-        for kind, payload in sorted((r for r in rows if r[0]), key=lambda r: r[0]):
-            answers[(kind - 1) % order].append(load(payload))
-        self.counts = [[np.concatenate([a[j] for a in got]) if got else np.zeros(0, np.uint64) for j in (0, 1)] for got in answers]
-
-    def of(self, k: int, items: np.ndarray, without_deleted: bool) -> np.ndarray:
-        where = np.searchsorted(self.items[k], items)
-        total, deleted = self.counts[k]
-        return (total[where] - deleted[where] if without_deleted else total[where]).astype(np.float64)
-
-
-def _estimates(counts: _Counts, texts: list[bytes], model: Model, without_deleted: bool, tokens: int):
-    """Context bucket, estimates by order (uniform first) and training count of each token, and each text's first token."""
-    by_order, starts = _items(texts, model.order)
-    n = len(texts)
-    token = np.ones(starts[-1], bool)
-    token[starts[:-1]] = False
-    ratio = [np.full(token.sum(), 1.0 / (model.vocabulary + 1))]
-    before = None
-    for k, items in enumerate(by_order):
-        here = counts.of(k, items, without_deleted)
-        context = np.full(token.sum(), float(tokens)) if before is None else np.roll(before, 1)[token]
-        count = here[token]
-        word = count if k == 0 else word
-        ratio.append(np.divide(count, context, out=np.zeros_like(count), where=context > 0))
-        before = here
-    bucket = np.minimum(np.log2(context + 1), CONTEXT_BUCKETS - 1).astype(np.int64)
-    return bucket, ratio, word, starts[:-1] - np.arange(n)
+def _counts(rows: list[tuple[int, bytes]], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By order the totals and their deleted parts, in the order of the shard's distinct n-grams."""
+    answers: list[list] = [[] for _ in range(order)]
+    for kind, payload in sorted((r for r in rows if r[0]), key=lambda r: r[0]):
+        answers[(kind - 1) % order].append(load(payload))
+    return [tuple(np.concatenate([a[j] for a in got]) for j in (0, 1)) for got in answers]
+
+
+def _chunk_estimates(rows: list[tuple[int, bytes]], model: Model, without_deleted: bool, tokens: int) -> Iterator[tuple]:
+    """By chunk: the documents' columns, context bucket, estimates by order (uniform first) and training count of each
+    token, the text that each token is of, and each text's first token."""
+    docs = [r for r in rows if r[0] == 0]
+    if not docs:
+        return
+    index, counts = _index(docs, model.order), _counts(rows, model.order)
+    for cols, starts, places in index.chunks:
+        token = np.ones(starts[-1], bool)
+        token[starts[:-1]] = False
+        ratio = [np.full(token.sum(), 1.0 / (model.vocabulary + 1))]
+        before = word = None
+        for k, where in enumerate(places):
+            total, deleted = counts[k]
+            here = (total[where] - deleted[where] if without_deleted else total[where]).astype(np.float64)
+            context = np.full(token.sum(), float(tokens)) if before is None else np.roll(before, 1)[token]
+            count = here[token]
+            word = count if k == 0 else word
+            ratio.append(np.divide(count, context, out=np.zeros_like(count), where=context > 0))
+            before = here
+        bucket = np.minimum(np.log2(context + 1), CONTEXT_BUCKETS - 1).astype(np.int64)
+        n = len(starts) - 1
+        yield cols, bucket, ratio, word, np.repeat(np.arange(n), np.diff(starts) - 1), starts[:-1] - np.arange(n)
 
 
 _CLASS = pa.schema([("bucket", pa.int64()), ("classes", pa.list_(pa.int64())), ("n", pa.int64())])
@@ -160,18 +172,12 @@ def _deleted_classes(model: Model, tokens: int):
     """The deleted slice's tokens by context bucket and classes of log2(estimate / uniform)."""
 
     def classes(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
-        if shard < 0:
-            return
-        counts = _Counts(rows, model.order)
         total: dict[tuple, int] = {}
-        for cols, texts in chunks(counts.rows, 2 << 20):
-            kept = [t for t, f in zip(texts, cols[1].tolist(), strict=True) if f & DELETED and not f & HELD_OUT]
-            if not kept:
-                continue
-            bucket, ratio, _, _ = _estimates(counts, kept, model, True, tokens)
+        for cols, bucket, ratio, _, text, _ in _chunk_estimates(rows, model, True, tokens):
+            kept = ((cols[1] & DELETED != 0) & (cols[1] & HELD_OUT == 0))[text]
             with np.errstate(divide="ignore"):
-                cells = [np.where(r > 0, np.floor(np.log2(np.maximum(r, 1e-300) / ratio[0]) / _STEP), _NEVER).astype(np.int64) for r in ratio[1:]]
-            keys, n = np.unique(np.stack([bucket, *cells], 1), axis=0, return_counts=True)
+                cells = [np.where(r > 0, np.floor(np.log2(np.maximum(r, 1e-300) / ratio[0]) / _STEP), _NEVER).astype(np.int64)[kept] for r in ratio[1:]]
+            keys, n = np.unique(np.stack([bucket[kept], *cells], 1), axis=0, return_counts=True)
             for key, c in zip(map(tuple, keys.tolist()), n.tolist(), strict=True):
                 total[key] = total.get(key, 0) + c
         for key, c in total.items():
@@ -206,11 +212,7 @@ _SCORE_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint,
 
 def _scores(model: Model):
     def scores(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
-        if shard < 0:
-            return
-        counts = _Counts(rows, model.order)
-        for cols, texts in chunks(counts.rows, 2 << 20):
-            bucket, ratio, word, first = _estimates(counts, texts, model, False, model.tokens)
+        for cols, bucket, ratio, word, _, first in _chunk_estimates(rows, model, False, model.tokens):
             mixed = sum(model.weights[bucket, k] * r for k, r in enumerate(ratio))
             base = np.log10((word + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1)))
             sums = [np.add.reduceat(x, first) for x in (np.log10(mixed), base, (word > 0).astype(np.int64))]
@@ -243,17 +245,28 @@ def score_documents(docs: DataFrame, order: int = 2, folds: int = 10) -> DataFra
         "text",
     )
     packs = space.settle(pack(rows, parts, ["id", "flags"]), "packs")
-    asked = by_shard(packs, parts, _ask(order, parts), _PART_SQL, _PART)
-    answers = space.settle(by_shard(asked, parts, _answer(order), _PART_SQL, _PART), "answers")
+    answers = space.settle(_answers(packs, order, parts), "answers")
     space.sweep()
-    sums = [load(r.payload)[0] for r in answers.where("shard = -1").select("payload").toLocalIterator()]  # three numbers a bucket
-    tokens, vocabulary, deleted = (int(x) for x in (np.sum(sums, 0) if sums else (0, 0, 0)))
     both = packs.unionByName(answers.where("shard >= 0"))
-    model = Model(order, tokens, vocabulary, np.full((CONTEXT_BUCKETS, order + 1), 1.0 / (order + 1)))
-    classes = by_shard(both, parts, _deleted_classes(model, tokens - deleted), "bucket bigint, classes array<bigint>, n bigint", _CLASS)
-    grid = classes.groupBy("bucket", "classes").agg(F.sum("n").alias("n")).collect()  # bounded: context buckets x classes of each order
-    if grid:
-        weights = learn_weights(np.array([g.bucket for g in grid]), np.array([g.classes for g in grid]), np.array([g.n for g in grid]), order)
-        model = Model(order, tokens, vocabulary, weights)
+    model = _learn(both, answers, order, parts)
     space.sweep()
     return by_shard(both, parts, _scores(model), _SCORE_SQL, _SCORE)
+
+
+def _answers(packs: DataFrame, order: int, parts: int) -> DataFrame:
+    asked = by_shard(packs, parts, _ask(order, parts), _PART_SQL, _PART)
+    return by_shard(asked, parts, _answer(order), _PART_SQL, _PART)
+
+
+def _learn(both: DataFrame, answers: DataFrame, order: int, parts: int) -> Model:
+    """Sums over the words (three numbers a bucket), and the weights from the deleted slice's classes, whose number is
+    bounded by context buckets x classes of each order."""
+    sums = [load(r.payload)[0] for r in answers.where("shard = -1").select("payload").toLocalIterator()]
+    tokens, vocabulary, deleted = (int(x) for x in (np.sum(sums, 0) if sums else (0, 0, 0)))
+    model = Model(order, tokens, vocabulary, np.full((CONTEXT_BUCKETS, order + 1), 1.0 / (order + 1)))
+    classes = by_shard(both, parts, _deleted_classes(model, tokens - deleted), "bucket bigint, classes array<bigint>, n bigint", _CLASS)
+    grid = classes.groupBy("bucket", "classes").agg(F.sum("n").alias("n")).collect()
+    if not grid:
+        return model
+    weights = learn_weights(np.array([g.bucket for g in grid]), np.array([g.classes for g in grid]), np.array([g.n for g in grid]), order)
+    return Model(order, tokens, vocabulary, weights)
