@@ -77,6 +77,7 @@ def _merge(padded: np.ndarray, rank: np.ndarray, sampled: np.ndarray, rest: np.n
         less = (a[0] < b[0]) | (a[0] == b[0]) & ((a[1] < b[1]) | (a[1] == b[1]) & (a[2] < b[2]))
         lo = np.where(open_ & less, mid + 1, lo)
         hi = np.where(open_ & ~less, mid, hi)
+    lo = np.maximum.accumulate(lo)  # suffixes alike in the whole span may come in any order
     out = np.empty(len(sampled) + len(rest), np.int64)
     place = lo + np.arange(len(rest))
     mark = np.zeros(len(out), bool)

@@ -21,6 +21,15 @@ def test_order_is_the_suffix_order(text):
     assert difference_cover_order(np.array(text, np.int64), len(text) + 3).tolist() == want
 
 
+@given(st.lists(st.sampled_from([[1], [2], [1, 2] * 9, [2] * 14, [1, 1, 2] * 7]), max_size=14), st.integers(1, 12))
+@settings(max_examples=400, deadline=None)
+def test_order_is_right_in_the_span(parts, span):
+    text = [x for p in parts for x in p]
+    order = difference_cover_order(np.array(text, np.int64), span).tolist()
+    heads = [text[i : i + span] for i in order]
+    assert sorted(order) == list(range(len(text))) and heads == sorted(heads)
+
+
 @given(st.lists(st.text("ab", max_size=40), min_size=1, max_size=6), st.integers(2, 9))
 @settings(max_examples=150, deadline=None)
 def test_repeated_starts(texts, length):
