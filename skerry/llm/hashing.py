@@ -58,6 +58,15 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _ODD)
 
 
+def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """span_hashes of all windows of the width, from the first start on."""
+    _, down = POWERS.upto(len(sums))
+    out = sums[width:] - sums[:-width]
+    out *= down[: len(out)]
+    out += np.uint64(width) * _ODD
+    return mix(out)
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that aren't white space."""
     inside = np.zeros(len(data) + 2, np.int8)

@@ -42,44 +42,42 @@ def difference_cover_order(text: np.ndarray, span: int) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
     padded = np.concatenate((text.astype(np.int64), [0, 0, 0]))
+    wide = int(padded.max()) + 1
     sample = np.concatenate((np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)))
-    triples = np.lexsort((padded[np.minimum(sample + 2, n)], padded[np.minimum(sample + 1, n)], padded[np.minimum(sample, n)]))
-    at = sample[triples]
-    key = [padded[np.minimum(at + k, n)] for k in range(3)]
-    name = np.cumsum(np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1]))))
-    names = np.empty(len(sample), np.int64)
-    names[triples] = name
+    triple = [padded[np.minimum(sample + k, n)] for k in range(3)]
+    if wide**3 < 1 << 63:
+        key = (triple[0] * wide + triple[1]) * wide + triple[2]
+        order = np.argsort(key)
+        key = key[order]
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(triple[::-1])
+        new = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in triple])
+    name = np.cumsum(np.concatenate(([True], new)))
     if name[-1] < len(sample) and span > 3:
-        order = difference_cover_order(names, -(-span // 3))
         names = np.empty(len(sample), np.int64)
-        names[order] = np.arange(1, len(sample) + 1)
-        at = sample[order]
-    elif name[-1] < len(sample):
-        names[triples] = np.arange(1, len(sample) + 1)
+        names[order] = name
+        order = difference_cover_order(names, -(-span // 3))
     rank = np.zeros(n + 3, np.int64)
-    rank[sample] = names
+    rank[sample[order]] = np.arange(1, len(sample) + 1)
     rank[n:] = 0
-    sampled = at[at < n]
-    rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], padded[rest]))]
-    return _merge(padded, rank, sampled, rest)
+    sampled = sample[order]
+    return _merge(padded, rank, sampled[sampled < n], np.arange(0, n, 3))
 
 
 def _merge(padded: np.ndarray, rank: np.ndarray, sampled: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Merge both sorted lists by binary search: a comparison needs two symbols and a rank at most."""
-    lo, hi = np.zeros(len(rest), np.int64), np.full(len(rest), len(sampled), np.int64)
-    while (open_ := lo < hi).any():
-        mid = (lo + hi) // 2
-        s = sampled[np.minimum(mid, len(sampled) - 1)]
-        one = s % 3 == 1
-        a = [padded[s], np.where(one, rank[s + 1], padded[s + 1]), np.where(one, 0, rank[np.minimum(s + 2, len(rank) - 1)])]
-        b = [padded[rest], np.where(one, rank[rest + 1], padded[rest + 1]), np.where(one, 0, rank[np.minimum(rest + 2, len(rank) - 1)])]
-        less = (a[0] < b[0]) | (a[0] == b[0]) & ((a[1] < b[1]) | (a[1] == b[1]) & (a[2] < b[2]))
-        lo = np.where(open_ & less, mid + 1, lo)
-        hi = np.where(open_ & ~less, mid, hi)
-    lo = np.maximum.accumulate(lo)  # suffixes alike in the whole span may come in any order
+    """Put the other suffixes among the sampled ones: against places 1 modulo 3 a symbol and a rank decide, against
+    places 2 modulo 3 two symbols and a rank."""
+    tall = int(rank.max()) + 1
+    one = lambda i: padded[i] * tall + rank[i + 1]
+    two = lambda i: (padded[i] * (int(padded.max()) + 1) + padded[i + 1]) * tall + rank[i + 2]
+    rest = rest[np.argsort(one(rest))]
+    before = np.zeros(len(rest), np.int64)
+    for k, key in ((1, one), (2, two)):
+        before += np.searchsorted(np.sort(key(sampled[sampled % 3 == k])), key(rest))
+    before = np.maximum.accumulate(before)  # suffixes alike in the whole span may come in any order
+    place = before + np.arange(len(rest))
     out = np.empty(len(sampled) + len(rest), np.int64)
-    place = lo + np.arange(len(rest))
     mark = np.zeros(len(out), bool)
     mark[place] = True
     out[mark], out[~mark] = rest, sampled
@@ -109,22 +107,24 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
 def anchors(data: np.ndarray, sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor places and hashes, and the first and last start of each one's windows; every window has one anchor."""
     reach = length - gram + 1
-    place = np.arange(len(data) - gram + 1)
-    h = hashing.span_hashes(sums, place, place + gram)
-    # The leftmost least hash of each run of `reach` hashes: block-wise running minima from both sides.
+    h = hashing.window_hashes(sums, gram)
     n = len(h)
-    order = np.argsort(h, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)  # equal hashes rank by place, so the leftmost is least
+    # The leftmost least of the hashes' upper 40 bits: places break ties.
+    if n < 1 << 24:
+        key = (h & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)
+    else:
+        order = np.argsort(h >> np.uint64(24), kind="stable")
+        key = np.empty(n, np.uint64)
+        key[order] = np.arange(n, dtype=np.uint64)
+    # Minima of all windows of hashes: block-wise running minima from both sides.
     fill = -n % reach
-    blocks = np.concatenate((rank, np.full(fill, n))).reshape(-1, reach)
+    blocks = np.concatenate((key, np.full(fill, np.iinfo(np.uint64).max))).reshape(-1, reach)
     left = np.minimum.accumulate(blocks, 1).ravel()
     right = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    least = order[np.minimum(right[: n - reach + 1], left[reach - 1 : n])]
-    new = np.concatenate(([True], least[1:] != least[:-1]))
-    first = np.flatnonzero(new)
+    least = np.minimum(right[: n - reach + 1], left[reach - 1 : n])
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
     last = np.append(first[1:] - 1, len(least) - 1)
-    at = least[first]
+    at = (least[first] & np.uint64((1 << 24) - 1)).astype(np.int64) if n < 1 << 24 else order[least[first].astype(np.int64)]
     return at, h[at], first, last
 
 
@@ -233,7 +233,7 @@ def _classes(cells: DataFrame) -> DataFrame:
     return found.withColumn("twin", F.expr("lead_ <> last_")).withColumn("lead", F.col("lead_") == spot).drop("lead_", "last_")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 64, most: int = 1000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 1000) -> DataFrame:
     """Remove each byte that a string of the length covers which also starts elsewhere.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes; null where nothing was removed)
@@ -252,7 +252,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 64, most: int =
     )
 
 
-def without_repeats(docs: DataFrame, length: int = 400, gram: int = 64, most: int = 1000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 1000) -> DataFrame:
     """docs with the remaining text in each row; n_chars follows the text where there is such a column. A character that
     loses a byte goes as a whole."""
     _, changed = _changed(docs, length, gram, most)
