@@ -13,53 +13,51 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.exchange import Workspace, batches, partitions
 
-#: How byte-level vocabularies split text before merging.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_MOST_CACHED = 1 << 18
+#: How byte-level vocabularies split text before merging, and the bytes that stand for themselves in them.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRINTED = (*range(33, 127), *range(161, 173), *range(174, 256))
+
+
+def byte_ranks(vocabulary: dict[str, int], special: set[str]) -> dict[bytes, int]:
+    """The vocabulary's byte strings with their ids, which are the merge order."""
+    hidden = [b for b in range(256) if b not in PRINTED]
+    byte_of = {chr(b): b for b in PRINTED} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
 
 
 class Encoder:
-    """Ids of a byte-level tokenizer file as little-endian unsigned 32-bit numbers; words' ids are kept.
+    """Ids of a byte-level tokenizer file as little-endian unsigned 32-bit numbers.
 
-    Texts of other scripts, and texts with one of the file's special strings, go to the tokenizer as wholes.
+    Merging runs over the file's ranks. Texts of other scripts, and texts with one of the file's special strings, go to
+    the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        with open(path, encoding="utf-8") as file:
+            ranks = byte_ranks(json.load(file)["model"]["vocab"], self.special)
+        self.merged = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
         if (not text.isascii() and max(text) > "ɏ") or any(s in text for s in self.special):
-            return self.whole(text)
-        known, out = self.known, []
-        if len(known) > _MOST_CACHED:
-            known.clear()
-        for word in SPLIT.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.whole(word)
-                if len(word) <= 64:
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.merged.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
