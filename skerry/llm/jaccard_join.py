@@ -491,7 +491,12 @@ def _chosen(sketch: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
 def _packs(docs: DataFrame, chosen: DataFrame, width: int, parts: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text").join(chosen.hint("merge"), "_doc")
     texts = texts.select(F.pmod(F.xxhash64("_node"), F.lit(parts)).cast("int").alias("shard"), F.col("_node").alias("node"), "text")
-    return pack(_same_node(texts, width), parts, ["node"])
+
+    def same_node(columns: list[list[int]], held: list[bytes]) -> list[bool]:
+        """Not rows whose doc_id is a chosen one but whose text makes another node."""
+        return [len(s) > 0 and node_of(s) == node for text, node in zip(held, columns[0], strict=True) for s in shingle_sets([text], width)]
+
+    return pack(texts, ["node"], same_node)
 
 
 def _shared_lists(packs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
@@ -500,18 +505,6 @@ def _shared_lists(packs: DataFrame, width: int, percent: int, parts: int) -> Dat
     return by_shard(packs.unionByName(answers), parts, _lists(parts, width, percent), _LISTS_SQL, _LISTS)
 
 
-def _same_node(texts: DataFrame, width: int) -> DataFrame:
-    """Without rows whose doc_id is a chosen one but whose text makes another node."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            nodes, held = b.column(1).to_pylist(), binary_column(b, "text")
-            keep = [node_of(s) == node if len(s) else False for t, node in zip(held, nodes, strict=True) for s in shingle_sets([t], width)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return texts.mapInArrow(run, texts.schema)
-
-
 def _link_clusters(lists: DataFrame, clusters: DataFrame, percent: int, block: int, parts: int, space: Workspace) -> DataFrame:
     """node, root for the nodes that link; the links are those of the trie joins of all blocks of each cluster."""
     sized = clusters.join(clusters.groupBy("root").agg(F.count("*").alias("size")), "root")

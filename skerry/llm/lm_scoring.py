@@ -244,7 +244,7 @@ def score_documents(docs: DataFrame, order: int = 2, folds: int = 10) -> DataFra
         flags.cast("bigint").alias("flags"),
         "text",
     )
-    packs = space.settle(pack(rows, parts, ["id", "flags"]), "packs")
+    packs = space.settle(pack(rows, ["id", "flags"]), "packs")
     answers = space.settle(_answers(packs, order, parts), "answers")
     space.sweep()
     both = packs.unionByName(answers.where("shard >= 0"))

@@ -44,18 +44,25 @@ def load(payload: bytes) -> list:
     return out
 
 
-def pack(rows: DataFrame, shards: int, longs: list[str]) -> DataFrame:
-    """rows: shard, the named bigint columns, text. Returns PACK_SCHEMA rows of kind 0, many rows of a shard in each."""
+def pack(rows: DataFrame, longs: list[str], valid: Callable[[list[list[int]], list[bytes]], list[bool]] | None = None) -> DataFrame:
+    """rows: shard, the named bigint columns, text. Returns PACK_SCHEMA rows of kind 0, many rows of a shard in each.
+
+    valid: which rows of a batch to keep, from the columns and the texts.
+    """
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             held: dict[int, list] = {}
             weight = 0
             for b in it:
-                table = b.to_pydict()
-                for shard, text, *values in zip(table["shard"], table["text"], *(table[c] for c in longs), strict=True):
-                    held.setdefault(shard, []).append((values, text or b""))
-                    weight += len(text or b"") + 64
+                shards, texts, *columns = (b.column(k).to_pylist() for k in range(2 + len(longs)))
+                texts = [x or b"" for x in texts]
+                kept = valid(columns, texts) if valid else [True] * len(texts)
+                for shard, text, keep, *values in zip(shards, texts, kept, *columns, strict=True):
+                    if not keep:
+                        continue
+                    held.setdefault(shard, []).append((values, text))
+                    weight += len(text) + 64
                     if weight >= _CHUNK:
                         yield from flush(held)
                         held, weight = {}, 0
