@@ -52,11 +52,12 @@ class TextModel:
     bias: float
     weights: tuple[float, ...]
     prior: float  # share of good rows in the sample
+    bounds: tuple[tuple[float, float], ...] = ((0.0, 0.0),) * len(FEATURES)  # of the sample; values beyond count as these
 
     def logit(self) -> Column:
         out = F.lit(self.bias)
-        for name, w in zip(FEATURES, self.weights, strict=True):
-            out = out + F.col(f"f_{name}") * w
+        for name, w, (lo, hi) in zip(FEATURES, self.weights, self.bounds, strict=True):
+            out = out + F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(f"f_{name}"))) * w
         return F.greatest(F.lit(-20.0), F.least(F.lit(20.0), out))
 
 
@@ -75,7 +76,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> T
         if abs(step).max() < 1e-8:
             break
     weights = w[1:] / scale
-    return TextModel(float(w[0] - weights @ mean), tuple(map(float, weights)), float(y.mean()))
+    return TextModel(float(w[0] - weights @ mean), tuple(map(float, weights)), float(y.mean()), tuple(zip(x.min(0).tolist(), x.max(0).tolist(), strict=True)))
 
 
 def _logit(p: Column) -> Column:

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from skerry.llm.jaccard_join import jaccard_join, link
+from skerry.llm.jaccard_join import jaccard_join, link, one_of_each
 
 SCHEMA = "doc_id bigint, text string, n_shingles string"
 
@@ -55,13 +55,28 @@ def corpus(seed, n=160):
 @pytest.mark.parametrize("block", [1000, 7])
 def test_matches_all_pairs(spark, block):
     rows = corpus(block)
-    got = jaccard_join(spark.createDataFrame(rows, SCHEMA), block=block).collect()
+    got = jaccard_join(spark.createDataFrame(rows, SCHEMA), block=block).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
 def test_empty_table(spark):
     out = jaccard_join(spark.createDataFrame([], SCHEMA))
-    assert out.columns == ["doc_id", "n_shingles", "component_id"] and not out.collect()
+    assert out.columns[:3] == ["doc_id", "n_shingles", "component_id"] and not out.collect()
+
+
+def test_one_of_each(spark):
+    rows = corpus(5)
+    kept = [tuple(r) for r in one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want = {}
+    for row, (doc, n, component) in zip(sorted(rows, key=str), brute(rows), strict=True):
+        assert row[0] == doc
+        if n and doc is not None:
+            want.setdefault(component, []).append(row)
+    alone = [r for r in rows if r[0] is None or not (r[1] or "").split()]
+    assert sorted(map(str, (r for r in kept if r[0] is None or not (r[1] or "").split()))) == sorted(map(str, alone))
+    linked = [r for r in kept if r[0] is not None and (r[1] or "").split()]
+    assert all(r in rows for r in linked) and len(set(linked)) == len(linked)
+    assert len(linked) >= len(want) and all(any(r in group for r in linked) for group in want.values())
 
 
 def test_link_keeps_known_labels():
