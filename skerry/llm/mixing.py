@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...
     return listed.select("source", "source_size", F.round("target", 6).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = "mix-1-", slices: int = 1 << 14, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = "mix-1-", slices: int = 1 << 12, carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, epochs for each row of docs(doc_id, source, text).
 
     share: budget as a multiple of all words. most: cap of a source as a multiple of its words. weight: quality weight of
