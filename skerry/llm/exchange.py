@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -28,8 +31,13 @@ class Workspace:
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and read it back, so that later steps start from the files."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        path, conf = f"{self.root}/{name}", self.spark.conf
+        before = conf.get(_CLEAN_UP)
+        conf.set(_CLEAN_UP, "true")  # the write's shuffle files go with it; later steps start from the table
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
