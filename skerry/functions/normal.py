@@ -81,17 +81,15 @@ def log_jacobian_sql(z: str) -> str:
     return f"({log_ndtr_sql(z)}) + ({log_ndtr_sql(f'(-({z}))')}) + {num(0.5)} * {z} * {z} + {num(HALF_LOG_2PI)}"
 
 
-def inv_logit_phi_sql(eta: str, bulk: float = 14.0, far: float = 700.0) -> str:
-    """z with logit_phi(z) = eta. In the bulk the quantile of the sigmoid; beyond, that of the small tail, which keeps its
-    digits; where the tail underflows, the root of Mills' asymptotic log tail by one step of Newton's method."""
+def inv_logit_phi_sql(eta: str, far: float = 700.0) -> str:
+    """z with logit_phi(z) = eta, by the quantile of the smaller tail, which keeps its digits; where the tail underflows,
+    by Mills' asymptotic log tail solved for z with its logarithm taken at the first approximation."""
     a = f"abs({eta})"
-    inside = ndtri_sql(f"({num(1.0)} / ({num(1.0)} + exp(-({eta}))))")
-    outside = f"-({ndtri_sql(f'(exp(-least({a}, {num(far)})) / ({num(1.0)} + exp(-least({a}, {num(far)}))))')})"
-    z = f"sqrt({num(2.0)} * {a} - ln({num(4 * math.pi)} * {a}))"
-    tail = f"({num(-0.5)} * {z} * {z} - ln({z}) - {num(HALF_LOG_2PI)} + ln({num(1.0)} - {num(1.0)} / ({z} * {z}) + {num(3.0)} / power({z}, 4)))"
-    step = f"({z} + ({a} + {tail}) / ({z} + {num(1.0)} / {z}))"
-    sign = f"CASE WHEN {eta} < 0 THEN {num(-1.0)} ELSE {num(1.0)} END"
-    return f"CASE WHEN {a} < {num(bulk)} THEN {inside} WHEN {a} < {num(far)} THEN ({sign}) * ({outside}) ELSE ({sign}) * {step} END"
+    t = f"exp(-least({a}, {num(far)}))"
+    near = f"-({ndtri_sql(f'({t} / ({num(1.0)} + {t}))')})"
+    w = f"({num(2.0)} * {a} - ln({num(4 * math.pi)} * greatest({a}, {num(1.0)})))"
+    beyond = f"sqrt({num(2.0)} * {a} - {num(LOG_2PI)} - ln({w}) + {num(2.0)} * ln({num(1.0)} - {num(1.0)} / {w} + {num(3.0)} / ({w} * {w})))"
+    return f"CASE WHEN {eta} < 0 THEN {num(-1.0)} ELSE {num(1.0)} END * CASE WHEN {a} < {num(far)} THEN {near} ELSE {beyond} END"
 
 
 def log_logistic_pdf_sql(eta: str) -> str:

@@ -52,7 +52,7 @@ def tie_jitter(df: DataFrame, column: str, tie_break: list[str]) -> DataFrame:
     rows = finite(df, column).select(F.col(column).cast("double").alias("x"), *tie_break)
     stats = rows.agg(F.max(F.abs("x")).alias("top"), (F.count("*") > F.countDistinct("x")).alias("tied"))
     placed = running_total(rows.withColumn("one_", F.lit(1)), ["x", *tie_break], "one_", "k")
-    moved = F.col("x") + F.when("tied", (F.col("k") - 1) * 1e-10 * (F.col("top") + 1)).otherwise(0.0)
+    moved = F.col("x") + F.when(F.col("tied"), (F.col("k") - 1) * 1e-10 * (F.col("top") + 1)).otherwise(0.0)
     return placed.crossJoin(F.broadcast(stats)).select(*tie_break, "x", moved.alias("jittered"))  # one row
 
 
