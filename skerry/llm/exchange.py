@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -59,6 +60,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_sample(rows: DataFrame, hashed: str, order: list[str], count: int, most: int) -> DataFrame:
+    """The first `most` rows by hash. Of `count` rows those with larger hashes are left out before the ordering, so that
+    tasks don't each send `most` rows to the driver."""
+    share = min(1.0, 1.2 * most / max(count, 1) + 0.001)
+    near = F.pmod(F.col(hashed), F.lit(1 << 30)) < int(share * (1 << 30))
+    return rows.where(near).orderBy(F.pmod(F.col(hashed), F.lit(1 << 30)), *order).limit(most)
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string or binary column as bytes; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(name))

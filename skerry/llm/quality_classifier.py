@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.exchange import Workspace
+from skerry.llm.exchange import Workspace, bounded_sample
 from skerry.llm.textstats import CAPITALS, SYMBOLS, count_of, line_counts, ratio, with_words, without, SPACES
 
 FEATURES = ("log_words", "symbol_share", "capital_share", "mark_share", "same_share", "distinct_share", "dup_line_share", "mean_word")
@@ -107,7 +107,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
     rows = space.settle(text_features(rows, "text", ["doc_id", "host_", "path_", *more]), "features")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     names = [f"f_{x}" for x in FEATURES]
-    sample = rows.join(known, "doc_id").select(*names, "quality", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", *names).limit(most_labelled)
+    sample = rows.join(known, "doc_id").select(*names, "quality", F.xxhash64("doc_id").alias("h"), "doc_id")
+    sample = bounded_sample(sample, "h", ["doc_id", *names], known.count(), most_labelled)
     got = np.array([[float(v) for v in r] for r in sample.select(*names, "quality").collect()]).reshape(-1, len(names) + 1)  # bounded by most_labelled
     model = fit(got[:, :-1], got[:, -1])
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.exchange import Workspace
+from skerry.llm.exchange import Workspace, bounded_sample
 from skerry.llm.textstats import CAPITALS, SYMBOLS, count_of, line_counts, ratio, repeat_words, with_words, without, SPACES
 
 #: Features that rules may test, made from the statistics.
@@ -166,7 +166,7 @@ def judge(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000) -> Da
     stats = space.settle(with_features(statistics(docs)), "stats")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = stats.join(known, "doc_id").select(*(f"f_{x}" for x in FEATURES), (F.col("quality") == 0).alias("bad"), F.xxhash64("doc_id").alias("h"), "doc_id", "word_chars")
-    rows = [r.asDict() for r in sample.orderBy("h", "doc_id", "word_chars").limit(most_labelled).drop("h", "doc_id", "word_chars").collect()]  # bounded by most_labelled
+    rows = [r.asDict() for r in bounded_sample(sample, "h", ["doc_id", "word_chars"], known.count(), most_labelled).drop("h", "doc_id", "word_chars").collect()]  # bounded by most_labelled
     rules = learn_rules([{k.removeprefix("f_"): v for k, v in r.items()} for r in rows], list(FEATURES))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = stats.withColumn("base_failed", base).withColumn("rule", rules_column(rules))
