@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.normal import ndtri_sql
 from skerry.functions.sqltext import num
-from skerry.plans.storage import running_total
+from skerry.plans.storage import running_total, settle
 
 
 def finite(df: DataFrame, column: str) -> DataFrame:
@@ -33,10 +33,18 @@ def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def rank_gaussianize(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
-    """Adds the normal quantile of average rank / (n + 1) for each column."""
-    for c in columns:
-        n = finite(df, c).count()
-        df = average_rank(df, c, "r_").withColumn(f"{c}{suffix}", F.expr(ndtri_sql(f"(r_ / {num(n + 1)})"))).drop("r_")
+    """Adds the normal quantile of average rank / (n + 1) for each column.
+
+    All columns' distinct values are counted in one long table with one running total; each column joins its part back.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("coord"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns))))
+    counts = finite(df.select(pairs.alias("p")).select("p.*"), "value").groupBy("coord", "value").agg(F.count("*").alias("n"))
+    counts = settle(running_total(counts, ["value"], "n", group=["coord"]))
+    totals = {r.coord: r.total for r in counts.groupBy("coord").agg(F.sum("n").alias("total")).collect()}  # a row a column
+    for k, c in enumerate(columns):
+        p = f"((upto - (n - 1) / 2.0) / {num(totals.get(k, 0) + 1)})"
+        part = counts.where(F.col("coord") == k).select(F.col("value").alias("v_"), F.expr(ndtri_sql(p)).alias(f"{c}{suffix}"))
+        df = df.join(part, F.col(c).cast("double") == F.col("v_"), "left").drop("v_")
     return df
 
 

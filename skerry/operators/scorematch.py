@@ -72,15 +72,19 @@ def statistics(df: DataFrame, columns: list[str], indices: list[Index], weights:
             yield pa.RecordBatch.from_arrays([pa.array([f] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], schema=schema)
 
     picked = df.select(*(F.col(c).cast("double") for c in [*columns, *(scores or [])]), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"))
+    def added(table: pa.Table) -> pa.Table:
+        rows = np.stack(table.column("v").to_pylist())
+        return pa.table([table.column("fold")[:1], table.column("k")[:1], pa.array([rows.sum(0)], pa.list_(pa.float64()))], schema=schema)
+
     parts = picked.mapInArrow(run, "fold int, k int, v array<double>")
-    long = parts.select("fold", "k", F.posexplode("v").alias("j", "v")).groupBy("fold", "k", "j").agg(F.sum("v").alias("v"))
+    sums = parts.groupBy("fold", "k").applyInArrow(added, "fold int, k int, v array<double>").toArrow()  # folds x (m + d + 2) rows
+    raw: dict[int, dict[int, np.ndarray]] = {}
+    for f, k, v in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), sums.column(2), strict=True):
+        raw.setdefault(f, {})[k] = v.values.to_numpy()
     out: dict[int, Stats] = {}
-    raw: dict[int, np.ndarray] = {}
-    for r in long.toLocalIterator():
-        raw.setdefault(r.fold, np.zeros((2 * m + d + 2, max(m, 1))))[r.k, r.j] = r.v
     for f, x in raw.items():
-        n = x[m + 1 + d, 0]
-        out[f] = Stats(int(n), x[:m] / n, x[m] / n, x[m + 1 : m + 1 + d] / n)
+        n = float(x[m + 1 + d][0])
+        out[f] = Stats(int(n), np.stack([x[k] for k in range(m)]) / n, x[m] / n, np.stack([x[m + 1 + i] for i in range(d)]) / n)
     return out
 
 

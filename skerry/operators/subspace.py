@@ -117,7 +117,7 @@ def tail_sum_bounds(c: np.ndarray, c_hat: np.ndarray, r: int) -> dict[str, float
     s = np.sort(np.abs(np.linalg.eigvalsh(c_hat - c)))[::-1]
     p = complement(top_eigenvectors(c_hat, r)[1])
     excess = float(np.trace(p.T @ c @ p) - np.sort(np.linalg.eigvalsh(c))[: len(c) - r].sum())
-    return {"excess": excess, "operator": float(2 * r * s[0]), "ky_fan": float(2 * s[: 2 * r].sum() / 1.0)}
+    return {"excess": excess, "operator": float(2 * r * s[0]), "ky_fan": float(2 * s[:r].sum())}
 
 
 def certificate(v: np.ndarray, c: np.ndarray) -> float:
