@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.llm import hashing
+
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -29,6 +33,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        small_batches(spark)
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and read it back, so that later steps start from the files."""
@@ -60,6 +65,33 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the Arrow batches that go to Python; rows alone don't, where texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > _BATCH_BYTES:
+        spark.conf.set(key, str(_BATCH_BYTES))
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow that gives memory back at its end: Python workers are reused and live on while idle."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(it)
+        finally:
+            hashing.POWERS.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def bounded_sample(rows: DataFrame, hashed: str, order: list[str], count: int, most: int) -> DataFrame:
     """The first `most` rows by hash. Of `count` rows those with larger hashes are left out before the ordering, so that
     tasks don't each send `most` rows to the driver."""

@@ -28,6 +28,9 @@ class Powers:
     """Powers of the step and of its inverse, grown on demand and reused between documents."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 

@@ -17,7 +17,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skerry.llm.exchange import batches
+from skerry.llm.exchange import batches, small_batches, tidy
 
 #: Element names of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -239,6 +239,8 @@ _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each row of pages(page_id, url, html)."""
 
+    small_batches(pages.sparkSession)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for b in it:
@@ -248,16 +250,18 @@ def extract(pages: DataFrame) -> DataFrame:
 
         yield from batches(_TEXT, out())
 
-    return pages.selectExpr("cast(page_id as bigint) page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return pages.selectExpr("cast(page_id as bigint) page_id", "url", "html").mapInArrow(tidy(run), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """pages with its last column, html, replaced by text, the page's main text."""
 
+    small_batches(pages.sparkSession)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = [main_text(html or "") for html in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields[:-1])
-    return pages.mapInArrow(run, f"{schema}, text string")
+    return pages.mapInArrow(tidy(run), f"{schema}, text string")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm import hashing
 from skerry.llm.components import components
-from skerry.llm.exchange import Workspace, batches, binary_column, partitions
+from skerry.llm.exchange import Workspace, batches, binary_column, partitions, tidy
 from skerry.llm.packs import by_shard, chunks, dump, load, pack
 
 _HALF = np.uint64((1 << 48) - 1)
@@ -137,7 +137,7 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
         yield from batches(_SKETCH, out())
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "kind int, shard int, doc_id bigint, node bigint, n bigint, payload binary, text_hash bigint")
+    return rows.mapInArrow(tidy(run), "kind int, shard int, doc_id bigint, node bigint, n bigint, payload binary, text_hash bigint")
 
 
 _PART = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -434,7 +434,7 @@ def _link_tasks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
 
         yield from batches(_EDGE, out())
 
-    return rows.select("task", "node", "label", "n", "payload").repartition(parts, "task").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("task", "node", "label", "n", "payload").repartition(parts, "task").sortWithinPartitions("task").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.exchange import batches, binary_column
+from skerry.llm.exchange import batches, binary_column, small_batches, tidy
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 GREY_8 = (8, 0, 0, 0, 0)  # bit depth, colour type, compression, filter method, interlace
@@ -153,6 +153,8 @@ def payload_image(data: bytes, width: int) -> np.ndarray:
 def to_media(rows: DataFrame, column: str = "text", width: int = 64, media: str = "media", row_filter: int = 0) -> DataFrame:
     """rows with a binary column that holds each value of `column` as a PNG file."""
 
+    small_batches(rows.sparkSession)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             values = [write_png(payload_image(x, width), row_filter) for x in binary_column(b, column)]
@@ -161,7 +163,7 @@ def to_media(rows: DataFrame, column: str = "text", width: int = 64, media: str
     if media in rows.columns:
         raise ValueError(f"there is a column {media} already")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, `{media}` binary")
+    return rows.mapInArrow(tidy(run), f"{schema}, `{media}` binary")
 
 
 _DIGEST = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
@@ -171,6 +173,8 @@ _DIGEST_SQL = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, m
 def media_features(rows: DataFrame, keys: list[str], media: str = "media", tail: int = 64) -> DataFrame:
     """The key columns, and what the stored files hold when read back: digests and the low-frequency hash."""
 
+    small_batches(rows.sparkSession)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             found = []
@@ -183,4 +187,4 @@ def media_features(rows: DataFrame, keys: list[str], media: str = "media", tail:
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keys))), *made.columns], [*keys, *_DIGEST.names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
-    return rows.select(*keys, F.col(media)).mapInArrow(run, f"{schema}, {_DIGEST_SQL}")
+    return rows.select(*keys, F.col(media)).mapInArrow(tidy(run), f"{schema}, {_DIGEST_SQL}")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.exchange import Workspace, batches, partitions
+from skerry.llm.exchange import Workspace, batches, partitions, tidy
 
 #: How byte-level vocabularies split text before merging, and the bytes that stand for themselves in them.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,17 +46,23 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as file:
-            ranks = byte_ranks(json.load(file)["model"]["vocab"], self.special)
-        self.merged = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            held = json.load(file)
+        self.special = {t["content"] for t in held["added_tokens"]}
+        self.merged = tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=byte_ranks(held["model"]["vocab"], self.special), special_tokens={})
+
+    def whole(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if (not text.isascii() and max(text) > "ɏ") or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
         return self.merged.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
@@ -128,7 +134,7 @@ def _first_round(docs: DataFrame, path: str, end: int, capacity: int, most: int
 
         yield from batches(_PIECE, out())
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _PIECE_SQL)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), _PIECE_SQL)
 
 
 _MOVE = pa.schema([("bin", pa.int64()), ("to", pa.int64()), ("shift", pa.int64()), ("fill", pa.int64())])
@@ -158,7 +164,7 @@ def _next_round(bins: DataFrame, parts: int, capacity: int, most: int = 50_000)
 
         yield from batches(_MOVE, out())
 
-    return bins.select("bin", "fill").repartition(parts, F.xxhash64("bin")).mapInArrow(run, _MOVE_SQL)
+    return bins.select("bin", "fill").repartition(parts, F.xxhash64("bin")).mapInArrow(tidy(run), _MOVE_SQL)
 
 
 def plan_by_fill(count: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

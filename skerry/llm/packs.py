@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.exchange import batches
+from skerry.llm.exchange import batches, tidy
 
 PACK_SCHEMA = "shard int, kind int, payload binary"
 _ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -75,7 +75,7 @@ def pack(rows: DataFrame, longs: list[str], valid: Callable[[list[list[int]], li
 
         yield from batches(_ARROW, out())
 
-    return rows.select("shard", F.col("text").cast("binary").alias("text"), *longs).mapInArrow(packed, PACK_SCHEMA)
+    return rows.select("shard", F.col("text").cast("binary").alias("text"), *longs).mapInArrow(tidy(packed), PACK_SCHEMA)
 
 
 def unpack(payload: bytes) -> tuple[list[np.ndarray], list[bytes]]:
@@ -96,7 +96,7 @@ def by_shard(df: DataFrame, shards: int, fn: Callable[[int, list[tuple[int, byte
         for s in sorted(held):
             yield from batches(arrow, fn(s, sorted(held.pop(s), key=lambda x: x[0])))
 
-    return df.select(key, "kind", "payload").repartitionById(shards, F.col(key)).mapInArrow(run, schema)
+    return df.select(key, "kind", "payload").repartitionById(shards, F.col(key)).mapInArrow(tidy(run), schema)
 
 
 def chunks(rows: list[tuple[int, bytes]], most: int = 1 << 20) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import hashing
-from skerry.llm.exchange import Workspace, batches, binary_column, partitions
+from skerry.llm.exchange import Workspace, batches, binary_column, partitions, tidy
 
 #: Windows in a cell by round; the first round's cells are whole segments.
 CELLS = (None, 16, 1)
@@ -149,7 +149,7 @@ def _cells(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 columns = [h.view(np.int64), whole.view(np.int64), np.full(len(at), node), lo.astype(np.int32), hi.astype(np.int32), at.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_CELL)
 
-    return rows.select("node", "text").mapInArrow(run, _CELL_SQL)
+    return rows.select("node", "text").mapInArrow(tidy(run), _CELL_SQL)
 
 
 def _segments(texts: DataFrame, length: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
 
         yield from batches(_TEXT, out())
 
-    return texts.select("node", "text", "opened").mapInArrow(run, _TEXT_SQL)
+    return texts.select("node", "text", "opened").mapInArrow(tidy(run), _TEXT_SQL)
 
 
 def _finer(cells: DataFrame, windows: int, length: int) -> DataFrame:
@@ -188,7 +188,7 @@ def _finer(cells: DataFrame, windows: int, length: int) -> DataFrame:
 
         yield from batches(_TEXT, out())
 
-    return cells.mapInArrow(run, _TEXT_SQL)
+    return cells.mapInArrow(tidy(run), _TEXT_SQL)
 
 
 def _sorted_out(cells: DataFrame, length: int, parts: int, batch: int = 1 << 20) -> DataFrame:
@@ -219,7 +219,7 @@ def _sorted_out(cells: DataFrame, length: int, parts: int, batch: int = 1 << 20)
 
         yield from batches(_SPAN, out())
 
-    return cells.repartition(parts, "meet").sortWithinPartitions("meet").mapInArrow(run, _SPAN_SQL)
+    return cells.repartition(parts, "meet").sortWithinPartitions("meet").mapInArrow(tidy(run), _SPAN_SQL)
 
 
 def _classes(cells: DataFrame) -> DataFrame:
@@ -335,4 +335,4 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
 
         yield from batches(_CUT, out())
 
-    return rows.select("node", "text", "spans").mapInArrow(run, _CUT_SQL)
+    return rows.select("node", "text", "spans").mapInArrow(tidy(run), _CUT_SQL)
