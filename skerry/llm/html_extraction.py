@@ -22,9 +22,9 @@ from skerry.llm.exchange import batches, small_batches, tidy
 #: Element names of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object noembed noframes xmp".split())
-LEFT_OUT = frozenset("nav footer aside form button select option fieldset label dialog menu head canvas audio video figure".split())
+LEFT_OUT = frozenset("nav footer aside form button select option fieldset label dialog menu head canvas audio video".split())
 BLOCK = frozenset(
-    "address article blockquote body caption center dd details div dl dt figcaption h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section "
+    "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK | LEFT_OUT
@@ -32,11 +32,12 @@ CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
 SCOPES = frozenset("ul ol dl table article section main div body html td th blockquote".split())
 
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumbs?|toolbar|masthead|"
-    r"header|footer|foot|copyright|legal|cookies?|consent|notice|alert|popup|modal|overlay|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
-    r"comments?|commentlist|disqus|replies|reply|respond|pagination|pager|tags|meta|hidden|skip)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumbs?|toolbar|"
+    r"footer|foot|copyright|cookies?|consent|notice|alert|popup|modal|overlay|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
+    r"comments?|commentlist|disqus|replies|reply|respond|pagination|pager|hidden|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.IGNORECASE)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -52,8 +53,9 @@ class Node:
         self.score, self.size, self.linked = 0.0, 0, 0
 
 
-def _is_noise(name: str, attributes: str) -> bool:
-    if name in LEFT_OUT:
+def _is_noise(name: str, attributes: str, at: Node) -> bool:
+    """Whether an element is no part of an article; an article's own header is."""
+    if name in LEFT_OUT or name == "header" and not _in_article(at):
         return True
     if not attributes or name in ("body", "html", "article", "main"):
         return False
@@ -61,11 +63,17 @@ def _is_noise(name: str, attributes: str) -> bool:
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in _ROLES:
             return True
-        if key in ("class", "id") and _NOISE.search(value):
+        if key in ("class", "id") and (_NOISE.search(value) or _HEADER.search(value) and not _in_article(at)):
             return True
     return False
 
 
+def _in_article(x: Node | None) -> bool:
+    while x is not None and x.name not in ("article", "main"):
+        x = x.parent
+    return x is not None
+
+
 def parse(html: str) -> Node:
     """The page's tree. Text of raw elements is left out; character references stay as they are."""
     root = at = Node("#page", None)
@@ -109,7 +117,7 @@ def parse(html: str) -> Node:
                 close = html.find(">", end.start()) if end else -1
                 i = n if close < 0 else close + 1
             continue
-        node = Node(name, at, _is_noise(name, tag[3]))
+        node = Node(name, at, _is_noise(name, tag[3], at))
         at.parts.append(node)
         if name not in VOID and not (tag[3].endswith("/") and name not in BLOCK):
             at = node

@@ -54,6 +54,8 @@ def test_blocks_come_back(wrap):
         ("<body><nav>menu</nav></body>", ""),
         ("<article><h1>Head, line</h1><p><b>bold start<br><p>next <i>one</article><footer>foot</footer>", "Head, line\nbold start\nnext one"),
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><pre>e\n f</pre></article>", "a\nb\nc\nd\ne f"),
+        ("<header><h1>Site</h1></header><p>text, of a page</p>", "text, of a page"),
+        ("<div class=site-header>Site</div><article><header class=post-header><h1>Own</h1></header><p>x<figure><img src=a><figcaption>seen</figure></article>", "Own\nx\nseen"),
         ("<article><p>cut tag here <a href='x", "cut tag here"),
         ("<article><p>5 < 6 and 7 > 3</p></article></div></article>", "5 < 6 and 7 > 3"),
         ("<SCRIPT>x</SCRIPT ><article><P>Upper</P></article><script>never closed <p>no</p>", "Upper"),
