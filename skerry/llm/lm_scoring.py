@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import hashing
-from skerry.llm.exchange import Workspace, batches, partitions
+from skerry.llm.exchange import Workspace, partitions
 from skerry.llm.packs import by_shard, chunks, dump, load, pack
 
 HELD_OUT, DELETED, NO_ID = 1, 2, 4
