@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.functions.hermite import hermite_values  # noqa: F401  (re-exported for kernels)
 from skerry.operators.subspace import complement
 from skerry.sources.laws import LAWS
 

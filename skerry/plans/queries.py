@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from skerry.functions import normal as P
 from skerry.functions.hermite import dictionary, gradient_sql, hermite_sql, term_sql, total_degrees
 from skerry.functions.sqltext import num
-from skerry.operators import marginals, ranks, scorematch, solvers, subspace, weights
-from skerry.plans import models, montecarlo, selection
+from skerry.operators import marginals, ranks, scorematch, solvers, subspace, tilt, weights
+from skerry.plans import diagnostics, models, montecarlo, selection
 from skerry.sources import laws
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +493,24 @@ def nested_mc_kl(spark, sf_dir):
     return montecarlo.nested_kl_table(spark, "cusp_bend", bases, 40, 256, [0, 1])
 
 
+@query()
+def saturation_ladder(spark, sf_dir):
+    ladder = diagnostics.saturation(_scaled(spark, sf_dir), _SCALED, [(2, 1), (2, 2), (3, 2), (4, 2)])
+    return spark.createDataFrame([tuple(x.values()) for x in ladder], "degree int, order int, terms int, trace double")
+
+
+@query()
+def a_posteriori_bound(spark, sf_dir):
+    got = diagnostics.a_posteriori_bound(_orders(spark, sf_dir), _XS, "o_orderkey", 2, 3, 2)
+    return spark.createDataFrame([(k, float(v)) for k, v in got.items()], "part string, value double")
+
+
+@query()
+def tilted_marginals(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").selectExpr("c_acctbal / 2.0e3 AS x0", "(c_custkey % 97) / 1.6e1 - 3 AS x1")
+    return spark.createDataFrame([(k, *map(float, t.theta), float(t.log_norm)) for k, t in enumerate(tilt.fit_tilts(rows, _SCALED))], "k int, t2 double, t4 double, log_norm double")
+
+
 @query()
 def knn_entropy(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(3)))
