@@ -20,6 +20,7 @@ from skerry.operators.marginals import Marginal, fit_marginal
 from skerry.operators.ranks import hash_halves, rank_gaussianize
 from skerry.operators.scorematch import matrix, score_columns, second_moments, statistics
 from skerry.operators.subspace import top_eigenvectors
+from skerry.plans import pairs
 
 CAP_SHARE = 0.999
 
@@ -79,29 +80,58 @@ class GaussianCopula(ProductOfMarginals):
 
 @dataclass
 class KernelDensity:
-    """A full-dimensional Gaussian kernel density with Scott's bandwidth, over a bounded sample of centres."""
+    """A full-dimensional Gaussian kernel density with Scott's bandwidth on the marginals' normal scores, pulled back to the
+    columns. Every row is a centre; work grows with rows evaluated times rows fitted. Rows without finite values are no
+    centres."""
 
     columns: list[str]
-    most_centres: int = 5000
-    centres: np.ndarray | None = None
+    base: ProductOfMarginals | None = None
+    centres: DataFrame | None = None
+    n: int = 0
     root: np.ndarray | None = None
 
     def fit(self, df: DataFrame) -> KernelDensity:
-        rows = df.select(*self.columns).orderBy(F.xxhash64(*self.columns)).limit(self.most_centres).collect()  # bounded
-        self.centres = np.array([[float(v) for v in r] for r in rows])
-        n, d = self.centres.shape
-        cov = np.atleast_2d(np.cov(self.centres.T)) * n ** (-2 / (d + 4))
-        self.root = np.linalg.inv(np.linalg.cholesky(cov))
+        self.base = ProductOfMarginals(self.columns).fit(df)
+        d = len(self.columns)
+        z = [f"z{j}" for j in range(d)]
+        base = self.base
+        ranked = map_rows(df.select(*self.columns), self.columns, lambda x: dict(zip(z, base.ranks(x).T, strict=True)), z)
+        ranked = ranked.where(" AND ".join(f"NOT isnan({c})" for c in z))
+        cells = ranked.agg(F.count("*").alias("n"), *(F.covar_samp(z[i], z[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(d))).first()
+        self.n = cells["n"]
+        cov = np.array([[cells[f"c{i}_{j}"] for j in range(d)] for i in range(d)])
+        self.root = root = np.linalg.inv(np.linalg.cholesky(cov * self.n ** (-2 / (d + 4))))
+        self.centres = pairs.pack(df.select(*self.columns), self.columns, lambda x: base.ranks(x) @ root.T, keep=False)
         return self
 
-    def log_density(self, x: np.ndarray) -> np.ndarray:
-        a, b = x @ self.root.T, self.centres @ self.root.T
-        q = (a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)
-        norm = len(b) * (2 * math.pi) ** (x.shape[1] / 2) / np.prod(np.diag(self.root))
-        return np.log(np.maximum(np.exp(-0.5 * np.maximum(q, 0)).sum(1) / norm, 1e-300))
-
     def evaluate(self, df: DataFrame, name: str = "log_density") -> DataFrame:
-        return map_rows(df, self.columns, lambda x: {name: self.log_density(x)}, [name])
+        d, places = len(self.columns), [df.columns.index(c) for c in self.columns]
+        # the workers get what they need; the table of centres stays with the driver
+        base, root, log_norm = self.base, self.root, math.log(self.n) + d / 2 * LOG_2PI - float(np.log(np.diag(self.root)).sum())
+        queries = pairs.pack(df, self.columns, lambda x: base.ranks(x) @ root.T)
+        sums = pairs.all_pairs(queries, self.centres, d, kernel_sums, np.add)
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` double"])
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                for rows, value in zip(b.column(0), b.column(1), strict=True):
+                    at, total = 0, np.frombuffer(value.as_buffer())
+                    for r in pairs.unpack(rows):
+                        x = np.stack([r.column(p).to_numpy(zero_copy_only=False) for p in places], 1).astype(float)
+                        back = base.log_density(x) + (0.5 * base.ranks(x) ** 2).sum(1) + d / 2 * LOG_2PI
+                        log = np.log(np.maximum(total[at : at + len(x)], 1e-300)) - log_norm + back
+                        at += len(x)
+                        yield pa.RecordBatch.from_arrays([*r.columns, pa.array(log, pa.float64())], [*r.schema.names, name])
+
+        return queries.select("block", "rows").join(sums.select("block", "value"), "block").select("rows", "value").mapInArrow(run, schema)
+
+
+def kernel_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of standard Gaussian kernels, without their constant, at a over the centres b."""
+    q = a @ b.T
+    q -= 0.5 * (a**2).sum(1)[:, None]
+    q -= 0.5 * (b**2).sum(1)
+    return np.exp(np.minimum(q, 0, out=q), out=q).sum(1, keepdims=True)
 
 
 def lattice(n: int, d: int, seed: int = 0) -> np.ndarray:

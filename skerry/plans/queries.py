@@ -430,7 +430,7 @@ def gaussian_copula_log_density(spark, sf_dir):
 @query()
 def kde_log_density(spark, sf_dir):
     rows = _orders(spark, sf_dir)
-    return models.KernelDensity(_XS, most_centres=500).fit(rows).evaluate(rows).select("o_orderkey", "log_density")
+    return models.KernelDensity(_XS).fit(rows).evaluate(rows).select("o_orderkey", "log_density")
 
 
 @query()

@@ -76,6 +76,22 @@ def test_models_rank_as_they_should(pairs):
     assert abs(score["product"] - score["copula"]) < 0.1
 
 
+def test_every_row_is_a_kernel_centre(pairs):
+    model = models.KernelDensity(["a", "b", "c"]).fit(pairs)
+    got = {r.id: r.log_density for r in model.evaluate(pairs).collect()}
+    x = np.array([[r.a, r.b, r.c] for r in pairs.orderBy("id").collect()])
+    base = models.ProductOfMarginals(["a", "b", "c"]).fit(pairs)
+    z = base.ranks(x)
+    cov = np.cov(z.T) * len(z) ** (-2 / 7)
+    inv = np.linalg.inv(cov)
+    for k in (0, 17, 3000, 5999):
+        q = np.einsum("ni,ij,nj->n", z - z[k], inv, z - z[k])
+        log_f = math.log(np.exp(-0.5 * q).sum() / len(z)) - 0.5 * np.linalg.slogdet(2 * math.pi * cov)[1]
+        back = base.log_density(x[k : k + 1])[0] + 0.5 * (z[k] ** 2).sum() + 1.5 * math.log(2 * math.pi)
+        assert abs(got[k] - log_f - back) < 1e-9
+    assert model.n == len(got) == 6000
+
+
 def test_reduced_density_parts(pairs):
     model = models.ReducedDensity(["a", "b", "c"], r=2, inner_degree=4, constrained=True, points=1 << 12).fit(pairs, "id")
     g = np.linspace(-6, 6, 121)
