@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from skerry.operators.subspace import complement
+from skerry.plans import pairs
 from skerry.sources.laws import LAWS
 
 OK, REASONS = "ok", ("rank_deficient", "ill_conditioned", "low_ess", "no_mode", "not_finite")
@@ -157,15 +158,33 @@ def nested_kl_table(spark: SparkSession, law: str, bases: dict[str, np.ndarray],
     return spark.createDataFrame(cells, "basis string, seed bigint").repartition(max(1, len(cells))).mapInArrow(run, "basis string, seed bigint, kl double, se double, ess double")
 
 
-def neighbour_entropy(df: DataFrame, columns: list[str], key: str, k: int = 4, most: int = 5000) -> float:
-    """Kozachenko-Leonenko entropy in nats from k-th neighbour distances of a bounded sample."""
+def neighbour_entropy(df: DataFrame, columns: list[str], key: str, k: int = 4) -> float:
+    """Kozachenko-Leonenko entropy in nats from k-th neighbour distances over all rows with finite values. NaN for k rows or
+    fewer."""
     from math import lgamma, log, pi
 
-    rows = np.array([[float(v) for v in r] for r in df.orderBy(key).select(*columns).limit(most).collect()])  # bounded by most
-    n, d = rows.shape
-    far = np.empty(n)
-    for a in range(0, n, 500):
-        q = ((rows[a : a + 500, None] - rows[None]) ** 2).sum(2)
-        far[a : a + 500] = np.sqrt(np.partition(q, k, axis=1)[:, k])
+    d = len(columns)
+    points = pairs.pack(df.select(key, *columns), columns, lambda x: x, keep=False)
+
+    def nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least k + 1 squared distances, the point's own among them."""
+        q = np.zeros((len(a), max(len(b), k + 1)))
+        q[:, len(b) :] = np.inf
+        for j in range(d):
+            q[:, : len(b)] += (a[:, j, None] - b[:, j]) ** 2
+        return np.partition(q, k, axis=1)[:, : k + 1]
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.partition(np.concatenate([a, b], 1), k, axis=1)[:, : k + 1]
+
+    def logs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            far = [np.sqrt(np.frombuffer(v.as_buffer()).reshape(-1, k + 1).max(1)) for v in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in far], pa.int64()), pa.array([np.log(np.maximum(x, 1e-300)).sum() for x in far], pa.float64())], ["n", "s"])
+
+    found = pairs.all_pairs(points, points, d, nearest, merge).select("value").mapInArrow(logs, "n bigint, s double").groupBy().sum("n", "s").first()
+    n = found[0] or 0
+    if n <= k:
+        return float("nan")
     digamma = lambda m: -0.5772156649015329 + sum(1 / i for i in range(1, m))
-    return float(digamma(n) - digamma(k) + d / 2 * log(pi) - lgamma(d / 2 + 1) + d * np.log(np.maximum(far, 1e-300)).mean())
+    return float(digamma(n) - digamma(k) + d / 2 * log(pi) - lgamma(d / 2 + 1) + d * found[1] / n)

@@ -94,7 +94,7 @@ def all_pairs(queries: DataFrame, centres: DataFrame, d: int, values: Values, me
                 for number, q, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                     x, y = (np.frombuffer(v.as_buffer()).reshape(-1, d) for v in (q, c))
                     step = max(1, _CELLS // max(1, len(y)))
-                    yield number, np.concatenate([values(x[k : k + step], y) for k in range(0, len(x), step)])
+                    yield number, np.concatenate([values(x[k : k + step], y) for k in range(0, max(1, len(x)), step)])
 
         yield from merged(found())
 

@@ -153,6 +153,15 @@ def test_entropy(spark):
     assert abs(montecarlo.neighbour_entropy(df, ["a", "b"], "id") - math.log(2 * math.pi * math.e)) < 0.1
 
 
+def test_entropy_of_all_rows(spark):
+    """The first 5,000 ids lie close together, the others don't."""
+    x = np.random.default_rng(1).standard_normal((6000, 2)) * np.where(np.arange(6000) < 5000, 0.01, 10.0)[:, None]
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id bigint, a double, b double")
+    far = np.concatenate([np.sqrt(np.partition(((x[a : a + 500, None] - x[None]) ** 2).sum(2), 4, axis=1)[:, 4]) for a in range(0, 6000, 500)])
+    digamma = lambda m: -0.5772156649015329 + sum(1 / i for i in range(1, m))
+    assert abs(montecarlo.neighbour_entropy(df, ["a", "b"], "id") - (digamma(6000) - digamma(4) + math.log(math.pi) + 2 * np.log(far).mean())) < 1e-9
+
+
 def test_cells_resume(spark, tmp_path):
     path, schema = str(tmp_path / "cells"), "value double, example string, n int"
     assert not tables.read_cells(spark, path, schema).collect()
