@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A tolerant parser makes a tree and leaves out scripts, forms, navigation and other parts that are no article. Paragraphs
-pass points for their length and commas to the containers above, which are discounted by their link density; the best
-container and those of its siblings that look like parts of the article are kept, block by block.
+pass points for their length and commas to the containers above, which are discounted by their link density; the article or
+main around the best container, or else that container and what lies beside it without being mostly links, is kept, block by
+block.
 
 Defined results: null html is empty and gives an empty text. Cut tags, unclosed elements and stray ends are allowed. Null
 or repeated page_id: every row is extracted. Empty table: empty result. Other columns are not read.
@@ -178,7 +179,12 @@ def _density(x: Node) -> float:
 
 
 def best_containers(root: Node) -> list[Node]:
-    """The best container and its siblings that belong to it, in page order."""
+    """The nodes whose blocks are the article, in page order; what lies in them and doesn't belong is marked as noise.
+
+    Inside an article or main all blocks belong, but link lists beside the innermost one that has the best container; around
+    the outermost one, other articles and parts with text like its own. Elsewhere the best container and all beside it that
+    isn't mostly links.
+    """
     order = _measure(root)
     for x in order:
         if x.name in BLOCK and x.name not in ("html", "body", "ul", "ol", "table", "tr") and x.parent is not None:
@@ -199,16 +205,28 @@ def best_containers(root: Node) -> list[Node]:
     best = max(order, key=lambda x: x.score)
     while best.parent is not None and best.parent.name not in ("#page", "html", "body") and best.parent.score >= 0.75 * best.score:
         best = best.parent
-    if best.parent is None or best.name in ("html", "body"):
-        return [best]
-    kept = []
-    for x in best.parent.parts:
-        if isinstance(x, str) or x.noise:
-            continue
-        long_text = x.name in ("p", "pre", "blockquote") and x.size > 80 and _density(x) < 0.25
-        if x is best or x.name in BLOCK and x.size and _density(x) < 0.5 and (x.score >= max(2.0, 0.2 * best.score) or long_text or x.name == best.name == "article"):
-            kept.append(x)
-    return kept
+    best = next((x for x in _line(best) if x.name in ("article", "main")), best)
+    while best.parent is not None and best.name not in ("html", "body"):
+        outer = any(x.name in ("article", "main") for x in _line(best.parent))
+        for x in best.parent.parts:
+            if isinstance(x, str) or x.noise or x is best or not x.size:
+                continue
+            long_text = x.name in ("p", "pre", "blockquote") and x.size > 80 and _density(x) < 0.25
+            beside = outer or best.name not in ("article", "main") or x.name in BLOCK and (x.score >= max(2.0, 0.2 * best.score) or long_text or x.name == best.name == "article")
+            x.noise = _density(x) >= 0.5 or not beside
+        if not outer and best.name in ("article", "main"):
+            return [x for x in best.parent.parts if isinstance(x, Node) and (x is best or x.name in BLOCK and x.size and not x.noise)]
+        best = best.parent
+        if not outer:
+            break
+    return [best]
+
+
+def _line(x: Node | None) -> Iterator[Node]:
+    """The node and those above it."""
+    while x is not None:
+        yield x
+        x = x.parent
 
 
 def blocks(node: Node) -> Iterator[str]:

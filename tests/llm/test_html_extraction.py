@@ -65,6 +65,25 @@ def test_odd_pages(html, text):
     assert main_text(html) == text
 
 
+_LONG = ["A paragraph, long enough, of the body, with commas, and words for some points. " * 3] * 20
+
+
+@pytest.mark.parametrize("many", [1, 20])
+@pytest.mark.parametrize(
+    ("before", "after", "head", "tail"),
+    [
+        ("<article><h1>T</h1><ul><li>short</li></ul><div>", "</div><table><tr><td>cell</td></tr></table></article>", ["T", "short"], ["cell"]),
+        ("<article><section>", "</section><section><p>one, a</p><p>two, b</p><p>three, c</p></section></article>", [], ["one, a", "two, b", "three, c"]),
+        ("<main><h1>T</h1><article>", "</article><p>after</p></main>", ["T"], ["after"]),
+        ("<div><h1>T</h1><p>Lead.</p><div>", "</div><p>End.</p></div>", ["T", "Lead."], ["End."]),
+    ],
+)
+def test_parts_beside_a_body_of_any_length(before, after, head, tail, many):
+    body = [x.strip() for x in _LONG[:many]]
+    html = f"<body><nav><a href=/>Home</a></nav>{before}{''.join(f'<p>{x}</p>' for x in body)}{after}<footer>f</footer></body>"
+    assert main_text(html).split("\n") == head + body + tail
+
+
 def test_rows(spark):
     schema = "page_id bigint, url string, html string, text string"
     rows = [(1, "u", "<p>a</p>", "own"), (None, None, None, None), (3, "u", "", ""), (1, "u", "<p>a</p>", "own"), (5, "v", "<article>" + "<p>long text, " * 20000, "")]
