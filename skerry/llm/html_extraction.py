@@ -33,40 +33,100 @@ CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
 SCOPES = frozenset("ul ol dl table article section main div body html td th blockquote".split())
 
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumbs?|toolbar|"
+    r"ad|ads|adv|advert|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumbs?|toolbar|"
     r"footer|foot|copyright|cookies?|consent|notice|alert|popup|modal|overlay|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
-    r"comments?|commentlist|disqus|replies|reply|respond|pagination|pager|hidden|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"comments?|commentlist|disqus|replies|reply|respond|pagination|pager|hidden|skip"
+)
+_HEADER = re.compile(r"header|masthead")
+#: Words that may stand beside a noise word in a class or id; others (has-sidebar, social-issues) make it something else.
+_BESIDE = re.compile(
+    r"\d*|the|js|wp|site|page|main|global|web|app|top|bottom|left|right|upper|lower|center|middle|primary|secondary|tertiary|post|posts|entry|article|articles|blog|story|stories|"
+    r"content|text|body|inner|outer|container|wrapper|wrap|holder|box|block|blocks|area|section|region|panel|column|col|row|bar|strip|slot|unit|zone|list|lists|links?|"
+    r"item|items|icons?|buttons?|btns?|btn|media|network|follow|form|forms|thread|title|heading|label|header|head|group|module|component|template|mobile|desktop|sticky|fixed|"
+    r"google|facebook|twitter|visually|user|desk|tools?|more|most|popular|reader|readers|leaderboard|skyscraper|mpu|dfp|gpt|policy|message|dialog|window|to|a|it|us|tags?|cat|categories"
 )
-_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.IGNORECASE)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 
 
+#: An element left out for its class or id may turn out to hold the article; others may not.
+BY_NAME, SURELY = 1, 2
+
+
 class Node:
-    __slots__ = ("name", "noise", "parent", "parts", "score", "size", "linked")
+    __slots__ = ("guest", "name", "noise", "parent", "parts", "score", "size", "linked")
 
-    def __init__(self, name: str, parent: Node | None, noise: bool = False):
-        self.name, self.parent, self.noise = name, parent, noise
+    def __init__(self, name: str, parent: Node | None, noise: int = 0):
+        self.name, self.parent, self.noise = name, parent, noise  # noise: 0, BY_NAME or SURELY
         self.parts: list[Node | str] = []
         self.score, self.size, self.linked = 0.0, 0, 0
+        self.guest = False  # an article that is a comment or teaser by name
 
 
-def _is_noise(name: str, attributes: str, at: Node) -> bool:
-    """Whether an element is no part of an article; an article's own header is."""
+def _named(value: str, words: re.Pattern) -> bool:
+    """Whether a class or an id is one of the words, alone or beside words that don't change what it is."""
+    for token in value.lower().split():
+        parts = re.split("[_-]+", token)
+        if any(map(words.fullmatch, parts)) and all(words.fullmatch(x) or _NOISE.fullmatch(x) or _BESIDE.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
+def _is_noise(name: str, attributes: str, at: Node) -> int:
+    """Whether an element is no part of an article, and how sure that is; an article's own header is a part."""
     if name in LEFT_OUT or name == "header" and not _in_article(at):
-        return True
+        return SURELY
     if not attributes or name in ("body", "html", "article", "main"):
-        return False
+        return 0
+    noise = 0
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in _ROLES:
-            return True
-        if key in ("class", "id") and (_NOISE.search(value) or _HEADER.search(value) and not _in_article(at)):
-            return True
-    return False
+            return SURELY
+        if key in ("class", "id") and (_named(value, _NOISE) or _named(value, _HEADER) and not _in_article(at)):
+            noise = BY_NAME
+    return noise
+
+
+def _spare(root: Node) -> None:
+    """Takes the mark off elements left out by name that hold the article: the article or main with more points than any other,
+    or, on pages that have none, most of the points of the page's long paragraphs."""
+    order, stack, marked = [], [root], False
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        marked |= x.noise == BY_NAME
+        stack += [p for p in x.parts if isinstance(p, Node) and p.noise != SURELY]
+    if not marked:
+        return
+    size, linked, seen, long, within = ({} for _ in range(5))  # seen: points outside marked parts; within: of the best article
+    for x in reversed(order):
+        below = [p for p in x.parts if isinstance(p, Node) and p.noise != SURELY]
+        size[x] = sum(len(p.strip()) for p in x.parts if isinstance(p, str)) + sum(size[p] for p in below)
+        linked[x] = size[x] if x.name == "a" else sum(linked[p] for p in below)
+        seen[x], long[x] = sum(seen[p] for p in below if not p.noise), sum(long[p] for p in below)
+        within[x] = max((within[p] for p in below), default=0.0)
+        if x.name in BLOCK and size[x] and (text := _own_text(x).strip()):
+            points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked[x] / size[x])
+            seen[x] += points
+            long[x] += points if len(text) > 80 else 0.0
+        if x.name in ("article", "main") and not x.guest:
+            within[x] = max(within[x], seen[x])
+    open_, stack = 0.0, [root]
+    while stack:
+        x = stack.pop()
+        if x.name in ("article", "main") and not x.guest:
+            open_ = max(open_, seen[x])
+        stack += [p for p in x.parts if isinstance(p, Node) and not p.noise]
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if x.noise and (within[x] == within[root] > open_ or not within[root] and long[x] > 0.5 * long[root]):
+            x.noise = 0
+        if not x.noise:
+            stack += [p for p in x.parts if isinstance(p, Node) and p.noise != SURELY]
 
 
 def _in_article(x: Node | None) -> bool:
@@ -119,9 +179,11 @@ def parse(html: str) -> Node:
                 i = n if close < 0 else close + 1
             continue
         node = Node(name, at, _is_noise(name, tag[3], at))
+        node.guest = name in ("article", "main") and any(key.lower() in ("class", "id") and _named("".join(v), _NOISE) for key, *v in _ATTRIBUTE.findall(tag[3]))
         at.parts.append(node)
         if name not in VOID and not (tag[3].endswith("/") and name not in BLOCK):
             at = node
+    _spare(root)
     return root
 
 

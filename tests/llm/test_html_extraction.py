@@ -84,6 +84,15 @@ def test_parts_beside_a_body_of_any_length(before, after, head, tail, many):
     assert main_text(html).split("\n") == head + body + tail
 
 
+@pytest.mark.parametrize("mark", ["content has-sidebar", "no-sidebar", "page with-nav", "social-issues", "layout sidebar", "widget"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_that_hold_the_article_stay(mark, inner):
+    body = [x.strip() for x in _LONG[:5]]
+    comments = '<section class="comments"><article class="comment-body"><p>I liked this, really, a lot, so much.</p></article></section>'
+    html = f"<body><div class='site-header'>Site</div><div class='{mark}'><{inner}>{''.join(f'<p>{x}</p>' for x in body)}</{inner}>{comments}</div><div class='related-posts'><p>Other, and more.</p></div></body>"
+    assert main_text(html).split("\n") == body
+
+
 def test_rows(spark):
     schema = "page_id bigint, url string, html string, text string"
     rows = [(1, "u", "<p>a</p>", "own"), (None, None, None, None), (3, "u", "", ""), (1, "u", "<p>a</p>", "own"), (5, "v", "<article>" + "<p>long text, " * 20000, "")]
