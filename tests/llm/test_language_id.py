@@ -2,7 +2,9 @@
 
 import random
 
-from skerry.llm.language_id import identify
+import numpy as np
+
+from skerry.llm.language_id import GRAMS, GramTable, identify
 
 SCHEMA = "kind string, id bigint, text string, declared string, suffix string, host string, lang string"
 WORDS = {"aa": ["kata", "lopi", "mennu", "suva"], "bb": ["zrok", "wyth", "grumf", "plox"]}
@@ -38,3 +40,21 @@ def test_no_labels_and_empty(spark):
     none = identify(df, df.select("lang", "text").limit(0)).collect()
     assert len(none) == 400 and all(r.lang is None for r in none)
     assert not identify(df.limit(0), df.select("lang", "text")).collect()
+
+
+def test_every_labelled_language_can_be_the_answer(spark):
+    """Rare ones beside 70 others, and the table's sums against a dense one."""
+    rng = random.Random(7)
+    rows = []
+    for n in range(71):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)]
+        rows += [("page", len(rows), " ".join(rng.choices(words, k=30)), None, "com", f"h{n}.example", f"l{n:02d}") for _ in range(1 if n >= 69 else 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: r.lang for r in identify(df, df.select("lang", "text")).collect()}
+    assert all(got[r[1]] == r[6] for r in rows)
+    counts = np.random.default_rng(0).poisson(0.2, (5, GRAMS))
+    lang, gram = np.nonzero(counts)
+    table = GramTable.of(lang, gram, counts[lang, gram], 5)
+    dense = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * GRAMS))
+    text = np.random.default_rng(1).poisson(0.1, GRAMS)
+    assert np.allclose(table.logs(text), dense @ text, rtol=1e-12)
