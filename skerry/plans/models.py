@@ -62,6 +62,7 @@ class ProductOfMarginals:
 @dataclass
 class GaussianCopula(ProductOfMarginals):
     correlation: np.ndarray | None = None
+    log_mass: float = 0.0
 
     def fit(self, df: DataFrame) -> GaussianCopula:
         super().fit(df)
@@ -70,12 +71,17 @@ class GaussianCopula(ProductOfMarginals):
         d = len(z)
         cells = ranked.agg(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.corr(z[i], z[j]).alias("r")) for i in range(d) for j in range(i, d))).alias("c"))
         self.correlation = matrix(cells.select(F.explode("c").alias("c")).select("c.*"), d, d, "r") + 1e-6 * np.eye(d)
+        self.log_mass = log_mass(self.marginals, self.log_factor)
         return self
 
-    def log_density(self, x: np.ndarray) -> np.ndarray:
+    def log_factor(self, x: np.ndarray) -> np.ndarray:
+        """The copula's part, before its mass under the marginals is taken off."""
         z = self.ranks(x)
         excess = np.linalg.inv(self.correlation) - np.eye(z.shape[1])
-        return super().log_density(x) - 0.5 * np.linalg.slogdet(self.correlation)[1] - 0.5 * np.einsum("ni,ij,nj->n", z, excess, z)
+        return -0.5 * np.linalg.slogdet(self.correlation)[1] - 0.5 * np.einsum("ni,ij,nj->n", z, excess, z)
+
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        return super().log_density(x) + self.log_factor(x) - self.log_mass
 
 
 @dataclass
@@ -161,8 +167,8 @@ def log_mass(marginals: list[Marginal], log_factor: Callable[[np.ndarray], np.nd
 
 @dataclass
 class ReducedDensity:
-    """log p(x) = L(V' z(x)) + sum_i log f_i(x_i) - log Z: ranks, a subspace from score matching on z, a polynomial from
-    score matching on the projections, and kernel marginals."""
+    """log p(x) = L(V' z(x)) + sum_i log f_i(x_i) - log Z - log M: ranks, a subspace from score matching on z, a polynomial from
+    score matching on the projections, kernel marginals, and the mass M that all this has."""
 
     columns: list[str]
     r: int
@@ -181,6 +187,7 @@ class ReducedDensity:
     inner: list[Index] = field(default_factory=list)
     cap: float = math.inf
     log_z: float = 0.0
+    log_mass: float = 0.0
     info: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame, key: str, V: np.ndarray | None = None) -> ReducedDensity:
@@ -209,13 +216,18 @@ class ReducedDensity:
             self.cap = level
         nodes = N.ndtri(lattice(self.points, self.r, self.seed))
         self.log_z = log_mean_exp(self.potential(nodes))
+        self.log_mass = log_mass(self.base.marginals, self.log_factor, self.points, self.seed)
         return self
 
+    def log_factor(self, x: np.ndarray) -> np.ndarray:
+        """The reduced part, before its mass under the marginals is taken off."""
+        return self.potential(self.base.ranks(x) @ self.V) - self.log_z
+
     def potential(self, u: np.ndarray) -> np.ndarray:
         return np.minimum(values(u, self.inner) @ self.theta, self.cap)
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        return self.potential(self.base.ranks(x) @ self.V) + self.base.log_density(x) - self.log_z
+        return self.log_factor(x) + self.base.log_density(x) - self.log_mass
 
     def log_density_u(self, u: np.ndarray) -> np.ndarray:
         """Density of the projections under the model."""
