@@ -5,6 +5,9 @@ that evidence give each host a posterior, shrunk towards the global prior, and e
 host; how strongly is estimated from the spread between groups. A document's own evidence is taken out of its path's sums
 before both are combined, so that nothing counts twice.
 
+Toxic documents count as bad. The words that give them away are learned from the same sample: those whose labelled texts are
+mostly toxic, beyond chance; how many of them a text has is one more feature.
+
 Sums are partial aggregates of one row a path; the path table joins back by its key. Nothing is collected but the sample
 and two numbers a level.
 
@@ -24,12 +27,38 @@ from pyspark.sql import functions as F
 from skerry.llm.exchange import Workspace, bounded_sample
 from skerry.llm.textstats import CAPITALS, SYMBOLS, count_of, line_counts, ratio, with_words, without, SPACES
 
-FEATURES = ("log_words", "symbol_share", "capital_share", "mark_share", "same_share", "distinct_share", "dup_line_share", "mean_word")
+FEATURES = ("log_words", "symbol_share", "capital_share", "mark_share", "same_share", "distinct_share", "dup_line_share", "mean_word", "toxic_words")
 _FLOOR = 1e-4
 
 
-def text_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The kept columns and a column f_NAME for each feature."""
+def _plain_words(text: str) -> Column:
+    """The words of a text in lower case, without marks."""
+    return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}']+")
+
+
+def toxic_lexicon(docs: DataFrame, known: DataFrame, n_known: int, most_labelled: int, least_z: float = 4.0) -> list[str]:
+    """Words whose labelled documents are mostly toxic, and clearly more often than others'.
+
+    docs: doc_id, text. known: doc_id, toxic. Equal texts count once. least_z: standard errors between a word's log-odds among
+    toxic and among other texts. The words are as many as the sample shows to be tied to the label.
+    """
+    share = int(min(1.0, most_labelled / max(n_known, 1)) * (1 << 30))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share
+    texts = docs.where(chosen).select("doc_id", "text").join(known.where(chosen).select("doc_id", "toxic"), "doc_id")
+    texts = texts.select(F.xxhash64("text").alias("t_"), "toxic", F.array_distinct(_plain_words("text")).alias("w_")).dropDuplicates(["t_", "toxic"])
+    words = texts.select("toxic", F.explode(F.concat("w_", F.array(F.lit("\n")))).alias("w"))  # no word is a line end: it counts texts
+    counts = words.groupBy("w").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")).where("a >= 2 AND (w = '\\n' OR a > b)")
+    rows = {r.w: (r.a, r.b) for r in counts.where("w = '\\n'").collect()}
+    if not rows:
+        return []
+    a, b = rows["\n"]
+    odds = F.ln((F.col("a") + 0.5) / (a - F.col("a") + 0.5)) - F.ln((F.col("b") + 0.5) / (b - F.col("b") + 0.5))
+    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (a - F.col("a") + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (b - F.col("b") + 0.5))
+    return sorted(r.w for r in counts.where((F.col("w") != "\n") & (F.col("w") != "") & (odds >= least_z * error)).select("w").collect())  # of a bounded sample
+
+
+def text_features(docs: DataFrame, text: str, keep: list[str], toxic: list[str]) -> DataFrame:
+    """The kept columns and a column f_NAME for each feature. toxic: words that are counted, each once a text."""
     rows = line_counts(with_words(docs, text))
     n = F.size("words_")
     same = F.expr("size(filter(arrays_zip(words_, slice(words_, 2, size(words_))), x -> x.words_ = x['1']))")
@@ -43,6 +72,7 @@ def text_features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         "distinct_share": ratio(F.size(F.array_distinct("words_")), n),
         "dup_line_share": ratio("n_dup_lines", "n_lines"),
         "mean_word": F.log1p(ratio(chars, n)),
+        "toxic_words": F.log1p(F.size(F.array_intersect(_plain_words("text_"), F.array(*map(F.lit, toxic)))).cast("double")) if toxic else F.lit(0.0),
     }
     return rows.select(*keep, *(made[name].alias(f"f_{name}") for name in FEATURES))
 
@@ -97,18 +127,22 @@ def _strength(groups: DataFrame, prior: Column, least: float, most: float) -> fl
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most_labelled: int = 20_000, site_weight: float = 0.5, threshold: float = 0.5, carry: bool = False) -> DataFrame:
     """doc_id, text_logit, host_posterior, path_posterior, posterior and kept of each row of docs(doc_id, text, ...).
 
-    labels: doc_id, quality (1 good, 0 bad). host, path: expressions over docs. most_labelled: labelled rows that the text
+    labels: doc_id, quality (1 good, 0 bad), toxic (1 toxic, which makes a row bad; may be absent). host, path: expressions over docs. most_labelled: labelled rows that the text
     classifier is fitted on, the first in the order of a hash. site_weight: what a site's log-odds against the global prior
     count beside the text's. threshold: least posterior of kept rows. carry: also return the whole input row as struct row_.
     """
     space = Workspace(docs.sparkSession, "quality")
     more = ["row_"] if carry else []
     rows = docs.select("doc_id", "text", host.cast("string").alias("host_"), path.cast("string").alias("path_"), *(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(c) for c in more))
-    rows = space.settle(text_features(rows, "text", ["doc_id", "host_", "path_", *more]), "features")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    bad = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(bad).cast("int").alias("toxic"))
+    n_known = known.count()
+    lexicon = toxic_lexicon(docs, known, n_known, most_labelled)
+    known = known.select("doc_id", F.when(F.col("toxic") == 0, F.col("quality")).otherwise(0).alias("quality"))
+    rows = space.settle(text_features(rows, "text", ["doc_id", "host_", "path_", *more], lexicon), "features")
     names = [f"f_{x}" for x in FEATURES]
     sample = rows.join(known, "doc_id").select(*names, "quality", F.xxhash64("doc_id").alias("h"), "doc_id")
-    sample = bounded_sample(sample, "h", ["doc_id", *names], known.count(), most_labelled)
+    sample = bounded_sample(sample, "h", ["doc_id", *names], n_known, most_labelled)
     got = np.array([[float(v) for v in r] for r in sample.select(*names, "quality").collect()]).reshape(-1, len(names) + 1)  # bounded by most_labelled
     model = fit(got[:, :-1], got[:, -1])
 

@@ -93,3 +93,20 @@ def test_small_sites_shrink_to_the_prior(spark):
 
 def test_fit_without_both_kinds():
     assert fit(np.zeros((3, 8)), np.ones(3)).bias == 0.0
+
+
+def test_toxic_documents_are_bad(spark):
+    """Those of good quality go by their words, labelled or not; clean ones stay."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for k in range(600):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(50, 120))]
+        toxic = k % 4 == 0
+        if toxic:
+            words[::9] = [rng.choice(["Vilesome", "grotting,", "smurked."]) for _ in words[::9]]
+        rows.append((k, " ".join(words), "x", f"s{k % 5}", "en"))
+        if k % 3:
+            labels.append((k, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in classify(docs, known, F.col("source"), F.col("lang")).collect()}
+    assert all(got[k] == (k % 4 != 0) for k in range(600))
