@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import resource
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -46,14 +47,15 @@ class Workspace:
             conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
+    def drop(self, *names: str, sweep: bool = True) -> None:
         """Delete tables that no later step reads, and let Spark clean the shuffle files of finished steps."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
-        self.sweep()
+        if sweep:
+            self.sweep()
 
     def sweep(self) -> None:
         gc.collect()
@@ -76,18 +78,33 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(_BATCH_BYTES))
 
 
+#: Bytes that an idle Python worker may keep.
+_LITTLE = 192 << 20
+
+
+def resident() -> int:
+    """Bytes of this process in memory; where the system doesn't tell, more than any bound."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+    except OSError:
+        return 1 << 62
+
+
 def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """fn for mapInArrow that gives memory back at its end: Python workers are reused and live on while idle."""
+    """fn for mapInArrow that gives memory back at its end: Python workers are reused and live on while idle. A worker that
+    holds little keeps it, as collecting garbage takes longer than many a small task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from fn(it)
         finally:
             hashing.POWERS.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
-                ctypes.CDLL(None).malloc_trim(0)
+            if resident() >= _LITTLE:
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+                    ctypes.CDLL(None).malloc_trim(0)
 
     return run
 

@@ -405,8 +405,10 @@ def link(sizes: list[int], lists: list[np.ndarray], labels: list[int], percent:
 _TASK_SQL = "task string, node bigint, label bigint, n bigint, payload binary"
 
 
-def _link_tasks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """rows: task, node, label, n, payload. Edges a, b between each node and the least node of its component in the task."""
+def _link_tasks(rows: DataFrame, percent: int, parts: int | None = None) -> DataFrame:
+    """rows: task, node, label, n, payload. Edges a, b between each node and the least node of its component in the task.
+
+    parts: partitions; None lets Spark join small ones, which suits tasks that take time in proportion to their bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[tuple]]:
@@ -434,7 +436,7 @@ def _link_tasks(rows: DataFrame, percent: int, parts: int) -> DataFrame:
 
         yield from batches(_EDGE, out())
 
-    return rows.select("task", "node", "label", "n", "payload").repartition(parts, "task").sortWithinPartitions("task").mapInArrow(tidy(run), "a bigint, b bigint")
+    return rows.select("task", "node", "label", "n", "payload").repartition(*([parts] if parts else []), "task").sortWithinPartitions("task").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
@@ -453,7 +455,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     lists = space.settle(_shared_lists(packs, width, percent, parts), "lists")
     space.drop("packs")
 
-    edges = by_shard(lists.where("kind = 1"), parts, _meet, "a bigint, b bigint", _EDGE)
+    edges = by_shard(lists.where("kind = 1"), _meet, "a bigint, b bigint", _EDGE)
     clusters = components(edges.unionByName(lists.where("kind = 2").select("a", "b")).distinct(), space, "met")
     roots = space.settle(_link_clusters(lists.where("kind = 0"), clusters, percent, block, parts, space), "roots")
 
@@ -482,8 +484,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 def _chosen(sketch: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
     """_node, _doc: the nodes that share enough sampled items to have a partner, and a document of each."""
-    met = by_shard(sketch.where("kind = 1"), parts, _met(parts), _PART_SQL, _PART)
-    met = by_shard(met.unionByName(sketch.where("kind = 2").select("shard", "kind", "payload")), parts, _enough, "node bigint", _NODE)
+    met = by_shard(sketch.where("kind = 1"), _met(parts), _PART_SQL, _PART)
+    met = by_shard(met.unionByName(sketch.where("kind = 2").select("shard", "kind", "payload")), _enough, "node bigint", _NODE)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     return nodes.join(met, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
 
@@ -500,9 +502,9 @@ def _packs(docs: DataFrame, chosen: DataFrame, width: int, parts: int) -> DataFr
 
 
 def _shared_lists(packs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    asked = by_shard(packs, parts, _ask(parts, width), _PART_SQL, _PART)
-    answers = by_shard(asked, parts, _answer, _PART_SQL, _PART)
-    return by_shard(packs.unionByName(answers), parts, _lists(parts, width, percent), _LISTS_SQL, _LISTS)
+    asked = by_shard(packs, _ask(parts, width), _PART_SQL, _PART)
+    answers = by_shard(asked, _answer, _PART_SQL, _PART)
+    return by_shard(packs.unionByName(answers), _lists(parts, width, percent), _LISTS_SQL, _LISTS)
 
 
 def _link_clusters(lists: DataFrame, clusters: DataFrame, percent: int, block: int, parts: int, space: Workspace) -> DataFrame:
@@ -520,7 +522,7 @@ def _link_clusters(lists: DataFrame, clusters: DataFrame, percent: int, block: i
     hubs = hubs.select("cluster", F.explode(F.array_distinct(F.array(*(f"h{k}" for k in range(4))))).alias("h"), "blocks")
     hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     extra = hubs.select(name("cluster", "block").alias("task"), "h.node", F.col("h.node").alias("label"), "h.n", "h.payload")
-    first = space.settle(_link_tasks(mine.unionByName(extra), percent, parts), "first")
+    first = space.settle(_link_tasks(mine.unionByName(extra), percent), "first")
     if not large.limit(1).count():
         return first.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(first.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -7,6 +7,7 @@ an item of every row still costs one request a shard, and no task ever holds all
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -85,18 +86,19 @@ def unpack(payload: bytes) -> tuple[list[np.ndarray], list[bytes]]:
     return columns, [blob[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
 
 
-def by_shard(df: DataFrame, shards: int, fn: Callable[[int, list[tuple[int, bytes]]], Iterator[tuple]], schema: str, arrow: pa.Schema, key: str = "shard") -> DataFrame:
-    """fn(shard, [(kind, payload), ...]) over each shard's rows, one task a shard."""
+def by_shard(df: DataFrame, fn: Callable[[int, list[tuple[int, bytes]]], Iterator[tuple]], schema: str, arrow: pa.Schema, key: str = "shard") -> DataFrame:
+    """fn(shard, [(kind, payload), ...]) over each shard's rows. A task takes whole shards one after the other: Spark joins
+    small ones, so that many shards of little data don't cost a task each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
-        for b in it:
-            for s, k, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(s, []).append((k, p))
-        for s in sorted(held):
-            yield from batches(arrow, fn(s, sorted(held.pop(s), key=lambda x: x[0])))
-
-    return df.select(key, "kind", "payload").repartitionById(shards, F.col(key)).mapInArrow(tidy(run), schema)
+        def rows() -> Iterator[tuple]:
+            for b in it:
+                yield from zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+
+        for s, group in groupby(rows(), key=lambda row: row[0]):
+            yield from batches(arrow, fn(s, sorted(((k, p) for _, k, p in group), key=lambda x: x[0])))
+
+    return df.select(key, "kind", "payload").repartition(key).sortWithinPartitions(key).mapInArrow(tidy(run), schema)
 
 
 def chunks(rows: list[tuple[int, bytes]], most: int = 1 << 20) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
