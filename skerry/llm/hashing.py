@@ -49,9 +49,19 @@ POWERS = Powers()
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """P such that (P[j] - P[i]) * step**-i depends on data[i:j] alone."""
-    up, _ = POWERS.upto(max(1, len(data)))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    return sums_of(_BYTE[data])
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """The hashes of single bytes that prefix_sums adds up."""
+    return _BYTE[data]
+
+
+def sums_of(values: np.ndarray) -> np.ndarray:
+    """prefix_sums of a sequence of hashes."""
+    up, _ = POWERS.upto(max(1, len(values)))
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
@@ -66,7 +76,7 @@ def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
     _, down = POWERS.upto(len(sums))
     out = sums[width:] - sums[:-width]
     out *= down[: len(out)]
-    out += np.uint64(width) * _ODD
+    out += np.full(1, width, np.uint64) * _ODD  # arrays wrap around, single numbers warn
     return mix(out)
 
 

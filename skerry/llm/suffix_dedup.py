@@ -1,4 +1,4 @@
-"""Suffix-array deduplication: bytes covered by a long string that starts anywhere else too.
+"""Suffix-array deduplication: strings of so many bytes, or of so many words, that start anywhere else too.
 
 A difference-cover suffix sort finds the repeats. To sort only text that may repeat, every window of the given length
 gets an anchor, the smallest of its short-gram hashes: equal windows have equal anchors at equal places, so the windows of
@@ -9,7 +9,12 @@ named, recursion on the names until every name spans the window length, the rema
 adjacent prefixes. A meeting with too many different segments is cut into cells of fewer windows, which meet by anchor
 hash, place and the text common to the cell's windows; in the last round a cell is one window and equality decides.
 
-Equal texts are one text: with a copy elsewhere, a text of at least the length goes as a whole.
+Equal segments of one chunk of texts travel as one row with a list of places, so a passage that a third of all documents
+share costs a row a chunk, not a row a document. Equal texts are one text: with a copy elsewhere, a text of at least the
+length repeats as a whole.
+
+Symbols are bytes or words (runs of bytes that aren't white space). Words repeat whatever white space is between them, and
+a repeated run of words goes from its first word's first byte to its last word's last byte.
 
 Defined results: null text is empty. Rows shorter than the length lose nothing. Null or repeated doc_id: rows are kept
 apart by their text, and each is returned. Empty table: empty result. Matches never cross rows.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,39 @@ from skerry.llm.exchange import Workspace, batches, binary_column, partitions, t
 #: Windows in a cell by round; the first round's cells are whole segments.
 CELLS = (None, 16, 1)
 
+_CHUNK = 8 << 20
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What counts as a repeat: length symbols; gram: symbols of an anchor."""
+
+    length: int
+    gram: int
+    words: bool = False
+
+    def least_bytes(self) -> int:
+        """Bytes that a text needs to hold such a string: words are a byte long at least, with white space between."""
+        return 2 * self.length - 1 if self.words else self.length
+
+
+class Symbols:
+    """A text as symbols: their values, the sums that hash any run of them, and their places in bytes."""
+
+    def __init__(self, text: bytes, words: bool):
+        data = np.frombuffer(text, np.uint8)
+        self.starts, self.ends = hashing.word_spans(data) if words else (None, None)
+        self.values = hashing.span_hashes(hashing.prefix_sums(data), self.starts, self.ends) if words else data
+        self.sums = hashing.prefix_sums(data) if not words else hashing.sums_of(self.values)
+
+
+def byte_range(text: bytes, words: bool):
+    """A function from the first and the last symbol and one (arrays or numbers) to bytes from and to."""
+    if not words:
+        return lambda a, b: (a, b)
+    starts, ends = hashing.word_spans(np.frombuffer(text, np.uint8))
+    return lambda a, b: (starts[a], ends[b - 1])
+
 
 def difference_cover_order(text: np.ndarray, span: int) -> np.ndarray:
     """Suffix order of an integer text, right in the first span symbols at least. Symbols are 1 or more.
@@ -84,27 +123,31 @@ def _merge(padded: np.ndarray, rank: np.ndarray, sampled: np.ndarray, rest: np.n
     return out
 
 
-def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment the starts of windows of the length that also start elsewhere in the segments."""
-    sizes = np.array([len(s) for s in segments], np.int64)
-    joined = np.frombuffer(b"\0".join(segments), np.uint8)
+def repeated_starts(segments: list[bytes], rule: Rule) -> list[np.ndarray]:
+    """For each segment the starts (in symbols) of windows of the length that also start elsewhere in the segments."""
+    values = [Symbols(x, True).values if rule.words else np.frombuffer(x, np.uint8) for x in segments]
+    sizes = np.array([len(v) for v in values], np.int64)
     begins = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))
-    text = joined.astype(np.int64) + 2
-    text[begins[1:] - 1] = 1
-    order = difference_cover_order(text, length)
-    which = np.searchsorted(begins, np.arange(len(joined)), "right") - 1
-    fits = np.arange(len(joined)) + length <= begins[which] + sizes[which]
+    inside = np.ones(sizes.sum() + len(sizes) - 1, bool)
+    inside[begins[1:] - 1] = False
+    flat = np.concatenate(values)
+    text = np.ones(len(inside), np.int64)
+    text[inside] = (np.unique(flat, return_inverse=True)[1] if rule.words else flat) + 2
+    order = difference_cover_order(text, rule.length)
+    which = np.searchsorted(begins, np.arange(len(text)), "right") - 1
+    fits = np.arange(len(text)) + rule.length <= begins[which] + sizes[which]
     order = order[fits[order]]
-    sums = hashing.prefix_sums(joined)
-    window = hashing.span_hashes(sums, order, order + length)
+    spread = np.zeros(len(inside), np.uint64)
+    spread[inside] = flat if rule.words else hashing.byte_values(flat)
+    window = hashing.span_hashes(hashing.sums_of(spread), order, order + rule.length)
     same = window[1:] == window[:-1]
-    hit = np.zeros(len(joined), bool)
+    hit = np.zeros(len(text), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
     return [np.flatnonzero(hit[b : b + n]) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
 
 
-def anchors(data: np.ndarray, sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor places and hashes, and the first and last start of each one's windows; every window has one anchor."""
     reach = length - gram + 1
     h = hashing.window_hashes(sums, gram)
@@ -128,54 +171,115 @@ def anchors(data: np.ndarray, sums: np.ndarray, length: int, gram: int) -> tuple
     return at, h[at], first, last
 
 
-_CELL_SQL = "meet bigint, whole bigint, node bigint, lo int, hi int, at int"
-_CELL = pa.schema([("meet", pa.int64()), ("whole", pa.int64()), ("node", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32())])
+#: A place of a segment: the first and the last window's start and the anchor's place, in symbols.
+_PLACE = np.dtype([("node", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
+_CELL_SQL = "kind int, meet bigint, whole bigint, node bigint, lo int, hi int, at int"
+_CELL = pa.schema([("kind", pa.int32()), ("meet", pa.int64()), ("whole", pa.int64()), ("node", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32())])
+_MANY_SQL = f"{_CELL_SQL}, more binary"
+_MANY = _CELL.append(pa.field("more", pa.binary()))
 _TEXT_SQL = f"{_CELL_SQL}, text binary"
 _TEXT = _CELL.append(pa.field("text", pa.binary()))
-_SPAN_SQL = "node bigint, lo int, hi int"
-_SPAN = pa.schema([("node", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+_SPAN_SQL = "kind int, node bigint, lo int, hi int"
+_SPAN = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _cells(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rows: node, text. The segments of all anchors: anchor hash (meet), segment hash (whole), a place, and the other places
+    of the same chunk that have an equal segment (more; null if none)."""
+
+    def of_chunk(kind: int, texts: list[tuple[int, bytes]]) -> pa.RecordBatch | None:
+        rule, found = rules[kind], []
+        for node, text in texts:
+            if len(text) < rule.least_bytes():
+                continue
+            symbols = Symbols(text, rule.words)
+            if len(symbols.values) < rule.length:
+                continue
+            at, h, lo, hi = anchors(symbols.sums, rule.length, rule.gram)
+            whole = hashing.fold([hashing.span_hashes(symbols.sums, lo, hi + rule.length), (at - lo).astype(np.uint64)])
+            found.append((h, whole, np.full(len(at), node), lo, hi, at))
+        if not found:
+            return None
+        meet, whole, *place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((place[1], place[0], whole, meet))
+        meet, whole, place = meet[order], whole[order], [x[order] for x in place]
+        new = np.concatenate(([True], (meet[1:] != meet[:-1]) | (whole[1:] != whole[:-1])))
+        again = np.concatenate(([False], ~new[1:] & (place[0][1:] == place[0][:-1]) & (place[1][1:] == place[1][:-1])))  # copies of one text
+        lead = np.flatnonzero(new)
+        rest = np.zeros(len(np.flatnonzero(~new & ~again)), _PLACE)
+        for name, x in zip(_PLACE.names, place, strict=True):
+            rest[name] = x[~new & ~again]
+        cuts = np.concatenate(([0], np.cumsum(~new & ~again)))[np.append(lead, len(new))]
+        more = [rest[a:b].tobytes() if b > a else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        columns = [np.full(len(lead), kind, np.int32), meet[lead].view(np.int64), whole[lead].view(np.int64), place[0][lead]]
+        columns += [x[lead].astype(np.int32) for x in place[1:]]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more, pa.binary())], schema=_MANY)
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def chunked() -> Iterator[list[tuple[int, bytes]]]:
+            held, weight = [], 0
+            for b in it:
+                for row in zip(b.column(0).to_pylist(), binary_column(b, "text"), strict=True):
+                    held.append(row)
+                    weight += len(row[1])
+                    if weight >= _CHUNK:
+                        yield held
+                        held, weight = [], 0
+            if held:
+                yield held
+
+        for texts in chunked():
+            for kind in range(len(rules)):
+                if out := of_chunk(kind, texts):
+                    yield out
 
-def _cells(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """rows: node, text. The segment of each anchor: its hash (meet), the segment's hash (whole), first and last window start."""
+    return rows.select("node", "text").mapInArrow(tidy(run), _MANY_SQL)
+
+
+def _places(cells: DataFrame) -> DataFrame:
+    """The spans of all places of rows with more."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for node, text in zip(b.column(0).to_pylist(), binary_column(b, "text"), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                sums = hashing.prefix_sums(data)
-                at, h, lo, hi = anchors(data, sums, length, gram)
-                whole = hashing.fold([hashing.span_hashes(sums, lo, hi + length), (at - lo).astype(np.uint64)])
-                columns = [h.view(np.int64), whole.view(np.int64), np.full(len(at), node), lo.astype(np.int32), hi.astype(np.int32), at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_CELL)
+            kind, more = b.column(0).to_numpy(), b.column(4).to_pylist()
+            rest = np.frombuffer(b"".join(x or b"" for x in more), _PLACE)
+            yield b.select([0, 1, 2, 3])
+            counts = [len(x or b"") // _PLACE.itemsize for x in more]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(kind, counts)), *(pa.array(rest[x].copy()) for x in ("node", "lo", "hi"))], schema=_SPAN)
 
-    return rows.select("node", "text").mapInArrow(tidy(run), _CELL_SQL)
+    return cells.select(*_SPAN.names, "more").mapInArrow(tidy(run), _SPAN_SQL)
 
 
-def _segments(texts: DataFrame, length: int) -> DataFrame:
+def _segments(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     """Cells with their text from rows of node, text and a list of the node's open cells."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for b in it:
                 for text, node, opened in zip(binary_column(b, "text"), b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    ranges = {kind: byte_range(text, rules[kind].words) for kind in {x["kind"] for x in opened}}
                     for x in opened:
-                        yield x["meet"], x["whole"], node, x["lo"], x["hi"], x["at"], text[x["lo"] : x["hi"] + length]
+                        a, z = ranges[x["kind"]](x["lo"], x["hi"] + rules[x["kind"]].length)
+                        yield x["kind"], x["meet"], x["whole"], node, x["lo"], x["hi"], x["at"], text[a:z]
 
         yield from batches(_TEXT, out())
 
     return texts.select("node", "text", "opened").mapInArrow(tidy(run), _TEXT_SQL)
 
 
-def _finer(cells: DataFrame, windows: int, length: int) -> DataFrame:
-    """Cells of `windows` windows from larger ones; they meet by anchor, place and the text that all their windows share."""
+def _finer(cells: DataFrame, most_windows: int, rules: list[Rule]) -> DataFrame:
+    """Cells of most_windows windows (a length of them at most) from larger ones; they meet by anchor, place and the text that all their windows share.
+    Cells of one window go without their text, as their hashes decide."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for b in it:
-                for meet, _, node, lo, _, at, text in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                    sums = hashing.prefix_sums(np.frombuffer(text, np.uint8))
-                    place = (at - lo - np.arange(len(text) - length + 1)) // windows
+                for kind, meet, _, node, lo, _, at, text in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                    length = rules[kind].length
+                    windows = min(most_windows, length)
+                    symbols, range_ = Symbols(text, rules[kind].words), byte_range(text, rules[kind].words)
+                    sums = symbols.sums
+                    place = (at - lo - np.arange(len(symbols.values) - length + 1)) // windows
                     first = np.flatnonzero(np.diff(place, prepend=place[0] + 1))
                     last = np.append(first[1:] - 1, len(place) - 1)
                     begin = at - lo - (place[first] + 1) * windows + 1  # where the place's first window starts, in the segment or before
@@ -184,64 +288,75 @@ def _finer(cells: DataFrame, windows: int, length: int) -> DataFrame:
                     same = [np.full(len(first), meet, np.int64).view(np.uint64), place[first].astype(np.uint64), common]
                     common, whole = hashing.fold(same), hashing.fold([*same, whole])
                     for c, w, x, y in zip(common.view(np.int64).tolist(), whole.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-                        yield c, w, node, lo + x, lo + y, at, text[x : y + length]
+                        a, z = range_(x, y + length)
+                        yield kind, c, w, node, lo + x, lo + y, at, text[a:z] if most_windows > 1 else b""
 
         yield from batches(_TEXT, out())
 
     return cells.mapInArrow(tidy(run), _TEXT_SQL)
 
 
-def _sorted_out(cells: DataFrame, length: int, parts: int, batch: int = 1 << 20) -> DataFrame:
+def _sorted_out(cells: DataFrame, rules: list[Rule], parts: int, batch: int = 1 << 20) -> DataFrame:
     """Spans of windows that repeat, by a suffix sort of the cells of each meeting."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(held: dict) -> Iterator[tuple]:
+        def solve(kind: int, held: dict) -> Iterator[tuple]:
             if len(held) < 2:
                 return
-            for (node, lo), starts in zip(held, repeated_starts(list(held.values()), length), strict=True):
+            for (node, lo), starts in zip(held, repeated_starts(list(held.values()), rules[kind]), strict=True):
                 if len(starts):
                     cut = np.flatnonzero(np.diff(starts) != 1)
                     for a, b in zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist(), strict=True):
-                        yield node, lo + a, lo + b
+                        yield kind, node, lo + a, lo + b
 
         def out() -> Iterator[tuple]:
             held: dict[tuple, bytes] = {}
-            weight, now = 0, None
+            weight, now = 0, (None, None)
             for b in it:
-                for meet, _, node, lo, _, _, text in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                    if meet != now and weight >= batch:
-                        yield from solve(held)
+                for kind, meet, _, node, lo, _, _, text in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                    if (kind, meet) != now and (weight >= batch or kind != now[0]):
+                        yield from solve(now[0], held)
                         held, weight = {}, 0
-                    now = meet
+                    now = kind, meet
                     held[node, lo] = text
                     weight += len(text)
-            yield from solve(held)
+            yield from solve(now[0], held)
 
         yield from batches(_SPAN, out())
 
-    return cells.repartition(parts, "meet").sortWithinPartitions("meet").mapInArrow(tidy(run), _SPAN_SQL)
+    return cells.repartition(parts, "meet").sortWithinPartitions("kind", "meet").mapInArrow(tidy(run), _SPAN_SQL)
+
+
+def _met(cells: DataFrame) -> DataFrame:
+    """The cells whose anchor hash another cell has too."""
+    spot = F.xxhash64("node", "lo")
+    meets = cells.groupBy("meet").agg(F.min(spot).alias("lead_"), F.max(spot).alias("last_"), F.bool_or(F.col("more").isNotNull()).alias("more_"))
+    return cells.join(meets.where("lead_ <> last_ or more_").select("meet"), "meet")
 
 
 def _classes(cells: DataFrame) -> DataFrame:
     """The cells that repeat as a whole, or that meet other cells: with twin (equal cells elsewhere), others (different
     cells of the meeting) and lead (the one of the equal cells that stands for them)."""
     spot = F.xxhash64("node", "lo")
-    classes = cells.groupBy("meet", "whole").agg(F.min(spot).alias("lead_"), F.max(spot).alias("last_"))
+    classes = cells.groupBy("meet", "whole").agg(F.min(spot).alias("lead_"), F.max(spot).alias("last_"), F.bool_or(F.col("more").isNotNull()).alias("more_"))
     meets = classes.groupBy("meet").agg(F.count("*").alias("others"))
-    kept = classes.join(meets, "meet").where("lead_ <> last_ or others > 1")
+    kept = classes.join(meets, "meet").where("lead_ <> last_ or more_ or others > 1")
     found = cells.join(kept, ["meet", "whole"])
-    return found.withColumn("twin", F.expr("lead_ <> last_")).withColumn("lead", F.col("lead_") == spot).drop("lead_", "last_")
+    return found.withColumn("twin", F.expr("lead_ <> last_ or more_")).withColumn("lead", F.col("lead_") == spot).drop("lead_", "last_", "more_")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 1000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 1000, words: int | None = None) -> DataFrame:
     """Remove each byte that a string of the length covers which also starts elsewhere.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes; null where nothing was removed)
     for each row of docs(doc_id, text). length: bytes of a repeated string. gram: bytes of an anchor. most: different cells
-    of a meeting that one task sorts; larger meetings are cut into finer cells.
+    of a meeting that one task sorts; larger meetings are cut into finer cells. words: also count passages of so many words
+    that start elsewhere too, as n_passages (maximal runs) and passage_bytes (of these runs); they aren't removed.
     """
-    base, changed = _changed(docs, length, gram, most)
+    rules = [Rule(length, gram)] + ([Rule(words, max(1, words * 2 // 5), True)] if words else [])
+    base, changed = _changed(docs, rules, most, removing=1, characters=False)
     out = base.withColumnRenamed("node", "node_").join(changed, (F.col("node_") == F.col("node")) & (F.col("n_bytes") == F.col("b_")), "left")
+    counts = ["n_passages", "passage_bytes"] if words else []
     return out.select(
         "doc_id",
         "n_bytes",
@@ -249,42 +364,48 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 128, most: int
         F.coalesce("spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha", "sha").alias("kept_sha256"),
         "kept",
+        *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
     )
 
 
-def without_repeats(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 1000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 1000, words: int | None = None) -> DataFrame:
     """docs with the remaining text in each row; n_chars follows the text where there is such a column. A character that
-    loses a byte goes as a whole."""
-    _, changed = _changed(docs, length, gram, most)
+    loses a byte goes as a whole. words: passages of so many words that start elsewhere too go as well."""
+    rules = [Rule(length, gram)] + ([Rule(words, max(1, words * 2 // 5), True)] if words else [])
+    _, changed = _changed(docs, rules, most, removing=len(rules), characters=True)
     own = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.xxhash64(own.cast("binary")).alias("k_"), F.octet_length(own).cast("bigint").alias("l_"))
-    joined = keyed.join(changed.select("node", "b_", "kept").hint("merge"), (F.col("k_") == F.col("node")) & (F.col("l_") == F.col("b_")), "left")
-    joined = joined.select("row_", F.when(F.col("node").isNull(), F.col("row_.text")).otherwise(F.try_validate_utf8(F.col("kept").cast("string"))).alias("text_"), F.col("kept").cast("string").alias("raw_"), F.col("node").isNotNull().alias("cut_"))
-    text = F.when(~F.col("cut_") | F.col("text_").isNotNull(), F.col("text_")).otherwise(F.translate(F.make_valid_utf8("raw_"), "�", ""))
+    joined = keyed.join(changed.where("removed > 0").select("node", "b_", "kept").hint("merge"), (F.col("k_") == F.col("node")) & (F.col("l_") == F.col("b_")), "left")
+    cut = F.col("node").isNotNull()
+    text = F.when(cut, F.col("kept").cast("string")).otherwise(F.col("row_.text"))
     columns = {c: F.col(f"row_.`{c}`").alias(c) for c in docs.columns} | {"text": text.alias("text")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("cut_"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row_.n_chars")).alias("n_chars")
+        columns["n_chars"] = F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row_.n_chars")).alias("n_chars")
     return joined.select(*columns.values())
 
 
-def _changed(docs: DataFrame, length: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, node, n_bytes, sha), and the texts that lose bytes (node, b_, removed, spans, kept_sha, kept)."""
+def _changed(docs: DataFrame, rules: list[Rule], most: int, removing: int, characters: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, node, n_bytes, sha), and the texts that hold repeats (node, b_, removed, spans, kept_sha, kept,
+    n_passages, passage_bytes). removing: how many of the rules remove, the first ones; the last one counts passages."""
     spark = docs.sparkSession
     space, parts = Workspace(spark, "suffix"), partitions(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("node"), F.octet_length("text").cast("bigint").alias("n_bytes"))
-    long_ = F.col("n_bytes") >= length
+    long_ = F.col("n_bytes") >= min(rule.least_bytes() for rule in rules)
 
     base = space.settle(rows.select("doc_id", "node", "n_bytes", F.sha2("text", 256).alias("sha")), "base")
     nodes = base.where(long_).groupBy("node", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"))
     nodes = space.settle(nodes, "nodes")
-    cells = space.settle(_cells(rows.where(long_), length, gram), "cells")
-    found = space.settle(_classes(cells), "found")
+    cells = space.settle(_cells(rows.where(long_), rules), "cells")
+    met = space.settle(_met(cells), "met")
     space.drop("cells")
+    found = space.settle(_classes(met), "found")
+    space.drop("met")
 
-    spans = [found.where("twin").select("node", "lo", "hi")]
-    opened = found.where("lead and others > 1").groupBy("node").agg(F.collect_set(F.struct("meet", "whole", "lo", "hi", "at", "others")).alias("opened"))
-    needed = opened.join(found.select("node").distinct(), "node", "right").join(nodes, "node").where("copies = 1 or opened is not null")
+    spans = [space.settle(_places(found.where("twin")), "places")]
+    opened = found.where("lead and others > 1").groupBy("node").agg(F.collect_set(F.struct("kind", "meet", "whole", "lo", "hi", "at", "others")).alias("opened"))
+    needed = spans[0].select("node").unionByName(nodes.where("copies > 1").select("node")).distinct()
+    needed = needed.join(opened, "node", "full").join(nodes, "node")
     needed = needed.select(F.col("node").alias("n_"), F.col("n_bytes").alias("b_"), "doc", "copies", "opened")
     texts = rows.join(needed, (F.col("node") == F.col("n_")) & (F.col("n_bytes") == F.col("b_")) & F.col("doc_id").eqNullSafe(F.col("doc")))
     texts = space.settle(texts.select("node", "text", "opened", "copies"), "texts")
@@ -292,47 +413,66 @@ def _changed(docs: DataFrame, length: int, gram: int, most: int) -> tuple[DataFr
 
     few = texts.withColumn("opened", F.filter("opened", lambda x: x["others"] <= most)).where(F.size("opened") > 0)
     many = texts.withColumn("opened", F.filter("opened", lambda x: x["others"] > most)).where(F.size("opened") > 0)
-    spans.append(_sorted_out(_segments(few, length), length, parts))
+    spans.append(_sorted_out(_segments(few, rules), rules, parts))
     if many.limit(1).count():
-        finer = _segments(many, length)
+        finer = _segments(many, rules)
         for windows in CELLS[1:]:
-            finer = space.settle(_finer(finer, windows, length).dropDuplicates(["node", "lo", "at"]), f"finer{windows}")
+            finer = _finer(finer, windows, rules).dropDuplicates(["kind", "node", "lo", "at"])
+            finer = space.settle(finer.withColumn("more", F.lit(None).cast("binary")), f"finer{windows}")
             found = space.settle(_classes(finer), f"found{windows}")
-            spans.append(found.where("twin").select("node", "lo", "hi"))
+            spans.append(found.where("twin").select(*_SPAN.names))
             if windows > 1:
-                spans.append(_sorted_out(found.where("lead and others > 1").where(F.col("others") <= most).select(*_TEXT.names), length, parts))
+                spans.append(_sorted_out(found.where("lead and others > 1").where(F.col("others") <= most).select(*_TEXT.names), rules, parts))
                 finer = found.where("lead and others > 1").where(F.col("others") > most).select(*_TEXT.names)
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
-    every = every.distinct().groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    cut = space.settle(_cut(texts.where("copies = 1").select("node", "text").join(every, "node"), length).dropDuplicates(["node"]), "cut")
+    every = every.distinct().groupBy("node").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("spans"))
+    repeats = texts.select("node", "text", "copies").join(every, "node", "left").where("copies > 1 or spans is not null")
+    cut = space.settle(_cut(repeats, rules, removing, characters).dropDuplicates(["node"]), "cut")
     space.sweep()
+    return base, cut
+
+
+_CUT_SQL = "node bigint, b_ bigint, removed bigint, spans bigint, kept_sha string, kept binary, n_passages bigint, passage_bytes bigint"
+_CUT = pa.schema([("node", pa.int64()), ("b_", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("kept_sha", pa.string()), ("kept", pa.binary()), ("n_passages", pa.int64()), ("passage_bytes", pa.int64())])
+
 
-    whole = nodes.where("copies > 1").select("node", F.col("n_bytes").alias("b_"))
-    whole = whole.select("node", "b_", F.col("b_").alias("removed"), F.lit(1).cast("bigint").alias("spans"), F.sha2(F.lit(b""), 256).alias("kept_sha"), F.lit(b"").alias("kept"))
-    changed = whole.unionByName(cut.join(nodes.select("node", F.col("n_bytes").alias("b_"), "copies").where("copies = 1").drop("copies"), "node"))
-    return base, changed
+def _covered(text: bytes, rule: Rule, spans: list[dict], copied: bool) -> np.ndarray:
+    """Which bytes the rule's spans of window starts cover; all windows of a copied text."""
+    edge = np.zeros(len(text) + 1, np.int64)
+    range_ = byte_range(text, rule.words)
+    if copied and len(text) >= rule.least_bytes():
+        symbols = len(hashing.word_spans(np.frombuffer(text, np.uint8))[0]) if rule.words else len(text)
+        spans = [{"lo": 0, "hi": symbols - rule.length}] if symbols >= rule.length else []
+    if spans:
+        a, z = range_(np.array([x["lo"] for x in spans]), np.array([x["hi"] for x in spans]) + rule.length)
+        np.add.at(edge, a, 1)
+        np.add.at(edge, z, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-_CUT_SQL = "node bigint, removed bigint, spans bigint, kept_sha string, kept binary"
-_CUT = pa.schema([("node", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("kept_sha", pa.string()), ("kept", pa.binary())])
+def _runs(mask: np.ndarray) -> int:
+    return int(np.count_nonzero(np.diff(mask, prepend=False) & mask))
 
 
-def _cut(rows: DataFrame, length: int) -> DataFrame:
-    """The bytes that no span covers, from rows of node, text and spans of window starts."""
+def _cut(rows: DataFrame, rules: list[Rule], removing: int, characters: bool) -> DataFrame:
+    """What no span of the removing rules covers, from rows of node, text, copies and spans of window starts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for b in it:
-                for node, text, spans in zip(b.column(0).to_pylist(), binary_column(b, "text"), b.column(2).to_pylist(), strict=True):
-                    edge = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(edge, [x["lo"] for x in spans], 1)
-                    np.add.at(edge, [x["hi"] + length for x in spans], -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                    yield node, int(gone.sum()), int(np.count_nonzero(np.diff(gone, prepend=False) & gone)), hashlib.sha256(kept).hexdigest(), kept
+                for node, text, copies, spans in zip(b.column(0).to_pylist(), binary_column(b, "text"), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    found = [_covered(text, rule, [x for x in spans or [] if x["kind"] == k], copies > 1) for k, rule in enumerate(rules)]
+                    gone = np.logical_or.reduce(found[:removing])
+                    data = np.frombuffer(text, np.uint8)
+                    if characters and len(data):
+                        first = np.flatnonzero(np.append(True, (data[1:] & 0xC0) != 0x80))
+                        gone = np.repeat(np.logical_or.reduceat(gone, first), np.diff(np.append(first, len(data))))
+                    removed, kept = int(gone.sum()), data[~gone].tobytes()
+                    passages = (_runs(found[-1]), int(found[-1].sum())) if rules[-1].words else (0, 0)
+                    yield node, len(text), removed, _runs(gone), hashlib.sha256(kept).hexdigest(), kept if removed else None, *passages
 
         yield from batches(_CUT, out())
 
-    return rows.select("node", "text", "spans").mapInArrow(tidy(run), _CUT_SQL)
+    return rows.select("node", "text", "copies", "spans").mapInArrow(tidy(run), _CUT_SQL)

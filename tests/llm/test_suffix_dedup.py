@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skerry.llm.suffix_dedup import difference_cover_order, repeated_starts, suffix_dedup
+from skerry.llm.suffix_dedup import Rule, difference_cover_order, repeated_starts, suffix_dedup, without_repeats
 
 SCHEMA = "doc_id bigint, text string, node string"
 
@@ -36,7 +37,15 @@ def test_repeated_starts(texts, length):
     texts = [t.encode() for t in texts]
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     want = [[i for i in range(len(t) - length + 1) if count[t[i : i + length]] > 1] for t in texts]
-    assert [x.tolist() for x in repeated_starts(texts, length)] == want
+    assert [x.tolist() for x in repeated_starts(texts, Rule(length, 1))] == want
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "ab", "ba"]), max_size=25), min_size=1, max_size=6), st.integers(2, 6))
+@settings(max_examples=100, deadline=None)
+def test_repeated_starts_of_words(texts, length):
+    count = Counter(tuple(t[i : i + length]) for t in texts for i in range(len(t) - length + 1))
+    want = [[i for i in range(len(t) - length + 1) if count[tuple(t[i : i + length])] > 1] for t in texts]
+    assert [x.tolist() for x in repeated_starts([" ".join(t).encode() for t in texts], Rule(length, 1, True))] == want
 
 
 def brute(rows, length):
@@ -81,3 +90,63 @@ def test_matches_all_windows(spark, length, gram, most):
 
 def test_empty_table(spark):
     assert not suffix_dedup(spark.createDataFrame([], SCHEMA)).collect()
+
+
+def covered_words(rows, length):
+    """By row which bytes a repeated run of so many words covers."""
+    texts = [(r[1] or "").encode() for r in rows]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    words = [[t[a:b] for a, b in s] for t, s in zip(texts, spans, strict=True)]
+    count = Counter(tuple(w[i : i + length]) for w in words for i in range(len(w) - length + 1))
+    out = []
+    for t, s, w in zip(texts, spans, words, strict=True):
+        gone = [False] * len(t)
+        for i in range(len(w) - length + 1):
+            if count[tuple(w[i : i + length])] > 1:
+                gone[s[i][0] : s[i + length - 1][1]] = [True] * (s[i + length - 1][1] - s[i][0])
+        out.append(gone)
+    return out
+
+
+def runs(gone):
+    return sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_passages_of_words(spark, most):
+    rows = corpus(40, seed=most)
+    out = suffix_dedup(spark.createDataFrame(rows, SCHEMA), 40, 8, most, words=6).collect()
+    assert sorted((tuple(r)[:5] for r in out), key=str) == brute(rows, 40)
+    want = [(r[0], len((r[1] or "").encode()), runs(g), sum(g)) for r, g in zip(rows, covered_words(rows, 6), strict=True)]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_passages, r.passage_bytes) for r in out), key=str) == sorted(want, key=str)
+
+
+def test_without_repeats(spark):
+    """Both rules remove; characters go as a whole; U+FFFD, other columns and texts that lose nothing stay as they are."""
+    rows = [(k, t, n, k) for k, t, n in [*corpus(40, seed=8), (910, "X\ufffd legit " + "é" * 60, "n"), (911, "é" * 61, "n"), (912, "a " + "é" * 60 + "b", "n")]]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, n_chars bigint")
+    both = [[a or b for a, b in zip(x, y, strict=True)] for x, y in zip(covered_bytes(rows, 40), covered_words(rows, 6), strict=True)]
+    want = []
+    for r, gone in zip(rows, both, strict=True):
+        kept, at = [], 0
+        for c in r[1] or "":
+            n = len(c.encode())
+            kept += [] if any(gone[at : at + n]) else [c]
+            at += n
+        want.append((r[0], "".join(kept), r[2], len(kept)) if any(gone) else r)
+    out = without_repeats(docs, 40, 8, 1000, words=6)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def covered_bytes(rows, length):
+    texts = [(r[1] or "").encode() for r in rows]
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        out.append(gone)
+    return out
