@@ -1,11 +1,13 @@
 """Media columns: bytes as grey PNG files in a binary column, read back with checks, and low-frequency hashes.
 
-The writer makes signature, IHDR, IDAT and IEND chunks with their CRCs and picks a row filter; the reader tests the
-signature, every chunk's length and CRC, joins the IDAT chunks, inflates and undoes the five row filters with numpy. The
-feature is a hash of the lowest cosine-transform coefficients of the image shrunk to a small square.
+The writer makes signature, IHDR, IDAT and IEND chunks with their CRCs and picks for each row the filter with the least sum
+of absolute differences; the reader tests the signature, every chunk's length and CRC, joins the IDAT chunks, inflates and
+undoes the five row filters with numpy, many images at once. The feature is a hash of the lowest cosine-transform
+coefficients of the image shrunk to a small square.
 
 Defined results: null bytes are empty and make one row of zeros. Equal bytes give equal values. Rows are never dropped;
-a stored form that fails a check raises ValueError. Empty table: empty result. Other columns are kept.
+a stored form that fails a check raises ValueError, and so does a table that has the media column already. Of filters with
+equal sums the first by number is taken. Empty table: empty result. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -30,63 +32,100 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def filter_rows(image: np.ndarray, kind: int) -> np.ndarray:
-    """Rows with their filter byte; kind 0 to 4 as in the format."""
-    wide = image.astype(np.int16)
-    left = np.pad(wide, ((0, 0), (1, 0)))[:, :-1]
-    up = np.pad(wide, ((1, 0), (0, 0)))[:-1]
-    corner = np.pad(wide, ((1, 0), (1, 0)))[:-1, :-1]
-    base = (0, left, up, (left + up) // 2, _paeth(left, up, corner))[kind]
-    return np.concatenate((np.full((len(image), 1), kind, np.uint8), (wide - base).astype(np.uint8)), 1)
+def _predictions(rows: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """What filters 0 to 4 predict for each pixel; first: whether a row is the first of its image."""
+    wide = rows.astype(np.int16)
+    left, up = np.zeros_like(wide), np.zeros_like(wide)
+    left[:, 1:] = wide[:, :-1]
+    up[1:] = wide[:-1]
+    up[first] = 0
+    corner = np.zeros_like(wide)
+    corner[:, 1:] = up[:, :-1]
+    yield np.zeros_like(wide)
+    yield left
+    yield up
+    yield (left + up) >> 1
+    yield _paeth(left, up, corner)
+
+
+def filter_rows(rows: np.ndarray, first: np.ndarray, kind: int | None = None) -> np.ndarray:
+    """Rows of images with their filter bytes: the kind given, or for each row that of the least sum of absolute differences."""
+    out = np.zeros((len(rows), rows.shape[1] + 1), np.uint8)
+    least = np.full(len(rows), np.iinfo(np.int64).max)
+    for k, base in enumerate(_predictions(rows, first)):
+        if kind not in (None, k):
+            continue
+        rest = (rows - base).astype(np.uint8)
+        cost = np.abs(rest.view(np.int8).astype(np.int16)).sum(1, dtype=np.int64)
+        better = cost < least
+        out[better, 0], out[better, 1:], least[better] = k, rest[better], cost[better]
+    return out
 
 
 def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    p = a + b - c
-    pa_, pb, pc = abs(p - a), abs(p - b), abs(p - c)
+    pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
     return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
 
 
-def unfilter(raw: np.ndarray, width: int) -> np.ndarray:
-    """Undo the row filters. Runs of rows of filter 0, 1 or 2 go together; the others need the pixel to the left."""
-    rows = raw.reshape(-1, width + 1)
-    kinds, out = rows[:, 0], rows[:, 1:].copy()
-    if kinds.size and kinds.max() > 4:
+def _diagonals(images: list[np.ndarray], height: int, width: int) -> np.ndarray:
+    """Filter bytes or pixels by anti-diagonal: [t, x, image] is column x of row t - x; zeros outside."""
+    out = np.zeros((height + width - 1, width, len(images)), np.uint8)
+    for k, image in enumerate(images):
+        for x in range(width):
+            out[x : x + len(image), x, k] = image[:, x]
+    return out
+
+
+def unfilter(raws: list[np.ndarray], width: int) -> list[np.ndarray]:
+    """Undo the row filters of images given as rows of a filter byte and pixels.
+
+    A pixel needs the ones to its left, above and across, which lie on the two anti-diagonals before its own. So all
+    pixels of an anti-diagonal go at once, of all images.
+    """
+    if any(raw[:, 0].max(initial=0) > 4 for raw in raws):
         raise ValueError("unknown row filter")
-    edge = np.flatnonzero(np.diff(kinds, prepend=-1, append=-1).astype(bool))
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        kind = int(kinds[a])
-        if kind == 1:
-            np.cumsum(out[a:b], axis=1, dtype=np.uint8, out=out[a:b])
-        elif kind == 2:
-            if a:
-                out[a] += out[a - 1]
-            np.cumsum(out[a:b], axis=0, dtype=np.uint8, out=out[a:b])
-        elif kind > 2:
-            for k in range(a, b):
-                above = out[k - 1].astype(np.int16).tolist() if k else [0] * width
-                now, left, corner = out[k].tolist(), 0, 0
-                for x, u in enumerate(above):
-                    if kind == 3:
-                        left = (now[x] + (left + u) // 2) & 255
-                    else:
-                        p = left + u - corner
-                        pl, pu, pc = abs(p - left), abs(p - u), abs(p - corner)
-                        left = (now[x] + (left if pl <= pu and pl <= pc else u if pu <= pc else corner)) & 255
-                    now[x], corner = left, u
-                out[k] = now
+    height = max(map(len, raws))
+    kinds = _diagonals([np.broadcast_to(raw[:, :1], (len(raw), width)) for raw in raws], height, width)
+    pixels = _diagonals([raw[:, 1:] for raw in raws], height, width)
+    before = across = np.zeros((width + 1, len(raws)), np.int16)  # the last two diagonals, after a column of zeros
+    for t in range(len(pixels)):
+        kind, left, up, corner = kinds[t], before[:-1], before[1:], across[:-1]
+        base = np.where(kind == 1, left, 0)
+        np.copyto(base, up, where=kind == 2)
+        np.copyto(base, (left + up) >> 1, where=kind == 3)
+        np.copyto(base, _paeth(left, up, corner), where=kind == 4)
+        pixels[t] += base.astype(np.uint8)
+        now = np.zeros((width + 1, len(raws)), np.int16)
+        now[1:] = pixels[t]
+        before, across = now, before
+    out = [np.empty((len(raw), width), np.uint8) for raw in raws]
+    for k, image in enumerate(out):
+        for x in range(width):
+            image[:, x] = pixels[x : x + len(image), x, k]
     return out
 
 
-def write_png(image: np.ndarray, row_filter: int = 0, level: int = 3, idat: int = 1 << 16) -> bytes:
-    """A grey 8-bit image as a PNG file."""
-    height, width = image.shape
-    body = zlib.compress(filter_rows(image, row_filter).tobytes(), level)
-    parts = [body[k : k + idat] for k in range(0, len(body), idat)]
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, *GREY_8)) + b"".join(_chunk(b"IDAT", p) for p in parts) + _chunk(b"IEND", b"")
+def write_pngs(images: list[np.ndarray], row_filter: int | None = None, level: int = 3, idat: int = 1 << 16) -> list[bytes]:
+    """Grey 8-bit images of one width as PNG files."""
+    if not images:
+        return []
+    first = np.zeros(sum(map(len, images)), bool)
+    starts = np.cumsum([0, *map(len, images)])
+    first[starts[:-1]] = True
+    rows, out = filter_rows(np.concatenate(images), first, row_filter), []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        body = zlib.compress(rows[a:b].tobytes(), level)
+        parts = b"".join(_chunk(b"IDAT", body[k : k + idat]) for k in range(0, len(body), idat))
+        out.append(SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", rows.shape[1] - 1, b - a, *GREY_8)) + parts + _chunk(b"IEND", b""))
+    return out
 
 
-def read_png(stored: bytes) -> np.ndarray:
-    """The image of a grey 8-bit PNG file, after all checks."""
+def write_png(image: np.ndarray, row_filter: int | None = None, level: int = 3, idat: int = 1 << 16) -> bytes:
+    return write_pngs([image], row_filter, level, idat)[0]
+
+
+def read_rows(stored: bytes) -> np.ndarray:
+    """The filtered rows of a grey 8-bit PNG file, after all checks."""
     if not stored.startswith(SIGNATURE):
         raise ValueError("not a PNG file")
     at, head, body, ended = len(SIGNATURE), None, [], False
@@ -118,7 +157,36 @@ def read_png(stored: bytes) -> np.ndarray:
     raw = zlib.decompress(b"".join(body))
     if len(raw) != height * (width + 1):
         raise ValueError("image data of another size")
-    return unfilter(np.frombuffer(raw, np.uint8), width)
+    return np.frombuffer(raw, np.uint8).reshape(-1, width + 1)
+
+
+#: Pixels, with those that pad smaller images, that are undone at once.
+_AT_ONCE = 1 << 20
+
+
+def read_pngs(stored: list[bytes]) -> list[np.ndarray]:
+    """The images of grey 8-bit PNG files; those of like height and one width are undone together."""
+    raws = [read_rows(x) for x in stored]
+    out: list[np.ndarray] = [np.empty(0)] * len(raws)
+    held: list[int] = []
+
+    def undo() -> None:
+        for k, image in zip(held, unfilter([raws[k] for k in held], raws[held[0]].shape[1] - 1), strict=True):
+            out[k] = image
+        held.clear()
+
+    for k in sorted(range(len(raws)), key=lambda k: (raws[k].shape[1], len(raws[k]))):
+        height, width = raws[k].shape
+        if held and (raws[held[0]].shape[1] != width or (len(held) + 1) * (height + width) * width > _AT_ONCE):
+            undo()
+        held.append(k)
+    if held:
+        undo()
+    return out
+
+
+def read_png(stored: bytes) -> np.ndarray:
+    return read_pngs([stored])[0]
 
 
 def _cosines(n: int, k: int) -> np.ndarray:
@@ -150,14 +218,30 @@ def payload_image(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data + bytes(fill), np.uint8).reshape(-1, width)
 
 
-def to_media(rows: DataFrame, column: str = "text", width: int = 64, media: str = "media", row_filter: int = 0) -> DataFrame:
-    """rows with a binary column that holds each value of `column` as a PNG file."""
+def _bounded(values: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The values in lists of so many bytes, or of one value."""
+    held: list[bytes] = []
+    weight = 0
+    for x in values:
+        if held and weight + len(x) > most:
+            yield held
+            held, weight = [], 0
+        held.append(x)
+        weight += len(x)
+    if held:
+        yield held
+
+
+def to_media(rows: DataFrame, column: str = "text", width: int = 64, media: str = "media", row_filter: int | None = None) -> DataFrame:
+    """rows with a binary column that holds each value of `column` as a PNG file. row_filter: one for all rows, else each row's best."""
 
     small_batches(rows.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            values = [write_png(payload_image(x, width), row_filter) for x in binary_column(b, column)]
+            values: list[bytes] = []
+            for some in _bounded(binary_column(b, column)):
+                values += write_pngs([payload_image(x, width) for x in some], row_filter)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.binary())], [*b.schema.names, media])
 
     if media in rows.columns:
@@ -178,8 +262,8 @@ def media_features(rows: DataFrame, keys: list[str], media: str = "media", tail:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             found = []
-            for stored in binary_column(b, media):
-                image = read_png(stored)
+            files = binary_column(b, media)
+            for stored, image in ((x, y) for some in _bounded(files) for x, y in zip(some, read_pngs(some), strict=True)):
                 payload = image.tobytes()
                 found.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(stored), hashlib.sha256(stored).hexdigest(), low_frequency_hash(image)))
             made = next(batches(_DIGEST, found, len(found) + 1, 1 << 62), None)

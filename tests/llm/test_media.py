@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skerry.llm.media import low_frequency_hash, media_features, payload_image, read_png, to_media, write_png
+from skerry.llm.media import filter_rows, low_frequency_hash, media_features, payload_image, read_png, read_pngs, read_rows, to_media, unfilter, write_png, write_pngs
 
 SCHEMA = "doc_id bigint, text string, feature string"
 
@@ -37,6 +37,43 @@ def test_mixed_filters_and_smooth_hash():
     assert (read_png(write_png(image, 4)) == image).all()
 
 
+def plain_unfilter(raw):
+    """The format's definition, pixel by pixel."""
+    out = []
+    for kind, *row in raw.tolist():
+        above, now = out[-1] if out else [0] * len(row), []
+        for x, value in enumerate(row):
+            a, b, c = now[-1] if x else 0, above[x], above[x - 1] if x else 0
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            now.append((value + (0, a, b, (a + b) // 2, near)[kind]) % 256)
+        out.append(now)
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 2**32)), min_size=1, max_size=5), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_unfilter_follows_the_format(shapes, width):
+    raws = []
+    for height, seed in shapes:
+        rng = np.random.default_rng(seed)
+        raws.append(np.concatenate((rng.integers(0, 5, (height, 1)), rng.integers(0, 256, (height, width))), 1).astype(np.uint8))
+    assert [x.tolist() for x in unfilter(raws, width)] == [plain_unfilter(x) for x in raws]
+
+
+def test_rows_take_the_best_filter():
+    rng = np.random.default_rng(2)
+    smooth = np.cumsum(rng.integers(-2, 3, (40, 64)), 1).astype(np.uint8)
+    images = [smooth, smooth.T.copy()[:, :64].repeat(2, 1)[:, :64], rng.integers(0, 256, (3, 64), dtype=np.uint8)]
+    stored = write_pngs(images)
+    assert all((x == y).all() for x, y in zip(read_pngs(stored), images, strict=True))
+    assert stored == [write_png(x) for x in images]
+    cost = lambda rows: np.abs(rows[:, 1:].view(np.int8).astype(int)).sum(1)
+    first = np.arange(40) == 0
+    best = np.min([cost(filter_rows(smooth, first, k)) for k in range(5)], 0)
+    assert (cost(read_rows(stored[0])) == best).all() and len(set(read_rows(stored[0])[:, 0].tolist())) > 1
+
+
 def test_columns(spark):
     rows = [(1, "é" * 100, "x"), (2, None, None), (3, "", ""), (None, "a" * 64, ""), (5, "z" * 300_000, ""), (6, "é" * 100, "y")]
     df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("feature", "own")
