@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import hashing
@@ -47,6 +47,12 @@ class Workspace:
             conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def weighed(self, df: DataFrame, name: str, column: str = "payload") -> tuple[DataFrame, int]:
+        """settle, and the bytes in the column, which the write itself adds up."""
+        seen = Observation()
+        table = self.settle(df.observe(seen, F.sum(F.length(column)).alias("bytes")), name)
+        return table, int(seen.get["bytes"] or 0)
+
     def drop(self, *names: str, sweep: bool = True) -> None:
         """Delete tables that no later step reads, and let Spark clean the shuffle files of finished steps."""
         jvm = self.spark.sparkContext._jvm
@@ -67,6 +73,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tasks_for(size: int, most: int, each: int = 4 << 20) -> int:
+    """How many tasks to deal so many bytes out to."""
+    return max(1, min(most, -(-size // each)))
+
+
 _BATCH_BYTES = 8 << 20
 
 

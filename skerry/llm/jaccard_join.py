@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm import hashing
 from skerry.llm.components import components
-from skerry.llm.exchange import Workspace, batches, binary_column, partitions, tidy
+from skerry.llm.exchange import Workspace, batches, binary_column, partitions, tasks_for, tidy
 from skerry.llm.packs import by_shard, chunks, dump, load, pack
 
 _HALF = np.uint64((1 << 48) - 1)
@@ -446,16 +446,17 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     """
     spark = docs.sparkSession
     space, parts = Workspace(spark, "jaccard"), partitions(spark)
-    sketch = space.settle(_sketch(docs, width, percent, parts), "sketch")
+    sketch, size = space.weighed(_sketch(docs, width, percent, parts), "sketch")
     rows = space.settle(sketch.where("kind = 0").select("doc_id", "node", "n", "text_hash"), "rows")
-    chosen = space.settle(_chosen(sketch, rows, parts), "chosen")
+    chosen = space.settle(_chosen(sketch, rows, parts, tasks_for(size, parts)), "chosen")
     space.drop("sketch")
-    packs = space.settle(_packs(docs, chosen, width, parts), "packs")
+    packs, size = space.weighed(_packs(docs, chosen, width, parts), "packs")
     space.drop("chosen")
-    lists = space.settle(_shared_lists(packs, width, percent, parts), "lists")
+    tasks = tasks_for(size, parts)
+    lists = space.settle(_shared_lists(packs, width, percent, parts, tasks), "lists")
     space.drop("packs")
 
-    edges = by_shard(lists.where("kind = 1"), _meet, "a bigint, b bigint", _EDGE)
+    edges = by_shard(lists.where("kind = 1"), tasks, _meet, "a bigint, b bigint", _EDGE)
     clusters = components(edges.unionByName(lists.where("kind = 2").select("a", "b")).distinct(), space, "met")
     roots = space.settle(_link_clusters(lists.where("kind = 0"), clusters, percent, block, parts, space), "roots")
 
@@ -482,10 +483,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     return keyed.withColumn("again_", again).where("again_ = 1 or not linked_").select("row_.*")
 
 
-def _chosen(sketch: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
+def _chosen(sketch: DataFrame, rows: DataFrame, parts: int, tasks: int) -> DataFrame:
     """_node, _doc: the nodes that share enough sampled items to have a partner, and a document of each."""
-    met = by_shard(sketch.where("kind = 1"), _met(parts), _PART_SQL, _PART)
-    met = by_shard(met.unionByName(sketch.where("kind = 2").select("shard", "kind", "payload")), _enough, "node bigint", _NODE)
+    met = by_shard(sketch.where("kind = 1"), tasks, _met(parts), _PART_SQL, _PART)
+    met = by_shard(met.unionByName(sketch.where("kind = 2").select("shard", "kind", "payload")), tasks, _enough, "node bigint", _NODE)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     return nodes.join(met, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
 
@@ -501,10 +502,10 @@ def _packs(docs: DataFrame, chosen: DataFrame, width: int, parts: int) -> DataFr
     return pack(texts, ["node"], same_node)
 
 
-def _shared_lists(packs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    asked = by_shard(packs, _ask(parts, width), _PART_SQL, _PART)
-    answers = by_shard(asked, _answer, _PART_SQL, _PART)
-    return by_shard(packs.unionByName(answers), _lists(parts, width, percent), _LISTS_SQL, _LISTS)
+def _shared_lists(packs: DataFrame, width: int, percent: int, parts: int, tasks: int) -> DataFrame:
+    asked = by_shard(packs, tasks, _ask(parts, width), _PART_SQL, _PART)
+    answers = by_shard(asked, tasks, _answer, _PART_SQL, _PART)
+    return by_shard(packs.unionByName(answers), tasks, _lists(parts, width, percent), _LISTS_SQL, _LISTS)
 
 
 def _link_clusters(lists: DataFrame, clusters: DataFrame, percent: int, block: int, parts: int, space: Workspace) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import hashing
-from skerry.llm.exchange import Workspace, partitions
+from skerry.llm.exchange import Workspace, partitions, tasks_for
 from skerry.llm.packs import by_shard, chunks, dump, load, pack
 
 HELD_OUT, DELETED, NO_ID = 1, 2, 4
@@ -244,27 +244,28 @@ def score_documents(docs: DataFrame, order: int = 2, folds: int = 10) -> DataFra
         flags.cast("bigint").alias("flags"),
         "text",
     )
-    packs = space.settle(pack(rows, ["id", "flags"]), "packs")
-    answers = space.settle(_answers(packs, order, parts), "answers")
+    packs, size = space.weighed(pack(rows, ["id", "flags"]), "packs")
+    tasks = tasks_for(size, parts)
+    answers = space.settle(_answers(packs, order, parts, tasks), "answers")
     space.sweep()
     both = packs.unionByName(answers.where("shard >= 0"))
-    model = _learn(both, answers, order, space)
+    model = _learn(both, answers, order, tasks, space)
     space.sweep()
-    return by_shard(both, _scores(model), _SCORE_SQL, _SCORE)
+    return by_shard(both, tasks, _scores(model), _SCORE_SQL, _SCORE)
 
 
-def _answers(packs: DataFrame, order: int, parts: int) -> DataFrame:
-    asked = by_shard(packs, _ask(order, parts), _PART_SQL, _PART)
-    return by_shard(asked, _answer(order), _PART_SQL, _PART)
+def _answers(packs: DataFrame, order: int, parts: int, tasks: int) -> DataFrame:
+    asked = by_shard(packs, tasks, _ask(order, parts), _PART_SQL, _PART)
+    return by_shard(asked, tasks, _answer(order), _PART_SQL, _PART)
 
 
-def _learn(both: DataFrame, answers: DataFrame, order: int, space: Workspace) -> Model:
+def _learn(both: DataFrame, answers: DataFrame, order: int, tasks: int, space: Workspace) -> Model:
     """Sums over the words (three numbers a bucket), and the weights from the deleted slice's classes, whose number is
     bounded by context buckets x classes of each order."""
     sums = [load(r.payload)[0] for r in answers.where("shard = -1").select("payload").toLocalIterator()]
     tokens, vocabulary, deleted = (int(x) for x in (np.sum(sums, 0) if sums else (0, 0, 0)))
     model = Model(order, tokens, vocabulary, np.full((CONTEXT_BUCKETS, order + 1), 1.0 / (order + 1)))
-    classes = by_shard(both, _deleted_classes(model, tokens - deleted), "bucket bigint, classes array<bigint>, n bigint", _CLASS)
+    classes = by_shard(both, tasks, _deleted_classes(model, tokens - deleted), "bucket bigint, classes array<bigint>, n bigint", _CLASS)
     grid = space.settle(classes.groupBy("bucket", "classes").agg(F.sum("n").alias("n")), "classes").collect()
     if not grid:
         return model

@@ -86,9 +86,9 @@ def unpack(payload: bytes) -> tuple[list[np.ndarray], list[bytes]]:
     return columns, [blob[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
 
 
-def by_shard(df: DataFrame, fn: Callable[[int, list[tuple[int, bytes]]], Iterator[tuple]], schema: str, arrow: pa.Schema, key: str = "shard") -> DataFrame:
-    """fn(shard, [(kind, payload), ...]) over each shard's rows. A task takes whole shards one after the other: Spark joins
-    small ones, so that many shards of little data don't cost a task each."""
+def by_shard(df: DataFrame, tasks: int, fn: Callable[[int, list[tuple[int, bytes]]], Iterator[tuple]], schema: str, arrow: pa.Schema, key: str = "shard") -> DataFrame:
+    """fn(shard, [(kind, payload), ...]) over each shard's rows. Shards are dealt out evenly to the tasks; a task takes its
+    shards one after the other, so many shards of little data need not cost a task each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -98,7 +98,8 @@ def by_shard(df: DataFrame, fn: Callable[[int, list[tuple[int, bytes]]], Iterato
         for s, group in groupby(rows(), key=lambda row: row[0]):
             yield from batches(arrow, fn(s, sorted(((k, p) for _, k, p in group), key=lambda x: x[0])))
 
-    return df.select(key, "kind", "payload").repartition(key).sortWithinPartitions(key).mapInArrow(tidy(run), schema)
+    dealt = df.select(key, "kind", "payload").repartitionById(tasks, (F.col(key) % tasks).cast("int"))
+    return dealt.sortWithinPartitions(key).mapInArrow(tidy(run), schema)
 
 
 def chunks(rows: list[tuple[int, bytes]], most: int = 1 << 20) -> Iterator[tuple[list[np.ndarray], list[bytes]]]:
