@@ -125,12 +125,14 @@ def _merge(padded: np.ndarray, rank: np.ndarray, sampled: np.ndarray, rest: np.n
 
 def repeated_starts(segments: list[bytes], rule: Rule) -> list[np.ndarray]:
     """For each segment the starts (in symbols) of windows of the length that also start elsewhere in the segments."""
-    values = [Symbols(x, True).values if rule.words else np.frombuffer(x, np.uint8) for x in segments]
-    sizes = np.array([len(v) for v in values], np.int64)
+    if rule.words:
+        flat, first = hashing.words_of(segments, lower=False)
+        sizes = np.diff(first)
+    else:
+        flat, sizes = np.frombuffer(b"".join(segments), np.uint8), np.array([len(x) for x in segments], np.int64)
     begins = np.concatenate(([0], np.cumsum(sizes[:-1] + 1)))
     inside = np.ones(sizes.sum() + len(sizes) - 1, bool)
     inside[begins[1:] - 1] = False
-    flat = np.concatenate(values)
     text = np.ones(len(inside), np.int64)
     text[inside] = (np.unique(flat, return_inverse=True)[1] if rule.words else flat) + 2
     order = difference_cover_order(text, rule.length)
@@ -327,6 +329,25 @@ def _sorted_out(cells: DataFrame, rules: list[Rule], parts: int, batch: int = 1
     return cells.repartition(parts, "meet").sortWithinPartitions("kind", "meet").mapInArrow(tidy(run), _SPAN_SQL)
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """Spans of windows that meet or overlap as one; those that lie in two batches may stay apart."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            kind, node, lo, hi = (b.column(k).to_numpy() for k in range(4))
+            if not len(lo):
+                continue
+            apart = np.concatenate(([True], (node[1:] != node[:-1]) | (kind[1:] != kind[:-1])))
+            # The furthest end so far within a node and kind: group numbers lift each group above the one before.
+            group = np.cumsum(apart) << 32
+            furthest = np.maximum.accumulate(group + hi)
+            first = np.flatnonzero(apart | np.concatenate(([True], (group + lo)[1:] > furthest[:-1] + 1)))
+            ends = (furthest[np.append(first[1:], len(lo)) - 1] & 0xFFFFFFFF).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind[first], node[first], lo[first], ends)], schema=_SPAN)
+
+    return spans.repartition("node").sortWithinPartitions("node", "kind", "lo").mapInArrow(tidy(run), _SPAN_SQL)
+
+
 def _met(cells: DataFrame) -> DataFrame:
     """The cells whose anchor hash another cell has too."""
     spot = F.xxhash64("node", "lo")
@@ -427,7 +448,7 @@ def _changed(docs: DataFrame, rules: list[Rule], most: int, removing: int, chara
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
-    every = every.distinct().groupBy("node").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("spans"))
+    every = _merged(every).groupBy("node").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("spans"))
     repeats = texts.select("node", "text", "copies").join(every, "node", "left").where("copies > 1 or spans is not null")
     cut = space.settle(_cut(repeats, rules, removing, characters).dropDuplicates(["node"]), "cut")
     space.sweep()
