@@ -29,8 +29,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that start elsewhere too."""
-    return without_repeats(docs, length=400)
+    """Documents without the strings of 400 bytes and the passages of over 50 words that start elsewhere too."""
+    return without_repeats(docs, length=400, words=51)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
