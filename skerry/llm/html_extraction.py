@@ -5,6 +5,9 @@ pass points for their length and commas to the containers above, which are disco
 main around the best container, or else that container and what lies beside it without being mostly links, is kept, block by
 block.
 
+Character references are decoded run by run, as browsers do, so markup inside of one leaves it as it stands. A form is left
+out unless it holds the article. The work grows with the page's length, however deep its elements nest.
+
 Defined results: null html is empty and gives an empty text. Cut tags, unclosed elements and stray ends are allowed. Null
 or repeated page_id: every row is extracted. Empty table: empty result. Other columns are not read.
 """
@@ -12,7 +15,7 @@ or repeated page_id: every row is extracted. Empty table: empty result. Other co
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -23,9 +26,9 @@ from skerry.llm.exchange import batches, small_batches, tidy
 #: Element names of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object noembed noframes xmp".split())
-LEFT_OUT = frozenset("nav footer aside form button select option fieldset label dialog menu head canvas audio video".split())
+LEFT_OUT = frozenset("nav footer aside button select option fieldset label dialog menu head canvas audio video".split())
 BLOCK = frozenset(
-    "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section "
+    "address article blockquote body caption center dd details div dl dt figcaption figure form h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK | LEFT_OUT
@@ -56,13 +59,14 @@ BY_NAME, SURELY = 1, 2
 
 
 class Node:
-    __slots__ = ("guest", "name", "noise", "parent", "parts", "score", "size", "linked")
+    __slots__ = ("guest", "inside", "name", "noise", "parent", "parts", "score", "size", "linked")
 
     def __init__(self, name: str, parent: Node | None, noise: int = 0):
         self.name, self.parent, self.noise = name, parent, noise  # noise: 0, BY_NAME or SURELY
         self.parts: list[Node | str] = []
         self.score, self.size, self.linked = 0.0, 0, 0
         self.guest = False  # an article that is a comment or teaser by name
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
 
 
 def _named(value: str, words: re.Pattern) -> bool:
@@ -76,16 +80,16 @@ def _named(value: str, words: re.Pattern) -> bool:
 
 def _is_noise(name: str, attributes: str, at: Node) -> int:
     """Whether an element is no part of an article, and how sure that is; an article's own header is a part."""
-    if name in LEFT_OUT or name == "header" and not _in_article(at):
+    if name in LEFT_OUT or name == "header" and not at.inside:
         return SURELY
+    noise = BY_NAME if name == "form" else 0  # some pages lie in a form as a whole
     if not attributes or name in ("body", "html", "article", "main"):
-        return 0
-    noise = 0
+        return noise
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in _ROLES:
             return SURELY
-        if key in ("class", "id") and (_named(value, _NOISE) or _named(value, _HEADER) and not _in_article(at)):
+        if key in ("class", "id") and (_named(value, _NOISE) or _named(value, _HEADER) and not at.inside):
             noise = BY_NAME
     return noise
 
@@ -129,23 +133,56 @@ def _spare(root: Node) -> None:
             stack += [p for p in x.parts if isinstance(p, Node) and p.noise != SURELY]
 
 
-def _in_article(x: Node | None) -> bool:
-    while x is not None and x.name not in ("article", "main"):
-        x = x.parent
-    return x is not None
+class _Open:
+    """The open elements from the page down, and how deep those of each name lie."""
+
+    def __init__(self, root: Node):
+        self.line = [root]
+        self.depths: dict[str, list[int]] = {}
+
+    def add(self, node: Node) -> None:
+        self.depths.setdefault(node.name, []).append(len(self.line))
+        self.line.append(node)
+
+    def deepest(self, names: Iterable[str]) -> int:
+        """The depth of the innermost open element of these names; 0 if there is none."""
+        return max((found[-1] for name in names if (found := self.depths.get(name))), default=0)
+
+    def leave(self, depth: int) -> None:
+        while len(self.line) > depth:
+            self.depths[self.line.pop().name].pop()
+
+    def close(self, name: str) -> None:
+        """Leave the innermost element of the name; an inline end stays within its block."""
+        depth = self.deepest((name,))
+        if depth and (name in CLOSES_P or depth >= self.deepest(SCOPES)):
+            self.leave(depth)
+
+    def close_in_scope(self, names: Iterable[str], scope: frozenset[str]) -> None:
+        depth = self.deepest(names)
+        if depth and depth >= self.deepest(scope):
+            self.leave(depth)
+
+
+#: Where an open paragraph, and an open cell or row, end to be seen from inside.
+_P_SCOPE = frozenset({"table", "td", "th"}) | LEFT_OUT | {"form"}
+_ROW_SCOPE = (SCOPES - {"td", "th"}) | LEFT_OUT | {"form"}
+_ITEM_SCOPE = SCOPES | LEFT_OUT | {"form"}
 
 
 def parse(html: str) -> Node:
-    """The page's tree. Text of raw elements is left out; character references stay as they are."""
-    root = at = Node("#page", None)
+    """The page's tree. Text of raw elements is left out; character references are decoded, each text run by itself."""
+    root = Node("#page", None)
+    line = _Open(root)
     i, n = 0, len(html)
     while i < n:
+        at = line.line[-1]
         j = html.find("<", i)
         if j < 0:
-            at.parts.append(html[i:])
+            at.parts.append(unescape(html[i:]))
             break
         if j > i:
-            at.parts.append(html[i:j])
+            at.parts.append(unescape(html[i:j]))
         if html.startswith("<!--", j):
             end = html.find("-->", j + 4)
             i = n if end < 0 else end + 3
@@ -166,12 +203,13 @@ def parse(html: str) -> Node:
         i = tag.end()
         name = tag[2].lower()
         if tag[1]:
-            at = _close(at, name)
+            line.close(name)
             continue
         if name in CLOSES_P:
-            at = _close_in_scope(at, {"p"}, frozenset({"table", "td", "th"}))
+            line.close_in_scope(("p",), _P_SCOPE)
         if name in CLOSES_ITSELF and name != "p":
-            at = _close_in_scope(at, CLOSES_ITSELF[name], SCOPES - {"td", "th"} if name in ("td", "th", "tr") else SCOPES)
+            line.close_in_scope(CLOSES_ITSELF[name], _ROW_SCOPE if name in ("td", "th", "tr") else _ITEM_SCOPE)
+        at = line.line[-1]
         if name in RAW:
             if not tag[3].endswith("/") or name in ("script", "style"):
                 end = re.compile(f"</{re.escape(name)}[\\s/>]", re.IGNORECASE).search(html, i)
@@ -182,34 +220,11 @@ def parse(html: str) -> Node:
         node.guest = name in ("article", "main") and any(key.lower() in ("class", "id") and _named("".join(v), _NOISE) for key, *v in _ATTRIBUTE.findall(tag[3]))
         at.parts.append(node)
         if name not in VOID and not (tag[3].endswith("/") and name not in BLOCK):
-            at = node
+            line.add(node)
     _spare(root)
     return root
 
 
-def _close(at: Node, name: str) -> Node:
-    """Leave the nearest open element of the name; an inline end stays within its block."""
-    x = at
-    while x.parent is not None:
-        if x.name == name:
-            return x.parent
-        if name not in CLOSES_P and x.name in SCOPES:
-            return at
-        x = x.parent
-    return at
-
-
-def _close_in_scope(at: Node, names: set[str], scope: frozenset[str]) -> Node:
-    x = at
-    while x.parent is not None:
-        if x.name in names:
-            return x.parent
-        if x.name in scope or x.name in LEFT_OUT:
-            return at
-        x = x.parent
-    return at
-
-
 def _measure(root: Node) -> list[Node]:
     """Sizes and link text below each node, noise left out; the nodes in page order."""
     order: list[Node] = []
@@ -269,7 +284,7 @@ def best_containers(root: Node) -> list[Node]:
         best = best.parent
     best = next((x for x in _line(best) if x.name in ("article", "main")), best)
     while best.parent is not None and best.name not in ("html", "body"):
-        outer = any(x.name in ("article", "main") for x in _line(best.parent))
+        outer = best.parent.inside
         for x in best.parent.parts:
             if isinstance(x, str) or x.noise or x is best or not x.size:
                 continue
@@ -292,7 +307,7 @@ def _line(x: Node | None) -> Iterator[Node]:
 
 
 def blocks(node: Node) -> Iterator[str]:
-    """The texts of the node's blocks in page order: references decoded, white space as one space, no empty ones."""
+    """The texts of the node's blocks in page order: white space as one space, no empty ones."""
     held: list[str] = []
     stack: list[Node | str | None] = [node]
     while stack:
@@ -300,7 +315,7 @@ def blocks(node: Node) -> Iterator[str]:
         if isinstance(p, str):
             held.append(p)
         elif p is None or p.name in BLOCK:
-            text = " ".join(unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             held.clear()
             if text:
                 yield text
@@ -311,7 +326,7 @@ def blocks(node: Node) -> Iterator[str]:
             held.append(" ")
         else:
             stack += reversed([x for x in p.parts if isinstance(x, str) or not x.noise])
-    text = " ".join(unescape("".join(held)).split())
+    text = " ".join("".join(held).split())
     if text:
         yield text
 

@@ -1,6 +1,7 @@
 """Articles made of known blocks, with noise around and inside, come back block by block."""
 
 import random
+import time
 from html import escape
 
 import pytest
@@ -58,6 +59,9 @@ def test_blocks_come_back(wrap):
         ("<div class=site-header>Site</div><article><header class=post-header><h1>Own</h1></header><p>x<figure><img src=a><figcaption>seen</figure></article>", "Own\nx\nseen"),
         ("<article><p>cut tag here <a href='x", "cut tag here"),
         ("<article><p>5 < 6 and 7 > 3</p></article></div></article>", "5 < 6 and 7 > 3"),
+        ("<p>a &<b>amp;</b> c &am<!-- x -->p; d &amp;amp; e</p>", "a &amp; c &amp; d &amp; e"),
+        ("<body><form id=aspnet><nav>menu</nav><div><p>The text, of a page, that lies in a form as a whole, long enough to be an article, with commas.</p></div></form></body>", "The text, of a page, that lies in a form as a whole, long enough to be an article, with commas."),
+        ("<form id=all><article><p>In it, all.</p><form><p>Your comment, please</p></form></article></form>", "In it, all."),
         ("<SCRIPT>x</SCRIPT ><article><P>Upper</P></article><script>never closed <p>no</p>", "Upper"),
     ],
 )
@@ -93,6 +97,17 @@ def test_wrappers_that_hold_the_article_stay(mark, inner):
     assert main_text(html).split("\n") == body
 
 
+@pytest.mark.parametrize("inner", ["<div class=header>", "<b><div>", "<ul><li>", "<article><header>", "</b><div>", "<p><i>"])
+def test_deep_pages_take_time_in_proportion(inner):
+    def seconds(n):
+        began = time.perf_counter()
+        main_text(inner * n + "text, here" + "</i>" * n)
+        return time.perf_counter() - began
+
+    seconds(2000)
+    assert seconds(32_000) < 40 * max(seconds(2000), 0.01)
+
+
 def test_rows(spark):
     schema = "page_id bigint, url string, html string, text string"
     rows = [(1, "u", "<p>a</p>", "own"), (None, None, None, None), (3, "u", "", ""), (1, "u", "<p>a</p>", "own"), (5, "v", "<article>" + "<p>long text, " * 20000, "")]
