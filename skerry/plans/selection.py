@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skerry.functions.hermite import dictionary
 from skerry.operators import solvers
 from skerry.operators.ranks import hash_halves, rank_gaussianize
 from skerry.operators.scorematch import statistics
+from skerry.operators.weights import one_standard_error
 
 #: Published candidate grids, fixed values: (degree, order, even) and (degree, order).
 STAGE_1 = ((4, 2, False), (4, 3, False), (4, 4, False), (4, 3, True), (4, 4, True))
 STAGE_2 = ((4, 3), (5, 3), (6, 3), (5, 4), (6, 4))
 
 
-def within_memory(candidates: list[tuple], d: int, most_bytes: float | None, linear: bool = False) -> list[tuple]:
-    """Candidates whose gram fits, or the smallest one if none does."""
-    sizes = {c: len(dictionary(d, c[0], c[1], linear, bool(len(c) > 2 and c[2]))) for c in candidates}
+def _terms(d: int, candidate: tuple, linear: bool) -> list:
+    degree, order, *even = candidate
+    return dictionary(d, degree, order, linear, bool(even and even[0]))
+
+
+def candidate_table(spark: SparkSession, candidates: list[tuple], d: int, linear: bool = False) -> DataFrame:
+    """place, candidate (its text), size (terms of its dictionary) and gram_bytes of each candidate."""
+    rows = [(k, str(c), len(_terms(d, c, linear))) for k, c in enumerate(candidates)]
+    return spark.createDataFrame(rows, "place int, candidate string, size bigint").withColumn("gram_bytes", 8.0 * F.col("size") ** 2)
+
+
+def within_memory(table: DataFrame, most_bytes: float | None) -> DataFrame:
+    """The candidates whose gram fits; where none does, the one with the fewest terms."""
     if most_bytes is None:
-        return list(candidates)
-    return [c for c in candidates if 8.0 * sizes[c] ** 2 <= most_bytes] or [min(candidates, key=sizes.get)]
+        return table
+    fits = F.col("gram_bytes") <= most_bytes
+    least = table.agg(F.bool_or(fits).alias("any_"), F.min_by("place", F.struct("size", "place")).alias("least_"))
+    return table.crossJoin(F.broadcast(least)).where(F.when(F.col("any_"), fits).otherwise(F.col("place") == F.col("least_"))).drop("any_", "least_")  # one row
 
 
 def heldout_risks(df: DataFrame, columns: list[str], key: str, candidates: list[tuple], splits: int = 1, seed: int = 0, linear: bool = False) -> dict[tuple, list[float]]:
@@ -35,23 +48,19 @@ def heldout_risks(df: DataFrame, columns: list[str], key: str, candidates: list[
             ranked = part if ranked is None else ranked.unionByName(part)
         ranked = ranked.select("fold", *z).persist()
         for c in candidates:
-            indices = dictionary(len(columns), c[0], c[1], linear, bool(len(c) > 2 and c[2]))
+            indices = _terms(len(columns), c, linear)
             folds = statistics(ranked, z, indices, fold="fold")
             risks[c].append(solvers.heldout_risk(solvers.ridge(folds[0], indices).theta, folds[1]))
         ranked.unpersist()
     return risks
 
 
-def one_standard_error(risks: dict[tuple, list[float]], sizes: dict[tuple, int]) -> tuple:
-    """Within one standard error (population sd) of the least mean the smallest candidate, then the first."""
-    mean = {c: float(np.mean(v)) for c, v in risks.items()}
-    best = min(risks, key=mean.get)
-    limit = mean[best] + float(np.std(risks[best])) / np.sqrt(len(risks[best]))
-    order = list(risks)
-    return min((c for c in risks if mean[c] <= limit), key=lambda c: (sizes[c], order.index(c)))
-
-
 def select(df: DataFrame, columns: list[str], key: str, candidates: list[tuple] = STAGE_1, splits: int = 1, most_bytes: float | None = None, linear: bool = False) -> tuple:
-    kept = within_memory(list(candidates), len(columns), most_bytes, linear)
-    sizes = {c: len(dictionary(len(columns), c[0], c[1], linear, bool(len(c) > 2 and c[2]))) for c in kept}
-    return one_standard_error(heldout_risks(df, columns, key, kept, splits, linear=linear), sizes)
+    """The candidate that the one-standard-error rule takes among those whose gram fits."""
+    spark = df.sparkSession
+    table = within_memory(candidate_table(spark, candidates, len(columns), linear), most_bytes)
+    kept = [candidates[row.place] for row in table.orderBy("place").select("place").collect()]
+    risks = heldout_risks(df, columns, key, kept, splits, linear=linear)
+    rows = spark.createDataFrame([(str(c), float(v)) for c, vs in risks.items() for v in vs], "candidate string, risk double")
+    best = one_standard_error(rows.join(table, "candidate"), "candidate", "risk", "size", "place").first()
+    return candidates[best.place]

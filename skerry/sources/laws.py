@@ -91,6 +91,48 @@ class Law:
             out[:, j] = (self.log_copula_z(up) - self.log_copula_z(down)) / (2 * step)
         return out
 
+    def mixture(self, j: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """A latent coordinate as a normal mixture over quadrature nodes of its inputs: means, weights and the standard deviation.
+
+        Exact up to the quadrature for laws without a rotation, whose coordinates are the latent ones.
+        """
+        bent = next((b for b in self.bends if b.out == j), None)
+        if bent is None:
+            return np.zeros(1), np.ones(1), 1.0
+        x, w = gauss_nodes()
+        grid = np.meshgrid(*[x] * len(bent.inputs), indexing="ij")
+        weight = np.prod(np.meshgrid(*[w] * len(bent.inputs), indexing="ij"), axis=0)
+        return bent.mean(*grid).ravel(), weight.ravel(), float(np.sqrt(bent.variance))
+
+    def marginal_log_pdf(self, j: int, w: np.ndarray) -> np.ndarray:
+        m, share, sd = self.mixture(j)
+        t = (np.asarray(w, float)[:, None] - m) / sd
+        return np.log(np.exp(-0.5 * t**2) @ share) - np.log(sd) - 0.5 * LOG_2PI
+
+    def marginal_cdf(self, j: int, w: np.ndarray) -> np.ndarray:
+        m, share, sd = self.mixture(j)
+        return N.ndtr((np.asarray(w, float)[:, None] - m) / sd) @ share
+
+    def exact_scores(self, w: np.ndarray) -> np.ndarray:
+        """Normal scores of latent rows under the exact marginals."""
+        bent = {b.out for b in self.bends}
+        return np.stack([N.ndtri(self.marginal_cdf(j, w[:, j])) if j in bent else w[:, j] for j in range(self.d)], 1)
+
+    def exact_log_copula(self, w: np.ndarray) -> np.ndarray:
+        """log density of the exact scores against the standard normal, at latent rows. Coordinates that aren't bent cancel."""
+        if self.rotation is not None:
+            raise ValueError("a rotated law's marginals aren't those of its latent coordinates")
+        out = np.zeros(len(w))
+        for b in self.bends:
+            gap = w[:, b.out] - b.mean(*(w[:, i] for i in b.inputs))
+            out += -0.5 * gap**2 / b.variance - 0.5 * np.log(b.variance) - 0.5 * LOG_2PI - self.marginal_log_pdf(b.out, w[:, b.out])
+        return out
+
+    def sample_scores(self, n: int, rng: np.random.Generator, V: np.ndarray | None = None) -> np.ndarray:
+        """Draws of the exact scores, or of their projections."""
+        z = self.exact_scores(self.latent(n, rng))
+        return z if V is None else z @ V
+
     def moments(self, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """M = E[z z'], H = E[(s - z)(s - z)'] and C = E[s s'] by sampling, s the copula score."""
         z = N.inv_logit_phi(self.sample(n, np.random.default_rng(seed)))
@@ -144,60 +186,60 @@ def cusp_bend(a: float = 0.8) -> Law:
 
 @dataclass(frozen=True)
 class QuarticPairs:
-    """Pairs of coordinates coupled by a quartic in their sum, drawn by rejection under the normal envelope; marginals of
-    the pairs are tables."""
+    """Pairs of coordinates coupled by a quartic in their sum; the other coordinates are standard normal.
+
+    In a pair's rotated coordinates s = (w0 + w1) / sqrt 2 and t = (w0 - w1) / sqrt 2 the law is a product: t is normal
+    and s has density exp(-s^2 / 2 - strength s^4 / 12) up to a factor. So draws of s invert its distribution function, and
+    the marginals of w0 and w1 are normal distributions mixed over Gauss-Legendre nodes of s.
+    """
 
     strengths: tuple[float, ...] = (1.0, 1.0, 1.0)
     d: int = 20
-    points: int = 500
-    span: float = 8.0
     name: str = "quartic_pairs"
     active: int = 6
 
-    def energy(self, w: np.ndarray) -> np.ndarray:
-        return sum(s * ((w[:, 2 * k] + w[:, 2 * k + 1]) / np.sqrt(2)) ** 4 / 12 for k, s in enumerate(self.strengths))
-
-    def table(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Grid, marginal density, distribution function and log normaliser of a pair."""
-        g = np.linspace(-self.span, self.span, self.points)
-        q = np.exp(-0.5 * (g[:, None] ** 2 + g**2) - self.strengths[k] * ((g[:, None] + g) / np.sqrt(2)) ** 4 / 12)
-        step = g[1] - g[0]
-        total = q.sum() * step * step
-        pdf = q.sum(1) * step / total
-        return g, pdf, np.clip(np.cumsum(pdf) * step, 1e-12, 1 - 1e-12), float(np.log(total))
-
-    def latent(self, n: int, rng: np.random.Generator, most: float = 20.0) -> np.ndarray:
-        kept, have, tried = [], 0, 0
-        while have < n:
-            if tried > max(n * most, 10_000):
-                raise RuntimeError("too few draws are accepted")
-            w = rng.standard_normal((max(n - have, 1024), self.d))
-            w = w[rng.uniform(size=len(w)) < np.exp(-self.energy(w))]
-            kept.append(w)
-            have += len(w)
-            tried += max(n - have, 1024)
-        return np.concatenate(kept)[:n]
+    def sum_law(self, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Nodes of s with their probabilities, and the log of the density's integral."""
+        x, w = np.polynomial.legendre.leggauss(400)
+        s = 9.0 * x
+        mass = 9.0 * w * np.exp(-0.5 * s**2 - self.strengths[k] * s**4 / 12)
+        return s, mass / mass.sum(), float(np.log(mass.sum()))
+
+    def marginal(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Points w, their normal scores and log densities; the law is even, so the lower half gives the upper one."""
+        s, share, _ = self.sum_law(k)
+        w = np.linspace(-8.0, 0.0, 2049)
+        apart = np.sqrt(2) * w[:, None] - s
+        z = N.ndtri(N.ndtr(apart) @ share)
+        z[-1] = 0.0
+        log_pdf = np.log(np.exp(-0.5 * apart**2) @ share) + 0.5 * np.log(2) - 0.5 * LOG_2PI
+        return np.concatenate((w, -w[-2::-1])), np.concatenate((z, -z[-2::-1])), np.concatenate((log_pdf, log_pdf[-2::-1]))
+
+    def draw_sum(self, k: int, u: np.ndarray) -> np.ndarray:
+        """Quantiles of s."""
+        grid = np.linspace(-9.0, 9.0, 40_001)
+        pdf = np.exp(-0.5 * grid**2 - self.strengths[k] * grid**4 / 12)
+        cdf = np.concatenate(([0.0], np.cumsum((pdf[1:] + pdf[:-1]) / 2)))
+        return np.interp(u, cdf / cdf[-1], grid)
 
     def sample(self, n: int, rng: np.random.Generator) -> np.ndarray:
-        z = self.latent(n, rng)
+        z = rng.standard_normal((n, self.d))
         for k in range(len(self.strengths)):
-            g, _, cdf, _ = self.table(k)
-            for j in (2 * k, 2 * k + 1):
-                z[:, j] = N.ndtri(np.clip(np.interp(z[:, j], g, cdf), 1e-12, 1 - 1e-12))
+            s, t = self.draw_sum(k, rng.uniform(size=n)), z[:, 2 * k]
+            pair = np.stack((s + t, s - t), 1) / np.sqrt(2)
+            w, score, _ = self.marginal(k)
+            z[:, 2 * k : 2 * k + 2] = np.interp(pair, w, score)
         return N.logit_phi(z)
 
     def log_density(self, eta: np.ndarray) -> np.ndarray:
-        eta = np.atleast_2d(eta)
-        w = N.inv_logit_phi(eta)
-        out = N.log_jacobian(w[:, 2 * len(self.strengths) :]).sum(1)
-        for k in range(len(self.strengths)):
-            g, pdf, cdf, log_total = self.table(k)
-            out = out - log_total
-            for j in (2 * k, 2 * k + 1):
-                log_u = -np.logaddexp(0, -eta[:, j])
-                w[:, j] = np.interp(np.exp(log_u), cdf, g)
-                out = out + log_u - np.logaddexp(0, eta[:, j]) - np.interp(w[:, j], g, np.log(np.maximum(pdf, 1e-30)))
-        return out - 0.5 * (w**2).sum(1) - self.energy(w) - 0.5 * (self.d - 2 * len(self.strengths)) * LOG_2PI
+        z = N.inv_logit_phi(np.atleast_2d(eta))
+        out = N.log_jacobian(z).sum(1) - 0.5 * (z**2).sum(1) - 0.5 * self.d * LOG_2PI
+        for k, strength in enumerate(self.strengths):
+            w, score, log_pdf = self.marginal(k)
+            pair = np.interp(z[:, 2 * k : 2 * k + 2], score, w)
+            s, t = pair.sum(1) / np.sqrt(2), (pair[:, 0] - pair[:, 1]) / np.sqrt(2)
+            out += -0.5 * (s**2 + t**2) - strength * s**4 / 12 - 0.5 * LOG_2PI - self.sum_law(k)[2] - np.interp(pair, w, log_pdf).sum(1)
+        return out
 
 
 LAWS: dict[str, Callable[[], Law | QuarticPairs]] = {
