@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 
 from skerry.functions.sqltext import column, horner, num
@@ -101,6 +102,16 @@ def log_phi_sql(x: str) -> str:
     return f"{num(-0.5)} * {x} * {x} - {num(HALF_LOG_2PI)}"
 
 
+def log_gauss_sql(names: list[str], mean: list[float], cov: list[list[float]]) -> str:
+    """log density of a multivariate normal law; mean and covariance become literals."""
+    inverse, (sign, log_det) = np.linalg.inv(cov), np.linalg.slogdet(cov)
+    if sign <= 0:
+        raise ValueError("the covariance isn't positive definite")
+    gap = [f"({x} - {num(m)})" for x, m in zip(names, mean, strict=True)]
+    square = " + ".join(f"{num(inverse[i][j])} * {gap[i]} * {gap[j]}" for i in range(len(gap)) for j in range(len(gap)))
+    return f"{num(-0.5)} * ({square}) - {num(0.5 * (log_det + len(gap) * LOG_2PI))}"
+
+
 def ndtri(p: str) -> Column:
     return column(ndtri_sql(p))
 

@@ -9,7 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.operators.ranks import finite
+from skerry.operators.ranks import finite, quantiles
+
+
+#: Points of a grid that is sent to all tasks.
+MOST_GRID = 100_000
 
 
 def robust_bandwidth(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
@@ -19,9 +23,10 @@ def robust_bandwidth(df: DataFrame, columns: list[str], group: list[str] | None
     """
     group = group or []
     long = df.select(*group, F.explode(F.array(*(F.struct(F.lit(c).alias("coord"), F.col(c).cast("double").alias("x")) for c in columns))).alias("p")).select(*group, "p.*")
-    stats = finite(long, "x").groupBy(*group, "coord").agg(
-        F.count("*").alias("n"), F.stddev_samp("x").alias("sd"), (F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr")
-    )
+    keys = [*group, "coord"]
+    stats = finite(long, "x").groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp("x").alias("sd"))
+    ends = quantiles(long, "x", {"lower_": 0.25, "upper_": 0.75}, keys).select(*keys, (F.col("upper_") - F.col("lower_")).alias("iqr"))
+    stats = stats.join(ends, keys)
     scale = F.when(F.col("iqr") > 0, F.least("sd", F.col("iqr") / 1.34)).otherwise(F.col("sd"))
     h = F.when((F.col("n") < 2) | (F.coalesce("sd", F.lit(0.0)) <= 0), F.lit(1.0)).otherwise(0.9 * scale * F.pow("n", F.lit(-0.2)) / F.col("sd"))
     return stats.withColumn("h", h)
@@ -30,9 +35,12 @@ def robust_bandwidth(df: DataFrame, columns: list[str], group: list[str] | None
 def kde_grid(df: DataFrame, column: str, grid: DataFrame, width: float) -> DataFrame:
     """g, density: the Gaussian kernel density at each grid point g, by counts of distinct values.
 
-    grid: one column g, a few thousand rows. The join is by design all grid points against all distinct values; map-side
-    partial sums leave one row a grid point and task. For columns with many distinct values use binned_kde_grid.
+    grid: one column g, MOST_GRID rows at most (else ValueError). The join is by design all grid points against all distinct
+    values; map-side partial sums leave one row a grid point and task. For columns with many distinct values fit_marginal
+    works on bins.
     """
+    if grid.limit(MOST_GRID + 1).count() > MOST_GRID:
+        raise ValueError(f"a grid has {MOST_GRID} points at most")
     values = finite(df, column).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("c"))
     t = (F.col("g") - F.col("x")) / width
     sums = values.join(F.broadcast(grid)).groupBy("g").agg(F.sum(F.col("c") * F.exp(-0.5 * t * t)).alias("s"), F.sum("c").alias("n"))
@@ -41,25 +49,29 @@ def kde_grid(df: DataFrame, column: str, grid: DataFrame, width: float) -> DataF
 
 @dataclass(frozen=True)
 class Marginal:
-    """A fitted marginal as tables: distribution function and log density on a grid, and the kernel beyond it."""
+    """A fitted marginal as tables: distribution function and log density on a grid, and the kernels' sum beyond it."""
 
     n: int
     width: float
     grid: np.ndarray
     density: np.ndarray
     cdf: np.ndarray
+    mass: np.ndarray  # rows by grid point, shared between neighbours
 
     def pdf(self, x: np.ndarray) -> np.ndarray:
         return np.exp(self.log_pdf(x))
 
     def log_pdf(self, x: np.ndarray) -> np.ndarray:
-        """Cubic interpolation of the log density; beyond the grid the outermost kernel's tail, never a floor."""
+        """Cubic interpolation of the log density on the grid; beyond it the kernels of all bins, never a floor."""
         x = np.asarray(x, float)
-        inside = np.clip(x, self.grid[0], self.grid[-1])
-        out = pchip(self.grid, np.log(np.maximum(self.density, 1e-300)), inside)
-        beyond = x - inside
-        slope = np.abs(inside - self.grid[len(self.grid) // 2])
-        return out - np.where(beyond != 0, 0.5 * (beyond / self.width) ** 2 + np.abs(beyond) * np.minimum(slope, 5 * self.width) / self.width**2, 0.0)
+        out = pchip(self.grid, np.log(np.maximum(self.density, 1e-300)), np.clip(x, self.grid[0], self.grid[-1]))
+        beyond = np.flatnonzero((x < self.grid[0]) | (x > self.grid[-1]))
+        centre, weight = self.grid[self.mass > 0], np.log(self.mass[self.mass > 0])
+        for at in np.array_split(beyond, max(1, -(-len(beyond) // 1000))):
+            logs = weight - 0.5 * ((x[at, None] - centre) / self.width) ** 2
+            top = logs.max(1, initial=-np.inf)
+            out[at] = top + np.log(np.exp(logs - top[:, None]).sum(1)) - math.log(self.n * self.width * math.sqrt(2 * math.pi))
+        return out
 
     def distribution(self, x: np.ndarray) -> np.ndarray:
         least = 0.5 / (self.n + 1)
@@ -90,7 +102,7 @@ def fit_marginal(df: DataFrame, column: str, points: int = 2000, pad: float = 4.
     kernel = np.exp(-0.5 * (offsets / width) ** 2) / (width * math.sqrt(2 * math.pi))
     density = np.convolve(mass, kernel, "full")[len(offsets) // 2 :][:points] / stat.n
     area = np.concatenate(([0.0], np.cumsum((density[1:] + density[:-1]) / 2 * step)))
-    return Marginal(stat.n, width, grid, density, area / area[-1])
+    return Marginal(stat.n, width, grid, density, area / area[-1], mass)
 
 
 def pchip_slopes_np(x: np.ndarray, y: np.ndarray) -> np.ndarray:

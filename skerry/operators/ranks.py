@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.normal import ndtri_sql
-from skerry.functions.sqltext import num
 from skerry.plans.storage import running_total, settle
 
 
@@ -32,20 +31,28 @@ def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ranks, F.col(column).cast("double") == F.col("v_"), "left").drop("v_")
 
 
+def _long(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    """keep, coord (place of the column) and value: a row a column and finite value."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("coord"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns))))
+    return finite(df.select(*keep, pairs.alias("p")).select(*keep, "p.*"), "value")
+
+
 def rank_gaussianize(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
     """Adds the normal quantile of average rank / (n + 1) for each column.
 
-    All columns' distinct values are counted in one long table with one running total; each column joins its part back.
+    All columns' distinct values are counted in one long table with one running total. One join by column and value and one
+    aggregation by row bring the quantiles back, whatever the number of columns; Spark splits the partitions of frequent
+    values, as it is a plain join.
     """
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("coord"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns))))
-    counts = finite(df.select(pairs.alias("p")).select("p.*"), "value").groupBy("coord", "value").agg(F.count("*").alias("n"))
+    rows = settle(df.withColumn("row_", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    counts = _long(rows, columns).groupBy("coord", "value").agg(F.count("*").alias("n"))
     counts = settle(running_total(counts, ["value"], "n", group=["coord"]))
-    totals = {r.coord: r.total for r in counts.groupBy("coord").agg(F.sum("n").alias("total")).collect()}  # a row a column
-    for k, c in enumerate(columns):
-        p = f"((upto - (n - 1) / 2.0) / {num(totals.get(k, 0) + 1)})"
-        part = counts.where(F.col("coord") == k).select(F.col("value").alias("v_"), F.expr(ndtri_sql(p)).alias(f"{c}{suffix}"))
-        df = df.join(part, F.col(c).cast("double") == F.col("v_"), "left").drop("v_")
-    return df
+    totals = counts.groupBy("coord").agg(F.sum("n").alias("total_"))  # a row a column
+    p = "((upto - (n - 1) / 2.0) / CAST(total_ + 1 AS DOUBLE))"
+    scores = counts.join(F.broadcast(totals), "coord").select("coord", "value", F.expr(ndtri_sql(p)).alias("z_"))
+    found = _long(rows, columns, "row_").join(scores, ["coord", "value"])
+    back = found.groupBy("row_").agg(*(F.max(F.when(F.col("coord") == k, F.col("z_"))).alias(f"{c}{suffix}") for k, c in enumerate(columns)))
+    return rows.join(back, "row_", "left").drop("row_")
 
 
 def ecdf_grid(df: DataFrame, column: str) -> DataFrame:
@@ -65,11 +72,18 @@ def tie_jitter(df: DataFrame, column: str, tie_break: list[str]) -> DataFrame:
 
 
 def asof_counts(pool: DataFrame, queries: DataFrame, column: str, id_column: str, group: list[str] | None = None) -> DataFrame:
-    """id, x, below: for each query row the number of pool values up to its x. A union and a running total, not a range join."""
+    """id, x, below: for each query row the number of pool values up to its x.
+
+    A running total over the distinct values of both sides, not a range join; a value that a third of the rows share is one
+    row there, and the join back by value is one whose large partitions Spark splits.
+    """
     group = group or []
-    a = finite(pool, column).select(*group, F.col(column).cast("double").alias("x"), F.lit(1).alias("w_"), F.lit(0).alias("q_"), F.lit(None).cast("bigint").alias("id"))
-    b = finite(queries, column).select(*group, F.col(column).cast("double").alias("x"), F.lit(0).alias("w_"), F.lit(1).alias("q_"), F.col(id_column).cast("bigint").alias("id"))
-    return running_total(a.unionByName(b), ["x", "q_"], "w_", "below", group).where("q_ = 1").select(*group, "id", "x", "below")
+    a = finite(pool, column).select(*group, F.col(column).cast("double").alias("x"), F.lit(1).alias("w_"), F.lit(False).alias("q_"))
+    b = finite(queries, column).select(*group, F.col(column).cast("double").alias("x"), F.col(id_column).cast("bigint").alias("id"))
+    both = a.unionByName(b.select(*group, "x", F.lit(0).alias("w_"), F.lit(True).alias("q_")))
+    counts = both.groupBy(*group, "x").agg(F.sum("w_").alias("w_"), F.bool_or("q_").alias("q_"))
+    upto = running_total(counts, ["x"], "w_", "below", group).where("q_").select(*group, "x", "below")
+    return b.join(upto, [*group, "x"]).select(*group, "id", "x", "below")
 
 
 def asof_cdf(pool: DataFrame, queries: DataFrame, column: str, id_column: str, rule: str = "half") -> DataFrame:
@@ -102,9 +116,40 @@ def contiguous_blocks(df: DataFrame, order: list[str], blocks: int, name: str =
 
 
 def not_sorted(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Per group: rows, drops (steps down in the given order) and spread: a check of sorted pools."""
-    step = F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("s_", step).groupBy(group).agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("s_") < 0).cast("int")), F.lit(0)).alias("drops"), (F.max(value) - F.min(value)).alias("spread"))
+    """Per group: rows, drops (steps down in the given order) and spread: a check of sorted pools.
+
+    Steps are taken inside range partitions; the edges between partitions are a row a group and partition.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(df.select(group, order, value).repartitionByRange(parts, group, order).withColumn("part_", F.spark_partition_id()))
+    down = lambda w: F.coalesce((F.col(value) < F.lag(value).over(w)).cast("bigint"), F.lit(0))
+    inside = ranged.withColumn("s_", down(Window.partitionBy("part_", group).orderBy(order)))
+    ends = inside.groupBy(group, "part_").agg(
+        F.count("*").alias("n"), F.sum("s_").alias("s_"), F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.min_by(value, order).alias("first_"), F.max_by(value, order).alias("last_")
+    )
+    edge = F.coalesce((F.col("first_") < F.lag("last_").over(Window.partitionBy(group).orderBy("part_"))).cast("bigint"), F.lit(0))  # a row a partition
+    sums = ends.withColumn("e_", edge).groupBy(group)
+    return sums.agg(F.sum("n").alias("n"), F.sum(F.col("s_") + F.col("e_")).alias("drops"), (F.max("hi_") - F.min("lo_")).alias("spread"))
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], group: list[str]) -> DataFrame:
+    """group and a column for each share: linearly interpolated quantiles, from counts of distinct values and a running total.
+
+    No task sees all values of a group: the two order statistics of each quantile are picked by their places.
+    """
+    rows = finite(df, value)
+    counts = rows.groupBy(*group, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("n_"))
+    counts = settle(running_total(counts, ["v_"], "n_", "upto_", group))
+    totals = counts.groupBy(*group).agg(F.sum("n_").alias("rows_"))
+    placed = counts.join(totals, group) if group else counts.crossJoin(F.broadcast(totals))  # without groups one row
+    made, parts = [], []
+    for k, (name, share) in enumerate(shares.items()):
+        at = (F.col("rows_") - 1) * F.lit(float(share))
+        for end, place in (("a", F.floor(at)), ("b", F.ceil(at))):
+            here = (F.col("upto_") - F.col("n_") <= place) & (place < F.col("upto_"))
+            made.append(F.max(F.when(here, F.col("v_"))).alias(f"{end}{k}_"))
+        parts.append((F.col(f"a{k}_") + (F.col(f"b{k}_") - F.col(f"a{k}_")) * (at - F.floor(at))).alias(name))
+    return placed.groupBy(*group, "rows_").agg(*made).select(*group, *parts)
 
 
 def cumulative_trapezoid(df: DataFrame, group: str, x: str, density: str) -> DataFrame:

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import normal_np as N
-from skerry.functions.hermite import Index, dictionary, values
+from skerry.functions.hermite import Index, dictionary, feature_blocks, values
 from skerry.functions.normal import LOG_2PI
+from skerry.functions.sobol import sobol
 from skerry.operators import solvers
 from skerry.operators.constrained import fit_constrained
 from skerry.operators.marginals import Marginal, fit_marginal
-from skerry.operators.ranks import hash_halves, rank_gaussianize
+from skerry.operators.ranks import hash_halves, quantiles, rank_gaussianize
 from skerry.operators.scorematch import matrix, score_columns, second_moments, statistics
+from skerry.operators.samples import column_groups
 from skerry.operators.subspace import top_eigenvectors
 from skerry.plans import pairs
 
@@ -45,7 +47,10 @@ class ProductOfMarginals:
     marginals: list[Marginal] = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> ProductOfMarginals:
-        self.marginals = [fit_marginal(df, c) for c in self.columns]
+        """A marginal for each column; columns with the same values share one."""
+        same = column_groups(df, self.columns) if len(self.columns) > 1 else {c: c for c in self.columns}
+        fitted = {c: fit_marginal(df, c) for c in dict.fromkeys(same.values())}
+        self.marginals = [fitted[same[c]] for c in self.columns]
         return self
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
@@ -140,16 +145,6 @@ def kernel_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.exp(np.minimum(q, 0, out=q), out=q).sum(1, keepdims=True)
 
 
-def lattice(n: int, d: int, seed: int = 0) -> np.ndarray:
-    """n points of a randomly shifted Kronecker lattice in the open unit cube."""
-    g = 2.0
-    for _ in range(60):
-        g = (1 + g) ** (1 / (d + 1))
-    steps = (1 / g) ** np.arange(1, d + 1)
-    points = (np.arange(1, n + 1)[:, None] * steps + np.random.default_rng(seed).random(d)) % 1.0
-    return np.clip(points, 1e-12, 1 - 1e-12)
-
-
 def log_mean_exp(x: np.ndarray) -> float:
     """-inf values count; NaN or +inf is an error."""
     if np.isnan(x).any() or np.isposinf(x).any():
@@ -159,16 +154,21 @@ def log_mean_exp(x: np.ndarray) -> float:
 
 
 def log_mass(marginals: list[Marginal], log_factor: Callable[[np.ndarray], np.ndarray], points: int = 1 << 14, seed: int = 0) -> float:
-    """log E of a factor under the product of the marginals. Their distribution functions are those of the smoothed
+    """log E of a factor under the product of the marginals, by shifted Sobol points. Their distribution functions are those of the smoothed
     densities, so a quantile is a centre and its jitter in one."""
-    u = lattice(points, len(marginals), seed)
+    u = sobol(points, len(marginals), seed)
     return log_mean_exp(log_factor(np.stack([m.quantile(u[:, j]) for j, m in enumerate(marginals)], 1)))
 
 
 @dataclass
 class ReducedDensity:
     """log p(x) = L(V' z(x)) + sum_i log f_i(x_i) - log Z - log M: ranks, a subspace from score matching on z, a polynomial from
-    score matching on the projections, kernel marginals, and the mass M that all this has."""
+    score matching on the projections, kernel marginals, and the mass M that all this has.
+
+    secondary: rank the projections again and fit on these scores. rho: weigh coordinate j of the inner fit by 1 + rho / (l_j +
+    eps_w), with l the subspace's eigenvalues or those given. labels: fit the inner part to the first stage's projected scores
+    in place of the derivative form.
+    """
 
     columns: list[str]
     r: int
@@ -181,7 +181,13 @@ class ReducedDensity:
     constrained: bool = False
     points: int = 1 << 14
     seed: int = 0
+    secondary: bool = False
+    rho: float = 0.0
+    eps_w: float = 1e-2
+    eigenvalues: np.ndarray | None = None
+    labels: bool = False
     base: ProductOfMarginals | None = None
+    second: ProductOfMarginals | None = None
     V: np.ndarray | None = None
     theta: np.ndarray | None = None
     inner: list[Index] = field(default_factory=list)
@@ -196,17 +202,34 @@ class ReducedDensity:
         self.base = ProductOfMarginals(self.columns).fit(df)
         z = [f"z{j}" for j in range(d)]
         ranked = map_rows(df.select(key, *self.columns), self.columns, lambda x: dict(zip(z, self.base.ranks(x).T, strict=True)), z).select(key, *z)
-        self.V = V if V is not None else subspace_of(ranked, z, self.r, self.degree, self.order, self.even)[0]
+        first = subspace_of(ranked, z, self.r, self.degree, self.order, self.even) if V is None else None
+        self.V = V if first is None else first[0]
         u = [f"u{j}" for j in range(self.r)]
-        projected = project(ranked, z, self.V, u)
+        weights = None
+        if self.rho:
+            if self.eigenvalues is None and first is None:
+                raise ValueError("weights need the subspace's eigenvalues")
+            weights = 1 + self.rho / (np.asarray(first[1]["eigenvalues"] if self.eigenvalues is None else self.eigenvalues, float) + self.eps_w)
+        if self.labels:
+            if first is None:
+                raise ValueError("labels need the first stage's score")
+            t = [f"t{j}" for j in range(d)]
+            scored = score_columns(ranked.select(key, *z), z, first[1]["indices"], first[1]["theta"])
+            ranked = project(scored, t, self.V, [f"s{j}" for j in range(self.r)])
+        labels = [f"s{j}" for j in range(self.r)] if self.labels else []
+        projected = project(ranked, z, self.V, u).select(key, *u, *labels)
+        if self.secondary:
+            self.second = ProductOfMarginals(u).fit(projected)
+            projected = self._ranked_again(projected, u, labels)
         self.inner = dictionary(self.r, self.inner_degree, self.inner_order or self.r, linear=True)
         halves = hash_halves(projected, key, self.seed)
-        folds = statistics(halves, u, self.inner, fold="fold")
+        folds = statistics(halves, u, self.inner, weights, labels or None, fold="fold")
         both = folds[0].merged(folds[1]) if len(folds) == 2 else next(iter(folds.values()))
         solution = solvers.by_scheme(self.scheme, both, self.inner, (folds[0], folds[1]) if len(folds) == 2 else None)
         self.theta = solution.theta
-        stats = projected.withColumn("l_", _poly(u, self.theta, self.inner)).agg(F.percentile("l_", F.lit(CAP_SHARE)), F.max(F.sqrt(sum((F.col(c) ** 2 for c in u), F.lit(0.0))))).first()
-        level, radius = float(stats[0]), float(stats[1])
+        potential = projected.withColumn("l_", _poly(u, self.theta, self.inner))
+        level = float(quantiles(potential, "l_", {"level": CAP_SHARE}, []).first().level)
+        radius = float(projected.agg(F.max(F.sqrt(sum((F.col(c) ** 2 for c in u), F.lit(0.0))))).first()[0])
         if self.constrained:
             n = both.n
             c = (solution.info.get("c_cov", solvers.TRACE_C), solution.info.get("c_sob", solvers.SOBOLEV))
@@ -214,14 +237,34 @@ class ReducedDensity:
             self.theta, self.info = fit_constrained(m, both.b, both.C, self.inner, self.inner_degree, level, self.theta, max(18.0, 1.5 * radius), self.r)
         else:
             self.cap = level
-        nodes = N.ndtri(lattice(self.points, self.r, self.seed))
+        nodes = N.ndtri(sobol(self.points, self.r, self.seed))
         self.log_z = log_mean_exp(self.potential(nodes))
         self.log_mass = log_mass(self.base.marginals, self.log_factor, self.points, self.seed)
         return self
 
+    def _ranked_again(self, projected: DataFrame, u: list[str], labels: list[str]) -> DataFrame:
+        """Scores of the projections' own marginals in place of the projections; labels follow by the chain rule."""
+        second, r = self.second, self.r
+
+        def again(x: np.ndarray) -> dict[str, np.ndarray]:
+            v = second.ranks(x[:, :r])
+            back = [-0.5 * v[:, j] ** 2 - 0.5 * LOG_2PI - second.marginals[j].log_pdf(x[:, j]) for j in range(r)]
+            return {f"v{j}": v[:, j] for j in range(r)} | {f"w{j}": x[:, r + j] * np.exp(back[j]) for j in range(len(labels))}
+
+        names = [*(f"v{j}" for j in range(r)), *(f"w{j}" for j in range(len(labels)))]
+        key = projected.columns[0]
+        made = map_rows(projected, [*u, *labels], again, names).select(key, *names)
+        return made.toDF(key, *u, *labels)
+
     def log_factor(self, x: np.ndarray) -> np.ndarray:
         """The reduced part, before its mass under the marginals is taken off."""
-        return self.potential(self.base.ranks(x) @ self.V) - self.log_z
+        return self._reduced(self.base.ranks(x) @ self.V)
+
+    def _reduced(self, u: np.ndarray) -> np.ndarray:
+        """log density of the projections against the standard normal."""
+        if not self.secondary:
+            return self.potential(u) - self.log_z
+        return self.potential(self.second.ranks(u)) - self.log_z + self.second.log_density(u) + (0.5 * u**2).sum(1) + 0.5 * u.shape[1] * LOG_2PI
 
     def potential(self, u: np.ndarray) -> np.ndarray:
         return np.minimum(values(u, self.inner) @ self.theta, self.cap)
@@ -231,15 +274,17 @@ class ReducedDensity:
 
     def log_density_u(self, u: np.ndarray) -> np.ndarray:
         """Density of the projections under the model."""
-        return self.potential(u) - self.log_z - 0.5 * (u**2).sum(1) - 0.5 * u.shape[1] * LOG_2PI
-
-    def gradient_u(self, u: np.ndarray, step: float = 1e-5) -> np.ndarray:
-        """Gradient of log_density_u; zero slope of the potential above the cap."""
-        out = np.empty_like(u)
+        return self._reduced(u) - 0.5 * (u**2).sum(1) - 0.5 * u.shape[1] * LOG_2PI
+
+    def gradient_u(self, u: np.ndarray) -> np.ndarray:
+        """Gradient of log_density_u from the polynomials' derivatives; zero slope of the potential above the cap."""
+        if self.secondary:
+            raise NotImplementedError("the gradient is that of the model on the projections themselves")
+        open_ = values(u, self.inner) @ self.theta < self.cap
+        out = -u.copy()
         for j in range(u.shape[1]):
-            e = np.zeros(u.shape[1])
-            e[j] = step
-            out[:, j] = (self.log_density_u(u + e) - self.log_density_u(u - e)) / (2 * step)
+            here, slope, _ = feature_blocks(u, self.inner, j, False)
+            out[:, j] += np.where(open_, slope @ self.theta[here], 0.0)
         return out
 
     def evaluate(self, df: DataFrame, name: str = "log_density") -> DataFrame:

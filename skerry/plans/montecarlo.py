@@ -6,7 +6,9 @@ against the standard normal in v, where log c is a law's log copula density.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,8 @@ from skerry.operators.subspace import complement
 from skerry.plans import pairs
 from skerry.sources.laws import LAWS
 
-OK, REASONS = "ok", ("rank_deficient", "ill_conditioned", "low_ess", "no_mode", "not_finite")
+#: How an integral went. Others: rank_deficient, ill_conditioned, too_many_nodes, no_mode, not_finite, collapsed, stuck, low_ess, high_se.
+OK = "ok"
 
 
 def _log_mean(x: np.ndarray, axis: int = -1) -> np.ndarray:
@@ -81,45 +84,6 @@ def distinct_modes(modes: list[tuple[np.ndarray, np.ndarray]], distance: float =
     return kept
 
 
-def laplace_integral(f: Callable[[np.ndarray], np.ndarray], d: int, draws: int, rng: np.random.Generator, starts: int = 4) -> tuple[float, float, str]:
-    """log of the integral of exp f by importance sampling from a mixture of Gaussians at its modes; share of effective
-    draws; status."""
-    found = [newton_mode(f, s) for s in [np.zeros(d), *rng.standard_normal((starts - 1, d))]]
-    modes = distinct_modes([m for m in found if m is not None])
-    if not modes:
-        return np.nan, 0.0, "no_mode"
-    heights = np.array([f(m[0][None])[0] - 0.5 * np.linalg.slogdet(m[1])[1] for m in modes])
-    share = np.exp(heights - heights.max())
-    share = 0.9 * share / share.sum() + 0.1 / len(modes)
-    pick = rng.choice(len(modes), draws, p=share)
-    roots = [np.linalg.inv(np.linalg.cholesky(m[1] / 1.2)).T for m in modes]
-    x = np.stack([modes[k][0] + roots[k] @ e for k, e in zip(pick, rng.standard_normal((draws, d)), strict=True)])
-    logq = np.stack([np.log(p) - 0.5 * np.einsum("ni,ij,nj->n", x - m[0], m[1] / 1.2, x - m[0]) + 0.5 * np.linalg.slogdet(m[1] / 1.2)[1] for p, m in zip(share, modes, strict=True)])
-    logq = logq.max(0) + np.log(np.exp(logq - logq.max(0)).sum(0)) - 0.5 * d * np.log(2 * np.pi)
-    logw = f(x) - logq
-    if not np.isfinite(logw).all():
-        return np.nan, 0.0, "not_finite"
-    w = np.exp(logw - logw.max())
-    return float(_log_mean(logw)), float(w.sum() ** 2 / (w**2).sum() / draws), OK
-
-
-def quadrature_integral(f: Callable[[np.ndarray], np.ndarray], d: int, nodes: int = 7) -> tuple[float, float, str]:
-    """The same by Gauss-Hermite nodes around the mode; the second number is the share of the largest term."""
-    mode = newton_mode(f, np.zeros(d))
-    if mode is None:
-        return np.nan, 0.0, "no_mode"
-    at, curvature = mode
-    if np.linalg.cond(curvature) > 1e10:
-        return np.nan, 0.0, "ill_conditioned"
-    x, w = np.polynomial.hermite_e.hermegauss(nodes)
-    grid = np.stack(np.meshgrid(*[x] * d, indexing="ij"), -1).reshape(-1, d)
-    logw = np.log(np.stack(np.meshgrid(*[w] * d, indexing="ij"), -1).reshape(-1, d)).sum(1)
-    root = np.linalg.inv(np.linalg.cholesky(curvature)).T
-    logs = logw + f(at + grid @ root.T) + 0.5 * (grid**2).sum(1) - 0.5 * np.linalg.slogdet(curvature)[1]
-    top = logs.max()
-    return float(top + np.log(np.exp(logs - top).sum())), float(np.exp(top - top) / np.exp(logs - top).sum()), OK
-
-
 def hmc(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, draws: int, rng: np.random.Generator, step: float = 0.2, leaps: int = 8, h: float = 1e-4) -> tuple[np.ndarray, float]:
     """Draws of many chains at once and the share of accepted moves over the last 50."""
     d = x.shape[1]
@@ -144,6 +108,163 @@ def hmc(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, draws: int, rng: n
     return np.array(out), float(np.mean(rates[-50:]))
 
 
+@dataclass(frozen=True)
+class Inner:
+    """What an integrator says of exp(f) against the standard normal: log of the integral, the mean of f under the normalised
+    integrand, the share of effective points, the relative standard error, and how it went."""
+
+    log_mass: float = math.nan
+    mean: float = math.nan
+    ess_share: float = 0.0
+    rel_se: float = math.inf
+    status: str = OK
+
+    @property
+    def kl(self) -> float:
+        return self.mean - self.log_mass
+
+
+def _weighed(logw: np.ndarray, f: np.ndarray) -> Inner:
+    """From importance weights and values at the draws; the gate decides on the status."""
+    if not np.isfinite(logw).all():
+        return Inner(status="not_finite")
+    w = np.exp(logw - logw.max())
+    share = float(w.sum() ** 2 / (w**2).sum() / len(w))
+    rel = float(np.sqrt(max(0.0, 1 / share - 1) / len(w)))
+    return Inner(float(_log_mean(logw)), float(w @ f / w.sum()), share, rel, "low_ess" if share < 1e-3 else "high_se" if rel > 0.10 else OK)
+
+
+def _mixture_draws(centres: list[np.ndarray], roots: list[np.ndarray], shares: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Draws of a normal mixture (roots: of the covariances) and its log density there, without the 2 pi."""
+    pick = rng.choice(len(centres), n, p=shares)
+    noise = rng.standard_normal((n, len(centres[0])))
+    x = np.stack(centres)[pick] + np.einsum("nij,nj->ni", np.stack(roots)[pick], noise)
+    logs = [np.log(p) - 0.5 * (np.linalg.solve(r, (x - c).T) ** 2).sum(0) - np.linalg.slogdet(r)[1] for p, c, r in zip(shares, centres, roots, strict=True)]
+    return x, np.logaddexp.reduce(np.stack(logs), 0)
+
+
+def _modes(f: Callable[[np.ndarray], np.ndarray], d: int, rng: np.random.Generator, starts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct maxima of f less half the square norm, from several starts."""
+    g = lambda v: f(v) - 0.5 * (v**2).sum(1)
+    found = [newton_mode(g, x) for x in [np.zeros(d), *rng.standard_normal((starts - 1, d))]]
+    return distinct_modes([m for m in found if m is not None])
+
+
+def laplace_inner(f: Callable[[np.ndarray], np.ndarray], d: int, rng: np.random.Generator, draws: int = 4000, starts: int = 4) -> Inner:
+    """Importance sampling from normal pieces at the integrand's modes, a little wider than it."""
+    modes = _modes(f, d, rng, starts)
+    if not modes:
+        return Inner(status="no_mode")
+    heights = np.array([f(m[None])[0] - 0.5 * m @ m - 0.5 * np.linalg.slogdet(h)[1] for m, h in modes])
+    shares = np.exp(heights - heights.max())
+    shares = 0.9 * shares / shares.sum() + 0.1 / len(modes)
+    x, logq = _mixture_draws([m for m, _ in modes], [np.linalg.cholesky(1.2 * np.linalg.inv(h)) for _, h in modes], shares, draws, rng)
+    values = f(x)
+    return _weighed(values - 0.5 * (x**2).sum(1) - logq, values)
+
+
+def quadrature_inner(f: Callable[[np.ndarray], np.ndarray], d: int, rng: np.random.Generator, nodes: int = 9, starts: int = 4, most: int = 200_000) -> Inner:
+    """Gauss-Hermite nodes around each mode; a point counts for a mode as much as that mode's normal piece has of all pieces
+    there, so that overlapping pieces don't count twice."""
+    if nodes**d > most:
+        return Inner(status="too_many_nodes")
+    modes = _modes(f, d, rng, starts)
+    if not modes:
+        return Inner(status="no_mode")
+    if max(np.linalg.cond(h) for _, h in modes) > 1e10:
+        return Inner(status="ill_conditioned")
+    x, w = np.polynomial.hermite_e.hermegauss(nodes)
+    grid = np.stack(np.meshgrid(*[x] * d, indexing="ij"), -1).reshape(-1, d)
+    logw = np.log(np.stack(np.meshgrid(*[w / w.sum()] * d, indexing="ij"), -1).reshape(-1, d)).sum(1)
+    roots = [np.linalg.cholesky(np.linalg.inv(h)) for _, h in modes]
+    logs, values = [], []
+    for k, ((m, _), root) in enumerate(zip(modes, roots, strict=True)):
+        at = m + grid @ root.T
+        pieces = np.stack([-0.5 * (np.linalg.solve(r, (at - c).T) ** 2).sum(0) - np.linalg.slogdet(r)[1] for (c, _), r in zip(modes, roots, strict=True)])
+        values.append(f(at))
+        logs.append(logw + values[-1] - 0.5 * (at**2).sum(1) + 0.5 * (grid**2).sum(1) + np.linalg.slogdet(root)[1] + pieces[k] - np.logaddexp.reduce(pieces, 0))
+    logs, values = np.concatenate(logs), np.concatenate(values)
+    if not np.isfinite(logs).all():
+        return Inner(status="not_finite")
+    share = np.exp(logs - np.logaddexp.reduce(logs))
+    # All the mass on one node of many: the nodes miss the integrand.
+    return Inner(float(np.logaddexp.reduce(logs)), float(share @ values), float(1 / (share**2).sum() / len(share)), 0.0, "collapsed" if len(share) > 1 and share.max() > 0.999 else OK)
+
+
+def fit_mixture(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 30) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Centres, covariance roots and shares of a normal mixture by expectation-maximisation."""
+    n, d = x.shape
+    centres, spread = x[rng.choice(n, k, replace=False)], np.atleast_2d(np.cov(x.T)) + 1e-6 * np.eye(d)
+    covs, shares = [spread] * k, np.full(k, 1 / k)
+    for _ in range(rounds):
+        logs = []
+        for j in range(k):
+            root = np.linalg.cholesky(covs[j])
+            logs.append(np.log(shares[j]) - 0.5 * (np.linalg.solve(root, (x - centres[j]).T) ** 2).sum(0) - np.linalg.slogdet(root)[1])
+        logs = np.stack(logs)
+        part = np.exp(logs - np.logaddexp.reduce(logs, 0))
+        size = part.sum(1) + 1e-9
+        shares = size / size.sum()
+        centres = (part @ x) / size[:, None]
+        covs = [((x - c).T * p) @ (x - c) / s + 1e-3 * spread for c, p, s in zip(centres, part, size, strict=True)]
+    return list(centres), [np.linalg.cholesky(c) for c in covs], shares
+
+
+def mixture_inner(f: Callable[[np.ndarray], np.ndarray], d: int, rng: np.random.Generator, draws: int = 4000, chains: int = 32, steps: int = 120, pieces: int = 3) -> Inner:
+    """Importance sampling from a normal mixture fitted to Hamiltonian draws of the integrand, with a wide piece beside it."""
+    path, rate = hmc(lambda v: f(v) - 0.5 * (v**2).sum(1), rng.standard_normal((chains, d)), steps, rng)
+    if not np.isfinite(path).all() or rate < 0.05:
+        return Inner(status="stuck")
+    kept = path[steps // 2 :].reshape(-1, d)
+    centres, roots, shares = fit_mixture(kept, pieces, rng)
+    roots = [1.2 * r for r in roots]
+    x, logq = _mixture_draws([*centres, kept.mean(0)], [*roots, 2.0 * np.linalg.cholesky(np.atleast_2d(np.cov(kept.T)) + 1e-6 * np.eye(d))], np.append(0.9 * shares, 0.1), draws, rng)
+    values = f(x)
+    return _weighed(values - 0.5 * (x**2).sum(1) - logq, values)
+
+
+INTEGRATORS = {"quadrature": quadrature_inner, "laplace": laplace_inner, "mixture": mixture_inner}
+
+
+def inner_by_any(f: Callable[[np.ndarray], np.ndarray], d: int, rng: np.random.Generator, methods: tuple[str, ...] = ("quadrature", "laplace", "mixture")) -> tuple[str, Inner]:
+    """The first method whose status is ok, and its answer; where none is, the last one tried."""
+    name, got = methods[0], Inner(status="untried")
+    for name in methods:
+        got = INTEGRATORS[name](f, d, rng)
+        if got.status == OK:
+            break
+    return name, got
+
+
+def conditional_kl_table(spark: SparkSession, law: str, V: np.ndarray, outer: int, seed: int = 0, methods: tuple[str, ...] = ("quadrature", "laplace", "mixture")) -> DataFrame:
+    """point, method, status, kl, log_mass, ess_share, rel_se: for each outer draw the divergence of the law's conditional outside
+    the subspace from the standard normal. A row a point; each has a generator of its own, so results don't depend on the
+    partitions. A V without full column rank gives rows with status rank_deficient."""
+    schema = pa.schema([("point", pa.int64()), ("method", pa.string()), ("status", pa.string()), *((c, pa.float64()) for c in ("kl", "log_mass", "ess_share", "rel_se"))])
+    full = np.linalg.matrix_rank(V) == V.shape[1]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from skerry.functions import normal_np as N
+
+        known = LAWS[law]()
+        basis = np.linalg.qr(V)[0]
+        outside = complement(basis)
+        for batch in it:
+            rows = []
+            for point in batch.column(0).to_pylist():
+                if not full:
+                    rows.append((point, "", "rank_deficient", math.nan, math.nan, 0.0, math.inf))
+                    continue
+                rng = np.random.default_rng([seed, point])
+                at = N.inv_logit_phi(known.sample(1, rng))[0] @ basis @ basis.T
+                name, got = inner_by_any(lambda v, at=at: known.log_copula_z(at + v @ outside.T), outside.shape[1], rng, methods)
+                rows.append((point, name, got.status, got.kl, got.log_mass, got.ess_share, got.rel_se))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    points = spark.range(outer).repartition(max(1, min(outer, spark.sparkContext.defaultParallelism)))
+    return points.mapInArrow(run, "point bigint, method string, status string, kl double, log_mass double, ess_share double, rel_se double")
+
+
 def nested_kl_table(spark: SparkSession, law: str, bases: dict[str, np.ndarray], outer: int, inner: int, seeds: list[int]) -> DataFrame:
     """basis, seed, kl, se, ess: a task a basis and seed."""
     schema = pa.schema([("basis", pa.string()), ("seed", pa.int64()), ("kl", pa.float64()), ("se", pa.float64()), ("ess", pa.float64())])
@@ -158,12 +279,27 @@ def nested_kl_table(spark: SparkSession, law: str, bases: dict[str, np.ndarray],
     return spark.createDataFrame(cells, "basis string, seed bigint").repartition(max(1, len(cells))).mapInArrow(run, "basis string, seed bigint, kl double, se double, ess double")
 
 
-def neighbour_entropy(df: DataFrame, columns: list[str], key: str, k: int = 4) -> float:
-    """Kozachenko-Leonenko entropy in nats from k-th neighbour distances over all rows with finite values. NaN for k rows or
-    fewer."""
-    from math import lgamma, log, pi
+def two_point_weights(k: int, d: int) -> dict[int, float]:
+    """Weights on neighbours k // 4 and k that sum to 1 and cancel the first bias term of dimensions 4 to 7."""
+    if not 4 <= d < 8:
+        raise ValueError("two points serve dimensions 4 to 7")
+    near = max(1, k // 4)
+    g = {j: math.exp(math.lgamma(j + 2 / d) - math.lgamma(j)) for j in (near, k)}
+    return {near: g[k] / (g[k] - g[near]), k: g[near] / (g[near] - g[k])}
+
 
-    d = len(columns)
+def digamma(n: int) -> float:
+    return -0.5772156649015329 + sum(1 / i for i in range(1, n))
+
+
+def neighbour_entropy(df: DataFrame, columns: list[str], key: str, weights: dict[int, float] | None = None) -> dict[str, float]:
+    """entropy (nats), se and n: weighted means over all rows with finite values of log xi_j = d log rho_j + log V_d + log(n - 1) -
+    digamma(j), with rho_j the distance to the j-th neighbour; the variance is that of the weighted terms, at least 0.
+
+    weights: by j, by default all on the fourth. NaN for too few rows.
+    """
+    weights = weights or {4: 1.0}
+    k, d = max(weights), len(columns)
     points = pairs.pack(df.select(key, *columns), columns, lambda x: x, keep=False)
 
     def nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,14 +313,23 @@ def neighbour_entropy(df: DataFrame, columns: list[str], key: str, k: int = 4) -
     def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.partition(np.concatenate([a, b], 1), k, axis=1)[:, : k + 1]
 
+    order = sorted(weights)
+
     def logs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            far = [np.sqrt(np.frombuffer(v.as_buffer()).reshape(-1, k + 1).max(1)) for v in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in far], pa.int64()), pa.array([np.log(np.maximum(x, 1e-300)).sum() for x in far], pa.float64())], ["n", "s"])
+            far = [np.log(np.maximum(np.sqrt(np.sort(np.frombuffer(v.as_buffer()).reshape(-1, k + 1), 1)[:, order]), 1e-300)) for v in b.column(0)]
+            sums = [pa.array([x[:, i].sum() if p == 1 else (x[:, i] ** 2).sum() for x in far], pa.float64()) for i in range(len(order)) for p in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in far], pa.int64()), *sums], ["n", *names])
 
-    found = pairs.all_pairs(points, points, d, nearest, merge).select("value").mapInArrow(logs, "n bigint, s double").groupBy().sum("n", "s").first()
+    names = [f"s{p}_{j}" for j in order for p in (1, 2)]
+    found = pairs.all_pairs(points, points, d, nearest, merge).select("value").mapInArrow(logs, ", ".join(["n bigint", *(f"{x} double" for x in names)])).groupBy().sum("n", *names).first()
     n = found[0] or 0
     if n <= k:
-        return float("nan")
-    digamma = lambda m: -0.5772156649015329 + sum(1 / i for i in range(1, m))
-    return float(digamma(n) - digamma(k) + d / 2 * log(pi) - lgamma(d / 2 + 1) + d * found[1] / n)
+        return {"entropy": math.nan, "se": math.nan, "n": n}
+    mean = square = 0.0
+    for i, j in enumerate(order):
+        shift = d / 2 * math.log(math.pi) - math.lgamma(d / 2 + 1) + math.log(n - 1) - digamma(j)
+        s1, s2 = found[1 + 2 * i] / n, found[2 + 2 * i] / n
+        mean += weights[j] * (d * s1 + shift)
+        square += weights[j] * (d * d * s2 + 2 * d * shift * s1 + shift * shift)
+    return {"entropy": mean, "se": math.sqrt(max(square - mean * mean, 0.0) / n), "n": n}

@@ -1,47 +1,24 @@
-"""Registered queries of the library's operators over the test tables, and the same in SQL where SQL can say it."""
+"""Queries of the library's operators over the test tables, and the same in SQL where SQL can say it."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import normal as P
 from skerry.functions.hermite import dictionary, gradient_sql, hermite_sql, term_sql, total_degrees
 from skerry.functions.sqltext import num
-from skerry.operators import marginals, ranks, scorematch, solvers, subspace, tilt, weights
+from skerry.operators import marginals, ranks, scorematch, solvers, subspace, weights
 from skerry.plans import diagnostics, models, montecarlo, selection
+from skerry.plans.registry import ORACLES, QUERIES, query, rounded, table
 from skerry.sources import laws
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """The columns rounded, without a minus on zero."""
-    for c in columns:
-        df = df.withColumn(c, F.round(c, digits) + 0.0)
-    return df
-
-
 def _avg_rank(column: str, source: str) -> str:
     return f"(rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0)"
 
@@ -464,10 +441,11 @@ def stage_selection(spark, sf_dir):
     return spark.createDataFrame([(str(c), float(v)) for c, vs in risks.items() for v in vs], "candidate string, risk double")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT {s} AS seed, round(ln(2.5), 9) AS log_mass" for s in range(3)))
 def qmc_log_mass(spark, sf_dir):
+    """The mass of a constant factor is that constant, whatever the marginals."""
     base = models.ProductOfMarginals(_XS).fit(_orders(spark, sf_dir))
-    return spark.createDataFrame([(s, models.log_mass(base.marginals, lambda x: np.full(len(x), math.log(2.5)), 4096, s)) for s in range(3)], "seed int, log_mass double")
+    return rounded(spark.createDataFrame([(s, models.log_mass(base.marginals, lambda x: np.full(len(x), math.log(2.5)), 4096, s)) for s in range(3)], "seed int, log_mass double"), "log_mass", digits=9)
 
 
 @query()
@@ -506,20 +484,13 @@ def a_posteriori_bound(spark, sf_dir):
 
 
 @query()
-def tilted_marginals(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").selectExpr("c_acctbal / 2.0e3 AS x0", "(c_custkey % 97) / 1.6e1 - 3 AS x1")
-    return spark.createDataFrame([(k, *map(float, t.theta), float(t.log_norm)) for k, t in enumerate(tilt.fit_tilts(rows, _SCALED))], "k int, t2 double, t4 double, log_norm double")
+def conditional_kl(spark, sf_dir):
+    """Divergences outside a subspace, a row a point, each by the first integrator that works there, with its status."""
+    return montecarlo.conditional_kl_table(spark, "cusp_bend", np.eye(20)[:, [0, 2]], 24, methods=("laplace", "mixture"))
 
 
 @query()
-def knn_entropy(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(3)))
-    return spark.createDataFrame([(montecarlo.neighbour_entropy(rows, _XS, "vec_id"),)], "entropy double")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+def ablation_tuned(spark, sf_dir):
+    """Nine penalties, each tuned by a grid and a closer look around its best strength."""
+    folds = scorematch.statistics(ranks.hash_halves(_orders(spark, sf_dir).selectExpr("o_orderkey", "(x0 - 2.5e5) / 1.4e5 AS x0", "(x1 - 4.5e3) / 3.2e3 AS x1"), "o_orderkey"), _SCALED, dictionary(2, 3, 2), fold="fold")
+    return spark.createDataFrame([(x["penalty"], float(x["strength"]), float(x["risk"])) for x in diagnostics.ablation(folds[0], folds[1], dictionary(2, 3, 2))], "penalty string, strength double, risk double")

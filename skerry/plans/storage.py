@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,19 +10,25 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a local master (tests) gets a folder of our own and others an error, as
+    each machine of a cluster has a /tmp of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read back. The table goes when the application ends."""
+    spark = df.sparkSession
+    name = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
 
 
 def running_total(df: DataFrame, order: list[str], amount: str, name: str = "upto", group: list[str] | None = None) -> DataFrame:
