@@ -1,7 +1,11 @@
 """The corpus pipeline: quality classifier, n-gram Jaccard join, suffix-array dedup, mixing, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir), calls one operator, and returns the rows that go on; all but the last return the
-columns of documents.
+columns of documents, whatever others there are among them.
+
+Defined results, for every stage: a null text counts as empty. Null and repeated doc_id: each row is a row of its own, and
+rows are told apart by their text. An empty table gives an empty one with the same columns. Columns may have the names that
+the operators use inside. Texts are read as a whole, whatever their length. Reruns give the same rows.
 """
 
 from __future__ import annotations
@@ -18,29 +22,34 @@ from skerry.llm.suffix_dedup import without_repeats
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. A posterior of just the threshold counts as kept; without labels of both
+    kinds every document is kept, the empty ones too."""
     judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), host=F.col("source"), path=F.col("lang"), carry=True)
     return judged.where("kept").select("row_.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one with the smallest doc_id and, among equal ids, text hash. Documents
+    without words and those with a null id link nothing and stay."""
     return one_of_each(docs, width=5, percent=80)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes and the passages of over 50 words that start elsewhere too."""
+    """Documents without the strings of 400 bytes and the passages of over 50 words that start elsewhere too. Every copy of them
+    goes, and characters go as a whole; n_chars follows. Documents that lose their whole text stay as empty rows."""
     return without_repeats(docs, length=400, words=51)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: once, twice or not at all. Null sources are one source. Documents without
+    words are left out."""
     mixed = mix(docs, share=1.5, most=2.0, carry=True).where("taken > 0")
     return mixed.select("row_", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))).alias("epoch_")).select("row_.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences; a repeated document has its pieces as often. An empty text is
+    one piece, the end token."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
