@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import resource
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,20 +21,28 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets one
+    of our own; others raise RuntimeError, as each machine has a /tmp of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
 class Workspace:
-    """Tables in the shared folder that cut lineage; they survive lost executors."""
+    """Tables in the shared folder that cut lineage; they survive lost executors. Results read some of them, so they last
+    until the application ends, when Hadoop's file system deletes the folder."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
         small_batches(spark)
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
@@ -82,15 +91,17 @@ _BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of the Arrow batches that go to Python; rows alone don't, where texts are long."""
+    """Bound the bytes of the Arrow batches that go to Python; rows alone don't, where texts are long. The session keeps the
+    bound, as results are computed after the operator has returned."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(spark.conf.get(key)).lower().removesuffix("b")
     if not now.isdigit() or int(now) > _BATCH_BYTES:
         spark.conf.set(key, str(_BATCH_BYTES))
 
 
-#: Bytes that an idle Python worker may keep.
-_LITTLE = 192 << 20
+#: Bytes that an idle Python worker may keep beyond what it had before its first task.
+_LITTLE = 48 << 20
+_fresh: list[int] = []
 
 
 def resident() -> int:
@@ -102,20 +113,31 @@ def resident() -> int:
         return 1 << 62
 
 
+def fresh() -> None:
+    """Notes what a worker has before its first task."""
+    if not _fresh:
+        _fresh.append(resident())
+
+
+def release() -> None:
+    """Gives memory back, unless the worker holds little: collecting garbage takes longer than many a small task."""
+    hashing.POWERS.clear()
+    if resident() >= (_fresh[0] if _fresh else 0) + _LITTLE:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """fn for mapInArrow that gives memory back at its end: Python workers are reused and live on while idle. A worker that
-    holds little keeps it, as collecting garbage takes longer than many a small task."""
+    """fn for mapInArrow that gives memory back at its end: Python workers are reused and live on while idle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         try:
             yield from fn(it)
         finally:
-            hashing.POWERS.clear()
-            if resident() >= _LITTLE:
-                gc.collect()
-                pa.default_memory_pool().release_unused()
-                with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
-                    ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return run
 

@@ -9,7 +9,7 @@ Tables that grow with the data (hosts, domains) are joined by key. The likelihoo
 gram that a language has; it and the names of the languages are on the driver and in the workers, arrays of posteriors have a
 number a language.
 
-Defined results: null text is empty; then the other evidence decides. Null, unknown or repeated declarations, suffixes,
+Defined results: null text is empty; then the other evidence decides. Equal posteriors go to the first language by name. Null, unknown or repeated declarations, suffixes,
 hosts and keys are values like others; every row is returned. Without labelled texts the language is null. Empty table:
 empty result.
 """

@@ -7,7 +7,7 @@ budget. Keys fall into slices; slice sums show the slice in which the budget end
 source of any size costs one partial aggregation and the order of one slice.
 
 Defined results: null text has size 0. Null sources are one source, the last. Null or not positive weights count as the
-least weight. Null or repeated doc_id: every row is mixed; ties in the key go by doc_id, size and text hash. A source
+least weight. Null or repeated doc_id: every row is mixed, a null one by its text; ties in the key go by doc_id, size and text hash. A source
 without words has target 0. Empty table: empty result.
 """
 
@@ -60,7 +60,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weight: Column |
     more = ["row_"] if carry else []
     space = Workspace(docs.sparkSession, "mixing")
     quality = F.greatest(F.coalesce((quality_weight(F.col("text")) if weight is None else weight).cast("double"), F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.ln(uniform(F.col("doc_id"), seed)) / quality).alias("key"), F.xxhash64("text").alias("tie"), *(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(c) for c in more))
+    known = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), (-F.ln(uniform(known, seed)) / quality).alias("key"), F.xxhash64("text").alias("tie"), *(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(c) for c in more))
     rows = space.settle(rows.withColumn("slice", F.floor((1.0 - F.exp(-F.col("key"))) * slices).cast("int")), "rows")
 
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weight: Column |
 ORACLE_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    -ln((CAST('0x' || substr(md5('mix-1-' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+    -ln((CAST('0x' || substr(md5('mix-1-' || coalesce(CAST(doc_id AS VARCHAR), '/' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
       / greatest(0.05, 1.0 - 4.0 * CASE WHEN length(text) > 0
         THEN CAST(length(text) - length(translate(text, '#*$%&|<>!', '')) AS DOUBLE) / length(text) ELSE 0 END) AS key
   FROM documents

@@ -8,7 +8,10 @@ before both are combined, so that nothing counts twice.
 Toxic documents count as bad. The words that give them away are learned from the same sample: those whose labelled texts are
 mostly toxic, beyond chance; how many of them a text has is one more feature.
 
-Sums are partial aggregates of one row a path; the path table joins back by its key. Nothing is collected but the sample
+How much a site counts beside the text is learned on the labelled rows too.
+
+Sums are partial aggregates of one row a path; the path table joins back by its key, which Spark splits where a path is
+large. Nothing is collected but the sample
 and two numbers a level.
 
 Defined results: null text is empty. Null host or path is a group of its own. Null or repeated doc_id: every row is
@@ -109,6 +112,29 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> T
     return TextModel(float(w[0] - weights @ mean), tuple(map(float, weights)), float(y.mean()), tuple(zip(x.min(0).tolist(), x.max(0).tolist(), strict=True)))
 
 
+def crossed_logits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Text evidence for every other row from a fit on the rows between, so that no row's label is in its own evidence."""
+    out = np.zeros(len(x))
+    for k in (0, 1):
+        model = fit(x[1 - k :: 2], y[1 - k :: 2])
+        lo, hi = np.array(model.bounds).T
+        out[k::2] = np.clip(model.bias + np.clip(x[k::2], lo, hi) @ np.array(model.weights), -20, 20)
+    return out
+
+
+def fit_weight(rows: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> float:
+    """What the second column counts beside the first as log-odds of the third, from 0 to 1: a ridge logistic fit of one number.
+    Without rows of both kinds 0."""
+    if not len(rows) or rows[:, 2].min() == rows[:, 2].max():
+        return 0.0
+    text, site, good = rows.T
+    w = 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(text + w * site, -30, 30)))
+        w = min(1.0, max(0.0, w + (site @ (good - p) - ridge * w) / (site**2 @ (p * (1 - p)) + ridge)))
+    return float(w)
+
+
 def _logit(p: Column) -> Column:
     p = F.greatest(F.lit(_FLOOR), F.least(F.lit(1 - _FLOOR), p))
     return F.ln(p / (1 - p))
@@ -124,12 +150,12 @@ def _strength(groups: DataFrame, prior: Column, least: float, most: float) -> fl
     return float(min(most, max(least, row.v / row.e)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most_labelled: int = 20_000, site_weight: float = 0.5, threshold: float = 0.5, carry: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most_labelled: int = 20_000, site_weight: float | None = None, threshold: float = 0.5, carry: bool = False) -> DataFrame:
     """doc_id, text_logit, host_posterior, path_posterior, posterior and kept of each row of docs(doc_id, text, ...).
 
     labels: doc_id, quality (1 good, 0 bad), toxic (1 toxic, which makes a row bad; may be absent). host, path: expressions over docs. most_labelled: labelled rows that the text
     classifier is fitted on, the first in the order of a hash. site_weight: what a site's log-odds against the global prior
-    count beside the text's. threshold: least posterior of kept rows. carry: also return the whole input row as struct row_.
+    count beside the text's; by default learned on the same labelled rows, with text evidence from fits that haven't seen the row. A posterior of just the threshold is kept. threshold: least posterior of kept rows. carry: also return the whole input row as struct row_.
     """
     space = Workspace(docs.sparkSession, "quality")
     more = ["row_"] if carry else []
@@ -146,7 +172,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
     got = np.array([[float(v) for v in r] for r in sample.select(*names, "quality").collect()]).reshape(-1, len(names) + 1)  # bounded by most_labelled
     model = fit(got[:, :-1], got[:, -1])
 
-    rows = rows.select("doc_id", "host_", "path_", *more, model.logit().alias("text_logit"))
+    features, rows = rows, rows.select("doc_id", "host_", "path_", *more, model.logit().alias("text_logit"))
     rows = rows.withColumn("p", 1 / (1 + F.exp(-F.col("text_logit"))))
     paths = space.settle(rows.groupBy("host_", "path_").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host_").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -158,9 +184,18 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
     path_strength = _strength(joined, F.col("host_posterior"), 2.0, 1e4)
     plan = space.settle(joined.select(F.col("host_").alias("h_"), F.col("path_").alias("q_"), "n", "s", "host_posterior"), "sites")
 
-    rows = rows.join(plan, F.col("host_").eqNullSafe(F.col("h_")) & F.col("path_").eqNullSafe(F.col("q_")))
-    others = (F.col("s") - F.col("p") + path_strength * F.col("host_posterior")) / (F.col("n") - 1 + path_strength)
-    rows = rows.withColumn("path_posterior", others)
-    evidence = F.col("text_logit") + site_weight * (_logit(F.col("path_posterior")) - _logit(F.lit(prior)))
+    def with_site(of: DataFrame) -> DataFrame:
+        """Adds path_posterior, without the row's own p, and its log-odds against the global prior."""
+        others = (F.col("s") - F.col("p") + path_strength * F.col("host_posterior")) / (F.col("n") - 1 + path_strength)
+        of = of.join(plan, F.col("host_").eqNullSafe(F.col("h_")) & F.col("path_").eqNullSafe(F.col("q_"))).withColumn("path_posterior", others)
+        return of.withColumn("site_", _logit(F.col("path_posterior")) - _logit(F.lit(prior)))
+
+    if site_weight is None:
+        sample = with_site(features.join(known, "doc_id").withColumn("p", 1 / (1 + F.exp(-model.logit())))).select(*names, "site_", "quality", F.xxhash64("doc_id").alias("h"), "doc_id")
+        sample = bounded_sample(sample, "h", ["doc_id", *names], n_known, most_labelled)
+        got = np.array([[float(v) for v in r] for r in sample.select(*names, "site_", "quality").collect()]).reshape(-1, len(names) + 2)  # bounded by most_labelled
+        site_weight = fit_weight(np.column_stack((crossed_logits(got[:, :-2], got[:, -1]), got[:, -2:])))
+    rows = with_site(rows)
+    evidence = F.col("text_logit") + site_weight * F.col("site_")
     rows = rows.withColumn("posterior", 1 / (1 + F.exp(-evidence)))
     return rows.select("doc_id", "text_logit", "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= threshold).alias("kept"), *more)

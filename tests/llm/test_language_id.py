@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skerry.llm.language_id import GRAMS, GramTable, identify
 
@@ -58,3 +59,17 @@ def test_every_labelled_language_can_be_the_answer(spark):
     dense = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * GRAMS))
     text = np.random.default_rng(1).poisson(0.1, GRAMS)
     assert np.allclose(table.logs(text), dense @ text, rtol=1e-12)
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    """Other columns, whatever their names, change nothing; a tie goes to the first language by name; long texts are read whole."""
+    rows = [(*r[:6], r[6]) for r in corpus()[:60]]
+    rows += [("page", 900, "kata lopi " * 40_000, "bb", "bb", "bb.site1.example", None), ("page", 901, "7 7 7", None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labelled = df.where("id < 400").select("lang", "text")
+    plain = {r.id: tuple(r) for r in identify(df, labelled).collect()}
+    wide = df.select("*", *(F.lit(1).alias(c) for c in ("domain", "first", "others", "sums", "k_", "v_", "d_", "probability", "text_logs")))
+    assert {r.id: tuple(r) for r in identify(wide, labelled).collect()} == plain and plain[900][2] == "aa"
+    tie = spark.createDataFrame([("page", 1, "", None, None, None, None)], SCHEMA)
+    same = spark.createDataFrame([("bb", "mmm"), ("aa", "mmm")], "lang string, text string")
+    assert identify(tie, same).first().lang == "aa"

@@ -78,3 +78,44 @@ def test_empty_and_untrained(spark):
     assert not score_documents(spark.createDataFrame([], SCHEMA)).collect()
     row = score_documents(spark.createDataFrame([(None, "a b", "")], SCHEMA)).first()
     assert row.held_out and row.n_tokens == 3 and row.n_known == 0 and row.train_tokens == 0 and np.isfinite([row.score, row.base_score]).all()
+
+
+def plain_em(rows, start, strength, rounds=60):
+    """Mixture weights by the textbook: rows of component probabilities, each with a count; strength pseudo-counts of the start."""
+    w = list(start)
+    for _ in range(rounds):
+        counts = [strength * s for s in start]
+        for p, c in rows:
+            whole = sum(a * b for a, b in zip(w, p, strict=True))
+            for k in range(len(w)):
+                counts[k] += c * w[k] * p[k] / whole
+        w = [c / sum(counts) for c in counts]
+    return w
+
+
+def test_weights_against_plain_em():
+    rng = np.random.default_rng(3)
+    cells = np.stack([rng.integers(-4, 20, 60), rng.integers(2, 24, 60)], 1)
+    cells[rng.random(60) < 0.3, 1] = _NEVER
+    buckets, n = rng.integers(0, 3, 60), rng.integers(1, 50, 60)
+    got = learn_weights(buckets, cells, n, 2)
+    probability = lambda x: 0.0 if x == _NEVER else 2.0 ** ((x + 0.5) * _STEP)
+    rows = [([1.0, *map(probability, c)], int(k)) for c, k in zip(cells.tolist(), n, strict=True)]
+    overall = plain_em(rows, [1 / 3] * 3, 1.0)
+    for b in range(4):
+        want = plain_em([r for r, x in zip(rows, buckets, strict=True) if x == b], overall, 5.0)
+        assert np.allclose(got[b], want, atol=1e-6)
+
+
+def test_classes_lose_little():
+    """Weights from exact estimates give nearly the same likelihood as those from classes of half a power of two."""
+    rng = np.random.default_rng(4)
+    ratios = np.exp(rng.normal([2.0, 4.0], [1.5, 2.5], (4000, 2)))
+    ratios[rng.random(4000) < 0.4, 1] = 0.0
+    fit, held = ratios[:2000], ratios[2000:]
+    exact = plain_em([([1.0, *r], 1) for r in fit.tolist()], [1 / 3] * 3, 1.0)
+    cells = np.where(fit > 0, np.floor(np.log2(np.maximum(fit, 1e-300)) / _STEP), _NEVER).astype(int)
+    keys, n = np.unique(cells, axis=0, return_counts=True)
+    classes = learn_weights(np.zeros(len(keys), int), keys, n, 2)[0]
+    loss = lambda w: np.log10(w[0] + held @ np.asarray(w[1:])).mean()
+    assert 0 <= abs(loss(exact) - loss(classes)) < 2e-3

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 
@@ -59,3 +60,34 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     assert [name for name, _ in pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "suffix_array_dedup", "source_mixing", "best_fit_packing"]
     assert pipeline.run(spark, folder).count() > 50
+
+
+CLASHING = "node string, text_hash int, shard string, kind int, payload string, n int, size int, key int, host_ string, h int, p int, row_ int, epoch_ int, taken int, piece int, start int"
+
+
+def test_odd_rows_and_clashing_columns(spark, folder):
+    """Names that the operators use inside, repeated rows, null and empty texts, null ids, long words: no stage trips over them."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(40)
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (None, "x y z " * 30, "en", "s0", 180), (7, None, "", "", 1), (7, "z" * 30_000, "xx", "s1", 30_000), (8, "a b\n" * 4000, "en", "s2", 16_000)]
+    docs = docs.unionByName(spark.createDataFrame(odd + odd, SCHEMA))
+    names = [c.strip().rsplit(" ", 1) for c in CLASHING.split(",")]
+    wide = docs.select("*", *(F.lit(str(k) if t == "string" else k).cast(t).alias(n) for k, (n, t) in enumerate(names)))
+    rows = wide
+    for name, stage in pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, folder)
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        rows = spark.read.parquet(f"{folder}/{name}")
+        assert rows.columns == wide.columns, name
+        assert rows.where("size = 6 and node = '0' and start = 15").count() == rows.count() > 0, name
+    packed = pipeline.pack(spark, rows, folder)
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns) and packed.count() >= rows.count()
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for labels in (folder, str(tmp_path)):
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, labels)
+            assert not out.collect(), name
+            assert name == "best_fit_packing" or out.columns == docs.columns, name

@@ -1,5 +1,6 @@
 """Statistics against plain counting, learned rules against planted ones, and the classifier's shrinkage."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from skerry.llm.quality_classifier import classify, fit
+from skerry.llm.quality_classifier import classify, fit, fit_weight
 from skerry.llm.quality_rules import judge, learn_rules, statistics
 
 SCHEMA = "doc_id bigint, text string, n_words string, source string, lang string"
@@ -110,3 +111,52 @@ def test_toxic_documents_are_bad(spark):
     docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r.kept for r in classify(docs, known, F.col("source"), F.col("lang")).collect()}
     assert all(got[k] == (k % 4 != 0) for k in range(600))
+
+
+def test_posteriors_against_plain_sums(spark):
+    """Hosts, paths and posteriors again from the text evidence, by dictionaries."""
+    rows, labels = corpus()
+    rows = [(*r[:3], f"s{k % 7}" if k % 5 else None, f"p{k % 3}") for k, r in enumerate(rows)]
+    df, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = classify(df, known, F.col("source"), F.col("lang"), site_weight=0.7, carry=True).collect()
+    share = lambda x: 1 / (1 + math.exp(-x))
+    log_odds = lambda p: math.log(min(1 - 1e-4, max(1e-4, p)) / (1 - min(1 - 1e-4, max(1e-4, p))))
+    hosts, paths = {}, {}
+    for r in got:
+        for table, key in ((hosts, r.row_.source), (paths, (r.row_.source, r.row_.lang))):
+            table.setdefault(key, []).append(share(r.text_logit))
+    prior = sum(map(sum, hosts.values())) / len(got)
+
+    def strength(groups):
+        """groups: values and the mean they shrink towards."""
+        big = [(v, m) for v, m in groups if len(v) > 1]
+        within = sum(len(v) * m * (1 - m) for v, m in big)
+        excess = sum(len(v) * (sum(v) / len(v) - m) ** 2 - m * (1 - m) for v, m in big)
+        return min(1e4, max(2.0, within / excess)) if big and excess > 0 else 1e4
+
+    a = strength([(v, prior) for v in hosts.values()])
+    host = {k: (sum(v) + a * prior) / (len(v) + a) for k, v in hosts.items()}
+    b = strength([(v, host[k[0]]) for k, v in paths.items()])
+    for r in got:
+        own, key = share(r.text_logit), (r.row_.source, r.row_.lang)
+        path = (sum(paths[key]) - own + b * host[key[0]]) / (len(paths[key]) - 1 + b)
+        posterior = share(r.text_logit + 0.7 * (log_odds(path) - log_odds(prior)))
+        assert math.isclose(r.host_posterior, host[key[0]], rel_tol=1e-9) and math.isclose(r.path_posterior, path, rel_tol=1e-9)
+        assert math.isclose(r.posterior, posterior, rel_tol=1e-7, abs_tol=1e-12) and r.kept == (r.posterior >= 0.5)
+
+
+def test_learned_site_weight():
+    rng = np.random.default_rng(2)
+    text, site = rng.normal(0, 2, 4000), rng.normal(0, 1.5, 4000)
+    good = (rng.random(4000) < 1 / (1 + np.exp(-(text + 0.6 * site)))).astype(float)
+    assert abs(fit_weight(np.stack((text, site, good), 1)) - 0.6) < 0.1
+    assert fit_weight(np.stack((text, -site, good), 1)) == 0.0 and fit_weight(np.zeros((0, 3))) == 0.0 and fit_weight(np.ones((5, 3))) == 0.0
+
+
+def test_held_out_error(spark):
+    """Fitted on half of the labelled rows of the test tables; the other half tells the error."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    judged = classify(docs, labels.where("doc_id % 2 = 0"), F.col("source"), F.col("lang")).select("doc_id", "kept")
+    held = labels.where("doc_id % 2 = 1").withColumn("good", F.expr("quality = 1 and toxic = 0")).join(judged, "doc_id").collect()
+    wrong = sum(r.good != r.kept for r in held)
+    assert len(held) > 1500 and wrong <= 0.04 * len(held)
