@@ -88,6 +88,18 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """span_hashes of words, with sums over about a piece of the data at a time."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + piece, "right")))
+        first, last = starts[at], ends[upto - 1]
+        out[at:upto] = span_hashes(prefix_sums(data[first:last]), starts[at:upto] - first, ends[at:upto] - first)
+        at = upto
+    return out
+
+
 def fold(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of a sequence of hashes, element by element."""
     total = np.zeros(len(parts[0]), np.uint64)

@@ -38,6 +38,8 @@ from skerry.llm.exchange import Workspace, batches, binary_column, partitions, t
 CELLS = (None, 16, 1)
 
 _CHUNK = 8 << 20
+#: Windows of a text that get their anchors at once: a very long text takes no more memory than this asks for.
+_PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -53,14 +55,15 @@ class Rule:
         return 2 * self.length - 1 if self.words else self.length
 
 
-class Symbols:
-    """A text as symbols: their values, the sums that hash any run of them, and their places in bytes."""
+def symbols(text: bytes, words: bool) -> np.ndarray:
+    """A text as symbols: its bytes, or the hashes of its words."""
+    data = np.frombuffer(text, np.uint8)
+    return hashing.word_hashes(data, *hashing.word_spans(data)) if words else data
 
-    def __init__(self, text: bytes, words: bool):
-        data = np.frombuffer(text, np.uint8)
-        self.starts, self.ends = hashing.word_spans(data) if words else (None, None)
-        self.values = hashing.span_hashes(hashing.prefix_sums(data), self.starts, self.ends) if words else data
-        self.sums = hashing.prefix_sums(data) if not words else hashing.sums_of(self.values)
+
+def sums_of(values: np.ndarray) -> np.ndarray:
+    """The sums that hash any run of symbols."""
+    return hashing.prefix_sums(values) if values.dtype == np.uint8 else hashing.sums_of(values)
 
 
 def byte_range(text: bytes, words: bool):
@@ -185,8 +188,8 @@ _SPAN_SQL = "kind int, node bigint, lo int, hi int"
 _SPAN = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
-def _cells(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """rows: node, text. The segments of all anchors: anchor hash (meet), segment hash (whole), a place, and the other places
+def cells_of(rules: list[Rule]):
+    """For batches of node and text the segments of all anchors: anchor hash (meet), segment hash (whole), a place, and the other places
     of the same chunk that have an equal segment (more; null if none)."""
 
     def of_chunk(kind: int, texts: list[tuple[int, bytes]]) -> pa.RecordBatch | None:
@@ -194,12 +197,12 @@ def _cells(rows: DataFrame, rules: list[Rule]) -> DataFrame:
         for node, text in texts:
             if len(text) < rule.least_bytes():
                 continue
-            symbols = Symbols(text, rule.words)
-            if len(symbols.values) < rule.length:
-                continue
-            at, h, lo, hi = anchors(symbols.sums, rule.length, rule.gram)
-            whole = hashing.fold([hashing.span_hashes(symbols.sums, lo, hi + rule.length), (at - lo).astype(np.uint64)])
-            found.append((h, whole, np.full(len(at), node), lo, hi, at))
+            values = symbols(text, rule.words)
+            for start in range(0, len(values) - rule.length + 1, _PIECE):  # segments end where pieces do; sorting sees to the rest
+                sums = sums_of(values[start : start + _PIECE + rule.length - 1])
+                at, h, lo, hi = anchors(sums, rule.length, rule.gram)
+                whole = hashing.fold([hashing.span_hashes(sums, lo, hi + rule.length), (at - lo).astype(np.uint64)])
+                found.append((h, whole, np.full(len(at), node), lo + start, hi + start, at + start))
         if not found:
             return None
         meet, whole, *place = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -235,7 +238,7 @@ def _cells(rows: DataFrame, rules: list[Rule]) -> DataFrame:
                 if out := of_chunk(kind, texts):
                     yield out
 
-    return rows.select("node", "text").mapInArrow(tidy(run), _MANY_SQL)
+    return run
 
 
 def _places(cells: DataFrame) -> DataFrame:
@@ -279,9 +282,9 @@ def _finer(cells: DataFrame, most_windows: int, rules: list[Rule]) -> DataFrame:
                 for kind, meet, _, node, lo, _, at, text in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                     length = rules[kind].length
                     windows = min(most_windows, length)
-                    symbols, range_ = Symbols(text, rules[kind].words), byte_range(text, rules[kind].words)
-                    sums = symbols.sums
-                    place = (at - lo - np.arange(len(symbols.values) - length + 1)) // windows
+                    values, range_ = symbols(text, rules[kind].words), byte_range(text, rules[kind].words)
+                    sums = sums_of(values)
+                    place = (at - lo - np.arange(len(values) - length + 1)) // windows
                     first = np.flatnonzero(np.diff(place, prepend=place[0] + 1))
                     last = np.append(first[1:] - 1, len(place) - 1)
                     begin = at - lo - (place[first] + 1) * windows + 1  # where the place's first window starts, in the segment or before
@@ -417,7 +420,7 @@ def _changed(docs: DataFrame, rules: list[Rule], most: int, removing: int, chara
     base = space.settle(rows.select("doc_id", "node", "n_bytes", F.sha2("text", 256).alias("sha")), "base")
     nodes = base.where(long_).groupBy("node", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"))
     nodes = space.settle(nodes, "nodes")
-    cells = space.settle(_cells(rows.where(long_), rules), "cells")
+    cells = space.settle(rows.where(long_).select("node", "text").mapInArrow(tidy(cells_of(rules)), _MANY_SQL), "cells")
     met = space.settle(_met(cells), "met")
     space.drop("cells")
     found = space.settle(_classes(met), "found")
@@ -464,8 +467,8 @@ def _covered(text: bytes, rule: Rule, spans: list[dict], copied: bool) -> np.nda
     edge = np.zeros(len(text) + 1, np.int64)
     range_ = byte_range(text, rule.words)
     if copied and len(text) >= rule.least_bytes():
-        symbols = len(hashing.word_spans(np.frombuffer(text, np.uint8))[0]) if rule.words else len(text)
-        spans = [{"lo": 0, "hi": symbols - rule.length}] if symbols >= rule.length else []
+        count = len(hashing.word_spans(np.frombuffer(text, np.uint8))[0]) if rule.words else len(text)
+        spans = [{"lo": 0, "hi": count - rule.length}] if count >= rule.length else []
     if spans:
         a, z = range_(np.array([x["lo"] for x in spans]), np.array([x["hi"] for x in spans]) + rule.length)
         np.add.at(edge, a, 1)

@@ -6,11 +6,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skerry.llm.suffix_dedup import Rule, difference_cover_order, repeated_starts, suffix_dedup, without_repeats
+import skerry.llm.suffix_dedup as suffix_dedup_module
+from skerry.llm.suffix_dedup import Rule, difference_cover_order, repeated_starts, suffix_dedup, symbols, without_repeats
 
 SCHEMA = "doc_id bigint, text string, node string"
 
@@ -112,6 +114,25 @@ def runs(gone):
     return sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
 
 
+def test_pieces_of_long_texts(spark, monkeypatch):
+    """Texts are cut into pieces of windows; what lies across their edges is found all the same."""
+    monkeypatch.setattr(suffix_dedup_module, "_PIECE", 23)
+    rows = corpus(40, n=30, seed=9)
+    texts = [(k, (r[1] or "").encode()) for k, r in enumerate(rows)]
+    for rule in (Rule(40, 8), Rule(6, 2, True)):
+        covered = {k: set() for k, _ in texts}
+        batch = pa.RecordBatch.from_pydict({"node": [k for k, _ in texts], "text": [t for _, t in texts]})
+        for b in suffix_dedup_module.cells_of([rule])(iter([batch])):
+            for k, lo, hi in zip(*(b.column(x).to_pylist() for x in ("node", "lo", "hi")), strict=True):
+                covered[k] |= set(range(lo, hi + 1))
+            for more in b.column("more").to_pylist():
+                for p in np.frombuffer(more or b"", suffix_dedup_module._PLACE):
+                    covered[int(p["node"])] |= set(range(p["lo"], p["hi"] + 1))
+        for k, t in texts:
+            n = len(t.split()) if rule.words and not re.search(rb"[\x0e-\x1f\x85\xa0]", t) else len(symbols(t, rule.words))
+            assert covered[k] == set(range(n - rule.length + 1))
+
+
 @pytest.mark.parametrize("most", [1000, 2])
 def test_passages_of_words(spark, most):
     rows = corpus(40, seed=most)
