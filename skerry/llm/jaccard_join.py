@@ -29,6 +29,8 @@ from skerry.llm.packs import by_shard, chunks, dump, load, pack
 _HALF = np.uint64((1 << 48) - 1)
 _PIECE = 1 << 20
 _CHUNK = 8 << 20
+#: What a text with a word has: a character that isn't white space.
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -474,13 +476,14 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, the first by doc_id and text; rows that link nothing stay, repeated or not."""
     joined = jaccard_join(docs, width, percent)
-    first = joined.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash", F.lit(True).alias("linked_"))
-    alone = joined.where("root is null").select("doc_id", "text_hash", F.lit(False).alias("linked_")).distinct()
-    kept = first.unionByName(alone).select(F.col("doc_id").alias("doc_"), F.col("text_hash").alias("hash_"), "linked_")
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("doc_id").cast("bigint").alias("id_"), F.xxhash64("text").alias("text_"))
-    keyed = keyed.join(kept.hint("merge"), F.col("id_").eqNullSafe(F.col("doc_")) & (F.col("text_") == F.col("hash_")))
+    first = joined.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"))
+    kept = first.select(F.col("x.doc_id").alias("doc_"), F.col("x.text_hash").alias("hash_"))
+    # Rows that link nothing go on as they are: however many there are, they meet in no task.
+    links = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(_WORD), F.lit(False))
+    keyed = docs.where(links).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"), F.col("doc_id").cast("bigint").alias("id_"), F.xxhash64("text").alias("text_"))
+    keyed = keyed.join(kept.hint("merge"), (F.col("id_") == F.col("doc_")) & (F.col("text_") == F.col("hash_")))
     again = F.row_number().over(Window.partitionBy("id_", "text_").orderBy("hash_"))  # exact repeats of one row only
-    return keyed.withColumn("again_", again).where("again_ = 1 or not linked_").select("row_.*")
+    return keyed.withColumn("again_", again).where("again_ = 1").select("row_.*").unionByName(docs.where(~links))
 
 
 def _chosen(sketch: DataFrame, rows: DataFrame, parts: int, tasks: int) -> DataFrame:
