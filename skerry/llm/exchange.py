@@ -83,8 +83,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def tasks_for(size: int, most: int, each: int = 4 << 20) -> int:
-    """How many tasks to deal so many bytes out to."""
-    return max(1, min(most, -(-size // each)))
+    """How many tasks to deal the `most` shards of so many bytes out to: each gets as many whole shards as any other, or one less."""
+    shards = max(1, most // max(1, -(-size // each)))
+    return -(-most // shards)
 
 
 _BATCH_BYTES = 8 << 20
