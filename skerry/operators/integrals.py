@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def nested_log_mean(outer: DataFrame, inner: DataFrame, key: str, log_term: str,
     return sums.select(key, (F.col("top_") + F.ln(F.col("s_") / F.col("n_"))).alias("log_mean"), (F.col("s_") * F.col("s_") / F.col("q_")).alias("ess"))
 
 
+def tensor_nodes(spark: SparkSession, counts: list[int], prefix: str = "v") -> DataFrame:
+    """A row a point of a tensor of Gauss-Hermite rules: v0, v1, .. and the weight w, for the standard normal. counts: nodes of
+    each coordinate, more for those that matter more; their product is the number of rows."""
+    if math.prod(counts) > MOST:
+        raise ValueError(f"the rule has more than {MOST} points")
+    out = None
+    for j, n in enumerate(counts):
+        x, w = np.polynomial.hermite_e.hermegauss(n)
+        axis = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, w / w.sum(), strict=True)], f"{prefix}{j} double, w_ double")
+        out = axis.withColumnRenamed("w_", "w") if out is None else out.crossJoin(axis).withColumn("w", F.col("w") * F.col("w_")).drop("w_")  # counts are checked
+    return out
+
+
 def inner_divergence(outer: DataFrame, nodes: DataFrame, key: str, log_excess: str, weight: str) -> DataFrame:
     """key, kl: sum over quadrature nodes of weight * exp(l) * l, with l the excess of a joint log density over a reduced one."""
     pairs = outer.crossJoin(checked(nodes)).withColumn("l_", F.expr(log_excess))

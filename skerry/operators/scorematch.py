@@ -46,6 +46,68 @@ def block_sums(z: np.ndarray, indices: list[Index], weights: np.ndarray | None =
     return A, b, C
 
 
+_ROWS_SQL = "fold int, k int, v array<double>"
+
+
+def _added_up(parts: DataFrame) -> dict[int, dict[int, np.ndarray]]:
+    """Rows of partial sums (fold, k, v) of all partitions, added up in Spark: by fold and k."""
+
+    def added(table: pa.Table) -> pa.Table:
+        rows = np.stack(table.column("v").to_pylist())
+        return pa.table([table.column("fold")[:1].cast(pa.int32()), table.column("k")[:1].cast(pa.int32()), pa.array([rows.sum(0)], pa.list_(pa.float64()))], names=["fold", "k", "v"])
+
+    sums = parts.groupBy("fold", "k").applyInArrow(added, _ROWS_SQL).toArrow()
+    raw: dict[int, dict[int, np.ndarray]] = {}
+    for f, k, v in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), sums.column(2), strict=True):
+        raw.setdefault(f, {})[k] = v.values.to_numpy()
+    return raw
+
+
+@dataclass
+class ScoreMoments:
+    """Means over n rows of a score field t and its rows z: C = E t t', TZ = E t z', ZZ = E z z', and E |t|^4."""
+
+    n: int
+    C: np.ndarray
+    TZ: np.ndarray
+    ZZ: np.ndarray
+    fourth: float
+
+    def stein_residual(self) -> float:
+        """How far TZ is from ZZ - I, relative to the latter."""
+        s = self.ZZ - np.eye(len(self.ZZ))
+        scale = np.linalg.norm(s)
+        return float(np.linalg.norm(self.TZ - s) / (scale if scale >= 1e-12 else 1.0))
+
+
+def score_moments(df: DataFrame, columns: list[str], indices: list[Index], theta: np.ndarray) -> ScoreMoments:
+    """The moments of the score field t_i = sum_k theta_k d_i H_k in one pass; the field itself is never stored.
+
+    Each partition returns 2 d + 1 rows. Rows with values that are not finite are left out.
+    """
+    d = len(columns)
+    schema = pa.schema([("fold", pa.int32()), ("k", pa.int32()), ("v", pa.list_(pa.float64()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2 * d + 1, 2 * d))
+        for b in it:
+            z = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(d)], 1).astype(float)
+            z = z[np.isfinite(z).all(1)]
+            t = np.empty_like(z)
+            for i in range(d):
+                here, first, _ = feature_blocks(z, indices, i, False)
+                t[:, i] = first @ theta[here]
+            both = np.concatenate((t, z), 1)
+            total[: 2 * d] += both.T @ both
+            total[2 * d, :2] += len(z), ((t**2).sum(1) ** 2).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(total)), pa.int32()), pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], schema=schema)
+
+    raw = _added_up(df.select(*(F.col(c).cast("double") for c in columns)).mapInArrow(run, _ROWS_SQL))[0]
+    n, fourth = raw[2 * d][:2]
+    sums = np.stack([raw[k] for k in range(2 * d)]) / max(n, 1.0)
+    return ScoreMoments(int(n), sums[:d, :d], sums[:d, d:], sums[d:, d:], float(fourth / max(n, 1.0)))
+
+
 def statistics(df: DataFrame, columns: list[str], indices: list[Index], weights: np.ndarray | None = None, scores: list[str] | None = None, fold: str | None = None) -> dict[int, Stats]:
     """Statistics by fold (one fold 0 without a fold column), in one pass; partial sums are added up by Spark.
 
@@ -72,15 +134,7 @@ def statistics(df: DataFrame, columns: list[str], indices: list[Index], weights:
             yield pa.RecordBatch.from_arrays([pa.array([f] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], schema=schema)
 
     picked = df.select(*(F.col(c).cast("double") for c in [*columns, *(scores or [])]), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"))
-    def added(table: pa.Table) -> pa.Table:
-        rows = np.stack(table.column("v").to_pylist())
-        return pa.table([table.column("fold")[:1], table.column("k")[:1], pa.array([rows.sum(0)], pa.list_(pa.float64()))], schema=schema)
-
-    parts = picked.mapInArrow(run, "fold int, k int, v array<double>")
-    sums = parts.groupBy("fold", "k").applyInArrow(added, "fold int, k int, v array<double>").toArrow()  # folds x (m + d + 2) rows
-    raw: dict[int, dict[int, np.ndarray]] = {}
-    for f, k, v in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), sums.column(2), strict=True):
-        raw.setdefault(f, {})[k] = v.values.to_numpy()
+    raw = _added_up(picked.mapInArrow(run, _ROWS_SQL))  # folds x (m + d + 2) rows
     out: dict[int, Stats] = {}
     for f, x in raw.items():
         n = float(x[m + 1 + d][0])

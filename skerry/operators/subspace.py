@@ -31,6 +31,12 @@ def randomized_eigenvectors(apply, d: int, r: int, extra: int = 10, rounds: int
     return l, q @ u
 
 
+def haar_basis(d: int, r: int, seed: int) -> np.ndarray:
+    """r orthonormal columns, uniformly distributed."""
+    q, t = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, r)))
+    return q * np.sign(np.diag(t))
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(np.linalg.svd(orthonormal(a).T @ orthonormal(b), compute_uv=False), 0.0, 1.0)
 

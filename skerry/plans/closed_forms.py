@@ -16,6 +16,7 @@ from skerry.plans import diagnostics, models, selection
 from skerry.plans.registry import query, rounded, table
 
 _XS = ["x0", "x1"]
+_EIG = lambda p: f"({p}00 + {p}11) / 2.0e0 + sqrt(power(({p}00 - {p}11) / 2.0e0, 2) + {p}01 * {p}01)"
 _TERMS = dictionary(2, 3, 1)  # second and third degree along each axis: the gram falls into a 2 x 2 block an axis
 _ROWS = "SELECT o_orderkey, (o_totalprice - 2.5e5) / 1.4e5 AS x0, (o_custkey % 97) / 2.8e1 - 1.7e0 AS x1 FROM orders"
 
@@ -175,11 +176,56 @@ def penalty_ablation(spark, sf_dir):
     return rounded(spark.createDataFrame(found, "penalty string, strength double, risk double"), "risk")
 
 
+_FREE = [x for i in range(2) for x in _theta(i, _combined("3.0e0", "1.0e-5", 2), _combined("3.0e0", "1.0e-5", 3))]
+_HELD_AT_ZERO = [x for i in range(2) for x in _centred(i, _combined("3.0e0", "1.0e-5", 2), _combined("3.0e0", "1.0e-5", 3))]
+
+
+@query(f"WITH f AS ({_FOLDS}), m AS ({_KNOWN} ({_MEANS} f WHERE fold = 0)), h AS ({_MEANS} f WHERE fold = 1), t AS (" + " UNION ALL ".join(f"SELECT '{name}' AS name, u0, u1, v0, v1, {', '.join(f'{x} AS th{j}' for j, x in enumerate(theta))} FROM m" for name, theta in (("centred", _HELD_AT_ZERO), ("free", _FREE))) + f") SELECT name AS \"constraint\", round({_RISK}, 6) + 0.0 AS risk, round(sqrt(power(t.u0 * th0 + t.v0 * th1, 2) + power(t.u1 * th2 + t.v1 * th3, 2)), 6) + 0.0 AS residual FROM t, h")
+def centring_ablation(spark, sf_dir):
+    """Held-out risk with and without the constraint of mean derivatives zero."""
+    folds = scorematch.statistics(ranks.hash_halves(_rows(spark, sf_dir), "o_orderkey"), _XS, _TERMS, fold="fold")
+    rows = [tuple(x.values()) for x in diagnostics.centring(folds[0], folds[1], _TERMS)]
+    return rounded(spark.createDataFrame(rows, "constraint string, risk double, residual double"), "risk", "residual")
+
+
+def _first(i: int) -> str:
+    """Means over one axis of a dictionary of the first and the second degree."""
+    slope = f"({num(math.sqrt(2))} * x{i})"
+    return f"avg({slope}) AS c{i}, avg({slope} * {slope}) AS e{i}, avg(x{i}) AS p{i}, avg(x{i} * {slope} - {num(math.sqrt(2))}) AS q{i}"
+
+
+_LAMBDA = f"1.0e-4 * greatest({', '.join(f'(1.0e0 + e{i}) / 2.0e0 + sqrt(power((1.0e0 - e{i}) / 2.0e0, 2) + c{i} * c{i})' for i in range(2))})"
+_BOTH = [(f"((p{i} * (e{i} + 4.0e0 * r) - c{i} * q{i}) / ((1.0e0 + r) * (e{i} + 4.0e0 * r) - c{i} * c{i}))", f"((q{i} * (1.0e0 + r) - c{i} * p{i}) / ((1.0e0 + r) * (e{i} + 4.0e0 * r) - c{i} * c{i}))") for i in range(2)]
+
+
+@query(f"""WITH m AS (SELECT {_first(0)}, {_first(1)} FROM ({_ROWS})), k AS (SELECT *, {_LAMBDA} AS r FROM m), t AS (SELECT *, {', '.join(f'{x} AS t{2 * i + j}' for i, pair in enumerate(_BOTH) for j, x in enumerate(pair))} FROM k)
+SELECT 1 AS degree, 2 AS terms, round(power(p0 / (1.0e0 + 1.0e-4), 2) + power(p1 / (1.0e0 + 1.0e-4), 2), 6) AS trace FROM t UNION ALL
+SELECT 2, 4, round(t0 * t0 + 2.0e0 * c0 * t0 * t1 + e0 * t1 * t1 + t2 * t2 + 2.0e0 * c1 * t2 * t3 + e1 * t3 * t3, 6) FROM t""")
+def saturation_closed(spark, sf_dir):
+    """Traces of the fitted score's second moment over growing dictionaries, from one pass over the largest."""
+    ladder = diagnostics.saturation(_rows(spark, sf_dir), _XS, [(1, 1), (2, 1)])
+    return rounded(spark.createDataFrame([(x["degree"], x["terms"], x["trace"]) for x in ladder], "degree int, terms int, trace double"), "trace")
+
+
+_RANKED = " , ".join(f"(rank() OVER (ORDER BY x{i}) + (count(*) OVER (PARTITION BY x{i}) - 1) / 2.0e0) / (count(*) OVER () + 1) AS r{i}" for i in range(2))
+_CURVE = num(math.sqrt(2))
+
+
+@query(f"""WITH r AS (SELECT {_RANKED} FROM ({_ROWS})), z AS (SELECT {', '.join(f'{P.ndtri_sql(f"r{i}")} AS z{i}' for i in range(2))} FROM r),
+a AS (SELECT {', '.join(f'avg(2.0e0 * z{i} * z{i}) AS a{i}, avg({_CURVE} * z{i} * z{i} - {_CURVE}) AS b{i}' for i in range(2))} FROM z),
+t AS (SELECT {', '.join(f'b{i} / (a{i} + 4.0e-4 * greatest(a0, a1)) * {_CURVE} * z{i} AS t{i}' for i in range(2))} FROM z, a),
+c AS (SELECT avg(t0 * t0) AS m00, avg(t0 * t1) AS m01, avg(t1 * t1) AS m11 FROM t), e AS (SELECT *, {_EIG('m')} AS l FROM c)
+SELECT round(l, 9) AS eigenvalue, round(m00 + m11, 9) AS trace, round(power(m01, 2) / (power(m01, 2) + power(l - m00, 2)), 6) AS share FROM e""")
+def subspace_closed(spark, sf_dir):
+    """Ranks, score matching and the leading direction, with a dictionary that SQL can solve: second degrees alone."""
+    V, info = models.fit_subspace(_rows(spark, sf_dir), _XS, 1, 2, 1)
+    return rounded(rounded(spark.createDataFrame([(float(info["eigenvalues"][0]), info["trace"], float(V[0, 0] ** 2))], "eigenvalue double, trace double, share double"), "eigenvalue", "trace", digits=9), "share")
+
+
 # --- subspaces of two dimensions -----------------------------------------------------------------------------------
 
 _TWO = """WITH m AS (SELECT avg(x0 * x0) AS m00, avg(x0 * x1) AS m01, avg(x1 * x1) AS m11, avg(y0 * y0) AS h00, avg(y0 * y1) AS h01, avg(y1 * y1) AS h11
 FROM (SELECT x0, x1, x0 + 5.0e-1 * x1 AS y0, 1.5e0 * x1 - 2.0e-1 * x0 AS y1 FROM (""" + _ROWS + ")))"
-_EIG = lambda p: f"({p}00 + {p}11) / 2.0e0 + sqrt(power(({p}00 - {p}11) / 2.0e0, 2) + {p}01 * {p}01)"
 _LOW = lambda p: f"({p}00 + {p}11) / 2.0e0 - sqrt(power(({p}00 - {p}11) / 2.0e0, 2) + {p}01 * {p}01)"
 _FORM = lambda p, a, b: f"({p}00 * {a}0 * {b}0 + {p}01 * ({a}0 * {b}1 + {a}1 * {b}0) + {p}11 * {a}1 * {b}1)"
 
@@ -267,12 +313,16 @@ def moments_of_two_tables(spark, sf_dir):
 
 @query(f"WITH f AS ({_FIELD}), c AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, avg(t{i} * x{j}) AS tz, avg(x{i} * x{j}) - {float(i == j)} AS s FROM f" for i in range(2) for j in range(2)) + f") SELECT round(sqrt(sum(power(tz - s, 2))) / sqrt(sum(s * s)), 6) AS residual, (SELECT round(avg(power(t0 * t0 + t1 * t1, 2)), 6) FROM f) AS fourth FROM c")
 def stein_check(spark, sf_dir):
-    """Stein's residual of a score field, and its fourth moment."""
-    field = _field(spark, sf_dir).persist()
-    fourth = field.agg(F.avg(F.pow(F.col("t0") ** 2 + F.col("t1") ** 2, F.lit(2.0)))).first()[0]
-    out = [(scorematch.stein_residual(field, _XS, ["t0", "t1"]), fourth)]
-    field.unpersist()
-    return rounded(spark.createDataFrame(out, "residual double, fourth double"), "residual", "fourth")
+    """Stein's residual of a score field and its fourth moment, in one pass that never stores the field."""
+    got = scorematch.score_moments(_rows(spark, sf_dir), _XS, _INDEX, np.array(_THETA))
+    return rounded(spark.createDataFrame([(got.stein_residual(), got.fourth)], "residual double, fourth double"), "residual", "fourth")
+
+
+@query(f"WITH f AS ({_FIELD}) " + _pairs(lambda i, j: f"round(avg(t{i} * t{j}), 6) + 0.0 AS c FROM f"))
+def score_second_moment(spark, sf_dir):
+    """The score's second moment, from the same pass."""
+    c = scorematch.score_moments(_rows(spark, sf_dir), _XS, _INDEX, np.array(_THETA)).C
+    return rounded(spark.createDataFrame([(i, j, float(c[i, j])) for i in range(2) for j in range(i, 2)], "i int, j int, c double"), "c")
 
 
 _BY_DEGREE = lambda k, i: " + ".join(f"{num(t)} * {g}" for t, x in zip(_THETA, _INDEX, strict=True) if sum(x[1]) == k and (g := gradient_sql(x, _XS, i))) or num(0.0)

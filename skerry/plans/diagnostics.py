@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skerry.functions.hermite import Index, dictionary, total_degrees, values
 from skerry.operators import solvers
 from skerry.operators.ranks import asof_cdf, hash_halves, rank_gaussianize
-from skerry.operators.scorematch import Stats, matrix, score_columns, second_moments, statistics
+from skerry.operators.scorematch import Stats, score_moments, statistics
 from skerry.operators.subspace import complement, top_eigenvectors
 from skerry.functions.normal import ndtri_sql
 
@@ -63,12 +63,9 @@ def a_posteriori_bound(df: DataFrame, columns: list[str], key: str, r: int, degr
     z, d = [f"{c}_z" for c in columns], len(columns)
     indices = dictionary(d, degree, order)
     theta = solvers.ridge(statistics(rank_gaussianize(first, columns), z, indices)[0], indices).theta
-    t = [f"t{i}" for i in range(d)]
-    scored = score_columns(transfer_ranks(first, second, columns, key).select(*z), z, indices, theta)
-    c = matrix(second_moments(scored, t), d, d, "m")
-    fourth = scored.agg(F.avg(F.pow(sum((F.col(x) ** 2 for x in t), F.lit(0.0)), F.lit(2.0))).alias("m"), F.count("*").alias("n")).first()
-    tail = float(np.sort(np.linalg.eigvalsh(c))[: d - r].sum())
-    return {"tail": tail, "fourth": float(fourth.m), "bound": tail + math.sqrt(d - r) * math.sqrt(fourth.m / (fourth.n * delta))}
+    held = score_moments(transfer_ranks(first, second, columns, key).select(*z), z, indices, theta)
+    tail = float(np.sort(np.linalg.eigvalsh(held.C))[: d - r].sum())
+    return {"tail": tail, "fourth": held.fourth, "bound": tail + math.sqrt(d - r) * math.sqrt(held.fourth / (held.n * delta))}
 
 
 def truncation_gap(ranked: DataFrame, z: list[str], key: str, small: tuple[int, int], large: tuple[int, int]) -> dict[str, float]:
@@ -95,6 +92,13 @@ def penalised_risk(stats: Stats, held: Stats, indices: list[Index], penalty: str
     return solvers.heldout_risk(solvers.centred(stats, matrix_).theta, held)
 
 
+def centring(stats: Stats, held: Stats, indices: list[Index]) -> list[dict]:
+    """constraint, risk, residual: the combined penalty with and without mean derivatives held at zero, from the same statistics."""
+    penalty = solvers.combined_penalty(stats, indices, stats.n)
+    fits = {"centred": solvers.centred(stats, penalty).theta, "free": np.linalg.solve(stats.A + penalty, stats.b)}
+    return [{"constraint": name, "risk": solvers.heldout_risk(t, held), "residual": float(np.linalg.norm(stats.C @ t))} for name, t in fits.items()]
+
+
 #: Strengths that a search starts from, by penalty and kind.
 STRENGTHS = {"combined": np.array([0.3, 1.0, 3.0, 10.0, 30.0]), "fixed": np.logspace(-6, 0, 19), "rows": np.logspace(-1, 4, 16)}
 

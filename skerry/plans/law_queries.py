@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,17 +133,17 @@ def nested_mean(spark, sf_dir):
     return rounded(integrals.nested_log_mean(outer, inner, "c_custkey", _TERM), "log_mean", "ess")
 
 
-_HERMITE = [(float(a), float(b), float(x * y)) for a, x in zip(*laws.gauss_nodes(9), strict=True) for b, y in zip(*laws.gauss_nodes(9), strict=True)]
+_NODE_COUNTS = [9, 5]
+_HERMITE = [(float(a), float(b), float(x * y)) for a, x in zip(*laws.gauss_nodes(_NODE_COUNTS[0]), strict=True) for b, y in zip(*laws.gauss_nodes(_NODE_COUNTS[1]), strict=True)]
 _EXCESS = "2.0e-1 * u * v0 - 1.0e-1 * v1 * v1 + 1.0e-1 * v0 * v1"
 
 
 @query(f"""WITH n(v0, v1, w) AS (VALUES {', '.join(f'({num(a)}, {num(b)}, {num(w)})' for a, b, w in _HERMITE)}), o AS (SELECT c_custkey, c_acctbal / 5.0e3 AS u FROM customer), p AS (SELECT c_custkey, w, {_EXCESS} AS l FROM o, n)
 SELECT c_custkey, round(sum(w * exp(l) * l), 6) + 0.0 AS kl FROM p GROUP BY c_custkey""")
 def quadrature_divergence(spark, sf_dir):
-    """An inner divergence by tensor Gauss-Hermite nodes for each outer row."""
+    """An inner divergence by tensor Gauss-Hermite nodes, graded by coordinate, for each outer row."""
     outer = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 5e3).alias("u"))
-    nodes = spark.createDataFrame(_HERMITE, "v0 double, v1 double, w double")
-    return rounded(integrals.inner_divergence(outer, nodes, "c_custkey", _EXCESS, "w"), "kl")
+    return rounded(integrals.inner_divergence(outer, integrals.tensor_nodes(spark, _NODE_COUNTS), "c_custkey", _EXCESS, "w"), "kl")
 
 
 _BUDGETS, _SEEDS, _N = [256, 1024], [0, 1, 2], 1024

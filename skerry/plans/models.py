@@ -19,7 +19,7 @@ from skerry.operators import solvers
 from skerry.operators.constrained import fit_constrained
 from skerry.operators.marginals import Marginal, fit_marginal
 from skerry.operators.ranks import hash_halves, quantiles, rank_gaussianize
-from skerry.operators.scorematch import matrix, score_columns, second_moments, statistics
+from skerry.operators.scorematch import matrix, score_columns, score_moments, second_moments, statistics
 from skerry.operators.samples import column_groups
 from skerry.operators.subspace import top_eigenvectors
 from skerry.plans import pairs
@@ -64,6 +64,12 @@ class ProductOfMarginals:
         return map_rows(df, self.columns, lambda x: {name: self.log_density(x)}, [name])
 
 
+def log_copula_of(log_density: Callable[[np.ndarray], np.ndarray], marginals: list[Marginal], z: np.ndarray) -> np.ndarray:
+    """log density of normal scores z against the standard normal, for a density of the columns whose marginals are fitted."""
+    x = np.stack([m.quantile(N.ndtr(z[:, j])) for j, m in enumerate(marginals)], 1)
+    return log_density(x) - sum(m.log_pdf(x[:, j]) for j, m in enumerate(marginals))
+
+
 @dataclass
 class GaussianCopula(ProductOfMarginals):
     correlation: np.ndarray | None = None
@@ -307,10 +313,10 @@ def subspace_of(ranked: DataFrame, z: list[str], r: int, degree: int = 4, order:
     indices = dictionary(len(z), degree, order, even=even)
     stats = statistics(ranked, z, indices)[0]
     solution = solvers.ridge(stats, indices, strength)
-    t = [f"t{j}" for j in range(len(z))]
-    c = matrix(second_moments(score_columns(ranked.select(*z), z, indices, solution.theta), t), len(z), len(z), "m")
+    moments = score_moments(ranked.select(*z), z, indices, solution.theta)
+    c = moments.C
     l, v = top_eigenvectors(c, r)
-    return v, {"eigenvalues": l, "trace": float(np.trace(c)), "rest": float(np.trace(c) - l.sum()), "stats": stats, "theta": solution.theta, "C": c, "indices": indices}
+    return v, {"eigenvalues": l, "stein": moments.stein_residual(), "fourth": moments.fourth, "trace": float(np.trace(c)), "rest": float(np.trace(c) - l.sum()), "stats": stats, "theta": solution.theta, "C": c, "indices": indices}
 
 
 def fit_subspace(df: DataFrame, columns: list[str], r: int, degree: int = 4, order: int = 2, even: bool = False):

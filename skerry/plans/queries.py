@@ -467,7 +467,7 @@ def jhi_descent(spark, sf_dir):
 @query()
 def nested_mc_kl(spark, sf_dir):
     law = laws.cusp_bend()
-    bases = {"exact": np.eye(20)[:, :4], "other": np.eye(20)[:, 4:8], "estimated": law.subspace(4, 4000)}
+    bases = {"exact": np.eye(20)[:, :4], "other": np.eye(20)[:, 4:8], "estimated": law.subspace(4, 4000)} | {f"random{k}": subspace.haar_basis(20, 4, k) for k in range(2)}
     return montecarlo.nested_kl_table(spark, "cusp_bend", bases, 40, 256, [0, 1])
 
 

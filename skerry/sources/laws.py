@@ -264,6 +264,31 @@ def sample_law(spark: SparkSession, name: str, n: int, seed: int = 0) -> DataFra
     return spark.range(-(-n // BLOCK)).mapInArrow(run, "row_id bigint, eta array<double>, log_density double")
 
 
+def law_moments(spark: SparkSession, name: str, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """M, H and C as Law.moments, over blocks of draws on the executors; the sums are 3 d x d numbers a block's task."""
+    schema = pa.schema([("k", pa.int32()), ("v", pa.list_(pa.float64()))])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        law = LAWS[name]()
+        total = np.zeros((2 * law.d, 2 * law.d))
+        for b in it:
+            for block in b.column(0).to_pylist():
+                z = N.inv_logit_phi(law.sample(min(BLOCK, n - block * BLOCK), np.random.default_rng([seed, block])))
+                both = np.concatenate((z, law.score_z(z)), 1)
+                total += both.T @ both
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], schema=schema)
+
+    def added(table: pa.Table) -> pa.Table:
+        return pa.table([table.column("k")[:1], pa.array([np.stack(table.column("v").to_pylist()).sum(0)], pa.list_(pa.float64()))], schema=schema)
+
+    parts = spark.range(-(-n // BLOCK)).mapInArrow(run, "k int, v array<double>")
+    rows = sorted((r.k, r.v) for r in parts.groupBy("k").applyInArrow(added, "k int, v array<double>").collect())  # 2 d rows
+    s = np.array([v for _, v in rows]) / n
+    d = len(s) // 2
+    m, c, cross = s[:d, :d], s[d:, d:], s[:d, d:]
+    return m, c - cross - cross.T + m, c
+
+
 def widen(df: DataFrame, column: str, d: int, prefix: str = "x") -> DataFrame:
     """The array column as columns x0 .. x{d-1}."""
     return df.select("*", *(F.col(column)[k].alias(f"{prefix}{k}") for k in range(d))).drop(column)

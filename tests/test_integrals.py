@@ -178,3 +178,39 @@ def test_command_line(spark, tmp_path, capsys):
 
 def test_registry_has_sql_for_most():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.oracle_sql()) > 80
+
+
+def test_moments_of_a_law_on_the_executors(spark):
+    m, h, c = laws.law_moments(spark, "cubic_bend", 12_000, 3)
+    law, total = laws.cubic_bend(), 0
+    for block, size in enumerate((10_000, 2_000)):
+        z = N.inv_logit_phi(law.sample(size, np.random.default_rng([3, block])))
+        both = np.concatenate((z, law.score_z(z), law.score_z(z) - z), 1)
+        total = total + both.T @ both / 12_000
+    assert np.allclose(m, total[:25, :25]) and np.allclose(c, total[25:50, 25:50]) and np.allclose(h, total[50:, 50:], atol=1e-8)
+
+
+def test_score_moments_in_one_pass(curved):
+    from skerry.operators.scorematch import matrix, score_columns, score_moments, second_moments, stein_residual
+
+    indices = dictionary(2, 3, 2)
+    theta = np.random.default_rng(0).normal(0, 0.2, len(indices))
+    rows = ranks.rank_gaussianize(curved, ["a", "b"]).select(F.col("a_z").alias("x"), F.col("b_z").alias("y"))
+    got = score_moments(rows, ["x", "y"], indices, theta)
+    field = score_columns(rows, ["x", "y"], indices, theta)
+    assert got.n == 3000 and np.allclose(got.C, matrix(second_moments(field, ["t0", "t1"]), 2, 2, "m"))
+    assert math.isclose(got.stein_residual(), stein_residual(field, ["x", "y"], ["t0", "t1"]), rel_tol=1e-9)
+
+
+def test_copula_of_a_fitted_density(curved):
+    """For independent columns the copula's log density is zero."""
+    base = models.ProductOfMarginals(["a", "c"]).fit(curved)
+    z = np.random.default_rng(1).standard_normal((200, 2))
+    assert np.abs(models.log_copula_of(base.log_density, base.marginals, z)).max() < 1e-9
+
+
+def test_random_bases():
+    from skerry.operators.subspace import haar_basis
+
+    q = np.stack([haar_basis(6, 2, k) for k in range(400)])
+    assert np.allclose(np.einsum("nij,nik->njk", q, q), np.eye(2)) and np.allclose(np.einsum("nij,nkj->ik", q, q) / 400, np.eye(6) / 3, atol=0.06)
