@@ -17,6 +17,7 @@ from skerry.plans.registry import query, rounded, table
 
 _XS = ["x0", "x1"]
 _EIG = lambda p: f"({p}00 + {p}11) / 2.0e0 + sqrt(power(({p}00 - {p}11) / 2.0e0, 2) + {p}01 * {p}01)"
+_LOW = lambda p: f"({p}00 + {p}11) / 2.0e0 - sqrt(power(({p}00 - {p}11) / 2.0e0, 2) + {p}01 * {p}01)"
 _TERMS = dictionary(2, 3, 1)  # second and third degree along each axis: the gram falls into a 2 x 2 block an axis
 _ROWS = "SELECT o_orderkey, (o_totalprice - 2.5e5) / 1.4e5 AS x0, (o_custkey % 97) / 2.8e1 - 1.7e0 AS x1 FROM orders"
 
@@ -222,11 +223,42 @@ def subspace_closed(spark, sf_dir):
     return rounded(rounded(spark.createDataFrame([(float(info["eigenvalues"][0]), info["trace"], float(V[0, 0] ** 2))], "eigenvalue double, trace double, share double"), "eigenvalue", "trace", digits=9), "share")
 
 
+_APART = ", ".join(f"(rank() OVER (PARTITION BY fold ORDER BY x{i}) + (count(*) OVER (PARTITION BY fold, x{i}) - 1) / 2.0e0) / (count(*) OVER (PARTITION BY fold) + 1) AS r{i}" for i in range(2))
+_HALVES = f"f AS ({_FOLDS}), r AS (SELECT fold, {_APART} FROM f), z AS (SELECT fold, {', '.join(f'{P.ndtri_sql(f"r{i}")} AS x{i}' for i in range(2))} FROM r)"
+_SECOND = [f"(p{i} / (a{i} + 4.0e-4 * greatest(a0, a1)))" for i in range(2)]
+_THIRD = [x for i in range(2) for x in _theta(i, "(4.0e-4 * norm)", "(9.0e-4 * norm)")]
+_LOW_RISK = " + ".join(f"0.5e0 * h.a{i} * th{i} * th{i} - h.p{i} * th{i}" for i in range(2))
+
+
+@query(f"""WITH {_HALVES}, m AS ({_KNOWN} ({_MEANS} z WHERE fold = 0)), h AS ({_MEANS} z WHERE fold = 1),
+s AS (SELECT {', '.join(f'{x} AS th{i}' for i, x in enumerate(_SECOND))} FROM m), t AS (SELECT {', '.join(f'{x} AS th{j}' for j, x in enumerate(_THIRD))} FROM m)
+SELECT '(2, 1, False)' AS candidate, round({_LOW_RISK}, 9) + 0.0 AS risk FROM s, h UNION ALL SELECT '(3, 1, False)', round({_RISK}, 9) + 0.0 FROM t, h""")
+def selection_closed(spark, sf_dir):
+    """Held-out risks of two dictionaries, the halves ranked apart."""
+    risks = selection.heldout_risks(_rows(spark, sf_dir), _XS, "o_orderkey", [(2, 1, False), (3, 1, False)])
+    return rounded(spark.createDataFrame([(str(c), float(v)) for c, vs in risks.items() for v in vs], "candidate string, risk double"), "risk", digits=9)
+
+
+_KEYED = _FOLDS.replace("AS fold, x0, x1", "AS fold, o_orderkey, x0, x1")
+_BELOW = ", ".join(f"sum(CASE WHEN fold = 0 THEN 1 ELSE 0 END) OVER (ORDER BY x{i} RANGE UNBOUNDED PRECEDING) AS b{i}" for i in range(2))
+_CLIPPED = ", ".join(f"greatest(1, least(n, b{i})) / (n + 1.0e0) AS r{i}" for i in range(2))
+_T_HELD = ", ".join(f"{x} * {num(math.sqrt(2))} * ({P.ndtri_sql(f'r{i}')}) AS t{i}" for i, x in enumerate(_SECOND))
+
+
+@query(f"""WITH {_HALVES}, m AS ({_KNOWN} ({_MEANS} z WHERE fold = 0)), g AS ({_KEYED}), b AS (SELECT fold, {_BELOW}, (SELECT count(*) FROM g WHERE fold = 0) AS n FROM g), q AS (SELECT {_CLIPPED} FROM b WHERE fold = 1),
+t AS (SELECT {_T_HELD} FROM q, m), c AS (SELECT avg(t0 * t0) AS m00, avg(t0 * t1) AS m01, avg(t1 * t1) AS m11, avg(power(t0 * t0 + t1 * t1, 2)) AS fourth, count(*) AS n FROM t),
+e AS (SELECT fourth, n, ({_LOW('m')}) AS tail FROM c)
+SELECT 'tail' AS part, round(tail, 9) + 0.0 AS value FROM e UNION ALL SELECT 'fourth', round(fourth, 9) FROM e UNION ALL SELECT 'bound', round(tail + sqrt(fourth / (n * 0.05)), 9) FROM e""")
+def a_posteriori_closed(spark, sf_dir):
+    """A bound on the mass outside a fitted direction from the other half, whose ranks are taken in the first."""
+    got = diagnostics.a_posteriori_bound(_rows(spark, sf_dir), _XS, "o_orderkey", 1, 2, 1)
+    return rounded(spark.createDataFrame([(k, float(v)) for k, v in got.items()], "part string, value double"), "value", digits=9)
+
+
 # --- subspaces of two dimensions -----------------------------------------------------------------------------------
 
 _TWO = """WITH m AS (SELECT avg(x0 * x0) AS m00, avg(x0 * x1) AS m01, avg(x1 * x1) AS m11, avg(y0 * y0) AS h00, avg(y0 * y1) AS h01, avg(y1 * y1) AS h11
 FROM (SELECT x0, x1, x0 + 5.0e-1 * x1 AS y0, 1.5e0 * x1 - 2.0e-1 * x0 AS y1 FROM (""" + _ROWS + ")))"
-_LOW = lambda p: f"({p}00 + {p}11) / 2.0e0 - sqrt(power(({p}00 - {p}11) / 2.0e0, 2) + {p}01 * {p}01)"
 _FORM = lambda p, a, b: f"({p}00 * {a}0 * {b}0 + {p}01 * ({a}0 * {b}1 + {a}1 * {b}0) + {p}11 * {a}1 * {b}1)"
 
 

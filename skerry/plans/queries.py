@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import normal as P
 from skerry.functions.hermite import dictionary, gradient_sql, hermite_sql, term_sql, total_degrees
+from skerry.functions.sobol import sobol_sql
 from skerry.functions.sqltext import num
 from skerry.operators import marginals, ranks, scorematch, solvers, subspace, weights
 from skerry.plans import diagnostics, models, montecarlo, selection
@@ -392,22 +393,83 @@ def _orders(spark, sf_dir) -> DataFrame:
 _XS = ["x0", "x1", "x2"]
 
 
-@query()
-def pom_log_density(spark, sf_dir):
-    rows = _orders(spark, sf_dir)
-    return models.ProductOfMarginals(_XS).fit(rows).evaluate(rows).select("o_orderkey", "log_density")
+_ORDERS = "SELECT o_orderkey, o_totalprice AS x0, c_acctbal AS x1, CAST(o_custkey AS DOUBLE) AS x2 FROM orders JOIN customer ON o_custkey = c_custkey"
+#: Kernel marginals in SQL: rows shared between two grid points each, kernels around these, a monotone cubic through the logs.
+_MARGINALS = f"""l AS ({' UNION ALL '.join(f"SELECT o_orderkey, '{c}' AS coord, {c} AS x FROM o" for c in _XS)}),
+s AS (SELECT coord, count(*) AS n, stddev_samp(x) AS sd, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, min(x) AS lo, max(x) AS hi FROM l GROUP BY coord),
+w AS (SELECT *, 0.9 * (CASE WHEN iqr > 0 THEN least(sd, iqr / 1.34) ELSE sd END) * power(n, -0.2) AS width FROM s),
+g AS (SELECT *, lo - 4.0 * width AS g0, (hi - lo + 8.0 * width) / 1999.0 AS step, CAST(floor(8.0 * width / ((hi - lo + 8.0 * width) / 1999.0)) AS BIGINT) + 1 AS reach FROM w),
+c AS (SELECT coord, CAST(floor((x - g0) / step) AS BIGINT) AS k, (x - g0) / step - floor((x - g0) / step) AS f FROM l JOIN g USING (coord)),
+m AS (SELECT coord, k, sum(f) AS m FROM (SELECT coord, k, 1.0 - f AS f FROM c UNION ALL SELECT coord, k + 1, f FROM c) GROUP BY 1, 2),
+d AS (SELECT coord, i.range AS i, step, ln(greatest(sum(m * exp(-0.5 * power((i.range - k) * step / width, 2))) / (width * {num(math.sqrt(2 * math.pi))} * n), 1.0e-300)) AS y FROM range(0, 2000) i, m JOIN g USING (coord) WHERE abs(i.range - k) <= reach GROUP BY coord, i.range, step, width, n),
+e AS (SELECT *, y - lag(y) OVER v AS d0, lead(y) OVER v - y AS d1 FROM d WINDOW v AS (PARTITION BY coord ORDER BY i)),
+p AS (SELECT coord, i, y, CASE WHEN d0 * d1 > 0 THEN 2.0 / (1.0 / d0 + 1.0 / d1) ELSE 0.0 END AS slope FROM e),
+q AS (SELECT o_orderkey, coord, CAST(floor((x - g0) / step) AS BIGINT) AS i, (x - g0) / step - floor((x - g0) / step) AS t FROM l JOIN g USING (coord)),
+f AS (SELECT o_orderkey, coord, a.y * (1 + 2 * t) * power(1 - t, 2) + a.slope * t * power(1 - t, 2) + b.y * t * t * (3 - 2 * t) + b.slope * t * t * (t - 1) AS log_pdf FROM q JOIN p a USING (coord, i) JOIN p b ON b.coord = q.coord AND b.i = q.i + 1)"""
 
 
-@query()
+@query(f"WITH o AS ({_ORDERS}), {_MARGINALS} SELECT o_orderkey, round(sum(log_pdf), 4) AS log_density FROM f GROUP BY o_orderkey")
+def pom_log_density(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    return rounded(models.ProductOfMarginals(_XS).fit(rows).evaluate(rows).select("o_orderkey", "log_density"), "log_density", digits=4)
+
+
+def _cubic(t: str, h: str = "1.0") -> str:
+    """The monotone cubic between knots a and b at share t of their distance h."""
+    return f"a.y * (1 + 2 * {t}) * power(1 - {t}, 2) + {h} * a.slope * {t} * power(1 - {t}, 2) + b.y * {t} * {t} * (3 - 2 * {t}) + {h} * b.slope * {t} * {t} * ({t} - 1)"
+
+
+def _scores(points: str, name: str) -> str:
+    """Normal scores of points (key, coord, x) under the marginals, a row a key."""
+    place = "SELECT key, coord, n, CAST(floor((x - g0) / step) AS BIGINT) AS i, (x - g0) / step - floor((x - g0) / step) AS t FROM " + points + " JOIN g USING (coord)"
+    share = f"SELECT key, q.coord, greatest(0.5 / (n + 1), least(1 - 0.5 / (n + 1), {_cubic('t')})) AS p FROM ({place}) q JOIN hp a ON a.coord = q.coord AND a.i = q.i JOIN hp b ON b.coord = q.coord AND b.i = q.i + 1"
+    wide = ", ".join(f"max(CASE WHEN coord = '{c}' THEN {P.ndtri_sql('p')} END) AS z{j}" for j, c in enumerate(_XS))
+    return f"{name} AS (SELECT key, {wide} FROM ({share}) GROUP BY key)"
+
+
+_ONE = num(1.000001)  # the correlation's diagonal
+_DET = f"({_ONE} * {_ONE} * {_ONE} + 2 * r01 * r02 * r12 - {_ONE} * (r01 * r01 + r02 * r02 + r12 * r12))"
+_INVERSE = {"00": f"({_ONE} * {_ONE} - r12 * r12)", "11": f"({_ONE} * {_ONE} - r02 * r02)", "22": f"({_ONE} * {_ONE} - r01 * r01)", "01": f"(r02 * r12 - {_ONE} * r01)", "02": f"(r01 * r12 - {_ONE} * r02)", "12": f"(r01 * r02 - {_ONE} * r12)"}
+_SQUARE = " + ".join(f"{1 if i == j else 2} * ({_INVERSE[f'{i}{j}']} / {_DET} - {int(i == j)}) * z{i} * z{j}" for i in range(3) for j in range(i, 3))
+_FACTOR = f"(-0.5 * ln({_DET}) - 0.5 * ({_SQUARE}))"
+_COPULA = f"""h0 AS (SELECT coord, i, exp(y) AS d, coalesce((exp(y) + lag(exp(y)) OVER v) / 2 * step, 0.0) AS part FROM d WINDOW v AS (PARTITION BY coord ORDER BY i)),
+h1 AS (SELECT coord, i, sum(part) OVER (PARTITION BY coord ORDER BY i ROWS UNBOUNDED PRECEDING) / sum(part) OVER (PARTITION BY coord) AS y FROM h0),
+h2 AS (SELECT *, y - lag(y) OVER v AS d0, lead(y) OVER v - y AS d1 FROM h1 WINDOW v AS (PARTITION BY coord ORDER BY i)),
+hp AS (SELECT coord, i, y, CASE WHEN d0 * d1 > 0 THEN 2.0 / (1.0 / d0 + 1.0 / d1) ELSE 0.0 END AS slope FROM h2),
+k0 AS (SELECT coord, y AS x, g0 + i * step AS y FROM h2 JOIN g USING (coord) WHERE d0 IS NULL OR d0 > 0),
+k1 AS (SELECT *, x - lag(x) OVER v AS s0, lead(x) OVER v - x AS s1, y - lag(y) OVER v AS e0, lead(y) OVER v - y AS e1, lead(x) OVER v AS nx FROM k0 WINDOW v AS (PARTITION BY coord ORDER BY x)),
+k2 AS (SELECT coord, x, y, nx, CASE WHEN s0 IS NULL OR s1 IS NULL THEN 0.0 ELSE (3 * s0 + 3 * s1) / ((2 * s1 + s0) / (e0 / s0) + (s1 + 2 * s0) / (e1 / s1)) END AS slope FROM k1),
+k AS (SELECT a.coord, a.x, a.nx, a.y, a.slope, b.y AS y2, b.slope AS slope2 FROM k2 a JOIN k2 b ON a.coord = b.coord AND a.nx = b.x),
+u AS (SELECT range AS key, {', '.join(f"{sobol_sql('range', 1 << 14, 3, j, 0, 'xor({}, {})')} AS u{j}" for j in range(3))} FROM range(0, {1 << 14})),
+v AS ({' UNION ALL '.join(f"SELECT key, '{c}' AS coord, u{j} AS u FROM u" for j, c in enumerate(_XS))}),
+t AS (SELECT key, v.coord, k.y, k.slope, k.y2, k.slope2, k.nx - k.x AS h, (u - k.x) / (k.nx - k.x) AS t FROM v ASOF JOIN k ON v.coord = k.coord AND v.u >= k.x),
+nodes AS (SELECT key, coord, y * (1 + 2 * t) * power(1 - t, 2) + h * slope * t * power(1 - t, 2) + y2 * t * t * (3 - 2 * t) + h * slope2 * t * t * (t - 1) AS x FROM t),
+rows_ AS (SELECT o_orderkey AS key, coord, x FROM l), {_scores('rows_', 'zr')}, {_scores('nodes', 'zn')},
+r AS (SELECT corr(z0, z1) AS r01, corr(z0, z2) AS r02, corr(z1, z2) AS r12 FROM zr),
+mass AS (SELECT ln(avg(exp({_FACTOR}))) AS mass FROM zn, r)"""
+
+
+@query(f"WITH o AS ({_ORDERS}), {_MARGINALS}, {_COPULA}, sums AS (SELECT o_orderkey AS key, sum(log_pdf) AS s FROM f GROUP BY 1) SELECT key AS o_orderkey, round(s + {_FACTOR} - mass, 4) AS log_density FROM sums JOIN zr USING (key), r, mass")
 def gaussian_copula_log_density(spark, sf_dir):
     rows = _orders(spark, sf_dir)
-    return models.GaussianCopula(_XS).fit(rows).evaluate(rows).select("o_orderkey", "log_density")
+    return rounded(models.GaussianCopula(_XS).fit(rows).evaluate(rows).select("o_orderkey", "log_density"), "log_density", digits=4)
 
 
-@query()
+_DISTRIBUTION = _COPULA[: _COPULA.index("k0 AS (")]
+
+
+@query(f"""WITH o AS ({_ORDERS}), {_MARGINALS}, {_DISTRIBUTION} rows_ AS (SELECT o_orderkey AS key, coord, x FROM l), {_scores('rows_', 'zr')},
+cv AS (SELECT count(*) AS n, {', '.join(f'covar_samp(z{i}, z{j}) * power(count(*), -2.0 / 7.0) AS c{i}{j}' for i in range(3) for j in range(i, 3))} FROM zr),
+l1 AS (SELECT *, sqrt(c00) AS l00, c01 / sqrt(c00) AS l10, c02 / sqrt(c00) AS l20 FROM cv), l2 AS (SELECT *, sqrt(c11 - l10 * l10) AS l11 FROM l1),
+l3 AS (SELECT *, (c12 - l20 * l10) / l11 AS l21 FROM l2), l4 AS (SELECT *, sqrt(c22 - l20 * l20 - l21 * l21) AS l22 FROM l3),
+y0 AS (SELECT key, n, z0 / l00 AS y0, z1, z2, l10, l20, l11, l21, l22, ln(l00) + ln(l11) + ln(l22) AS ld, 0.5 * (z0 * z0 + z1 * z1 + z2 * z2) AS back FROM zr, l4),
+y1 AS (SELECT *, (z1 - l10 * y0) / l11 AS y1 FROM y0), y2 AS (SELECT key, n, ld, back, y0, y1, (z2 - l20 * y0 - l21 * y1) / l22 AS y2 FROM y1),
+ks AS (SELECT a.key, sum(exp(-0.5 * ((a.y0 - b.y0) * (a.y0 - b.y0) + (a.y1 - b.y1) * (a.y1 - b.y1) + (a.y2 - b.y2) * (a.y2 - b.y2)))) AS k FROM y2 a, y2 b GROUP BY a.key),
+sums AS (SELECT o_orderkey AS key, sum(log_pdf) AS s FROM f GROUP BY 1)
+SELECT key AS o_orderkey, round(ln(greatest(k, 1.0e-300)) - ln(n) - ld + s + back, 4) AS log_density FROM y2 JOIN ks USING (key) JOIN sums USING (key)""")
 def kde_log_density(spark, sf_dir):
     rows = _orders(spark, sf_dir)
-    return models.KernelDensity(_XS).fit(rows).evaluate(rows).select("o_orderkey", "log_density")
+    return rounded(models.KernelDensity(_XS).fit(rows).evaluate(rows).select("o_orderkey", "log_density"), "log_density", digits=4)
 
 
 @query()
@@ -416,6 +478,28 @@ def cas_log_density(spark, sf_dir):
     return models.ReducedDensity(_XS, r=2, inner_degree=4).fit(rows, "o_orderkey").evaluate(rows).select("o_orderkey", "log_density")
 
 
+_ALONG = (0.6, 0.0, 0.8)
+_SLOPE = num(math.sqrt(2))
+_LINE = " + ".join(f"{num(v)} * z{j}" for j, v in enumerate(_ALONG))
+_POTENTIAL = f"least(cap, t1 * u + t2 * {hermite_sql('u', 2)})"
+_NODES = _COPULA[: _COPULA.index(",\nr AS (SELECT corr")]
+
+
+@query(f"""WITH o AS ({_ORDERS}), {_MARGINALS}, {_NODES}, pr AS (SELECT key, {_LINE} AS u FROM zr),
+st AS (SELECT avg({_SLOPE} * u) AS c, avg(2.0e0 * u * u) AS e, avg(u) AS p, avg({_SLOPE} * u * u - {_SLOPE}) AS q FROM pr),
+th AS (SELECT (p * (e + 4.0e-2) - c * q) / (1.01e0 * (e + 4.0e-2) - c * c) AS t1, (q * 1.01e0 - c * p) / (1.01e0 * (e + 4.0e-2) - c * c) AS t2 FROM st),
+cp AS (SELECT t1, t2, quantile_cont(t1 * u + t2 * {hermite_sql('u', 2)}, 0.999) AS cap FROM pr, th GROUP BY t1, t2),
+n1 AS (SELECT {sobol_sql('range', 1 << 14, 1, 0, 0, 'xor({}, {})')} AS w FROM range(0, {1 << 14})), n2 AS (SELECT {P.ndtri_sql('w')} AS u FROM n1),
+lz AS (SELECT ln(avg(exp({_POTENTIAL}))) AS lz FROM n2, cp), pn AS (SELECT {_LINE} AS u FROM zn),
+ms AS (SELECT ln(avg(exp({_POTENTIAL} - lz))) AS mass FROM pn, cp, lz GROUP BY ALL), sums AS (SELECT o_orderkey AS key, sum(log_pdf) AS s FROM f GROUP BY 1)
+SELECT key AS o_orderkey, round(s + {_POTENTIAL} - lz - mass, 4) AS log_density FROM pr JOIN sums USING (key), cp, lz, ms""")
+def reduced_density_closed(spark, sf_dir):
+    """The whole estimator along a given direction: ranks, a potential by ridge, its cap, both normalisers and the marginals."""
+    rows = _orders(spark, sf_dir)
+    model = models.ReducedDensity(_XS, r=1, inner_degree=2, scheme="ridge:strength=0.01").fit(rows, "o_orderkey", V=np.array(_ALONG)[:, None])
+    return rounded(model.evaluate(rows).select("o_orderkey", "log_density"), "log_density", digits=4)
+
+
 @query()
 def constrained_fit(spark, sf_dir):
     model = models.ReducedDensity(_XS, r=2, inner_degree=4, constrained=True).fit(_orders(spark, sf_dir), "o_orderkey")
