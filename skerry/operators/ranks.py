@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.normal import ndtri_sql
-from skerry.plans.storage import running_total, settle
+from skerry.plans.storage import join_null_safe, running_total, settle
 
 
 def finite(df: DataFrame, column: str) -> DataFrame:
@@ -37,22 +37,65 @@ def _long(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     return finite(df.select(*keep, pairs.alias("p")).select(*keep, "p.*"), "value")
 
 
-def rank_gaussianize(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
-    """Adds the normal quantile of average rank / (n + 1) for each column.
+#: Score tables of up to so many rows, all columns together, go to every task: about 10 MB.
+BROADCAST_ROWS = 200_000
+#: Up to so many columns beyond that are joined one after the other; more go as one long table, which moves fewer bytes.
+_JOINS = 4
 
-    All columns' distinct values are counted in one long table with one running total. One join by column and value and one
-    aggregation by row bring the quantiles back, whatever the number of columns; Spark splits the partitions of frequent
-    values, as it is a plain join.
-    """
-    rows = settle(df.withColumn("row_", F.monotonically_increasing_id()))  # written, so that the numbers stay
-    counts = _long(rows, columns).groupBy("coord", "value").agg(F.count("*").alias("n"))
-    counts = settle(running_total(counts, ["value"], "n", group=["coord"]))
-    totals = counts.groupBy("coord").agg(F.sum("n").alias("total_"))  # a row a column
+
+def normal_scores(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
+    """coord (place of the column), group, value and z_, the normal quantile of average rank / (n + 1), for each distinct finite
+    value of each column: one long count with one running total, whatever the number of columns and groups."""
+    group = group or []
+    if len(columns) == 1:
+        long = finite(df, columns[0]).select(*group, F.lit(0).alias("coord"), F.col(columns[0]).cast("double").alias("value"))
+    else:
+        long = _long(df, columns, *group)
+    keys = ["coord", *group]
+    counts = running_total(long.groupBy(*keys, "value").agg(F.count("*").alias("n")), ["value"], "n", group=keys)
+    totals = counts.groupBy(*keys).agg(F.max("upto").alias("total_"))  # a row a column and group
     p = "((upto - (n - 1) / 2.0) / CAST(total_ + 1 AS DOUBLE))"
-    scores = counts.join(F.broadcast(totals), "coord").select("coord", "value", F.expr(ndtri_sql(p)).alias("z_"))
-    found = _long(rows, columns, "row_").join(scores, ["coord", "value"])
-    back = found.groupBy("row_").agg(*(F.max(F.when(F.col("coord") == k, F.col("z_"))).alias(f"{c}{suffix}") for k, c in enumerate(columns)))
-    return rows.join(back, "row_", "left").drop("row_")
+    return join_null_safe(counts, totals if group else F.broadcast(totals), keys).select(*keys, "value", F.expr(ndtri_sql(p)).alias("z_"))
+
+
+def rank_gaussianize(df: DataFrame, columns: list[str], suffix: str = "_z", group: list[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Adds the normal quantile of average rank / (n + 1) for each column, ranks being those within the group's columns if
+    there are any. NULL for values that are not finite; null groups are one group.
+
+    The quantiles come back by joins on the values. Columns of few distinct values, whose score tables are counted and
+    broadcast under a bound, move no rows. Others are plain joins, of which Spark splits the partitions of frequent values;
+    where they are many, all go as one long table with one join and one aggregation by row.
+    """
+    group = group or []
+    scores = settle(normal_scores(df, columns, group))
+    sizes = {r["coord"]: r["count"] for r in scores.groupBy("coord").count().collect()}  # a row a column
+    small, used = [], 0
+    for k in sorted(range(len(columns)), key=lambda k: sizes.get(k, 0)):
+        if used + sizes.get(k, 0) <= broadcast_rows:
+            small.append(k)
+            used += sizes.get(k, 0)
+    large = [k for k in range(len(columns)) if k not in small]
+    out = df
+    for k in small:
+        out = _scored(out, F.broadcast(scores.where(F.col("coord") == k)), columns[k], suffix, group)
+    if len(large) <= _JOINS:
+        for k in large:
+            out = _scored(out, scores.where(F.col("coord") == k), columns[k], suffix, group)
+    else:
+        rows = settle(out.withColumn("row_", F.monotonically_increasing_id()))  # written, so that the numbers stay
+        picked = scores.where(F.col("coord").isin(large))
+        found = join_null_safe(_long(rows, columns, "row_", *group).where(F.col("coord").isin(large)), picked, ["coord", *group, "value"])
+        back = found.groupBy("row_").agg(*(F.max(F.when(F.col("coord") == k, F.col("z_"))).alias(f"{columns[k]}{suffix}") for k in large))
+        out = rows.join(back, "row_", "left")
+    return out.select(*df.columns, *(f"{c}{suffix}" for c in columns))
+
+
+def _scored(df: DataFrame, scores: DataFrame, column: str, suffix: str, group: list[str]) -> DataFrame:
+    table = scores.select(*(F.col(g).alias(f"{g}_of_") for g in group), F.col("value").alias("v_"), F.col("z_").alias(f"{column}{suffix}"))
+    met = F.col(column).cast("double") == F.col("v_")
+    for g in group:
+        met = met & F.col(g).eqNullSafe(F.col(f"{g}_of_"))
+    return df.join(table, met, "left").drop("v_", *(f"{g}_of_" for g in group))
 
 
 def ecdf_grid(df: DataFrame, column: str) -> DataFrame:

@@ -31,8 +31,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(name)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by equal keys where null equals null; the right side's keys are left out."""
+    renamed = right.select(*(F.col(c).alias(f"right_{c}_") if c in keys else F.col(c) for c in right.columns))
+    met = F.lit(True)
+    for c in keys:
+        met = met & F.col(c).eqNullSafe(F.col(f"right_{c}_"))
+    return left.join(renamed, met, how).drop(*(f"right_{c}_" for c in keys))
+
+
 def running_total(df: DataFrame, order: list[str], amount: str, name: str = "upto", group: list[str] | None = None) -> DataFrame:
-    """Adds the running sum of `amount` in the given order without a single-task window.
+    """Adds the running sum of `amount` in the given order, in each group if there are any, without a single-task window.
 
     Rows are range-partitioned; each partition's total (one row a partition and group) gives the next ones their start.
     """
@@ -43,5 +52,5 @@ def running_total(df: DataFrame, order: list[str], amount: str, name: str = "upt
     before = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = totals.select("part_", *group, F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("start_"))
     inside = Window.partitionBy("part_", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = ranged.join(F.broadcast(starts), ["part_", *group]) if not group else ranged.join(starts, ["part_", *group])
+    joined = join_null_safe(ranged, F.broadcast(starts) if not group else starts, ["part_", *group])
     return joined.withColumn(name, F.col("start_") + F.sum(amount).over(inside)).drop("part_", "start_")

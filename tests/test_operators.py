@@ -1,6 +1,7 @@
 """Ranks, marginals, score matching, solvers, subspaces and weights on small inputs with known answers."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -26,6 +27,31 @@ def test_average_rank_and_gaussianize(spark):
     assert abs(z.mean()) < 0.05 and abs(z.std() - 1) < 0.05
 
 
+@pytest.mark.parametrize(("bound", "joins"), [(200_000, 4), (12, 4), (0, 4), (0, 1)])
+def test_scores_by_group_whatever_the_join(spark, monkeypatch, bound, joins):
+    """Broadcast, plain joins and the long table give the plain ranks; null groups are one group, odd values have none."""
+    monkeypatch.setattr(ranks, "_JOINS", joins)
+    rng = np.random.default_rng(8)
+    odd = [None, float("nan"), float("inf"), -0.0, 0.0]
+    rows = [(k, [None, "a", "b"][k % 3], float(rng.integers(0, 5)), float(rng.normal()), odd[k % 9] if k % 9 < 5 else float(rng.integers(0, 40))) for k in range(300)] + [(0, "a", 1.0, 1.0, 1.0)] * 3
+    df = spark.createDataFrame(rows, "id int, g string, x double, y double, w double")
+    for group in ([], ["g"]):
+        got = ranks.rank_gaussianize(df, ["x", "y", "w"], group=group, broadcast_rows=bound).collect()
+        want = []
+        for row in rows:
+            scores = []
+            for c in (2, 3, 4):
+                among = [r[c] for r in rows if (not group or r[1] == row[1]) and r[c] is not None and math.isfinite(r[c])]
+                v = row[c]
+                if v is None or not math.isfinite(v):
+                    scores.append(None)
+                else:
+                    rank = sum(a < v for a in among) + (sum(a == v for a in among) + 1) / 2
+                    scores.append(round(NormalDist().inv_cdf(rank / (len(among) + 1)), 9))
+            want.append((*row[:2], *scores))
+        assert sorted(((r.id, r.g, *(None if z is None else round(z, 9) for z in (r.x_z, r.y_z, r.w_z))) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_not_finite_values_have_no_rank(spark):
     df = frame(spark, id=[1, 2, 3, 4], x=[1.0, float("nan"), float("inf"), 0.0])
     assert {r.id: r.r for r in ranks.average_rank(df, "x", "r").collect()} == {1: 2.0, 2: None, 3: None, 4: 1.0}
