@@ -249,11 +249,10 @@ def barrier_qp(m: np.ndarray, b: np.ndarray, equal: np.ndarray, g: np.ndarray, h
         if gap < tol and abs(r1).max() < 1e-7 * (1 + abs(q).max()) and abs(r2).max(initial=0) < 1e-7 * (1 + abs(h).max(initial=0)):
             break
         w = dual / slack
-        for sigma in (0.1,):
-            r3 = slack * dual - sigma * gap
-            dx = np.linalg.solve(p + (a.T * w) @ a, -r1 - a.T @ (w * r2 - r3 / slack))
-            ds = -r2 - a @ dx
-            dd = -(r3 + dual * ds) / slack
+        r3 = slack * dual - 0.1 * gap
+        dx = np.linalg.solve(p + (a.T * w) @ a, -r1 - a.T @ (w * r2 - r3 / slack))
+        ds = -r2 - a @ dx
+        dd = -(r3 + dual * ds) / slack
         t = 1.0
         for v, dv in ((slack, ds), (dual, dd)):
             down = dv < 0

@@ -202,3 +202,28 @@ def test_weights(spark):
 def test_trimmed_mean_needs_rows(spark):
     df = spark.createDataFrame([("a", float(k)) for k in range(40)] + [("b", 1.0)], "g string, v double")
     assert {r.g: r.trimmed for r in ranks.trimmed_mean(df, "g", "v").collect()} == {"a": 19.5, "b": None}
+
+
+def test_level_is_relaxed_when_it_cannot_be_held(stats):
+    """A level below what the centred fit needs at the origin: the reached one is asked for, and both are reported."""
+    s, indices = stats
+    m = s.A + 1e-3 * np.eye(len(indices))
+    theta, report = fit_constrained(m, s.b, s.C, indices, 4, -5.0, np.zeros(len(indices)), 12.0, 3, rounds=6)
+    assert report["relaxed"] and report["tau_asked"] == -5.0 and report["tau"] > -5.0 and report["form_met"]
+    grid = np.random.default_rng(1).uniform(-7, 7, (20_000, 3))
+    assert report["level_met"] and (values(grid, indices) @ theta).max() <= report["tau"] + 0.01 * max(1, abs(report["tau"]))
+
+
+def test_constraints_bind_and_hold_between_the_points(stats):
+    """A quadratic whose minimum breaks both kinds: the solution keeps them on a fine grid and is no worse than scaled-down ones."""
+    s, indices = stats
+    m, b = s.A + 1e-2 * np.eye(len(indices)), s.b + 0.5 * leading_rows(indices, 4, np.array([[1.0, 0.2, 0.1]]))[0]
+    free = solvers.barrier_qp(m, b, s.C, np.zeros((0, len(indices))), np.zeros(0))[0]
+    theta, report = fit_constrained(m, b, s.C, indices, 4, 4.0, free, 6.0, 3)
+    assert report["converged"] and not report["relaxed"] and report["active"] > 0
+    v = np.random.default_rng(2).standard_normal((50_000, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert (leading_rows(indices, 4, v) @ free).max() > 0 and (leading_rows(indices, 4, v) @ theta).max() <= 0
+    assert (values(v * np.random.default_rng(3).uniform(0, 6, (50_000, 1)), indices) @ theta).max() <= 4.01
+    cost = lambda x: 0.5 * x @ m @ x - b @ x
+    assert cost(free) <= cost(theta) <= cost(0 * theta) and np.linalg.norm(s.C @ theta) < 1e-6
