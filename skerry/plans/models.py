@@ -23,6 +23,7 @@ from skerry.operators.scorematch import matrix, score_columns, score_moments, se
 from skerry.operators.samples import column_groups
 from skerry.operators.subspace import top_eigenvectors
 from skerry.plans import pairs
+from skerry.plans.storage import settle
 
 CAP_SHARE = 0.999
 
@@ -208,6 +209,8 @@ class ReducedDensity:
         self.base = ProductOfMarginals(self.columns).fit(df)
         z = [f"z{j}" for j in range(d)]
         ranked = map_rows(df.select(key, *self.columns), self.columns, lambda x: dict(zip(z, self.base.ranks(x).T, strict=True)), z).select(key, *z)
+        if V is None:
+            ranked = settle(ranked)  # read twice for the subspace, and once more
         first = subspace_of(ranked, z, self.r, self.degree, self.order, self.even) if V is None else None
         self.V = V if first is None else first[0]
         u = [f"u{j}" for j in range(self.r)]
@@ -225,18 +228,19 @@ class ReducedDensity:
         labels = [f"s{j}" for j in range(self.r)] if self.labels else []
         projected = project(ranked, z, self.V, u).select(key, *u, *labels)
         if self.secondary:
+            projected = settle(projected)
             self.second = ProductOfMarginals(u).fit(projected)
             projected = self._ranked_again(projected, u, labels)
         self.inner = dictionary(self.r, self.inner_degree, self.inner_order or self.r, linear=True)
-        halves = hash_halves(projected, key, self.seed)
+        halves = settle(hash_halves(settle(projected), key, self.seed).select("fold", *u, *labels))
         folds = statistics(halves, u, self.inner, weights, labels or None, fold="fold")
         both = folds[0].merged(folds[1]) if len(folds) == 2 else next(iter(folds.values()))
         solution = solvers.by_scheme(self.scheme, both, self.inner, (folds[0], folds[1]) if len(folds) == 2 else None)
         self.theta = solution.theta
-        potential = projected.withColumn("l_", _poly(u, self.theta, self.inner))
+        potential = halves.select(_poly(u, self.theta, self.inner).alias("l_"))
         level = float(quantiles(potential, "l_", {"level": CAP_SHARE}, []).first().level)
-        radius = float(projected.agg(F.max(F.sqrt(sum((F.col(c) ** 2 for c in u), F.lit(0.0))))).first()[0])
         if self.constrained:
+            radius = float(halves.agg(F.max(F.sqrt(sum((F.col(c) ** 2 for c in u), F.lit(0.0))))).first()[0])
             n = both.n
             c = (solution.info.get("c_cov", solvers.TRACE_C), solution.info.get("c_sob", solvers.SOBOLEV))
             m = both.A + solvers.combined_penalty(both, self.inner, n, *c)
@@ -321,7 +325,7 @@ def subspace_of(ranked: DataFrame, z: list[str], r: int, degree: int = 4, order:
 
 def fit_subspace(df: DataFrame, columns: list[str], r: int, degree: int = 4, order: int = 2, even: bool = False):
     """The same from raw samples, by average ranks."""
-    ranked = rank_gaussianize(df.select(*columns), columns).select(*(f"{c}_z" for c in columns))
+    ranked = settle(rank_gaussianize(df.select(*columns), columns).select(*(f"{c}_z" for c in columns)))  # read twice
     return subspace_of(ranked, [f"{c}_z" for c in columns], r, degree, order, even)
 
 
