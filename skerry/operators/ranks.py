@@ -70,7 +70,7 @@ def rank_gaussianize(df: DataFrame, columns: list[str], suffix: str = "_z", grou
     scores = settle(normal_scores(df, columns, group))
     sizes = {r["coord"]: r["count"] for r in scores.groupBy("coord").count().collect()}  # a row a column
     small, used = [], 0
-    for k in sorted(range(len(columns)), key=lambda k: sizes.get(k, 0)):
+    for k in sorted(range(len(columns)), key=lambda k: sizes.get(k, 0))[: 2 * _JOINS if len(columns) <= 3 * _JOINS else 0]:
         if used + sizes.get(k, 0) <= broadcast_rows:
             small.append(k)
             used += sizes.get(k, 0)

@@ -15,24 +15,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.plans.storage import settle
+from skerry.plans.storage import bounded_batches, settle
 
 BLOCK = 4096
-_BATCH_BYTES = 8 << 20
 _CELLS = 1 << 20
 _PACKED = pa.schema([("block", pa.int64()), ("rows", pa.binary()), ("points", pa.binary())])
 
 Values = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _bounded_batches(spark: SparkSession) -> None:
-    """A row holds a whole block, so Arrow batches are bounded by bytes."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = str(spark.conf.get(key)).lower().removesuffix("b")
-    if not now.isdigit() or int(now) > _BATCH_BYTES:
-        spark.conf.set(key, str(_BATCH_BYTES))
-
-
 def _partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -40,7 +31,7 @@ def _partitions(spark: SparkSession) -> int:
 def pack(df: DataFrame, columns: list[str], points: Callable[[np.ndarray], np.ndarray], keep: bool = True) -> DataFrame:
     """block, rows (an Arrow stream; empty without keep), points (doubles) over all of df, as a written table. Without keep,
     rows whose point isn't finite are left out."""
-    _bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     places = [df.columns.index(c) for c in columns]
 
     def block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -75,7 +66,7 @@ def all_pairs(queries: DataFrame, centres: DataFrame, d: int, values: Values, me
     """block, width, value: for each block of queries, values(queries, centres) of all blocks of centres, merged. Values have a row
     of `width` numbers a query; they are asked for in slices, so that a slice times a block has about a million cells."""
     spark = queries.sparkSession
-    _bounded_batches(spark)
+    bounded_batches(spark)
     parts = _partitions(spark)
 
     def merged(pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("queries", "closed_forms", "law_queries", "join_queries")
+MODULES = ("queries", "closed_forms", "law_queries", "join_queries", "large_queries")
 
 
 def query(sql: str | None = None):

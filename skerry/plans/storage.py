@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes, for rows that hold a whole block. The session keeps the bound, as results are
+    computed after the operator has returned."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > _BATCH_BYTES:
+        spark.conf.set(key, str(_BATCH_BYTES))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back. The table goes when the application ends."""
     spark = df.sparkSession
