@@ -168,29 +168,38 @@ def normaliser_stability(spark, sf_dir):
 # --- neighbours ----------------------------------------------------------------------------------------------------
 
 
-def _entropy_sql(d: int, weights: dict[int, float]) -> str:
-    gap = " + ".join(f"power(CAST(a.embedding[{k}] AS DOUBLE) - CAST(b.embedding[{k}] AS DOUBLE), 2)" for k in range(1, d + 1))
+#: The vectors themselves, and their sums over every fourth dimension: few numbers that all dimensions are in.
+_WHOLE = [f"CAST(embedding[{{{j}}}] AS DOUBLE)" for j in range(64)]
+_FOURTHS = ["(" + " + ".join(_WHOLE[j::4]) + ")" for j in range(4)]
+
+
+def _entropy_sql(parts: list[str], weights: dict[int, float]) -> str:
+    d = len(parts)
+    made = ", ".join(f"{x.format(*range(1, 65))} AS x{j}" for j, x in enumerate(parts))
+    gap = " + ".join(f"power(a.x{j} - b.x{j}, 2)" for j in range(d))
     shift = lambda j: num(d / 2 * math.log(math.pi) - math.lgamma(d / 2 + 1) - montecarlo.digamma(j))
     cases = "CASE k " + " ".join(f"WHEN {j} THEN {num(w)}" for j, w in weights.items()) + " END AS w"
     shifts = "CASE k " + " ".join(f"WHEN {j} THEN {shift(j)}" for j in weights) + " END"
-    return f"""WITH g AS (SELECT a.vec_id, {gap} AS q FROM embeddings a, embeddings b), r AS (SELECT vec_id, q, row_number() OVER (PARTITION BY vec_id ORDER BY q) - 1 AS k FROM g),
+    return f"""WITH e AS (SELECT vec_id, {made} FROM embeddings), g AS (SELECT a.vec_id, {gap} AS q FROM e a, e b), r AS (SELECT vec_id, q, row_number() OVER (PARTITION BY vec_id ORDER BY q) - 1 AS k FROM g),
 t AS (SELECT {cases}, {d} * ln(greatest(sqrt(q), 1.0e-300)) + {shifts} + ln((SELECT count(*) - 1.0e0 FROM embeddings)) AS x FROM r WHERE k IN ({', '.join(map(str, weights))})),
 s AS (SELECT sum(w * x) / (SELECT count(*) FROM embeddings) AS h, sum(w * x * x) / (SELECT count(*) FROM embeddings) AS v FROM t)
 SELECT round(h, 6) AS entropy, round(sqrt(greatest(v - h * h, 0.0e0) / (SELECT count(*) FROM embeddings)), 6) AS se, (SELECT count(*) FROM embeddings) AS n FROM s"""
 
 
-def _entropy(spark, sf_dir, d: int, weights: dict[int, float]) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(d)))
-    got = montecarlo.neighbour_entropy(rows, [f"x{k}" for k in range(d)], "vec_id", weights)
+def _entropy(spark, sf_dir, parts: list[str], weights: dict[int, float]) -> DataFrame:
+    names = [f"x{j}" for j in range(len(parts))]
+    rows = table(spark, sf_dir, "embeddings").selectExpr("vec_id", *(f"{x.format(*range(64))} AS {n}" for x, n in zip(parts, names, strict=True)))
+    got = montecarlo.neighbour_entropy(rows, names, "vec_id", weights)
     return rounded(spark.createDataFrame([(got["entropy"], got["se"], got["n"])], "entropy double, se double, n bigint"), "entropy", "se")
 
 
-@query(_entropy_sql(3, {4: 1.0}))
+@query(_entropy_sql(_WHOLE, {4: 1.0}))
 def knn_entropy(spark, sf_dir):
-    return _entropy(spark, sf_dir, 3, {4: 1.0})
+    """Over all dimensions of the vectors."""
+    return _entropy(spark, sf_dir, _WHOLE, {4: 1.0})
 
 
-@query(_entropy_sql(4, montecarlo.two_point_weights(8, 4)))
+@query(_entropy_sql(_FOURTHS, montecarlo.two_point_weights(8, 4)))
 def weighted_knn_entropy(spark, sf_dir):
     """The entropy weighted over two neighbours, without the first bias term, and its standard error."""
-    return _entropy(spark, sf_dir, 4, montecarlo.two_point_weights(8, 4))
+    return _entropy(spark, sf_dir, _FOURTHS, montecarlo.two_point_weights(8, 4))

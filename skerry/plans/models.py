@@ -99,12 +99,16 @@ class GaussianCopula(ProductOfMarginals):
 @dataclass
 class KernelDensity:
     """A full-dimensional Gaussian kernel density with Scott's bandwidth on the marginals' normal scores, pulled back to the
-    columns. Every row is a centre; work grows with rows evaluated times rows fitted. Rows without finite values are no
-    centres."""
+    columns. Every row is a centre; equal rows are one with a weight. Rows without finite values are no centres.
+
+    A row meets only the centres within a reach of it beyond which all kernels together stay below `TRUNCATED`; rows whose sum
+    is so small that this matters are summed over all centres.
+    """
 
     columns: list[str]
     base: ProductOfMarginals | None = None
     centres: DataFrame | None = None
+    tree: pairs.Tree | None = None
     n: int = 0
     root: np.ndarray | None = None
 
@@ -119,15 +123,31 @@ class KernelDensity:
         self.n = cells["n"]
         cov = np.array([[cells[f"c{i}_{j}"] for j in range(d)] for i in range(d)])
         self.root = root = np.linalg.inv(np.linalg.cholesky(cov * self.n ** (-2 / (d + 4))))
-        self.centres = pairs.pack(df.select(*self.columns), self.columns, lambda x: base.ranks(x) @ root.T, keep=False)
+        whiten = lambda x: base.ranks(x) @ root.T
+        rows = settle(pairs.weighted(df, self.columns))
+        self.tree = pairs.tree_of(rows, self.columns, whiten)
+        self.centres = pairs.pack(rows, self.columns, whiten, self.tree, weight="w_", keep=False)
         return self
 
     def evaluate(self, df: DataFrame, name: str = "log_density") -> DataFrame:
         d, places = len(self.columns), [df.columns.index(c) for c in self.columns]
         # the workers get what they need; the table of centres stays with the driver
         base, root, log_norm = self.base, self.root, math.log(self.n) + d / 2 * LOG_2PI - float(np.log(np.diag(self.root)).sum())
-        queries = pairs.pack(df, self.columns, lambda x: base.ranks(x) @ root.T)
-        sums = pairs.all_pairs(queries, self.centres, d, kernel_sums, np.add)
+        whiten = lambda x: base.ranks(x) @ root.T
+        queries = pairs.pack(df, self.columns, whiten, self.tree)
+        near = pairs.near_leaves(queries, self.centres, d, math.sqrt(2 * math.log(max(self.n, 2) / TRUNCATED)))
+        sums = settle(pairs.over_pairs(queries, self.centres, near, d, kernel_sums, np.add))
+
+        def small(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                low = [number for number, v in zip(b.column(0).to_pylist(), b.column(1), strict=True) if np.nanmin(np.frombuffer(v.as_buffer()), initial=1.0) < 1e6 * TRUNCATED]
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64())], ["block"])
+
+        left = queries.select("block").join(sums.select("block"), "block", "left_anti").unionByName(sums.select("block", "value").mapInArrow(small, "block bigint"))
+        rest = queries.join(settle(left), "block")
+        if rest.count():  # blocks with a row far from all centres
+            whole = pairs.over_pairs(rest, self.centres, pairs.near_leaves(rest, self.centres, d, math.inf), d, kernel_sums, np.add)
+            sums = sums.join(left, "block", "left_anti").unionByName(whole)
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` double"])
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +164,16 @@ class KernelDensity:
         return queries.select("block", "rows").join(sums.select("block", "value"), "block").select("rows", "value").mapInArrow(run, schema)
 
 
-def kernel_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of standard Gaussian kernels, without their constant, at a over the centres b."""
+#: What the kernels of all centres out of reach may add up to.
+TRUNCATED = 1e-11
+
+
+def kernel_sums(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums of standard Gaussian kernels, without their constant, at a over the centres b of weights w."""
     q = a @ b.T
     q -= 0.5 * (a**2).sum(1)[:, None]
     q -= 0.5 * (b**2).sum(1)
-    return np.exp(np.minimum(q, 0, out=q), out=q).sum(1, keepdims=True)
+    return (np.exp(np.minimum(q, 0, out=q), out=q) @ w)[:, None]
 
 
 def log_mean_exp(x: np.ndarray) -> float:

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skerry.operators.subspace import complement
 from skerry.plans import pairs
+from skerry.plans.storage import settle
 from skerry.sources.laws import LAWS
 
 #: How an integral went. Others: rank_deficient, ill_conditioned, too_many_nodes, no_mode, not_finite, collapsed, stuck, low_ess, high_se.
@@ -292,37 +294,64 @@ def digamma(n: int) -> float:
     return -0.5772156649015329 + sum(1 / i for i in range(1, n))
 
 
-def neighbour_entropy(df: DataFrame, columns: list[str], key: str, weights: dict[int, float] | None = None) -> dict[str, float]:
-    """entropy (nats), se and n: weighted means over all rows with finite values of log xi_j = d log rho_j + log V_d + log(n - 1) -
-    digamma(j), with rho_j the distance to the j-th neighbour; the variance is that of the weighted terms, at least 0.
+def neighbour_distances(df: DataFrame, columns: list[str], k: int, block: int = pairs.BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Exact k nearest neighbours of all rows by a k-d tree. Returns the blocks of distinct points (with how often each is there),
+    their values (block, width, value: for each point the k + 1 least squared distances, its own among them, copies counted
+    one by one), and the pairs of a block and a leaf that were searched beyond each block's own leaf.
 
-    weights: by j, by default all on the fourth. NaN for too few rows.
+    A point's own leaf is searched first; the distance of its k-th neighbour there bounds how far away a nearer one can be, and
+    only leaves whose boxes come that close to a point of the block are searched next.
     """
-    weights = weights or {4: 1.0}
-    k, d = max(weights), len(columns)
-    points = pairs.pack(df.select(key, *columns), columns, lambda x: x, keep=False)
+    d = len(columns)
+    rows = settle(pairs.weighted(df, columns))
+    same = lambda x: x
+    points = pairs.pack(rows, columns, same, pairs.tree_of(rows, columns, same, block=block), weight="w_", keep=False, block=block)
 
-    def nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Least k + 1 squared distances, the point's own among them."""
-        q = np.zeros((len(a), max(len(b), k + 1)))
-        q[:, len(b) :] = np.inf
+    def nearest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        q = np.zeros((len(a), len(b)))
         for j in range(d):
-            q[:, : len(b)] += (a[:, j, None] - b[:, j]) ** 2
-        return np.partition(q, k, axis=1)[:, : k + 1]
+            q += (a[:, j, None] - b[:, j]) ** 2
+        some = min(k + 1, len(b))
+        at = np.argpartition(q, some - 1, axis=1)[:, :some] if some < len(b) else np.broadcast_to(np.arange(len(b)), q.shape)
+        near = np.take_along_axis(q, at, 1)
+        order = np.argsort(near, axis=1)
+        near, copies = np.take_along_axis(near, order, 1), np.cumsum(np.take_along_axis(w[at], order, 1), 1)
+        out = np.full((len(a), k + 1), np.inf)
+        for i in range(k + 1):  # the i-th with copies: the first that they reach
+            place = (copies <= i).sum(1)
+            here = place < near.shape[1]
+            out[here, i] = near[here, place[here]]
+        return out
 
     def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.partition(np.concatenate([a, b], 1), k, axis=1)[:, : k + 1]
 
+    home = settle(pairs.over_pairs(points, points, points.select("block", F.col("leaf").alias("other")), d, nearest, merge))
+    near = pairs.reached_leaves(points, home, points, d)
+    more = pairs.over_pairs(points, points, near, d, nearest, merge)
+    return points, pairs.merge_values(home, more, merge), near
+
+
+def neighbour_entropy(df: DataFrame, columns: list[str], key: str, weights: dict[int, float] | None = None) -> dict[str, float]:
+    """entropy (nats), se and n: weighted means over all rows with finite values of log xi_j = d log rho_j + log V_d + log(n - 1) -
+    digamma(j), with rho_j the distance to the j-th neighbour; the variance is that of the weighted terms, at least 0.
+
+    weights: by j, by default all on the fourth. NaN for too few rows. key: the rows' name, which plays no part.
+    """
+    weights = weights or {4: 1.0}
+    k, d = max(weights), len(columns)
+    points, values, _ = neighbour_distances(df.select(key, *columns), columns, k)
     order = sorted(weights)
 
     def logs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             far = [np.log(np.maximum(np.sqrt(np.sort(np.frombuffer(v.as_buffer()).reshape(-1, k + 1), 1)[:, order]), 1e-300)) for v in b.column(0)]
-            sums = [pa.array([x[:, i].sum() if p == 1 else (x[:, i] ** 2).sum() for x in far], pa.float64()) for i in range(len(order)) for p in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in far], pa.int64()), *sums], ["n", *names])
+            w = [np.frombuffer(x.as_buffer()) for x in b.column(1)]
+            sums = [pa.array([(u * x[:, i]).sum() if p == 1 else (u * x[:, i] ** 2).sum() for x, u in zip(far, w, strict=True)], pa.float64()) for i in range(len(order)) for p in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in w], pa.int64()), *sums], ["n", *names])
 
     names = [f"s{p}_{j}" for j in order for p in (1, 2)]
-    found = pairs.all_pairs(points, points, d, nearest, merge).select("value").mapInArrow(logs, ", ".join(["n bigint", *(f"{x} double" for x in names)])).groupBy().sum("n", *names).first()
+    found = values.join(points.select("block", "weights"), "block").select("value", "weights").mapInArrow(logs, ", ".join(["n bigint", *(f"{x} double" for x in names)])).groupBy().sum("n", *names).first()
     n = found[0] or 0
     if n <= k:
         return {"entropy": math.nan, "se": math.nan, "n": n}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.hermite import dictionary
 from skerry.operators import range_finder, scorematch, tiles
+from skerry.plans import models, montecarlo, pairs
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +74,52 @@ def test_eigenpairs_of_few_or_no_rows(spark):
     assert range_finder.eigenpairs(df.limit(0), "v", 3, 2)[2] == 0
     with pytest.raises(ValueError):
         range_finder.eigenpairs(df, "v", 3, 4)
+
+
+def neighbours(x, k):
+    q = np.sort(((x[:, None] - x[None]) ** 2).sum(2), 1)
+    return q[:, : k + 1]
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_neighbours_by_tree(spark, block):
+    """Clusters, lone points and a third of all rows on one point; most pairs of leaves are never met."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((500, 3)), 0.01 * rng.standard_normal((300, 3)) + 5, np.full((400, 3), -2.5), rng.uniform(-90, 90, (30, 3))])
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)] + [(-1, None, 0.0, 0.0), (-2, float("nan"), 0.0, 0.0)], "id int, a double, b double, c double").repartition(5)
+    points, values, near = montecarlo.neighbour_distances(df, ["a", "b", "c"], 5, block)
+    got = {}
+    for r in values.join(points.select("block", "points", "weights"), "block").collect():
+        for p, w, v in zip(np.frombuffer(r.points).reshape(-1, 3), np.frombuffer(r.weights), np.frombuffer(r.value).reshape(-1, 6), strict=True):
+            got[tuple(p)] = (int(w), np.sort(v))
+    want = neighbours(x, 5)
+    assert sum(w for w, _ in got.values()) == len(x)
+    assert all(np.allclose(got[tuple(p)][1], q, atol=1e-12) for p, q in zip(x, want, strict=True))
+    if block == 40:
+        leaves = points.select("leaf").distinct().count()
+        assert leaves > 15 and near.count() < 0.4 * leaves * points.count()
+        assert points.agg(F.max(F.length("weights"))).first()[0] <= 8 * block
+
+
+def test_too_few_rows_for_neighbours(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, None)], "id int, a double")
+    got = montecarlo.neighbour_entropy(df, ["a"], "id")
+    assert np.isnan(got["entropy"]) and got["n"] == 2 and montecarlo.neighbour_entropy(df.limit(0), ["a"], "id")["n"] == 0
+
+
+def test_kernel_sums_within_reach(spark):
+    """Rows of their own, copies, and rows far from every centre, which are summed over all of them."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((2500, 2)), np.tile([[0.3, -0.2]], (900, 1))])
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id bigint, a double, b double").repartition(4)
+    model = models.KernelDensity(["a", "b"]).fit(df)
+    asked = np.concatenate([x[::50], [[40.0, -40.0], [8.0, 8.0], [3.5, -3.7]]])
+    queries = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(asked)] + [(900, float("nan"), 0.0)], "id bigint, a double, b double")
+    got = {r.id: r.log_density for r in model.evaluate(queries).collect()}
+    y, c = (model.base.ranks(v) @ model.root.T for v in (asked, x))
+    total = np.exp(-0.5 * ((y[:, None] - c[None]) ** 2).sum(2)).sum(1)
+    norm = np.log(len(x)) + np.log(2 * np.pi) - np.log(np.diag(model.root)).sum()
+    want = np.log(np.maximum(total, 1e-300)) - norm + model.base.log_density(asked) + 0.5 * (model.base.ranks(asked) ** 2).sum(1) + np.log(2 * np.pi)
+    assert model.n == len(x) and np.allclose([got[k] for k in range(len(asked))], want, atol=1e-5) and np.isnan(got[900])
+    near = pairs.near_leaves(model.centres, model.centres, 2, 1.0)
+    assert near.join(model.centres.select("block", "leaf"), "block").where("leaf = other").count() == model.centres.count()
