@@ -83,26 +83,41 @@ class Marginal:
 
 
 def fit_marginal(df: DataFrame, column: str, points: int = 2000, pad: float = 4.0) -> Marginal:
-    """Bins the column on a fine uniform grid (one aggregation, `points` rows at most) and convolves with the kernel."""
-    rows = finite(df, column).select(F.col(column).cast("double").alias("x"))
-    stat = robust_bandwidth(rows, ["x"]).first()
-    lo, hi = rows.agg(F.min("x"), F.max("x")).first()
-    width = stat.h * (stat.sd if stat.sd and stat.sd > 0 else 1.0)
-    grid = np.linspace(lo - pad * width, hi + pad * width, points)
+    return fit_marginals(df, [column], points, pad)[column]
+
+
+def fit_marginals(df: DataFrame, columns: list[str], points: int = 2000, pad: float = 4.0) -> dict[str, Marginal]:
+    """Bins the columns on fine uniform grids (one aggregation for all, `points` rows a column at most) and convolves with the
+    kernel. A column without finite values is an error."""
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    stats = {r.coord: r for r in robust_bandwidth(rows, columns).collect()}  # a row a column
+    if missing := set(columns) - stats.keys():
+        raise ValueError(f"no finite values: {', '.join(sorted(missing))}")
+    inside = {c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in columns}
+    ends = rows.agg(*(f(inside[c]) for c in columns for f in (F.min, F.max))).first()
+    grids, widths, shares = [], [], []
+    for j, c in enumerate(columns):
+        width = stats[c].h * (stats[c].sd if stats[c].sd and stats[c].sd > 0 else 1.0)
+        grid = np.linspace(ends[2 * j] - pad * width, ends[2 * j + 1] + pad * width, points)
+        place = (inside[c] - float(grid[0])) / float(grid[1] - grid[0])
+        cell = F.floor(place)
+        shares += [F.struct(F.lit(j).alias("j"), (cell + k).alias("k"), (1 - (place - cell) if k == 0 else place - cell).alias("w")) for k in (0, 1)]
+        grids.append(grid)
+        widths.append(width)
+    masses = np.zeros((len(columns), points + 1))
+    split = rows.select(F.explode(F.array(*shares)).alias("p")).where("p.w IS NOT NULL")
+    for r in split.groupBy("p.j", "p.k").agg(F.sum("p.w").alias("w")).collect():  # a row a grid point at most
+        masses[r.j, int(r.k)] += r.w
+    return {c: _smoothed(stats[c].n, widths[j], grids[j], masses[j, :points]) for j, c in enumerate(columns)}
+
+
+def _smoothed(n: int, width: float, grid: np.ndarray, mass: np.ndarray) -> Marginal:
     step = grid[1] - grid[0]
-    place = (F.col("x") - float(grid[0])) / float(step)
-    cell = F.floor(place)
-    share = place - cell
-    split = rows.select(F.explode(F.array(F.struct(cell.alias("k"), (1 - share).alias("w")), F.struct((cell + 1).alias("k"), share.alias("w")))).alias("p"))
-    mass = np.zeros(points + 1)
-    for r in split.groupBy("p.k").agg(F.sum("p.w").alias("w")).collect():  # grid points at most
-        mass[int(r.k)] += r.w
-    mass = mass[:points]
     offsets = np.arange(-int(8 * width / step) - 1, int(8 * width / step) + 2) * step
     kernel = np.exp(-0.5 * (offsets / width) ** 2) / (width * math.sqrt(2 * math.pi))
-    density = np.convolve(mass, kernel, "full")[len(offsets) // 2 :][:points] / stat.n
+    density = np.convolve(mass, kernel, "full")[len(offsets) // 2 :][: len(grid)] / n
     area = np.concatenate(([0.0], np.cumsum((density[1:] + density[:-1]) / 2 * step)))
-    return Marginal(stat.n, width, grid, density, area / area[-1], mass)
+    return Marginal(n, width, grid, density, area / area[-1], mass)
 
 
 def pchip_slopes_np(x: np.ndarray, y: np.ndarray) -> np.ndarray:

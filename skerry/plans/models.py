@@ -17,7 +17,7 @@ from skerry.functions.normal import LOG_2PI
 from skerry.functions.sobol import sobol
 from skerry.operators import solvers
 from skerry.operators.constrained import fit_constrained
-from skerry.operators.marginals import Marginal, fit_marginal
+from skerry.operators.marginals import Marginal, fit_marginals
 from skerry.operators.ranks import hash_halves, quantiles, rank_gaussianize
 from skerry.operators.scorematch import matrix, score_columns, score_moments, second_moments, statistics
 from skerry.operators.samples import column_groups
@@ -50,7 +50,7 @@ class ProductOfMarginals:
     def fit(self, df: DataFrame) -> ProductOfMarginals:
         """A marginal for each column; columns with the same values share one."""
         same = column_groups(df, self.columns) if len(self.columns) > 1 else {c: c for c in self.columns}
-        fitted = {c: fit_marginal(df, c) for c in dict.fromkeys(same.values())}
+        fitted = fit_marginals(df, list(dict.fromkeys(same.values())))
         self.marginals = [fitted[same[c]] for c in self.columns]
         return self
 

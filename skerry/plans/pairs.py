@@ -96,11 +96,27 @@ def pack(df: DataFrame, columns: list[str], points: Callable[[np.ndarray], np.nd
     places = [names.index(c) for c in columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
+    def leaf_of(b: pa.RecordBatch) -> np.ndarray:
+        x = points(_at(b, places))
+        return tree.leaf(np.where(np.isfinite(x), x, np.inf))
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << tree.depth, np.int64)
+        for b in it:
+            total += np.bincount(leaf_of(b), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["leaf", "n"])
+
+    salts = np.ones(1 << tree.depth, np.int64)  # a leaf of very many rows is dealt out by their hash
+    if keep:
+        for r in df.mapInArrow(counted, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # a row a leaf
+            salts[r.leaf] = -(-r.n // (16 * block))
+
     def leaves(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = points(_at(b, places))
-            leaf = tree.leaf(np.where(np.isfinite(x), x, np.inf))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], [*b.schema.names, "leaf_"])
+            leaf = leaf_of(b)
+            salt = b.column(len(names)).to_numpy() % salts[leaf]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(leaf), pa.array(salt)], [*names, "leaf_", "salt_"])
 
     def packed(number: int, leaf: int, held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -144,8 +160,8 @@ def pack(df: DataFrame, columns: list[str], points: Callable[[np.ndarray], np.nd
             yield made
 
     parts = _partitions(df.sparkSession)
-    salt = F.pmod(F.xxhash64(*columns), F.lit(4))  # a leaf of many equal queries is dealt out
-    sent = df.mapInArrow(leaves, f"{schema}, leaf_ int").repartition(parts, "leaf_", salt).sortWithinPartitions("leaf_", salt)
+    sent = df.withColumn("hash_", F.xxhash64(*names)).mapInArrow(leaves, f"{schema}, leaf_ int, salt_ bigint")
+    sent = sent.repartition(parts, "leaf_", "salt_").sortWithinPartitions("leaf_", "salt_")
     return settle(sent.mapInArrow(run, _PACKED_SQL))
 
 

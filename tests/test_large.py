@@ -85,7 +85,7 @@ def neighbours(x, k):
 def test_neighbours_by_tree(spark, block):
     """Clusters, lone points and a third of all rows on one point; most pairs of leaves are never met."""
     rng = np.random.default_rng(4)
-    x = np.concatenate([rng.standard_normal((500, 3)), 0.01 * rng.standard_normal((300, 3)) + 5, np.full((400, 3), -2.5), rng.uniform(-90, 90, (30, 3))])
+    x = np.concatenate([rng.standard_normal((500, 3)), 0.01 * rng.standard_normal((300, 3)) + 5, np.full((400, 3), -2.5), rng.uniform(-90, 90, (8, 3))])
     df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)] + [(-1, None, 0.0, 0.0), (-2, float("nan"), 0.0, 0.0)], "id int, a double, b double, c double").repartition(5)
     points, values, near = montecarlo.neighbour_distances(df, ["a", "b", "c"], 5, block)
     got = {}
