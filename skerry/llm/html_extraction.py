@@ -1,6 +1,8 @@
 """Main text of web pages by tree scoring.
 
-A tolerant parser makes a tree and leaves out scripts, forms, navigation and other parts that are no article. Paragraphs
+A tolerant parser makes a tree and leaves out scripts, forms, navigation and other parts that are no article. Readers' comments
+are known by structure: neighbours of one kind, each with an author or a time and an offer to answer; so are blocks that are
+paid links as a whole. Names of classes are evidence beside that. Paragraphs
 pass points for their length and commas to the containers above, which are discounted by their link density; the article or
 main around the best container, or else that container and what lies beside it without being mostly links, is kept, block by
 block.
@@ -38,33 +40,44 @@ SCOPES = frozenset("ul ol dl table article section main div body html td th bloc
 _NOISE = re.compile(
     r"ad|ads|adv|advert|advertisement|banner|sponsor(?:ed)?|promo|sidebar|side|widget|nav|navbar|navigation|menu|breadcrumbs?|toolbar|"
     r"footer|foot|copyright|cookies?|consent|notice|alert|popup|modal|overlay|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
-    r"comments?|commentlist|disqus|replies|reply|respond|pagination|pager|hidden|skip"
+    r"comments?|commentlist|discussions?|disqus|replies|reply|respond|pagination|pager|hidden|skip"
 )
+#: Names that only advert slots and their suppliers have; has-, no- and with- before them speak of something else.
+_SLOT = re.compile(r"ads(?!or)[a-z]+|ad(?:slot|unit|box|banner|frame|space|zone|choices|container|label|tag)s?|dfp|gpt|taboola|outbrain|teads|doubleclick|criteo|revcontent|mgid")
+_WITHOUT = frozenset("has no with without is not".split())
 _HEADER = re.compile(r"header|masthead")
 #: Words that may stand beside a noise word in a class or id; others (has-sidebar, social-issues) make it something else.
 _BESIDE = re.compile(
     r"\d*|the|js|wp|site|page|main|global|web|app|top|bottom|left|right|upper|lower|center|middle|primary|secondary|tertiary|post|posts|entry|article|articles|blog|story|stories|"
     r"content|text|body|inner|outer|container|wrapper|wrap|holder|box|block|blocks|area|section|region|panel|column|col|row|bar|strip|slot|unit|zone|list|lists|links?|"
     r"item|items|icons?|buttons?|btns?|btn|media|network|follow|form|forms|thread|title|heading|label|header|head|group|module|component|template|mobile|desktop|sticky|fixed|"
-    r"google|facebook|twitter|visually|user|desk|tools?|more|most|popular|reader|readers|leaderboard|skyscraper|mpu|dfp|gpt|policy|message|dialog|window|to|a|it|us|tags?|cat|categories"
+    r"google|facebook|twitter|visually|user|desk|tools?|more|most|popular|reader|readers|leaderboard|skyscraper|mpu|dfp|gpt|policy|message|dialog|window|to|a|it|us|tags?|cat|categories|iframe|frame|div|ins|lazy|async|responsive"
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|rel|itemprop|datetime|href|hidden|aria-hidden|data-ad[\w-]*|data-google[\w-]*)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 
 
 #: An element left out for its class or id may turn out to hold the article; others may not.
 BY_NAME, SURELY = 1, 2
 
 
+#: What tells a reader's contribution: who and when, and an offer to answer. Evidence only beside a repeated structure.
+_SIGNED = re.compile(r"authors?|avatar|byline|user(?:name)?|commenter|nickname|timestamp|time|date(?:time)?|posted|published")
+_ANSWER = re.compile(r"reply|respond|answer|quote|report|upvote|downvote|votes?|likes?|karma|permalink")
+_ANSWER_TEXTS = frozenset("reply respond answer quote report antworten zitieren melden répondre signaler responder citar denunciar rispondi".split())
+
+
 class Node:
-    __slots__ = ("guest", "inside", "name", "noise", "parent", "parts", "score", "size", "linked")
+    __slots__ = ("answer", "guest", "inside", "kind", "linked", "links", "name", "noise", "parent", "parts", "score", "signed", "size", "sold")
 
     def __init__(self, name: str, parent: Node | None, noise: int = 0):
         self.name, self.parent, self.noise = name, parent, noise  # noise: 0, BY_NAME or SURELY
         self.parts: list[Node | str] = []
-        self.score, self.size, self.linked = 0.0, 0, 0
+        self.score, self.size, self.linked, self.links = 0.0, 0, 0, 0
+        self.kind = ""  # its classes without numbers
+        self.signed = self.answer = self.sold = False  # evidence of a contribution; a link that is paid for
         self.guest = False  # an article that is a comment or teaser by name
         self.inside = name in ("article", "main") or parent is not None and parent.inside
 
@@ -78,6 +91,62 @@ def _named(value: str, words: re.Pattern) -> bool:
     return False
 
 
+def _is_slot(value: str) -> bool:
+    """Whether a class or an id is that of an advert slot."""
+    for token in value.lower().split():
+        parts = re.split("[_-]+", token)
+        if any(map(_SLOT.fullmatch, parts)) and not _WITHOUT.intersection(parts):
+            return True
+    return False
+
+
+def _note(node: Node, attributes: str) -> None:
+    """What the node's attributes say about its structure."""
+    node.signed = node.name == "time"
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values).lower()
+        words = re.split(r"[\s_-]+", value)
+        if key == "class":
+            node.kind = re.sub(r"\d+", "", value)
+        if key in ("class", "id", "itemprop", "rel"):
+            node.signed |= any(map(_SIGNED.fullmatch, words))
+            node.answer |= any(map(_ANSWER.fullmatch, words))
+            node.sold |= key == "rel" and "sponsored" in words
+        node.signed |= key == "datetime"
+        node.answer |= key == "href" and bool(re.search(r"#(?:reply|respond|comment)|replytocom", value))
+
+
+def _mark_threads(root: Node) -> None:
+    """Repeated neighbours of one kind that each are signed and can be answered are readers' contributions; blocks whose text
+    all lies in links that are paid for are adverts."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += [p for p in x.parts if isinstance(p, Node)]
+    if not any(x.answer or x.sold or x.name in ("a", "button") for x in order):
+        return
+    signed, answer, size, sold = {}, {}, {}, {}
+    for x in reversed(order):
+        below = [p for p in x.parts if isinstance(p, Node)]
+        text = "".join(p for p in x.parts if isinstance(p, str)).strip()
+        size[x] = len(text) + sum(size[p] for p in below)
+        sold[x] = size[x] if x.sold else sum(sold[p] for p in below)
+        signed[x] = x.signed or any(signed[p] for p in below)
+        answer[x] = x.answer or x.name in ("a", "button") and text.lower() in _ANSWER_TEXTS or any(answer[p] for p in below)
+        kinds: dict[tuple[str, str], list[Node]] = {}
+        for p in below:
+            if p.name in BLOCK and size[p]:
+                kinds.setdefault((p.name, p.kind), []).append(p)
+        for alike in kinds.values():
+            if len(alike) > 1 and all(signed[p] and answer[p] for p in alike):
+                for p in alike:
+                    p.noise = p.noise or BY_NAME
+                    p.guest = True
+        if x.name in BLOCK and x.name not in ("html", "body") and size[x] and sold[x] == size[x]:
+            x.noise = x.noise or BY_NAME
+
+
 def _is_noise(name: str, attributes: str, at: Node) -> int:
     """Whether an element is no part of an article, and how sure that is; an article's own header is a part."""
     if name in LEFT_OUT or name == "header" and not at.inside:
@@ -89,7 +158,7 @@ def _is_noise(name: str, attributes: str, at: Node) -> int:
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in _ROLES:
             return SURELY
-        if key in ("class", "id") and (_named(value, _NOISE) or _named(value, _HEADER) and not at.inside):
+        if key in ("class", "id") and (_named(value, _NOISE) or _is_slot(value) or _named(value, _HEADER) and not at.inside) or key.startswith("data-"):
             noise = BY_NAME
     return noise
 
@@ -217,10 +286,15 @@ def parse(html: str) -> Node:
                 i = n if close < 0 else close + 1
             continue
         node = Node(name, at, _is_noise(name, tag[3], at))
+        if tag[3]:
+            _note(node, tag[3])
+        elif name == "time":
+            node.signed = True
         node.guest = name in ("article", "main") and any(key.lower() in ("class", "id") and _named("".join(v), _NOISE) for key, *v in _ATTRIBUTE.findall(tag[3]))
         at.parts.append(node)
         if name not in VOID and not (tag[3].endswith("/") and name not in BLOCK):
             line.add(node)
+    _mark_threads(root)
     _spare(root)
     return root
 
@@ -236,6 +310,7 @@ def _measure(root: Node) -> list[Node]:
     for x in reversed(order):
         x.size = sum(p.size if isinstance(p, Node) else len(p.strip()) for p in x.parts if isinstance(p, str) or not p.noise)
         x.linked = x.size if x.name == "a" else sum(p.linked for p in x.parts if isinstance(p, Node) and not p.noise)
+        x.links = (1 if x.size else 0) if x.name == "a" else sum(p.links for p in x.parts if isinstance(p, Node) and not p.noise)
     return order
 
 
@@ -290,7 +365,7 @@ def best_containers(root: Node) -> list[Node]:
                 continue
             long_text = x.name in ("p", "pre", "blockquote") and x.size > 80 and _density(x) < 0.25
             beside = outer or best.name not in ("article", "main") or x.name in BLOCK and (x.score >= max(2.0, 0.2 * best.score) or long_text or x.name == best.name == "article")
-            x.noise = _density(x) >= 0.5 or not beside
+            x.noise = _density(x) >= 0.5 and (x.links > 1 or x.name in ("ul", "ol")) or not beside  # a list of links; a paragraph may be one
         if not outer and best.name in ("article", "main"):
             return [x for x in best.parent.parts if isinstance(x, Node) and (x is best or x.name in BLOCK and x.size and not x.noise)]
         best = best.parent

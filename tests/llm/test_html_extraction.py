@@ -114,3 +114,111 @@ def test_rows(spark):
     got = {r.page_id: r for r in extract(spark.createDataFrame(rows, schema)).collect()}
     assert (got[1].text, got[1].n_chars, got[None].text, got[3].n_chars) == ("a", 1, "", 0) and got[5].text.count("\n") == 19999
     assert not extract(spark.createDataFrame([], schema)).collect()
+
+
+_BODY = [x.strip() for x in _LONG[:4]]
+_ITEM = "<{tag} class='c-{k}'><div><b>Reader {k}</b> <time datetime=2024-01-0{k}>day {k}</time></div><p>I saw this, too, and it was, for me, quite so.</p><a href='?r={k}'>{word}</a></{tag}>"
+
+
+@pytest.mark.parametrize("wrap", ["article", "div"])
+@pytest.mark.parametrize(("tag", "word"), [("div", "Reply"), ("li", "Antworten"), ("section", "Répondre")])
+def test_comments_are_known_by_structure(wrap, tag, word):
+    """No class says what they are; two alike, signed and with an offer to answer."""
+    items = "".join(_ITEM.format(tag=tag, k=k, word=word) for k in (1, 2, 3))
+    html = f"<body><{wrap} id=content>{''.join(f'<p>{x}</p>' for x in _BODY)}<div class=x9>{'<ul>' if tag == 'li' else ''}{items}</div></{wrap}></body>"
+    assert main_text(html).split("\n") == _BODY
+
+
+def test_signed_parts_of_an_article_stay():
+    """Dated entries that nobody can answer are the article's own."""
+    items = "".join(f"<div class=entry><time>day {k}</time><p>What happened, that day, and after, in a few words.</p></div>" for k in (1, 2, 3))
+    html = f"<body><article><h1>Log</h1>{items}</article></body>"
+    assert main_text(html).count("What happened") == 3 and "day 2" in main_text(html)
+
+
+@pytest.mark.parametrize(
+    "advert",
+    [
+        "<div class=adsbygoogle><p>Buy this, now, and here, today, or tomorrow.</p></div>",
+        "<div id=google_ads_iframe_1><p>Buy this, now, and here.</p></div>",
+        "<div class='outbrain widget-7'><p>Ten things, you, and others, like.</p></div>",
+        "<div class=taboola>You may, or may not, like this.</div>",
+        "<div id=div-gpt-ad-12><p>Buy, buy, buy.</p></div>",
+        "<ins data-ad-client=ca-1><div>Buy, buy, buy.</div></ins>",
+        "<div><p><a rel='nofollow sponsored' href=//x>Our partner, and friend, offers, a lot.</a></p></div>",
+        "<div class='discussion-thread'><p>I think, that this, is, not so.</p></div>",
+        "<div class='discussion'><p>I think, that this, is, not so.</p></div>",
+    ],
+)
+@pytest.mark.parametrize("wrap", ["article", "div"])
+def test_adverts_and_threads_by_name_or_link(advert, wrap):
+    html = f"<body><{wrap}>{''.join(f'<p>{x}</p>' for x in _BODY[:2])}{advert}{''.join(f'<p>{x}</p>' for x in _BODY[2:])}</{wrap}></body>"
+    assert main_text(html).split("\n") == _BODY
+
+
+@pytest.mark.parametrize("word", ["adsorption-data", "add-on", "has-ads", "no-adsense", "address", "gradient", "shadbox"])
+def test_words_like_those_of_adverts(word):
+    html = f"<body><div><div class='{word}'><p>Kept, as it is.</p></div>{''.join(f'<p>{x}</p>' for x in _BODY)}</div></body>"
+    assert main_text(html).split("\n") == ["Kept, as it is.", *_BODY]
+
+
+def test_link_only_paragraphs_stay_and_link_lists_go():
+    inner = "".join(f"<p>{x}</p>" for x in _BODY)
+    html = f"<body><div id=content><div>{inner}</div><p><a href=/x>only link</a></p><ul><li><a href=/a>one</a></li><li><a href=/b>two</a></li></ul><div><a href=/c>more</a> <a href=/d>and more</a></div></div></body>"
+    assert main_text(html).split("\n") == [*_BODY, "only link"]
+    tied = "<body><div><p>a, b, c, d</p></div><div><p>e, f, g, h</p></div></body>"  # equal scores: the first in page order leads, both stay
+    assert main_text(tied) == "a, b, c, d\ne, f, g, h"
+
+
+def test_plain_reader_of_well_formed_pages():
+    """All blocks of the one article, read by the standard library's parser, on pages made of random parts."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.left, self.out, self.held = 0, 0, [], []
+
+        def end(self):
+            if text := " ".join("".join(self.held).split()):
+                self.out.append(text)
+            self.held = []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if self.left or tag in ("aside", "form", "script") or dict(attrs).get("class") in ("ad", "share", "comments"):
+                self.left += tag not in ("br", "img", "input")
+            elif tag in ("p", "h1", "h2", "li", "ul", "div", "blockquote", "article", "td", "tr", "table"):
+                self.end()
+            elif tag == "br":
+                self.held.append(" ")
+
+        def handle_endtag(self, tag):
+            if self.left:
+                self.left -= 1
+            elif tag in ("p", "h1", "h2", "li", "ul", "div", "blockquote", "article", "td", "tr", "table"):
+                self.end()
+                self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside and not self.left:
+                self.held.append(data)
+
+    rng = random.Random(11)
+    words = ["alpha", "beta,", "&amp;", "<b>bold</b>", "é", "<a href=/x>link</a>", "&#233;", "x<br>y"]
+    for _ in range(150):
+        line = lambda: " ".join(rng.choices(words, k=rng.randint(1, 40)))
+        parts = []
+        for _ in range(rng.randint(1, 9)):
+            kind = rng.choice(["p", "p", "p", "h2", "ul", "blockquote", "div", "noise"])
+            if kind == "ul":
+                parts.append(f"<ul><li>{line()}</li><li>{line()}</li></ul>")
+            elif kind == "noise":
+                parts.append(rng.choice(["<div class='ad'><p>Buy</p></div>", "<aside><p>Aside</p></aside>", "<form><p>Form</p></form>", "<script>s</script>", "<div class='share'>Share</div>"]))
+            else:
+                parts.append(f"<{kind}>{line()}</{kind}>")
+        html = f"<html><body><nav><a href=/>Home</a></nav><article><h1>{line()}</h1>{''.join(parts)}</article><footer>f</footer></body></html>"
+        plain = Plain()
+        plain.feed(html)
+        plain.end()
+        assert main_text(html).split("\n") == plain.out
