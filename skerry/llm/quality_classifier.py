@@ -5,8 +5,9 @@ that evidence give each host a posterior, shrunk towards the global prior, and e
 host; how strongly is estimated from the spread between groups. A document's own evidence is taken out of its path's sums
 before both are combined, so that nothing counts twice.
 
-Toxic documents count as bad. The words that give them away are learned from the same sample: those whose labelled texts are
-mostly toxic, beyond chance; how many of them a text has is one more feature.
+Toxic documents count as bad. A second classifier tells them by hashed words that the same sample ties to the label
+(`toxicity.py`), with weights learned from evidence that hasn't seen the row. A text is good if it is of quality and not toxic,
+so its evidence is the log-odds of the product of both.
 
 How much a site counts beside the text is learned on the labelled rows too.
 
@@ -15,7 +16,8 @@ large. Nothing is collected but the sample
 and two numbers a level.
 
 Defined results: null text is empty. Null host or path is a group of its own. Null or repeated doc_id: every row is
-judged. Without labels of both kinds, or for labels without documents, the text evidence is 0 and all rows are kept.
+judged. Without labels of both kinds of either label, or for labels without documents, the text evidence is 0 and all rows are
+kept; where one of the two labels has both kinds, it alone is the evidence.
 Empty table: empty result.
 """
 
@@ -24,44 +26,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.exchange import Workspace, bounded_sample
+from skerry.llm.toxicity import EVIDENCE, evidence, learn
 from skerry.llm.textstats import CAPITALS, SYMBOLS, count_of, line_counts, ratio, with_words, without, SPACES
 
-FEATURES = ("log_words", "symbol_share", "capital_share", "mark_share", "same_share", "distinct_share", "dup_line_share", "mean_word", "toxic_words")
+FEATURES = ("log_words", "symbol_share", "capital_share", "mark_share", "same_share", "distinct_share", "dup_line_share", "mean_word")
 _FLOOR = 1e-4
 
 
-def _plain_words(text: str) -> Column:
-    """The words of a text in lower case, without marks."""
-    return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}']+")
-
-
-def toxic_lexicon(docs: DataFrame, known: DataFrame, n_known: int, most_labelled: int, least_z: float = 4.0) -> list[str]:
-    """Words whose labelled documents are mostly toxic, and clearly more often than others'.
-
-    docs: doc_id, text. known: doc_id, toxic. Equal texts count once. least_z: standard errors between a word's log-odds among
-    toxic and among other texts. The words are as many as the sample shows to be tied to the label.
-    """
-    share = int(min(1.0, most_labelled / max(n_known, 1)) * (1 << 30))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share
-    texts = docs.where(chosen).select("doc_id", "text").join(known.where(chosen).select("doc_id", "toxic"), "doc_id")
-    texts = texts.select(F.xxhash64("text").alias("t_"), "toxic", F.array_distinct(_plain_words("text")).alias("w_")).dropDuplicates(["t_", "toxic"])
-    words = texts.select("toxic", F.explode(F.concat("w_", F.array(F.lit("\n")))).alias("w"))  # no word is a line end: it counts texts
-    counts = words.groupBy("w").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")).where("a >= 2 AND (w = '\\n' OR a > b)")
-    rows = {r.w: (r.a, r.b) for r in counts.where("w = '\\n'").collect()}
-    if not rows:
-        return []
-    a, b = rows["\n"]
-    odds = F.ln((F.col("a") + 0.5) / (a - F.col("a") + 0.5)) - F.ln((F.col("b") + 0.5) / (b - F.col("b") + 0.5))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (a - F.col("a") + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (b - F.col("b") + 0.5))
-    return sorted(r.w for r in counts.where((F.col("w") != "\n") & (F.col("w") != "") & (odds >= least_z * error)).select("w").collect())  # of a bounded sample
-
-
-def text_features(docs: DataFrame, text: str, keep: list[str], toxic: list[str]) -> DataFrame:
-    """The kept columns and a column f_NAME for each feature. toxic: words that are counted, each once a text."""
+def text_features(docs: DataFrame, text: str, keep: list[str], lexicon: Broadcast) -> DataFrame:
+    """The kept columns, a column f_NAME for each feature, and toxic_ and toxic_other_, the evidence by the lexicon."""
     rows = line_counts(with_words(docs, text))
     n = F.size("words_")
     same = F.expr("size(filter(arrays_zip(words_, slice(words_, 2, size(words_))), x -> x.words_ = x['1']))")
@@ -75,9 +53,9 @@ def text_features(docs: DataFrame, text: str, keep: list[str], toxic: list[str])
         "distinct_share": ratio(F.size(F.array_distinct("words_")), n),
         "dup_line_share": ratio("n_dup_lines", "n_lines"),
         "mean_word": F.log1p(ratio(chars, n)),
-        "toxic_words": F.log1p(F.size(F.array_intersect(_plain_words("text_"), F.array(*map(F.lit, toxic)))).cast("double")) if toxic else F.lit(0.0),
     }
-    return rows.select(*keep, *(made[name].alias(f"f_{name}") for name in FEATURES))
+    found = evidence(F.col("text_"), lexicon)
+    return rows.withColumn("found_", found).select(*keep, *(made[name].alias(f"f_{name}") for name in FEATURES), F.col("found_.whole").alias("toxic_"), F.col("found_.other").alias("toxic_other_"))
 
 
 @dataclass(frozen=True)
@@ -87,17 +65,26 @@ class TextModel:
     prior: float  # share of good rows in the sample
     bounds: tuple[tuple[float, float], ...] = ((0.0, 0.0),) * len(FEATURES)  # of the sample; values beyond count as these
 
-    def logit(self) -> Column:
+    def logit(self, values: list[Column]) -> Column:
         out = F.lit(self.bias)
-        for name, w, (lo, hi) in zip(FEATURES, self.weights, self.bounds, strict=True):
-            out = out + F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(f"f_{name}"))) * w
+        for value, w, (lo, hi) in zip(values, self.weights, self.bounds, strict=True):
+            out = out + F.greatest(F.lit(lo), F.least(F.lit(hi), value)) * w
         return F.greatest(F.lit(-20.0), F.least(F.lit(20.0), out))
 
+    def of(self, x: np.ndarray) -> np.ndarray:
+        lo, hi = np.array(self.bounds).T
+        return np.clip(self.bias + np.clip(x, lo, hi) @ np.array(self.weights), -20, 20)
+
+    @property
+    def void(self) -> bool:
+        """Fitted on rows of one kind or none: it says nothing."""
+        return not any(self.weights) and self.bias == 0.0
+
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> TextModel:
     """Ridge logistic regression by Newton's method on standardised features."""
     if len(y) == 0 or y.min() == y.max():
-        return TextModel(0.0, (0.0,) * len(FEATURES), 0.5)
+        return TextModel(0.0, (0.0,) * x.shape[1], 0.5, ((0.0, 0.0),) * x.shape[1])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], 1)
     w = np.zeros(z.shape[1])
@@ -112,13 +99,23 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> T
     return TextModel(float(w[0] - weights @ mean), tuple(map(float, weights)), float(y.mean()), tuple(zip(x.min(0).tolist(), x.max(0).tolist(), strict=True)))
 
 
-def crossed_logits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Text evidence for every other row from a fit on the rows between, so that no row's label is in its own evidence."""
+def good_log_odds(quality: np.ndarray, toxic: np.ndarray | None) -> np.ndarray:
+    """Log-odds of being of quality and not toxic, from those of both; a model that is void has none."""
+    if toxic is None:
+        return quality
+    p = 1 / (1 + np.exp(-quality)) / (1 + np.exp(toxic))
+    return np.clip(np.log(np.maximum(p, 1e-300)) - np.log1p(-np.minimum(p, 1 - 1e-16)), -20, 20)
+
+
+def crossed_logits(x: np.ndarray, y: np.ndarray, hints: np.ndarray, toxic: np.ndarray, margin: float) -> np.ndarray:
+    """Text evidence for every other row from fits on the rows between, so that no row's label is in its own evidence."""
     out = np.zeros(len(x))
     for k in (0, 1):
-        model = fit(x[1 - k :: 2], y[1 - k :: 2])
-        lo, hi = np.array(model.bounds).T
-        out[k::2] = np.clip(model.bias + np.clip(x[k::2], lo, hi) @ np.array(model.weights), -20, 20)
+        quality, other = fit(x[1 - k :: 2], y[1 - k :: 2]), fit(hints[1 - k :: 2], toxic[1 - k :: 2])
+        if quality.void and not other.void:
+            out[k::2] = margin - other.of(hints[k::2])
+        else:
+            out[k::2] = good_log_odds(quality.of(x[k::2]), None if other.void else other.of(hints[k::2]) - margin)
     return out
 
 
@@ -150,12 +147,13 @@ def _strength(groups: DataFrame, prior: Column, least: float, most: float) -> fl
     return float(min(most, max(least, row.v / row.e)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most_labelled: int = 20_000, site_weight: float | None = None, threshold: float = 0.5, carry: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most_labelled: int = 20_000, site_weight: float | None = None, threshold: float = 0.5, toxic_margin: float = 0.85, carry: bool = False) -> DataFrame:
     """doc_id, text_logit, host_posterior, path_posterior, posterior and kept of each row of docs(doc_id, text, ...).
 
     labels: doc_id, quality (1 good, 0 bad), toxic (1 toxic, which makes a row bad; may be absent). host, path: expressions over docs. most_labelled: labelled rows that the text
     classifier is fitted on, the first in the order of a hash. site_weight: what a site's log-odds against the global prior
-    count beside the text's; by default learned on the same labelled rows, with text evidence from fits that haven't seen the row. A posterior of just the threshold is kept. threshold: least posterior of kept rows. carry: also return the whole input row as struct row_.
+    count beside the text's; by default learned on the same labelled rows, with text evidence from fits that haven't seen the row. A posterior of just the threshold is kept. threshold: least posterior of kept rows. toxic_margin: log-odds that are taken
+    off those of being toxic; by default it takes seven chances in ten to make a row bad, as clean rows are to stay. carry: also return the whole input row as struct row_.
     """
     space = Workspace(docs.sparkSession, "quality")
     more = ["row_"] if carry else []
@@ -163,21 +161,34 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
     bad = F.coalesce(F.col("toxic"), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(bad).cast("int").alias("toxic"))
     n_known = known.count()
-    lexicon = toxic_lexicon(docs, known, n_known, most_labelled)
-    known = known.select("doc_id", F.when(F.col("toxic") == 0, F.col("quality")).otherwise(0).alias("quality"))
+    share = int(min(1.0, most_labelled / max(n_known, 1)) * (1 << 30))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share
+    texts = space.settle(docs.where(chosen).select("doc_id", "text").join(known.where(chosen), "doc_id").select("text", "toxic"), "texts")
+    lexicon = docs.sparkSession.sparkContext.broadcast(learn(texts))  # of a bounded sample
     rows = space.settle(text_features(rows, "text", ["doc_id", "host_", "path_", *more], lexicon), "features")
-    names = [f"f_{x}" for x in FEATURES]
-    sample = rows.join(known, "doc_id").select(*names, "quality", F.xxhash64("doc_id").alias("h"), "doc_id")
-    sample = bounded_sample(sample, "h", ["doc_id", *names], n_known, most_labelled)
-    got = np.array([[float(v) for v in r] for r in sample.select(*names, "quality").collect()]).reshape(-1, len(names) + 1)  # bounded by most_labelled
-    model = fit(got[:, :-1], got[:, -1])
-
-    features, rows = rows, rows.select("doc_id", "host_", "path_", *more, model.logit().alias("text_logit"))
+    names, hints = [f"f_{x}" for x in FEATURES], [F.col("toxic_other_")[k] for k in range(len(EVIDENCE))]
+    labelled = space.settle(rows.join(known, "doc_id").drop("row_"), "labelled")
+
+    def sampled(of: DataFrame, *further: str) -> np.ndarray:
+        """Features, toxic evidence that hasn't seen the row, further columns, quality and toxic: bounded by most_labelled."""
+        some = of.select(*names, *(h.alias(f"h_{k}") for k, h in enumerate(hints)), *further, "quality", "toxic", F.xxhash64("doc_id").alias("h"), "doc_id")
+        some = bounded_sample(some, "h", ["doc_id", *names], n_known, most_labelled).drop("h", "doc_id")
+        return np.array([[float(v) for v in r] for r in some.collect()]).reshape(-1, len(names) + len(hints) + len(further) + 2)
+
+    got = sampled(labelled)
+    quality, toxic = fit(got[:, : len(names)], got[:, -2]), fit(got[:, len(names) : -2], got[:, -1])
+    text_logit = quality.logit([F.col(n) for n in names])
+    if not toxic.void:
+        tell = toxic.logit([F.col("toxic_")[k] for k in range(len(EVIDENCE))]) - toxic_margin
+        both = 1 / (1 + F.exp(-text_logit)) / (1 + F.exp(tell))
+        text_logit = -tell if quality.void else F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.ln(both) - F.ln(F.greatest(F.lit(1e-16), 1 - both))))
+
+    rows = rows.select("doc_id", "host_", "path_", *more, text_logit.alias("text_logit"))
     rows = rows.withColumn("p", 1 / (1 + F.exp(-F.col("text_logit"))))
     paths = space.settle(rows.groupBy("host_", "path_").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host_").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    prior = min(1 - _FLOOR, max(_FLOOR, (total.s / total.n) if total.n else model.prior))
+    prior = min(1 - _FLOOR, max(_FLOOR, (total.s / total.n) if total.n else quality.prior))
     host_strength = _strength(hosts, F.lit(prior), 2.0, 1e4)
     hosts = hosts.select(F.col("host_").alias("h_"), ((F.col("s") + host_strength * prior) / (F.col("n") + host_strength)).alias("host_posterior"))
     joined = paths.join(hosts, F.col("host_").eqNullSafe(F.col("h_"))).drop("h_")
@@ -191,10 +202,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, mos
         return of.withColumn("site_", _logit(F.col("path_posterior")) - _logit(F.lit(prior)))
 
     if site_weight is None:
-        sample = with_site(features.join(known, "doc_id").withColumn("p", 1 / (1 + F.exp(-model.logit())))).select(*names, "site_", "quality", F.xxhash64("doc_id").alias("h"), "doc_id")
-        sample = bounded_sample(sample, "h", ["doc_id", *names], n_known, most_labelled)
-        got = np.array([[float(v) for v in r] for r in sample.select(*names, "site_", "quality").collect()]).reshape(-1, len(names) + 2)  # bounded by most_labelled
-        site_weight = fit_weight(np.column_stack((crossed_logits(got[:, :-2], got[:, -1]), got[:, -2:])))
+        got = sampled(with_site(labelled.withColumn("p", 1 / (1 + F.exp(-text_logit)))), "site_")
+        good = got[:, -2] * (got[:, -1] == 0)
+        own = crossed_logits(got[:, : len(names)], got[:, -2], got[:, len(names) : -3], got[:, -1], toxic_margin)
+        site_weight = fit_weight(np.column_stack((own, got[:, -3], good)))
     rows = with_site(rows)
     evidence = F.col("text_logit") + site_weight * F.col("site_")
     rows = rows.withColumn("posterior", 1 / (1 + F.exp(-evidence)))
