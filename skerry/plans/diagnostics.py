@@ -16,6 +16,7 @@ from skerry.operators.ranks import asof_cdf, hash_halves, rank_gaussianize
 from skerry.operators.scorematch import Stats, score_moments, statistics
 from skerry.operators.subspace import complement, top_eigenvectors
 from skerry.functions.normal import ndtri_sql
+from skerry.plans.storage import running_total
 
 
 def align(theta: np.ndarray, small: list[Index], large: list[Index]) -> np.ndarray:
@@ -68,13 +69,18 @@ def a_posteriori_bound(df: DataFrame, columns: list[str], key: str, r: int, degr
     return {"tail": tail, "fourth": held.fourth, "bound": tail + math.sqrt(d - r) * math.sqrt(held.fourth / (held.n * delta))}
 
 
-def truncation_gap(ranked: DataFrame, z: list[str], key: str, small: tuple[int, int], large: tuple[int, int]) -> dict[str, float]:
-    """Squared size of what the larger dictionary adds: two fits on a quarter each, crossed over the gram of the other half."""
-    part = hash_halves(ranked, key).withColumnRenamed("fold", "half")
-    quarters = hash_halves(part.where("half = 0").drop("half"), key, 1).withColumn("part", F.col("fold")).unionByName(part.where("half = 1").drop("half").withColumn("fold", F.lit(0)).withColumn("part", F.lit(2)))
+def truncation_gap(ranked: DataFrame, z: list[str], key: str, small: tuple[int, int], large: tuple[int, int], strength: float | None = None) -> dict[str, float]:
+    """Squared size of what the larger dictionary adds: two fits on a quarter each, crossed over the gram of the other half.
+
+    One pass over the rows: the smaller dictionary's statistics are read off the larger one's. Parts are places in the order of
+    one hash: the second half, and the quarters of the first. strength: of the ridge fits, by default a share of the gram's norm.
+    """
+    n = ranked.count()
+    placed = running_total(ranked.select(key, *z, F.md5(F.concat(F.col(key).cast("string"), F.lit("-0")).cast("binary")).alias("h_"), F.lit(1).alias("one_")), ["h_", key], "one_", "k_")
+    part = F.when(F.col("k_") > n // 2, 2).when(F.col("k_") > n // 4, 1).otherwise(0)
     a, b = dictionary(len(z), *small), dictionary(len(z), *large)
-    stats = statistics(quarters, z, b, fold="part")
-    gap = [solvers.ridge(stats[k], b).theta - align(solvers.ridge(restrict(stats[k], b, a), a).theta, a, b) for k in (0, 1)]
+    stats = statistics(placed.select(*z, part.alias("part")), z, b, fold="part")
+    gap = [solvers.ridge(stats[k], b, strength).theta - align(solvers.ridge(restrict(stats[k], b, a), a, strength).theta, a, b) for k in (0, 1)]
     held = stats[2].A
     return {"crossed": float(gap[0] @ held @ gap[1]), "naive": float(math.sqrt(max(gap[0] @ held @ gap[0], 0.0)))}
 

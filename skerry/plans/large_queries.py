@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from skerry.functions.hermite import dictionary, gradient_sql
 from skerry.functions.sqltext import num
+from pyspark.sql import functions as F
+
 from skerry.operators import range_finder, ranks, tiles
+from skerry.plans import diagnostics, selection
 from skerry.plans.registry import query, rounded, table
 
 _NAMES = ["x0", "x1", "x2", "x3"]
@@ -79,3 +82,54 @@ def embedding_eigenpairs(spark, sf_dir):
     values, vectors, _ = range_finder.eigenpairs(table(spark, sf_dir, "embeddings"), "embedding", 64, 3, tolerance=1e-14)
     rows = [(k, i, float(values[k]), float(vectors[i, k] ** 2)) for k in range(3) for i in range(64)]
     return rounded(rounded(spark.createDataFrame(rows, "k int, i int, eigenvalue double, share double"), "eigenvalue", digits=9), "share")
+
+
+# --- dictionaries that are chosen, and what a larger one adds ----------------------------------------------------------
+
+_PAIR = "(o_totalprice - 250000) / 140000 AS x0, (o_custkey - 7500) / 4300 AS x1"
+_STRENGTH = 0.01
+
+
+def _solve_three(k: int, g: str) -> str:
+    """Coefficient k of the system with cells a, b, c, d, squared degrees times the strength on the diagonal, right side g0 to g2."""
+    lam = 4 * _STRENGTH
+    rows = [[f"(a + {lam})", "0", "b"], ["0", f"(d + {lam})", "b"], ["b", "b", f"(c + {lam})"]]
+
+    def det(m):
+        return " + ".join(f"{m[0][i]} * ({m[1][j]} * {m[2][l]} - {m[1][l]} * {m[2][j]})" for i, j, l in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+    return f"({det([[f'{g}{i}' if j == k else v for j, v in enumerate(row)] for i, row in enumerate(rows)])}) / ({det(rows)})"
+
+
+@query(f"""WITH k AS (SELECT {_PAIR}, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-0'), o_orderkey) AS k, (SELECT count(*) FROM orders) AS n FROM orders),
+p AS (SELECT x0, x1, CASE WHEN k > n // 2 THEN 2 WHEN k > n // 4 THEN 1 ELSE 0 END AS part FROM k),
+s AS (SELECT part, avg(2 * x0 * x0) AS a, avg(sqrt(2e0) * x0 * x1) AS b, avg(x0 * x0 + x1 * x1) AS c, avg(2 * x1 * x1) AS d, avg(sqrt(2e0) * (x0 * x0 - 1)) AS g0, avg(sqrt(2e0) * (x1 * x1 - 1)) AS g1, avg(2 * x0 * x1) AS g2 FROM p GROUP BY part),
+t AS (SELECT part, {_solve_three(0, 'g')} - g0 / (a + {4 * _STRENGTH}) AS t0, {_solve_three(1, 'g')} - g1 / (d + {4 * _STRENGTH}) AS t1, {_solve_three(2, 'g')} AS t2 FROM s WHERE part < 2)
+SELECT round(f.t0 * (a * e.t0 + b * e.t2) + f.t1 * (d * e.t1 + b * e.t2) + f.t2 * (b * e.t0 + b * e.t1 + c * e.t2), 9) + 0.0 AS crossed,
+round(sqrt(greatest(f.t0 * (a * f.t0 + b * f.t2) + f.t1 * (d * f.t1 + b * f.t2) + f.t2 * (b * f.t0 + b * f.t1 + c * f.t2), 0.0)), 9) + 0.0 AS naive
+FROM s, t f, t e WHERE s.part = 2 AND f.part = 0 AND e.part = 1""")
+def truncation_gap(spark, sf_dir):
+    """What pairs of columns add to the columns apart, by fits on two quarters of the rows."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *_PAIR.split(", "))
+    got = diagnostics.truncation_gap(rows, ["x0", "x1"], "o_orderkey", (2, 1), (2, 2), _STRENGTH)
+    return rounded(spark.createDataFrame([(got["crossed"], got["naive"])], "crossed double, naive double"), "crossed", "naive", digits=9)
+
+
+@query()
+def greedy_enrichment(spark, sf_dir):
+    """Terms that a dictionary over the line items takes up one by one, by held-out risk."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr("concat_ws('-', l_orderkey, l_linenumber) AS key", *_SCALE.split(", "))
+    pool = dictionary(4, 5, 3)
+    _, folds = selection.fold_statistics(rows, _NAMES, "key", pool)
+    got = selection.enrich(folds[0], folds[1], pool, dictionary(4, 2, 1), 1e-3)
+    steps = [(k, "+".join(f"{j}:{g}" for j, g in zip(*s["term"], strict=True)), s["gain"], s["risk"]) for k, s in enumerate(got.steps)]
+    return rounded(spark.createDataFrame(steps, "step int, term string, gain double, risk double"), "gain", "risk", digits=9)
+
+
+@query()
+def one_call_fit(spark, sf_dir):
+    """Selection, fit and evaluation of the whole estimator in one call: mean log density by order status."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_totalprice AS x0", "CAST(o_custkey AS DOUBLE) AS x1", "CAST(datediff(o_orderdate, DATE'1992-01-01') AS DOUBLE) AS x2", "o_orderstatus")
+    model, _ = selection.fit_selected(rows, ["x0", "x1", "x2"], "o_orderkey", 2, [(2, 2, False), (3, 2, False), (4, 2, True)], [(3, 2), (4, 2)])
+    means = model.evaluate(rows).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.avg("log_density").alias("mean"))
+    return rounded(means, "mean", digits=4)
