@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.exchange import Workspace, bounded_sample
+from skerry.llm.textcounts import COUNTS, text_counts
+from skerry.llm.textstats import ratio
 from skerry.llm.toxicity import EVIDENCE, evidence, learn
-from skerry.llm.textstats import CAPITALS, SYMBOLS, count_of, line_counts, ratio, with_words, without, SPACES
 
 FEATURES = ("log_words", "symbol_share", "capital_share", "mark_share", "same_share", "distinct_share", "dup_line_share", "mean_word")
 _FLOOR = 1e-4
@@ -40,22 +41,20 @@ _FLOOR = 1e-4
 
 def text_features(docs: DataFrame, text: str, keep: list[str], lexicon: Broadcast) -> DataFrame:
     """The kept columns, a column f_NAME for each feature, and toxic_ and toxic_other_, the evidence by the lexicon."""
-    rows = line_counts(with_words(docs, text))
-    n = F.size("words_")
-    same = F.expr("size(filter(arrays_zip(words_, slice(words_, 2, size(words_))), x -> x.words_ = x['1']))")
-    chars = F.length(without(F.col("text_"), SPACES))
+    rows = docs.withColumn("text_", F.coalesce(F.col(text), F.lit("")))
+    rows = rows.select(*keep, text_counts(F.col("text_")).alias("n_"), evidence(F.col("text_"), lexicon).alias("found_"))  # one pass of Python
+    n = {c: F.col(f"n_.{c}") for c in COUNTS}
     made = {
-        "log_words": F.log1p(n.cast("double")),
-        "symbol_share": F.sqrt(ratio(count_of(F.col("text_"), SYMBOLS), chars)),
-        "capital_share": F.sqrt(ratio(count_of(F.col("text_"), CAPITALS), chars)),
-        "mark_share": F.sqrt(ratio(count_of(F.col("text_"), "!?"), chars)),
-        "same_share": F.sqrt(ratio(same, n)),
-        "distinct_share": ratio(F.size(F.array_distinct("words_")), n),
-        "dup_line_share": ratio("n_dup_lines", "n_lines"),
-        "mean_word": F.log1p(ratio(chars, n)),
+        "log_words": F.log1p(n["words"].cast("double")),
+        "symbol_share": F.sqrt(ratio(n["symbols"], n["chars"])),
+        "capital_share": F.sqrt(ratio(n["capitals"], n["chars"])),
+        "mark_share": F.sqrt(ratio(n["marks"], n["chars"])),
+        "same_share": F.sqrt(ratio(n["same"], n["words"])),
+        "distinct_share": ratio(n["distinct"], n["words"]),
+        "dup_line_share": ratio(n["dup_lines"], n["lines"]),
+        "mean_word": F.log1p(ratio(n["chars"], n["words"])),
     }
-    found = evidence(F.col("text_"), lexicon)
-    return rows.withColumn("found_", found).select(*keep, *(made[name].alias(f"f_{name}") for name in FEATURES), F.col("found_.whole").alias("toxic_"), F.col("found_.other").alias("toxic_other_"))
+    return rows.select(*keep, *(made[name].alias(f"f_{name}") for name in FEATURES), F.col("found_.whole").alias("toxic_"), F.col("found_.other").alias("toxic_other_"))
 
 
 @dataclass(frozen=True)
