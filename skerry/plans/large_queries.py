@@ -7,7 +7,8 @@ from skerry.functions.sqltext import num
 from pyspark.sql import functions as F
 
 from skerry.operators import range_finder, ranks, tiles
-from skerry.plans import diagnostics, selection
+from skerry.operators.population import density_moments
+from skerry.plans import diagnostics, draws, models, selection
 from skerry.plans.registry import query, rounded, table
 
 _NAMES = ["x0", "x1", "x2", "x3"]
@@ -133,3 +134,41 @@ def one_call_fit(spark, sf_dir):
     model, _ = selection.fit_selected(rows, ["x0", "x1", "x2"], "o_orderkey", 2, [(2, 2, False), (3, 2, False), (4, 2, True)], [(3, 2), (4, 2)])
     means = model.evaluate(rows).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.avg("log_density").alias("mean"))
     return rounded(means, "mean", digits=4)
+
+
+# --- given densities over a table, and draws from a fitted one ---------------------------------------------------------
+
+
+def _moments_sql(z: list[str], t: list[str]) -> str:
+    pairs = [(i, j) for i in range(2) for j in range(i, 2)]
+    made = f"SELECT {', '.join(f'{e} AS z{j}' for j, e in enumerate(z))}, {', '.join(f'{e} AS t{j}' for j, e in enumerate(t))} FROM (SELECT {_PAIR} FROM orders) o"
+    return f"WITH s AS ({made}) " + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, round(avg(z{i} * z{j}), 6) + 0.0 AS m, round(avg(t{i} * t{j}), 6) + 0.0 AS h, round(avg((t{i} + z{i}) * (t{j} + z{j})), 6) + 0.0 AS c FROM s" for i, j in pairs)
+
+
+@query(_moments_sql(["x0", "x1"], ["-(x0 - 0.3e0 * x1) / 0.91e0", "-(x1 - 0.3e0 * x0) / 0.91e0"]))
+def normal_density_moments(spark, sf_dir):
+    """Moments of a correlated normal density's score over the orders."""
+    rows = table(spark, sf_dir, "orders").selectExpr(*_PAIR.split(", "))
+    found = density_moments(rows, ["x0", "x1"], lambda x: (x[0] ** 2 - 0.6 * x[0] * x[1] + x[1] ** 2) * (-0.5 / 0.91), lambda x: x[0] * 1.0)
+    return rounded(found, "m", "h", "c")
+
+
+def _bent_slope(j: int) -> str:
+    slope = ("-x0 - 0.2e0 * x0 * x1 * x1 - 0.2e0 * x0 * x0 * x0", "-x1 - 0.2e0 * x0 * x0 * x1")[j]
+    return f"(({slope}) - 0.6e0 * x{j} / (1 + 0.3e0 * x{j} * x{j})) / (1 + 0.3e0 * x{j} * x{j})"
+
+
+@query(_moments_sql([f"x{j} + 0.1e0 * x{j} * x{j} * x{j}" for j in range(2)], [_bent_slope(0), _bent_slope(1)]))
+def quartic_density_moments(spark, sf_dir):
+    """The same for a quartic density whose columns become scores by a cubic; in SQL with derivatives by hand."""
+    rows = table(spark, sf_dir, "orders").selectExpr(*_PAIR.split(", "))
+    quartic = lambda x: -0.5 * (x[0] ** 2 + x[1] ** 2) - 0.1 * x[0] ** 2 * x[1] ** 2 - 0.05 * x[0] ** 4
+    return rounded(density_moments(rows, ["x0", "x1"], quartic, lambda x: x[0] + 0.1 * x[0] ** 3), "m", "h", "c")
+
+
+@query()
+def model_draws(spark, sf_dir):
+    """A draw for each order from the estimator that is fitted on the orders."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *_PAIR.split(", "))
+    model = models.ReducedDensity(["x0", "x1"], r=2, inner_degree=4).fit(rows, "o_orderkey")
+    return rounded(draws.draw(model, rows, "o_orderkey"), "x0", "x1")
