@@ -11,7 +11,7 @@ Character references are decoded run by run, as browsers do, so markup inside of
 out unless it holds the article. The work grows with the page's length, however deep its elements nest.
 
 Defined results: null html is empty and gives an empty text. Cut tags, unclosed elements and stray ends are allowed. Null
-or repeated page_id: every row is extracted. Empty table: empty result. Other columns are not read.
+or repeated page_id: every row is extracted. Of containers with equal scores the first in page order leads. Empty table: empty result. Other columns are not read.
 """
 
 from __future__ import annotations

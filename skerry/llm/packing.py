@@ -5,7 +5,8 @@ of the next round, in fewer partitions, where they are packed again as wholes. T
 equal fill are alike, so a plan over at most `capacity` fills says how many bins of which fills join, and row numbers
 within a fill, dealt out by prefix sums over hash slices, tell each bin its place. So no task holds all bins.
 
-Defined results: null text is empty and makes one piece of the end token. Null or repeated doc_id: every row is packed.
+Defined results: null text is empty and makes one piece of the end token. Null or repeated doc_id: every row is packed. Pieces
+of equal length are taken in the order in which they come, and of bins with equal room the first that is found.
 Empty table: empty result. Other columns are not read.
 """
 

@@ -6,7 +6,8 @@ next rule sees what is left. The list becomes one ordered conditional expression
 
 Defined results: null text has no words and fails the base test. Null or repeated doc_id: every row is judged. Documents
 without labels are judged too; labels without documents teach nothing. Without labels of both kinds there are no rules,
-and the base test decides. Empty table: empty result. Other columns are not read.
+and the base test decides. Of equal gains the first feature, the lower threshold and the side below it are taken. Empty table:
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -85,3 +85,19 @@ def test_link_keeps_known_labels():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4], [7, 8], [7, 9])]
     roots = link([5, 4, 2, 2], sets, [0, 1, 2, 2])
     assert roots[0] == roots[1] and roots[2] == roots[3] != roots[0]
+
+
+def test_texts_beyond_a_megabyte(spark):
+    """Copies and near copies of a long text, one that only a near copy is near to, and the text's first half."""
+    rng = random.Random(8)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(160_000)]
+    near, far = list(words), list(words)
+    for k in range(0, len(near), 60):
+        near[k] = "changed"
+    for k in range(0, len(far), 30):
+        far[k] = "changed"
+    rows = [(9, " ".join(words), ""), (4, " ".join(near), ""), (2, " ".join(far), ""), (7, " ".join(words[:80_000]), ""), (8, " ".join(words).upper(), "")]
+    assert len(rows[0][1]) > 1 << 20
+    got = jaccard_join(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert {r.doc_id: r.component_id for r in got} == {2: 2, 4: 2, 7: 7, 8: 2, 9: 2}  # 9 and 2 are linked through 4 alone

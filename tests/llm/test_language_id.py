@@ -64,7 +64,7 @@ def test_every_labelled_language_can_be_the_answer(spark):
 def test_long_texts_ties_and_clashing_columns(spark):
     """Other columns, whatever their names, change nothing; a tie goes to the first language by name; long texts are read whole."""
     rows = [(*r[:6], r[6]) for r in corpus()[:60]]
-    rows += [("page", 900, "kata lopi " * 40_000, "bb", "bb", "bb.site1.example", None), ("page", 901, "7 7 7", None, None, None, None)]
+    rows += [("page", 900, "kata lopi " * 120_000, "bb", "bb", "bb.site1.example", None), ("page", 901, "7 7 7", None, None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
     labelled = df.where("id < 400").select("lang", "text")
     plain = {r.id: tuple(r) for r in identify(df, labelled).collect()}

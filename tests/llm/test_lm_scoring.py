@@ -119,3 +119,14 @@ def test_classes_lose_little():
     classes = learn_weights(np.zeros(len(keys), int), keys, n, 2)[0]
     loss = lambda w: np.log10(w[0] + held @ np.asarray(w[1:])).mean()
     assert 0 <= abs(loss(exact) - loss(classes)) < 2e-3
+
+
+def test_texts_beyond_a_megabyte(spark):
+    rng = random.Random(6)
+    words = [f"w{int(rng.paretovariate(0.8))}" for _ in range(400_000)]
+    rows = [*corpus(60), (9100, " ".join(words), ""), (9101, " ".join(words[::-1]), "")]
+    assert len(rows[-1][1]) > 1 << 20
+    got = {r.doc_id: tuple(r) for r in score_documents(spark.createDataFrame(rows, SCHEMA), 2).where("doc_id > 9000").collect()}
+    want = {r[0]: r for r in brute(rows, 2) if r[0] is not None and r[0] > 9000}
+    for k, r in got.items():
+        assert r[:5] == want[k][:5] and np.allclose(r[5:], want[k][5:], rtol=1e-9)

@@ -89,3 +89,14 @@ def test_columns(spark):
     assert not media_features(to_media(df.limit(0)), ["doc_id"]).collect()
     with pytest.raises(ValueError):
         to_media(df, media="own")
+
+
+def test_texts_beyond_a_megabyte_and_clashing_columns(spark):
+    """Columns named like the digests stay as they are when they are kept as keys under other names, and play no part else."""
+    texts = {1: "é long text " * 150_000, 2: "x" * (1 << 21), 3: ""}
+    df = spark.createDataFrame([(k, t, "own", "own") for k, t in texts.items()], "doc_id bigint, text string, feature string, payload_bytes string")
+    got = {r.doc_id: r for r in media_features(to_media(df), ["doc_id"]).collect()}
+    for k, t in texts.items():
+        data = t.encode()
+        data += bytes(-len(data) % 64 if data else 64)
+        assert (got[k].payload_bytes, got[k].payload_sha256, got[k].tail_crc32) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))

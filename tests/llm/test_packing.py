@@ -65,3 +65,10 @@ def test_sequences_are_whole_and_few(spark):
 
 def test_empty_table(spark):
     assert not pack_documents(spark.createDataFrame([], SCHEMA), PATH).collect()
+
+
+def test_pieces_of_equal_length(spark):
+    """Ties everywhere: 64 documents of a half each and 40 of a quarter fill whole sequences."""
+    rows = [(k, " ".join(["x"] * 511), "") for k in range(64)] + [(100 + k, " ".join(["x"] * 255), "") for k in range(40)]
+    out = pack_documents(spark.createDataFrame(rows, SCHEMA).repartition(6), PATH).collect()
+    assert {r.length for r in out} == {512, 256} and len({r.sequence_id for r in out}) == 42

@@ -160,3 +160,15 @@ def test_held_out_error(spark):
     held = labels.where("doc_id % 2 = 1").withColumn("good", F.expr("quality = 1 and toxic = 0")).join(judged, "doc_id").collect()
     wrong = sum(r.good != r.kept for r in held)
     assert len(held) > 1500 and wrong <= 0.04 * len(held)
+
+
+def test_equal_gains_take_the_first_feature():
+    rows = [{"a": float(k % 50), "b": float(k % 50), "bad": k % 50 > 39} for k in range(300)]
+    rules = learn_rules(rows, ["b", "a"])
+    assert len(rules) == 1 and [(c.feature, c.above, c.threshold) for c in rules[0].conditions] == [("b", True, 39.5)]
+
+
+def test_base_columns_of_a_text_beyond_a_megabyte(spark):
+    long = "w1 w2 w3\n" * 90_000 + "x#" * 300_000 + "\nend"
+    got = statistics(spark.createDataFrame([(1, long, "", "", "")], SCHEMA)).first()
+    assert len(long) > 1 << 20 and (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == plain(long)
