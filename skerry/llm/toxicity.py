@@ -10,7 +10,7 @@ Two more lexicons, each from half of the sample's texts, give every labelled tex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,13 +62,34 @@ def distinct_tokens(text: Column) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def run(text: pa.Array) -> pa.Array:
-        made = list(tokens(*texts_of(text)))
-        pairs = np.unique(np.stack([np.concatenate([x[1] for x in made]), np.concatenate([x[0] for x in made]).view(np.int64)], 1), axis=0) if made else np.zeros((0, 2), np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[:, 0], np.arange(len(text) + 1)), pa.int32()), pa.array(pairs[:, 1]))
+        data, offsets = texts_of(text)
+        upto, found, at = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)], 0
+        while at < len(text):  # some texts at a time
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _AT_ONCE, "right")) - 1)
+            of, some = _distinct(_distinct([(t, h)]) for h, t, _ in tokens(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]))
+            upto.append(upto[-1][-1] + np.searchsorted(of, np.arange(1, to - at + 1)))
+            found.append(some)
+            at = to
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(upto), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
 
     return run(text)
 
 
+def _distinct(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a text and a token, in order."""
+    held = list(parts)
+    if not held:
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    text, token = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    del held
+    order = np.lexsort((token, text))
+    text, token = text[order], token[order]
+    del order
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (token[1:] != token[:-1])
+    return text[new].astype(np.int32), token[new]
+
+
 @dataclass
 class Lexicon:
     """Sorted tokens and their log-odds, in three columns: from all texts of the sample, and from those of half 0 and half 1.
