@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from skerry.functions.hermite import dictionary, gradient_sql
-from skerry.functions.sqltext import num
+import uuid
+
 from pyspark.sql import functions as F
 
+from skerry.functions.hermite import dictionary, gradient_sql
+from skerry.functions.sqltext import num
 from skerry.operators import range_finder, ranks, tiles
 from skerry.operators.population import density_moments
 from skerry.plans import diagnostics, draws, models, selection
 from skerry.plans.registry import query, rounded, table
+from skerry.plans.storage import shared_dir
+from skerry.streaming import chains
 
 _NAMES = ["x0", "x1", "x2", "x3"]
 #: The columns on a scale near one, as the dictionary's terms ask for.
@@ -172,3 +176,17 @@ def model_draws(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *_PAIR.split(", "))
     model = models.ReducedDensity(["x0", "x1"], r=2, inner_degree=4).fit(rows, "o_orderkey")
     return rounded(draws.draw(model, rows, "o_orderkey"), "x0", "x1")
+
+
+# --- streams -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, event_id, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0e0 ELSE 0.0e0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) + 0.0 AS rate FROM events""")
+def streamed_rolling_share(spark, sf_dir):
+    """The share of purchases over each user's last twenty events, by a file stream with a state a user."""
+    folder = f"{shared_dir(spark)}/chains-{uuid.uuid4().hex}"
+    source = f"{sf_dir}/events*.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).withColumn("bought", F.col("event_type") == "purchase")
+    rates = chains.rolling_share(stream, "user_id", "event_id", "bought", 20)
+    rates.writeStream.format("parquet").option("checkpointLocation", f"{folder}/marks").option("path", f"{folder}/rates").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema("user_id bigint, event_id bigint, rate double").parquet(f"{folder}/rates"), "rate", digits=9)
