@@ -61,11 +61,18 @@ def pool_scores(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT 'c_acctbal' AS coord, c_acctbal AS x FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer)
-SELECT coord, count(*) AS n, CAST(0 AS BIGINT) AS drops, round(max(x) - min(x), 6) AS spread, true AS ok FROM l GROUP BY coord""")
+SELECT coord, count(*) AS n, CAST(0 AS BIGINT) AS drops, round(max(x) - min(x), 6) AS spread, true AS ok FROM l GROUP BY coord
+UNION ALL SELECT 'by key', count(*), CAST(sum(CASE WHEN x < p THEN 1 ELSE 0 END) AS BIGINT), round(max(x) - min(x), 6), sum(CASE WHEN x < p THEN 1 ELSE 0 END) = 0 FROM (SELECT c_acctbal AS x, lag(c_acctbal) OVER (ORDER BY c_custkey) AS p FROM customer)
+UNION ALL SELECT 'all alike', count(*), CAST(0 AS BIGINT), 0.0, false FROM customer
+UNION ALL SELECT 'one short', count(*) - 1, CAST(0 AS BIGINT), round(max(CAST(c_custkey AS DOUBLE)) - min(c_custkey) - 1, 6), false FROM customer""")
 def sorted_pool_check(spark, sf_dir):
-    """Columns written as sorted range partitions, then read back and checked: rows, order and spread."""
+    """Columns written as sorted range partitions, then read back and checked: rows, order and spread. Beside them, pools that are
+    not in order, all alike and a row short."""
     rows = table(spark, sf_dir, "customer")
     pool = tables.sorted_pool(rows, ["c_acctbal", "c_nationkey"], _folder(spark, "pool"))
+    planted = [("by key", "c_acctbal", "true"), ("all alike", "7.0D", "true"), ("one short", "CAST(c_custkey AS DOUBLE)", "c_custkey > (SELECT min(c_custkey) FROM {c})")]
+    for name, x, kept in planted:
+        pool = pool.unionByName(spark.sql(f"SELECT '{name}' AS coord, {x} AS x, c_custkey AS place FROM {{c}} WHERE {kept}", c=rows))
     return rounded(tables.check_pool(pool, rows.count()), "spread")
 
 
@@ -103,11 +110,21 @@ def materialised_once(spark, sf_dir):
     return rounded(out.agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("total")).withColumn("again", F.lit(len(made) == 1)), "total", digits=2)
 
 
-@query("SELECT * FROM (VALUES ('a', 'a'), ('b', 'b'), ('c', 'a'), ('d', 'd'), ('e', 'b')) t(coord, same_as)")
+#: The last two differ from the first in one row: by a cent, and by rows that changed places.
+_TWINS = {
+    "a": "c_acctbal", "b": "c_nationkey", "c": "c_acctbal + 0.0", "d": "-c_acctbal", "e": "CAST(c_nationkey AS DOUBLE)",
+    "f": "c_acctbal + CASE WHEN c_custkey = 3 THEN 0.01 ELSE 0.0 END", "g": "CASE WHEN c_custkey = 1 THEN other ELSE c_acctbal END",
+}
+_TWIN_ROWS = "SELECT *, (SELECT max(c_acctbal) FROM {c} WHERE c_custkey = 2) AS other FROM {c}"
+_DIFFER = " UNION ALL ".join(f"SELECT '{y}' AS coord, '{x}' AS same_as, count(*) AS n FROM t WHERE {x} <> {y}" for i, y in enumerate(_TWINS) for x in list(_TWINS)[: i + 1])
+
+
+@query(f"""WITH t AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _TWINS.items())} FROM ({_TWIN_ROWS.format(c='customer')})), d AS ({_DIFFER})
+SELECT coord, min(same_as) AS same_as FROM d WHERE n = 0 GROUP BY coord""")
 def equal_columns(spark, sf_dir):
-    """Columns with the same values share one fit: found by sums of hashes."""
-    rows = table(spark, sf_dir, "customer").selectExpr("c_acctbal AS a", "c_nationkey AS b", "c_acctbal + 0.0 AS c", "-c_acctbal AS d", "CAST(c_nationkey AS DOUBLE) AS e")
-    return spark.createDataFrame(list(samples.column_groups(rows, list("abcde")).items()), "coord string, same_as string")
+    """Columns with the same values in the same rows share one fit: found by sums of hashes, in SQL by comparing all rows."""
+    rows = spark.sql(_TWIN_ROWS, c=table(spark, sf_dir, "customer")).selectExpr(*(f"{e} AS {n}" for n, e in _TWINS.items()))
+    return spark.createDataFrame(list(samples.column_groups(rows, list(_TWINS)).items()), "coord string, same_as string")
 
 
 @query("""WITH r AS (SELECT event_type AS name, avg(value) AS found FROM events GROUP BY 1), c AS (SELECT name, round(found + CASE WHEN name = 'click' THEN 1.0 ELSE 0.0 END, 2) AS claimed FROM r UNION ALL SELECT 'none', 1.0)

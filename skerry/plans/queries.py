@@ -525,11 +525,19 @@ def stage_selection(spark, sf_dir):
     return spark.createDataFrame([(str(c), float(v)) for c, vs in risks.items() for v in vs], "candidate string, risk double")
 
 
-@query(" UNION ALL ".join(f"SELECT {s} AS seed, round(ln(2.5), 9) AS log_mass" for s in range(3)))
+@query(f"""WITH o AS ({_ORDERS}), {_MARGINALS.rstrip().rstrip(',')}, mgf AS (SELECT coord, ln(avg((1 - f) * exp((g0 + k * step - lo) / (hi - lo)) + f * exp((g0 + (k + 1) * step - lo) / (hi - lo)))) + 0.5 * power(width / (hi - lo), 2) AS part FROM c JOIN g USING (coord) GROUP BY coord, width, hi, lo)
+SELECT CAST(range AS INTEGER) AS seed, round(ln(2.5), 9) AS log_mass, (SELECT round(sum(part), 2) FROM mgf) AS tilted FROM range(0, 3)""")
 def qmc_log_mass(spark, sf_dir):
-    """The mass of a constant factor is that constant, whatever the marginals."""
-    base = models.ProductOfMarginals(_XS).fit(_orders(spark, sf_dir))
-    return rounded(spark.createDataFrame([(s, models.log_mass(base.marginals, lambda x: np.full(len(x), math.log(2.5)), 4096, s)) for s in range(3)], "seed int, log_mass double"), "log_mass", digits=9)
+    """The mass of a constant factor is that constant, whatever the marginals; that of an exponential tilt of every column is the
+    product of the smoothed marginals' generating functions."""
+    rows = _orders(spark, sf_dir)
+    base = models.ProductOfMarginals(_XS).fit(rows)
+    ends = rows.agg(*(f(c) for c in _XS for f in (F.min, F.max))).first()
+    low, wide = np.array(ends[::2], float), np.array(ends[1::2], float) - np.array(ends[::2], float)
+    constant = lambda x: np.full(len(x), math.log(2.5))
+    tilt = lambda x: ((x - low) / wide).sum(1)
+    found = [(s, models.log_mass(base.marginals, constant, 4096, s), models.log_mass(base.marginals, tilt, 1 << 14, s)) for s in range(3)]
+    return rounded(rounded(spark.createDataFrame(found, "seed int, log_mass double, tilted double"), "log_mass", digits=9), "tilted", digits=2)
 
 
 @query()
