@@ -123,7 +123,7 @@ def truncation_gap(spark, sf_dir):
 @query()
 def greedy_enrichment(spark, sf_dir):
     """Terms that a dictionary over the line items takes up one by one, by held-out risk."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr("concat_ws('-', l_orderkey, l_linenumber) AS key", *_SCALE.split(", "))
+    rows = table(spark, sf_dir, "lineitem").selectExpr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS key", *_SCALE.split(", "))
     pool = dictionary(4, 5, 3)
     _, folds = selection.fold_statistics(rows, _NAMES, "key", pool)
     got = selection.enrich(folds[0], folds[1], pool, dictionary(4, 2, 1), 1e-3)
