@@ -176,6 +176,21 @@ def anchors(sums: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return at, h[at], first, last
 
 
+#: Runs that one row holds.
+_RUNS = 1 << 14
+
+
+def runs_of(node: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in order of node and lo, put together where they touch: the first of each run, and the run's end."""
+    if not len(node):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    apart = np.concatenate(([True], node[1:] != node[:-1]))
+    group = np.cumsum(apart) << 32
+    furthest = np.maximum.accumulate(group + hi)
+    first = np.flatnonzero(apart | np.concatenate(([True], (group + lo)[1:] > furthest[:-1] + 1)))
+    return first, furthest[np.append(first[1:], len(lo)) - 1] & 0xFFFFFFFF
+
+
 #: A place of a segment: the first and the last window's start and the anchor's place, in symbols.
 _PLACE = np.dtype([("node", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("at", "<i4")])
 _CELL_SQL = "kind int, meet bigint, whole bigint, node bigint, lo int, hi int, at int"
@@ -189,8 +204,9 @@ _SPAN = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("lo", pa.int32()
 
 
 def cells_of(rules: list[Rule]):
-    """For batches of node and text the segments of all anchors: anchor hash (meet), segment hash (whole), a place, and the other places
-    of the same chunk that have an equal segment (more; null if none)."""
+    """For batches of node and text the segments of all anchors: anchor hash (meet), segment hash (whole) and a place, one row for equal
+    segments of a chunk of texts. Places of segments that the chunk has several times are known to repeat: their runs come in
+    rows of their own, packed (more; null in the others)."""
 
     def of_chunk(kind: int, texts: list[tuple[int, bytes]]) -> pa.RecordBatch | None:
         rule, found = rules[kind], []
@@ -211,14 +227,18 @@ def cells_of(rules: list[Rule]):
         new = np.concatenate(([True], (meet[1:] != meet[:-1]) | (whole[1:] != whole[:-1])))
         again = np.concatenate(([False], ~new[1:] & (place[0][1:] == place[0][:-1]) & (place[1][1:] == place[1][:-1])))  # copies of one text
         lead = np.flatnonzero(new)
-        rest = np.zeros(len(np.flatnonzero(~new & ~again)), _PLACE)
-        for name, x in zip(_PLACE.names, place, strict=True):
-            rest[name] = x[~new & ~again]
-        cuts = np.concatenate(([0], np.cumsum(~new & ~again)))[np.append(lead, len(new))]
-        more = [rest[a:b].tobytes() if b > a else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        columns = [np.full(len(lead), kind, np.int32), meet[lead].view(np.int64), whole[lead].view(np.int64), place[0][lead]]
-        columns += [x[lead].astype(np.int32) for x in place[1:]]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(more, pa.binary())], schema=_MANY)
+        several = np.add.reduceat(~again, lead) > 1  # segments that other places of the chunk have too: their windows repeat
+        known = ~again & several[np.cumsum(new) - 1]
+        node, lo, hi = (x[known] for x in place[:3])
+        order = np.lexsort((lo, node))
+        first, ends = runs_of(node[order], lo[order], hi[order])
+        runs = np.zeros(len(first), _PLACE)
+        runs["node"], runs["lo"], runs["hi"] = node[order][first], lo[order][first], ends
+        packed = [runs[k : k + _RUNS].tobytes() for k in range(0, len(runs), _RUNS)]
+        pad = np.zeros(len(packed), np.int64)
+        columns = [np.concatenate((x[lead].view(np.int64), pad)) for x in (meet, whole, place[0])] + [np.concatenate((x[lead], pad)).astype(np.int32) for x in place[1:]]
+        columns.insert(0, np.full(len(lead) + len(packed), kind, np.int32))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * len(lead) + packed, pa.binary())], schema=_MANY)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunked() -> Iterator[list[tuple[int, bytes]]]:
@@ -241,18 +261,17 @@ def cells_of(rules: list[Rule]):
     return run
 
 
-def _places(cells: DataFrame) -> DataFrame:
-    """The spans of all places of rows with more."""
+def _unpacked(runs: DataFrame) -> DataFrame:
+    """The spans of packed runs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            kind, more = b.column(0).to_numpy(), b.column(4).to_pylist()
-            rest = np.frombuffer(b"".join(x or b"" for x in more), _PLACE)
-            yield b.select([0, 1, 2, 3])
-            counts = [len(x or b"") // _PLACE.itemsize for x in more]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(kind, counts)), *(pa.array(rest[x].copy()) for x in ("node", "lo", "hi"))], schema=_SPAN)
+            more = b.column(1).to_pylist()
+            spans = np.frombuffer(b"".join(more), _PLACE)
+            kind = np.repeat(b.column(0).to_numpy(), [len(x) // _PLACE.itemsize for x in more])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(spans[x].copy()) for x in ("node", "lo", "hi"))], schema=_SPAN)
 
-    return cells.select(*_SPAN.names, "more").mapInArrow(tidy(run), _SPAN_SQL)
+    return runs.select("kind", "more").mapInArrow(tidy(run), _SPAN_SQL)
 
 
 def _segments(texts: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -354,19 +373,19 @@ def _merged(spans: DataFrame) -> DataFrame:
 def _met(cells: DataFrame) -> DataFrame:
     """The cells whose anchor hash another cell has too."""
     spot = F.xxhash64("node", "lo")
-    meets = cells.groupBy("meet").agg(F.min(spot).alias("lead_"), F.max(spot).alias("last_"), F.bool_or(F.col("more").isNotNull()).alias("more_"))
-    return cells.join(meets.where("lead_ <> last_ or more_").select("meet"), "meet")
+    meets = cells.groupBy("meet").agg(F.min(spot).alias("lead_"), F.max(spot).alias("last_"))
+    return cells.join(meets.where("lead_ <> last_").select("meet"), "meet")
 
 
 def _classes(cells: DataFrame) -> DataFrame:
     """The cells that repeat as a whole, or that meet other cells: with twin (equal cells elsewhere), others (different
     cells of the meeting) and lead (the one of the equal cells that stands for them)."""
     spot = F.xxhash64("node", "lo")
-    classes = cells.groupBy("meet", "whole").agg(F.min(spot).alias("lead_"), F.max(spot).alias("last_"), F.bool_or(F.col("more").isNotNull()).alias("more_"))
+    classes = cells.groupBy("meet", "whole").agg(F.min(spot).alias("lead_"), F.max(spot).alias("last_"))
     meets = classes.groupBy("meet").agg(F.count("*").alias("others"))
-    kept = classes.join(meets, "meet").where("lead_ <> last_ or more_ or others > 1")
+    kept = classes.join(meets, "meet").where("lead_ <> last_ or others > 1")
     found = cells.join(kept, ["meet", "whole"])
-    return found.withColumn("twin", F.expr("lead_ <> last_ or more_")).withColumn("lead", F.col("lead_") == spot).drop("lead_", "last_", "more_")
+    return found.withColumn("twin", F.expr("lead_ <> last_")).withColumn("lead", F.col("lead_") == spot).drop("lead_", "last_")
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 128, most: int = 1000, words: int | None = None) -> DataFrame:
@@ -421,12 +440,12 @@ def _changed(docs: DataFrame, rules: list[Rule], most: int, removing: int, chara
     nodes = base.where(long_).groupBy("node", "n_bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"))
     nodes = space.settle(nodes, "nodes")
     cells = space.settle(rows.where(long_).select("node", "text").mapInArrow(tidy(cells_of(rules)), _MANY_SQL), "cells")
-    met = space.settle(_met(cells), "met")
-    space.drop("cells")
+    met = space.settle(_met(cells.where("more is null").drop("more")), "met")
     found = space.settle(_classes(met), "found")
     space.drop("met")
 
-    spans = [space.settle(_places(found.where("twin")), "places")]
+    spans = [space.settle(found.where("twin").select(*_SPAN.names).unionByName(_unpacked(cells.where("more is not null"))), "places")]
+    space.drop("cells")
     opened = found.where("lead and others > 1").groupBy("node").agg(F.collect_set(F.struct("kind", "meet", "whole", "lo", "hi", "at", "others")).alias("opened"))
     needed = spans[0].select("node").unionByName(nodes.where("copies > 1").select("node")).distinct()
     needed = needed.join(opened, "node", "full").join(nodes, "node")
@@ -442,7 +461,7 @@ def _changed(docs: DataFrame, rules: list[Rule], most: int, removing: int, chara
         finer = _segments(many, rules)
         for windows in CELLS[1:]:
             finer = _finer(finer, windows, rules).dropDuplicates(["kind", "node", "lo", "at"])
-            finer = space.settle(finer.withColumn("more", F.lit(None).cast("binary")), f"finer{windows}")
+            finer = space.settle(finer, f"finer{windows}")
             found = space.settle(_classes(finer), f"found{windows}")
             spans.append(found.where("twin").select(*_SPAN.names))
             if windows > 1:
