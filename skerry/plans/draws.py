@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions import normal_np as N
 from skerry.plans.models import ReducedDensity
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
