@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import re
 import resource
@@ -143,6 +144,20 @@ def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return run
 
 
+def lean(fn: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """fn for arrow_udf that gives memory back after each batch, as there is no end to wait for."""
+
+    @functools.wraps(fn)
+    def run(*columns: pa.Array) -> pa.Array:
+        fresh()
+        try:
+            return fn(*columns)
+        finally:
+            release()
+
+    return run
+
+
 def bounded_sample(rows: DataFrame, hashed: str, order: list[str], count: int, most: int) -> DataFrame:
     """The first `most` rows by hash. Of `count` rows those with larger hashes are left out before the ordering, so that
     tasks don't each send `most` rows to the driver."""

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skerry.llm.exchange import lean
 from skerry.llm.fill_middle import texts_of
 from skerry.llm.hashing import IS_SPACE, word_hashes, word_spans
 from skerry.llm.textstats import CAPITALS, SYMBOLS
@@ -83,6 +84,7 @@ def text_counts(text: Column) -> Column:
     """A struct of COUNTS."""
 
     @F.arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")
+    @lean
     def run(text: pa.Array) -> pa.Array:
         return pa.StructArray.from_arrays([pa.array(c) for c in counts(*texts_of(text)).T], list(COUNTS))
 

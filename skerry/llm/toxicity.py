@@ -19,6 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.llm.exchange import lean
 from skerry.llm.fill_middle import texts_of
 from skerry.llm.hashing import lower_ascii, mix, prefix_sums, span_hashes
 
@@ -61,6 +62,7 @@ def distinct_tokens(text: Column) -> Column:
     """The text's distinct tokens."""
 
     @F.arrow_udf("array<bigint>")
+    @lean
     def run(text: pa.Array) -> pa.Array:
         data, offsets = texts_of(text)
         upto, found, at = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)], 0
@@ -150,6 +152,7 @@ def evidence(text: Column, lexicon: Broadcast) -> Column:
     """A struct of two arrays of EVIDENCE: `whole` by the lexicon of all the sample's texts, `other` by the half without the text."""
 
     @F.arrow_udf("struct<whole:array<double>,other:array<double>>")
+    @lean
     def run(text: pa.Array, half: pa.Array) -> pa.Array:
         both = lexicon.value.evidence(text, half.to_numpy())
         ends = pa.array(np.arange(len(text) + 1) * len(EVIDENCE), pa.int32())
