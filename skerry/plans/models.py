@@ -22,7 +22,7 @@ from skerry.operators.ranks import hash_halves, quantiles, rank_gaussianize
 from skerry.operators.scorematch import matrix, score_columns, score_moments, second_moments, statistics
 from skerry.operators.samples import column_groups
 from skerry.operators.subspace import top_eigenvectors
-from skerry.plans import pairs
+from skerry.plans import grids, pairs
 from skerry.plans.storage import settle
 
 CAP_SHARE = 0.999
@@ -101,14 +101,16 @@ class KernelDensity:
     """A full-dimensional Gaussian kernel density with Scott's bandwidth on the marginals' normal scores, pulled back to the
     columns. Every row is a centre; equal rows are one with a weight. Rows without finite values are no centres.
 
-    A row meets only the centres within a reach of it beyond which all kernels together stay below `TRUNCATED`; rows whose sum
-    is so small that this matters are summed over all centres.
+    Up to three columns are summed by way of a grid (`grids`), with work in proportion to the rows; with more, a row meets only the
+    centres within a reach of it. What either leaves out stays below `TRUNCATED`; rows whose sum is so small that this matters are
+    summed over all centres.
     """
 
     columns: list[str]
     base: ProductOfMarginals | None = None
     centres: DataFrame | None = None
     tree: pairs.Tree | None = None
+    grid: DataFrame | None = None
     n: int = 0
     root: np.ndarray | None = None
 
@@ -127,12 +129,35 @@ class KernelDensity:
         rows = settle(pairs.weighted(df, self.columns))
         self.tree = pairs.tree_of(rows, self.columns, whiten)
         self.centres = pairs.pack(rows, self.columns, whiten, self.tree, weight="w_", keep=False)
+        self.grid = grids.spread(self.centres, d, self._reach()) if d <= grids.MOST_AXES else None
         return self
 
     def evaluate(self, df: DataFrame, name: str = "log_density") -> DataFrame:
-        d, places = len(self.columns), [df.columns.index(c) for c in self.columns]
+        d = len(self.columns)
         # the workers get what they need; the table of centres stays with the driver
         base, root, log_norm = self.base, self.root, math.log(self.n) + d / 2 * LOG_2PI - float(np.log(np.diag(self.root)).sum())
+        if self.grid is None:
+            sums = self._pair_sums(df)
+        else:
+            sums = settle(grids.gather(df, self.columns, lambda x: base.ranks(x) @ root.T, self.grid, d, self._reach(), _SUM))
+            small = F.col(_SUM) < 1e6 * TRUNCATED
+            if sums.where(small).limit(1).count():  # rows far from all centres
+                sums = sums.where(~small).unionByName(self._pair_sums(sums.where(small).drop(_SUM)))
+
+        def log(x: np.ndarray) -> dict[str, np.ndarray]:
+            x, total = x[:, :-1], x[:, -1]
+            back = base.log_density(x) + (0.5 * base.ranks(x) ** 2).sum(1) + d / 2 * LOG_2PI
+            return {name: np.log(np.maximum(total, 1e-300)) - log_norm + back}
+
+        return map_rows(sums, [*self.columns, _SUM], log, [name]).select(*df.columns, name)
+
+    def _reach(self) -> float:
+        """How far a row's part of the grid goes, so that what all centres leave out stays below TRUNCATED."""
+        return math.sqrt(math.log(max(self.n, 2) / TRUNCATED))
+
+    def _pair_sums(self, df: DataFrame) -> DataFrame:
+        """df with its rows' sums over near centres, and over all for blocks with a row far from all centres."""
+        d, base, root = len(self.columns), self.base, self.root
         whiten = lambda x: base.ranks(x) @ root.T
         queries = pairs.pack(df, self.columns, whiten, self.tree)
         near = pairs.near_leaves(queries, self.centres, d, math.sqrt(2 * math.log(max(self.n, 2) / TRUNCATED)))
@@ -148,22 +173,20 @@ class KernelDensity:
         if rest.count():  # blocks with a row far from all centres
             whole = pairs.over_pairs(rest, self.centres, pairs.near_leaves(rest, self.centres, d, math.inf), d, kernel_sums, np.add)
             sums = sums.join(left, "block", "left_anti").unionByName(whole)
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` double"])
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{_SUM} double"])
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 for rows, value in zip(b.column(0), b.column(1), strict=True):
                     at, total = 0, np.frombuffer(value.as_buffer())
                     for r in pairs.unpack(rows):
-                        x = np.stack([r.column(p).to_numpy(zero_copy_only=False) for p in places], 1).astype(float)
-                        back = base.log_density(x) + (0.5 * base.ranks(x) ** 2).sum(1) + d / 2 * LOG_2PI
-                        log = np.log(np.maximum(total[at : at + len(x)], 1e-300)) - log_norm + back
-                        at += len(x)
-                        yield pa.RecordBatch.from_arrays([*r.columns, pa.array(log, pa.float64())], [*r.schema.names, name])
+                        yield pa.RecordBatch.from_arrays([*r.columns, pa.array(total[at : at + r.num_rows], pa.float64())], [*r.schema.names, _SUM])
+                        at += r.num_rows
 
         return queries.select("block", "rows").join(sums.select("block", "value"), "block").select("rows", "value").mapInArrow(run, schema)
 
 
+_SUM = "kernel_sum_"
 #: What the kernels of all centres out of reach may add up to.
 TRUNCATED = 1e-11
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.hermite import dictionary
 from skerry.operators import range_finder, scorematch, tiles
-from skerry.plans import models, montecarlo, pairs
+from skerry.plans import grids, models, montecarlo, pairs
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +123,23 @@ def test_kernel_sums_within_reach(spark):
     assert model.n == len(x) and np.allclose([got[k] for k in range(len(asked))], want, atol=1e-5) and np.isnan(got[900])
     near = pairs.near_leaves(model.centres, model.centres, 2, 1.0)
     assert near.join(model.centres.select("block", "leaf"), "block").where("leaf = other").count() == model.centres.count()
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_kernel_sums_meet_no_pairs(spark, d, monkeypatch):
+    """Rows near centres are summed by way of the grid alone, tiles of many rows dealt out among tasks."""
+    monkeypatch.setattr(pairs, "over_pairs", lambda *a: pytest.fail("pairs were met"))
+    monkeypatch.setattr(grids, "MOST", 100)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((700, d)) @ (np.eye(d) + 0.7 * np.eye(d, k=1)), np.full((250, d), 0.2), rng.uniform(-30, 30, (20, d))])
+    names = ["a", "b", "c"][:d]
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)] + [(-1, *[float("nan")] * d), (-2, *[None] * d)], f"id int, {', '.join(f'{n} double' for n in names)}").repartition(3)
+    model = models.KernelDensity(names).fit(df.where("id >= 0"))
+    got = {r.id: r.log_density for r in model.evaluate(df).collect()}
+    y = model.base.ranks(x) @ model.root.T
+    total = np.exp(-0.5 * ((y[:, None] - y[None]) ** 2).sum(2)).sum(1)
+    norm = np.log(len(x)) + d / 2 * np.log(2 * np.pi) - np.log(np.diag(model.root)).sum()
+    want = np.log(total) - norm + model.base.log_density(x) + 0.5 * (model.base.ranks(x) ** 2).sum(1) + d / 2 * np.log(2 * np.pi)
+    assert len(got) == len(x) + 2 and np.isnan(got[-1]) and np.isnan(got[-2])
+    assert np.isfinite(want).all() and np.abs(np.array([got[k] for k in range(len(x))]) - want).max() < 1e-9
+    assert model.grid.count() > 0
