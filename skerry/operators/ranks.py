@@ -114,19 +114,24 @@ def tie_jitter(df: DataFrame, column: str, tie_break: list[str]) -> DataFrame:
     return placed.crossJoin(F.broadcast(stats)).select(*tie_break, "x", moved.alias("jittered"))  # one row
 
 
-def asof_counts(pool: DataFrame, queries: DataFrame, column: str, id_column: str, group: list[str] | None = None) -> DataFrame:
-    """id, x, below: for each query row the number of pool values up to its x.
+def asof_values(pool: DataFrame, queries: DataFrame, column: str, group: list[str] | None = None) -> DataFrame:
+    """x, below: for each distinct finite value of the queries the number of pool values up to it.
 
-    A running total over the distinct values of both sides, not a range join; a value that a third of the rows share is one
-    row there, and the join back by value is one whose large partitions Spark splits.
+    A running total over the distinct values of both sides, not a range join; a value that a third of the rows share is one row.
     """
     group = group or []
     a = finite(pool, column).select(*group, F.col(column).cast("double").alias("x"), F.lit(1).alias("w_"), F.lit(False).alias("q_"))
+    b = finite(queries, column).select(*group, F.col(column).cast("double").alias("x"), F.lit(0).alias("w_"), F.lit(True).alias("q_"))
+    counts = a.unionByName(b).groupBy(*group, "x").agg(F.sum("w_").alias("w_"), F.bool_or("q_").alias("q_"))
+    return running_total(counts, ["x"], "w_", "below", group).where("q_").select(*group, "x", "below")
+
+
+def asof_counts(pool: DataFrame, queries: DataFrame, column: str, id_column: str, group: list[str] | None = None) -> DataFrame:
+    """id, x, below: for each query row the number of pool values up to its x, joined back by value: Spark splits the join's
+    large partitions."""
+    group = group or []
     b = finite(queries, column).select(*group, F.col(column).cast("double").alias("x"), F.col(id_column).cast("bigint").alias("id"))
-    both = a.unionByName(b.select(*group, "x", F.lit(0).alias("w_"), F.lit(True).alias("q_")))
-    counts = both.groupBy(*group, "x").agg(F.sum("w_").alias("w_"), F.bool_or("q_").alias("q_"))
-    upto = running_total(counts, ["x"], "w_", "below", group).where("q_").select(*group, "x", "below")
-    return b.join(upto, [*group, "x"]).select(*group, "id", "x", "below")
+    return b.join(asof_values(pool, queries, column, group), [*group, "x"]).select(*group, "id", "x", "below")
 
 
 def asof_cdf(pool: DataFrame, queries: DataFrame, column: str, id_column: str, rule: str = "half") -> DataFrame:
@@ -212,6 +217,47 @@ def cumulative_sum_cdf(df: DataFrame, group: str, x: str, density: str) -> DataF
 
 def hash_halves(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Adds fold 0 or 1 of sizes that differ by one at most: places in the order of a hash."""
-    n = df.count()
-    placed = running_total(df.withColumn("h_", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary"))).withColumn("one_", F.lit(1)), ["h_", key], "one_", "k_")
-    return placed.withColumn("fold", (F.col("k_") > n // 2).cast("int")).drop("h_", "one_", "k_")
+    return hash_parts(df, key, [2], "fold", seed)
+
+
+#: Leading digits of a hash whose counts come to the driver: 65,536 rows at most, and one for rows without a key.
+_DIGITS = 4
+
+
+def hash_parts(df: DataFrame, key: str, divisors: list[int], name: str, seed: int = 0) -> DataFrame:
+    """Adds how many of the places n // divisor a row lies beyond, in the order of a hash of the key.
+
+    The rows stay where they are: counts by the hashes' first digits tell which digits a place falls among, and the few rows
+    there which hash it ends at. Only where a place falls among rows of one key are all rows put in order.
+    """
+    hashed = df.withColumn("h_", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary")))
+    lead = F.coalesce(F.substring("h_", 1, _DIGITS), F.lit(""))  # rows without a key come first
+    counts = sorted(tuple(r) for r in hashed.groupBy(lead.alias("lead_")).count().collect())
+    n, among = sum(c for _, c in counts), {}
+    places = [n // x for x in divisors]
+    for p in filter(None, places):
+        upto = 0
+        for digits, c in counts:
+            if upto < p <= upto + c:
+                among[p] = (digits, upto)
+                break
+            upto += c
+    near: dict[str, list[tuple[str | None, int]]] = {}
+    if among:
+        for digits, h, c in hashed.where(lead.isin(sorted({d for d, _ in among.values()}))).groupBy(lead.alias("lead_"), "h_").count().collect():
+            near.setdefault(digits, []).append((h, c))
+    beyond = []
+    for p in places:
+        if not p:
+            beyond.append(F.lit(True))
+            continue
+        (digits, upto), last = among[p], None
+        for last, c in sorted(near[digits], key=lambda x: x[0] or ""):
+            upto += c
+            if upto >= p:
+                break
+        if upto > p:  # among rows that the key doesn't tell apart
+            placed = running_total(hashed.withColumn("one_", F.lit(1)), ["h_", key], "one_", "k_")
+            return placed.withColumn(name, sum(((F.col("k_") > x).cast("int") for x in places), F.lit(0))).drop("h_", "one_", "k_")
+        beyond.append(F.col("h_").isNotNull() if last is None else F.coalesce(F.col("h_") > last, F.lit(False)))
+    return hashed.withColumn(name, sum((x.cast("int") for x in beyond), F.lit(0))).drop("h_")

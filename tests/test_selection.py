@@ -1,5 +1,6 @@
 """Growing dictionaries against full refits, statistics that are read off, and the one-call fit."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.hermite import dictionary, total_degrees
 from skerry.operators import scorematch, solvers
-from skerry.operators.ranks import hash_halves, rank_gaussianize
+from skerry.operators.ranks import hash_halves, hash_parts, rank_gaussianize
 from skerry.plans import selection
 
 
@@ -81,3 +82,18 @@ def test_one_call(bent):
     assert (model.degree, model.order) == (3, 2) and str((model.inner_degree, model.inner_order)) == chosen[2]
     assert all(min(x["risk"] for x in report if x["stage"] == k) == next(x["risk"] for x in report if x["stage"] == k and x["selected"]) for k in (1, 2))  # one split
     assert math.isfinite(model.evaluate(bent).agg(F.avg("log_density")).first()[0])
+
+
+def test_parts_leave_rows_in_place(spark):
+    """No row is moved, places are those in the order of the hash, and rows that the key doesn't tell apart are split, too."""
+    rows = [(k, None if k % 50 == 0 else f"k{k}") for k in range(1001)]
+    df = spark.createDataFrame(rows, "row int, key string").repartition(7)
+    got = hash_parts(df, "key", [4, 2], "part", 3)
+    order = sorted(rows, key=lambda r: (r[1] is not None, hashlib.md5(f"{r[1]}-3".encode()).hexdigest() if r[1] else ""))
+    place = {k: i + 1 for i, (k, _) in enumerate(order)}
+    assert {r.row: r.part for r in got.collect()} == {k: (place[k] > 250) + (place[k] > 500) for k in place}
+    plain = spark.range(3000).withColumn("v", F.col("id") * 2)
+    assert "Exchange" not in hash_halves(plain, "id")._jdf.queryExecution().executedPlan().toString()
+    for n, same in ((0, 1), (1, 1), (2, 1), (7, 1), (40, 40), (41, 30)):
+        folds = hash_halves(spark.createDataFrame([(max(k, same - 1),) for k in range(n)], "k int"), "k").groupBy("fold").count().collect()
+        assert {r["fold"]: r["count"] for r in folds} == {f: c for f, c in ((0, n // 2), (1, n - n // 2)) if c}
