@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from skerry.functions.hermite import Index, dictionary, total_degrees, values
 from skerry.operators import solvers
-from skerry.operators.ranks import asof_cdf, hash_halves, rank_gaussianize
+from skerry.operators.ranks import asof_values, hash_halves, hash_parts, rank_gaussianize
 from skerry.operators.scorematch import Stats, score_moments, statistics
 from skerry.operators.subspace import complement, top_eigenvectors
 from skerry.functions.normal import ndtri_sql
-from skerry.plans.storage import running_total
 
 
 def align(theta: np.ndarray, small: list[Index], large: list[Index]) -> np.ndarray:
@@ -49,12 +48,15 @@ def saturation(ranked: DataFrame, z: list[str], ladder: list[tuple[int, int]], s
 
 
 def transfer_ranks(pool: DataFrame, queries: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """key and the normal quantiles of the queries' clipped ranks in the pool."""
-    out = queries.select(key)
-    for c in columns:
-        found = asof_cdf(pool, queries, c, key, "clip").select(F.col("id").alias(key), F.expr(ndtri_sql("cdf")).alias(f"{c}_z"))
-        out = out.join(found, key)
-    return out
+    """key and the normal quantiles of the queries' clipped ranks in the pool, for queries whose columns are all finite. Rows get
+    them by value; no row is looked up by its key."""
+    out = queries.select(key, *(F.col(c).cast("double").alias(f"{c}_of_") for c in columns))
+    sizes = pool.agg(*(F.count(F.when(F.abs(F.col(c).cast("double")) < float("inf"), 1)).alias(f"n{k}") for k, c in enumerate(columns))).first()
+    for n, c in zip(sizes, columns, strict=True):
+        cdf = (F.greatest(F.lit(1), F.least(F.lit(n), F.col("below"))) / (n + 1)).cast("double").alias("cdf")
+        found = asof_values(pool, queries, c).select(F.col("x").alias(f"{c}_of_"), cdf).select(f"{c}_of_", F.expr(ndtri_sql("cdf")).alias(f"{c}_z"))
+        out = out.join(found, f"{c}_of_")
+    return out.select(key, *(f"{c}_z" for c in columns))
 
 
 def a_posteriori_bound(df: DataFrame, columns: list[str], key: str, r: int, degree: int, order: int, delta: float = 0.05) -> dict[str, float]:
@@ -75,11 +77,9 @@ def truncation_gap(ranked: DataFrame, z: list[str], key: str, small: tuple[int,
     One pass over the rows: the smaller dictionary's statistics are read off the larger one's. Parts are places in the order of
     one hash: the second half, and the quarters of the first. strength: of the ridge fits, by default a share of the gram's norm.
     """
-    n = ranked.count()
-    placed = running_total(ranked.select(key, *z, F.md5(F.concat(F.col(key).cast("string"), F.lit("-0")).cast("binary")).alias("h_"), F.lit(1).alias("one_")), ["h_", key], "one_", "k_")
-    part = F.when(F.col("k_") > n // 2, 2).when(F.col("k_") > n // 4, 1).otherwise(0)
+    placed = hash_parts(ranked.select(key, *z), key, [4, 2], "part")
     a, b = dictionary(len(z), *small), dictionary(len(z), *large)
-    stats = statistics(placed.select(*z, part.alias("part")), z, b, fold="part")
+    stats = statistics(placed.select(*z, "part"), z, b, fold="part")
     gap = [solvers.ridge(stats[k], b, strength).theta - align(solvers.ridge(restrict(stats[k], b, a), a, strength).theta, a, b) for k in (0, 1)]
     held = stats[2].A
     return {"crossed": float(gap[0] @ held @ gap[1]), "naive": float(math.sqrt(max(gap[0] @ held @ gap[0], 0.0)))}

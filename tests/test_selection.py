@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from skerry.functions.hermite import dictionary, total_degrees
 from skerry.operators import scorematch, solvers
 from skerry.operators.ranks import hash_halves, hash_parts, rank_gaussianize
-from skerry.plans import selection
+from skerry.plans import diagnostics, selection
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +98,13 @@ def test_parts_leave_rows_in_place(spark):
     for n, same in ((0, 1), (1, 1), (2, 1), (7, 1), (40, 40), (41, 30)):
         folds = hash_halves(spark.createDataFrame([(max(k, same - 1),) for k in range(n)], "k int"), "k").groupBy("fold").count().collect()
         assert {r["fold"]: r["count"] for r in folds} == {f: c for f, c in ((0, n // 2), (1, n - n // 2)) if c}
+
+
+def test_transferred_ranks_are_a_row_a_query(spark):
+    """Also where a key is on two rows or missing; rows with a value that isn't finite have none."""
+    pool = spark.createDataFrame([(k, float(k % 7), float(k)) for k in range(20)] + [(20, float("nan"), None)], "id int, a double, b double")
+    asked = spark.createDataFrame([(1, 3.0, 4.5), (1, 6.0, 4.5), (None, -1.0, 90.0), (2, float("nan"), 1.0), (3, 1.0, None), (4, 1.0, float("inf"))], "id int, a double, b double")
+    got = sorted(tuple(r) for r in diagnostics.transfer_ranks(pool, asked, ["a", "b"], "id").fillna(-1, ["id"]).collect())
+    at = lambda k: NormalDist().inv_cdf(min(20, max(1, k)) / 21)
+    want = sorted([(1, at(12), at(5)), (1, at(20), at(5)), (-1, at(0), at(20))])
+    assert len(got) == 3 and all(g[0] == w[0] and np.allclose(g[1:], w[1:], atol=1e-6) for g, w in zip(got, want, strict=True))
