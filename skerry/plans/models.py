@@ -279,7 +279,7 @@ class ReducedDensity:
             self.second = ProductOfMarginals(u).fit(projected)
             projected = self._ranked_again(projected, u, labels)
         self.inner = dictionary(self.r, self.inner_degree, self.inner_order or self.r, linear=True)
-        halves = settle(hash_halves(settle(projected), key, self.seed).select("fold", *u, *labels))
+        halves = hash_halves(settle(projected), key, self.seed).select("fold", *u, *labels)
         folds = statistics(halves, u, self.inner, weights, labels or None, fold="fold")
         both = folds[0].merged(folds[1]) if len(folds) == 2 else next(iter(folds.values()))
         solution = solvers.by_scheme(self.scheme, both, self.inner, (folds[0], folds[1]) if len(folds) == 2 else None)
