@@ -29,7 +29,7 @@ _PACKED = pa.schema([("leaf", pa.int32()), ("block", pa.int64()), ("rows", pa.bi
 _PACKED_SQL = "leaf int, block bigint, rows binary, points binary, weights binary, low array<double>, high array<double>"
 
 #: Rows of numbers for the queries, from queries, centres and the centres' weights.
-Values = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Values = Callable[..., np.ndarray]
 Merge = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -208,10 +208,11 @@ def _met(block: int, others: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(others), block), pa.int64()), pa.array(others, pa.int32())], ["block", "other"])
 
 
-def over_pairs(queries: DataFrame, centres: DataFrame, near: DataFrame, d: int, values: Values, merge: Merge) -> DataFrame:
+def over_pairs(queries: DataFrame, centres: DataFrame, near: DataFrame, d: int, values: Values, merge: Merge, known: DataFrame | None = None) -> DataFrame:
     """block, width, value: for each block of queries, values(queries, centres, weights) of the blocks of centres in the leaves that
     `near` has for it, merged. Values have a row of `width` numbers a query; they are asked for in slices, so that a slice times a block
-    has about a million cells. A block without near centres has no row."""
+    has about a million cells. A block without near centres has no row. known: values by block that are there already; `values` gets
+    the queries' as a fourth argument."""
     spark = queries.sparkSession
     bounded_batches(spark)
     parts = _partitions(spark)
@@ -229,10 +230,11 @@ def over_pairs(queries: DataFrame, centres: DataFrame, near: DataFrame, d: int,
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int, np.ndarray]]:
             for b in it:
-                for number, q, c, w in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
-                    x, y = (np.frombuffer(v.as_buffer()).reshape(-1, d) for v in (q, c))
+                for r, number in enumerate(b.column(0).to_pylist()):
+                    x, y = (np.frombuffer(b.column(c)[r].as_buffer()).reshape(-1, d) for c in (1, 2))
+                    w, more = np.frombuffer(b.column(3)[r].as_buffer()), [np.frombuffer(c[r].as_buffer()).reshape(len(x), -1) for c in b.columns[4:]]
                     step = max(1, _CELLS // max(1, len(y)))
-                    yield number, np.concatenate([values(x[k : k + step], y, np.frombuffer(w.as_buffer())) for k in range(0, max(1, len(x)), step)])
+                    yield number, np.concatenate([values(x[k : k + step], y, w, *(v[k : k + step] for v in more)) for k in range(0, max(1, len(x)), step)])
 
         yield from merged(found())
 
@@ -244,9 +246,10 @@ def over_pairs(queries: DataFrame, centres: DataFrame, near: DataFrame, d: int,
 
         yield from merged(found())
 
-    met = queries.select("block", "points").join(near, "block").join(centres.select(F.col("leaf").alias("other"), F.col("points").alias("centres"), "weights"), "other")
+    asked = queries.select("block", "points") if known is None else queries.select("block", "points").join(known.select("block", F.col("value").alias("known")), "block")
+    met = asked.join(near, "block").join(centres.select(F.col("leaf").alias("other"), F.col("points").alias("centres"), "weights"), "other")
     schema = "block bigint, width int, value binary"
-    first = met.select("block", "points", "centres", "weights").mapInArrow(meet, schema)
+    first = met.select("block", "points", "centres", "weights", *([] if known is None else ["known"])).mapInArrow(meet, schema)
     return first.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(again, schema)
 
 

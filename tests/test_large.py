@@ -143,3 +143,24 @@ def test_kernel_sums_meet_no_pairs(spark, d, monkeypatch):
     assert len(got) == len(x) + 2 and np.isnan(got[-1]) and np.isnan(got[-2])
     assert np.isfinite(want).all() and np.abs(np.array([got[k] for k in range(len(x))]) - want).max() < 1e-9
     assert model.grid.count() > 0
+
+
+def test_neighbours_of_wide_vectors(spark):
+    """Distances by matrix products, exact also for copies and for near copies far from the origin."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((300, 20)) + 50
+    x = np.concatenate([x, x[:60] + 1e-7 * rng.standard_normal((60, 20)), x[:40], x[:40], np.full((7, 20), 3.0)])
+    want = neighbours(x, 4)
+    got = montecarlo.wide_nearest(x, x, np.ones(len(x)), 4)
+    assert np.allclose(got, want, rtol=1e-9, atol=0)
+    known = montecarlo.wide_nearest(x, x[:200], np.ones(200), 4)
+    more = montecarlo.wide_nearest(x, x[200:], np.ones(len(x) - 200), 4, known)
+    assert np.allclose(np.sort(np.concatenate([known, more], 1), 1)[:, :5], want, rtol=1e-9, atol=0)
+    names = [f"v{j}" for j in range(20)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in names)).repartition(3)
+    points, values, _ = montecarlo.neighbour_distances(df, names, 4, 40)
+    found = {}
+    for r in values.join(points.select("block", "points"), "block").collect():
+        found |= {tuple(p): np.sort(v) for p, v in zip(np.frombuffer(r.points).reshape(-1, 20), np.frombuffer(r.value).reshape(-1, 5), strict=True)}
+    assert all(np.allclose(found[tuple(p)], q, rtol=1e-9, atol=0) for p, q in zip(x, want, strict=True))
+    assert np.isfinite(montecarlo.wide_nearest(x * 1e150, x * 1e150, np.ones(len(x)), 4)[:, 0]).all()
