@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import hashing
@@ -57,10 +57,10 @@ class Workspace:
             conf.set(_CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def weighed(self, df: DataFrame, name: str, column: str = "payload") -> tuple[DataFrame, int]:
-        """settle, and the bytes in the column, which the write itself adds up."""
+    def weighed(self, df: DataFrame, name: str, weight: Column | None = None) -> tuple[DataFrame, int]:
+        """settle, and the bytes in payload or else the sum of a column, which the write itself adds up."""
         seen = Observation()
-        table = self.settle(df.observe(seen, F.sum(F.length(column)).alias("bytes")), name)
+        table = self.settle(df.observe(seen, F.sum(F.length("payload") if weight is None else weight).alias("bytes")), name)
         return table, int(seen.get["bytes"] or 0)
 
     def drop(self, *names: str, sweep: bool = True) -> None:

@@ -26,13 +26,27 @@ from skerry.llm.components import components
 from skerry.llm.exchange import Workspace, batches, binary_column, partitions, tasks_for, tidy
 from skerry.llm.packs import by_shard, chunks, dump, load, pack
 
-_HALF = np.uint64((1 << 48) - 1)
 _PIECE = 1 << 20
 _CHUNK = 8 << 20
+#: Bytes of text in a shard of the nodes that may have a partner, and the shards that small tables have.
+_SHARD, _FEW = 16 << 20, 24
+#: A bucket's or chunk's counts go to a share of the shards: they are small, and each is a message.
+_COUNTS = 16
 #: What a text with a word has: a character that isn't white space.
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of a sorted array."""
+    new = x[1:] != x[:-1]
+    return x if new.all() else x[np.concatenate(([True], new))]
+
+
+def items_of(sets: np.ndarray) -> np.ndarray:
+    """The first 48 bits of a set's hashes, in their order."""
+    return _distinct(sets >> np.uint64(16))
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, sorted."""
     words, first = hashing.words_of(texts)
@@ -40,7 +54,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(whole[a : b - width + 1]))
+            out.append(_distinct(np.sort(whole[a : b - width + 1])))
         elif b > a:
             out.append(hashing.fold([words[k : k + 1] for k in range(a, b)]))
         else:
@@ -87,7 +101,7 @@ def _by_bucket(h48: np.ndarray, buckets: int, *more: np.ndarray) -> Iterator[tup
         yield int(where[a]), h48[a:b], *(m[a:b] for m in more)
 
 
-_SKETCH = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("text_hash", pa.int64())])
+_SKETCH = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("text_hash", pa.int64()), ("size", pa.int64())])
 
 
 def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
@@ -107,11 +121,11 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
             new = np.concatenate(([True], h[1:] != h[:-1]))
             many = np.diff(np.append(np.flatnonzero(new), len(h))) > 1
             count = np.bincount(who[many[np.cumsum(new) - 1]], minlength=len(nodes))
-            for shard, payload in _by_node(nodes[count > 0], count[count > 0], sizes[count > 0], buckets):
-                yield 2, shard, 0, 0, 0, payload, 0
+            for shard, payload in _by_node(nodes[count > 0], count[count > 0], sizes[count > 0], -(-buckets // _COUNTS)):
+                yield 2, shard, 0, 0, 0, payload, 0, 0
             for bucket, items, lead, flag in _by_bucket(h[new], buckets, who[new], many):
                 used, where = np.unique(lead, return_inverse=True)
-                yield 1, bucket, 0, 0, 0, dump(pack48(items), nodes[used], sizes[used], where.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), np.packbits(flag)), 0
+                yield 1, bucket, 0, 0, 0, dump(pack48(items), nodes[used], sizes[used], where.astype(np.uint16 if len(used) < 1 << 16 else np.uint32), np.packbits(flag)), 0, 0
 
         def out() -> Iterator[tuple]:
             held: dict[int, tuple[int, np.ndarray]] = {}
@@ -124,11 +138,11 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
                     while end < len(texts) and (end == at or size + len(texts[end]) <= _PIECE):
                         size += len(texts[end])
                         end += 1
-                    for doc, text_hash, s in zip(ids[at:end], hashes[at:end], shingle_sets(texts[at:end], width), strict=True):
+                    for doc, text_hash, text, s in zip(ids[at:end], hashes[at:end], texts[at:end], shingle_sets(texts[at:end], width), strict=True):
                         node = node_of(s) if len(s) and doc is not None else None
-                        yield 0, 0, doc, node, len(s), b"", text_hash
+                        yield 0, 0, doc, node, len(s), b"", text_hash, len(text)
                         if node is not None and node not in held:
-                            held[node] = len(s), np.unique(s & _HALF)[: sample_length(len(s), percent)]
+                            held[node] = len(s), items_of(s)[: sample_length(len(s), percent)]
                     weight += size
                     at = end
                     if weight >= _CHUNK:
@@ -139,7 +153,7 @@ def _sketch(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFram
         yield from batches(_SKETCH, out())
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(tidy(run), "kind int, shard int, doc_id bigint, node bigint, n bigint, payload binary, text_hash bigint")
+    return rows.mapInArrow(tidy(run), "kind int, shard int, doc_id bigint, node bigint, n bigint, payload binary, text_hash bigint, size bigint")
 
 
 _PART = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -165,10 +179,15 @@ def _met(shards: int):
             size.append(sizes[where])
             flag.append(np.unpackbits(bits, count=len(where)).astype(bool))
         h, who, size, flag = (np.concatenate(x) for x in (h, who, size, flag))
-        order = np.lexsort((who, h))
-        h, who, size, flag = h[order], who[order], size[order], flag[order]
-        run = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
-        other = np.concatenate(([False], (h[1:] == h[:-1]) & (who[1:] != who[:-1])))
+        order = np.argsort(h)
+        h = h[order]
+        again = h[1:] == h[:-1]
+        shared = np.concatenate((again, [False])) | np.concatenate(([False], again))  # an item that one chunk has counts nothing here
+        h, order = h[shared], order[shared]
+        who, size, flag = who[order], size[order], flag[order]
+        new = np.concatenate(([True], h[1:] != h[:-1]))[: len(h)]
+        run = np.cumsum(new) - 1
+        other = who != who[np.flatnonzero(new)][run]
         counted = (np.bincount(run, other | flag) > 0)[run] & ~flag
         nodes, first, count = np.unique(who[counted], return_index=True, return_counts=True)
         for shard, payload in _by_node(nodes, count, size[counted][first], shards):
@@ -193,7 +212,7 @@ def _ask(buckets: int, width: int):
 
     def ask(shard: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
         kept = list({node: s for cols, texts in chunks(rows) for node, s in zip(cols[0].tolist(), shingle_sets(texts, width), strict=True)}.values())
-        items, count = np.unique(np.concatenate([np.unique(s & _HALF) for s in kept]), return_counts=True)
+        items, count = np.unique(np.concatenate([items_of(s) for s in kept]), return_counts=True)
         for bucket, h, c in _by_bucket(items, buckets, count.astype(np.uint32)):
             yield bucket, shard, dump(pack48(h), c)
 
@@ -232,7 +251,7 @@ def _lists(buckets: int, width: int, percent: int):
                 if node in seen:
                     continue
                 seen.add(node)
-                items = np.unique(s & _HALF)
+                items = items_of(s)
                 df = total[np.searchsorted(known, items)]
                 shared = items[df > 1]
                 reach = prefix_length(len(s), percent) - (len(s) - len(shared))
@@ -271,36 +290,20 @@ def _meet(_: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple]:
     yield from map(tuple, np.unique(np.stack((who[~new], lead[~new]), 1), axis=0).tolist())
 
 
-class Forest:
-    """Disjoint sets of the numbers below n."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-
-
 class _Branch:
-    """A compressed trie node: the edge's items, the sets that end here, and bounds over all sets below."""
+    """A compressed trie node: the edge's items, the sets that end here, and the nodes below."""
 
-    __slots__ = ("edge", "ends", "below", "longest", "least", "one")
+    __slots__ = ("edge", "ends", "below")
 
     def __init__(self, edge: np.ndarray):
         self.edge, self.ends, self.below = edge, [], []
-        self.longest = self.least = 0
-        self.one = -1
 
 
-def _grow(order: list[int], sets: list[np.ndarray], sizes: np.ndarray) -> _Branch:
+#: Edges from a depth below this one end at it at the latest, deeper ones where they are twice as deep: bounds cut long paths early.
+_REACH = 32
+
+
+def _grow(order: list[int], sets: list[np.ndarray]) -> _Branch:
     """The trie of lexicographically sorted sets; order lists them."""
     root = _Branch(sets[0][:0])
     stack: list[tuple[int, int, int, _Branch]] = [(0, len(order), 0, root)]
@@ -311,11 +314,11 @@ def _grow(order: list[int], sets: list[np.ndarray], sizes: np.ndarray) -> _Branc
             lo += 1
         while lo < hi:
             a, item = sets[order[lo]], sets[order[lo]][depth]
-            end, step = lo + 1, 1
+            end = lo + 1
             while end < hi and sets[order[end]][depth] == item:
                 end += 1
             b = sets[order[end - 1]]
-            n = min(len(a), len(b))
+            n = min(len(a), len(b), max(_REACH, 2 * depth))
             differ = np.flatnonzero(a[depth:n] != b[depth:n])
             step = int(differ[0]) if len(differ) else n - depth
             child = _Branch(a[depth : depth + step])
@@ -325,30 +328,51 @@ def _grow(order: list[int], sets: list[np.ndarray], sizes: np.ndarray) -> _Branc
     return root
 
 
-def _bounds(root: _Branch, sizes: list[int], forest: Forest) -> None:
-    """Bottom-up: the longest rest, the least set size and, where all sets below are in one component, a set of it."""
-    order, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        order.append(x)
-        stack += x.below
-    for x in reversed(order):
-        roots = {forest.find(k) for k in x.ends} | {forest.find(y.one) if y.one >= 0 else -1 for y in x.below}
-        x.one = next(iter(roots)) if len(roots) == 1 else -1
-        x.longest = max([0, *(len(y.edge) + y.longest for y in x.below)])
-        x.least = min([*(sizes[k] for k in x.ends), *(y.least for y in x.below)])
-
-
-def link(sizes: list[int], lists: list[np.ndarray], labels: list[int], percent: int = 80) -> list[int]:
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as counted."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+class _Trie:
+    """The trie as arrays, level by level, with bounds over all sets below each node: the longest rest, the least set size
+    and, where all sets below are in one component, a set of it (else -1)."""
+
+    def __init__(self, root: _Branch, sizes: np.ndarray, label: np.ndarray):
+        nodes = [root]
+        for x in nodes:  # grows while it is read
+            nodes += x.below
+        self.edges = np.concatenate([x.edge for x in nodes])
+        self.length = np.array([len(x.edge) for x in nodes], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.kids = np.array([len(x.below) for x in nodes], np.int64)
+        self.kid = 1 + np.cumsum(self.kids) - self.kids
+        self.last = np.array([x.edge[-1] if len(x.edge) else 0 for x in nodes], np.int64)
+        self.ends = np.array([k for x in nodes for k in x.ends], np.int64)
+        self.end_count = np.array([len(x.ends) for x in nodes], np.int64)
+        self.end = np.cumsum(self.end_count) - self.end_count
+        own, size, kid, kids, length = label.tolist(), sizes.tolist(), self.kid.tolist(), self.kids.tolist(), self.length.tolist()
+        longest, least, one = [0] * len(nodes), [0] * len(nodes), [-1] * len(nodes)
+        root_of = [-1] * len(nodes)
+        for x in range(len(nodes) - 1, -1, -1):
+            below, ends = range(kid[x], kid[x] + kids[x]), nodes[x].ends
+            roots = {own[k] for k in ends} | {root_of[y] for y in below}
+            if len(roots) == 1 and -1 not in roots:
+                root_of[x] = roots.pop()
+                one[x] = ends[0] if ends else one[kid[x]]
+            longest[x] = max((length[y] + longest[y] for y in below), default=0)
+            least[x] = min([*(size[k] for k in ends), *(least[y] for y in below)])
+        self.longest, self.least, self.one = (np.array(v, np.int64) for v in (longest, least, one))
+
+
+def link(sizes: list[int], lists: list[np.ndarray], labels: list[int], percent: int = 80, asks: list[bool] | None = None) -> list[int]:
     """The component of each set: a link is percent * union <= 100 * intersection. Sets of one label are known to be linked.
 
-    Items that only one set has are left out of lists; sizes count them.
+    Items that only one set has are left out of lists; sizes count them. asks: the sets whose links are searched, all by
+    default; those between two others are left to other calls.
     """
     m = len(sizes)
-    forest = Forest(m)
-    first: dict[int, int] = {}
-    for k, x in enumerate(labels):
-        forest.join(k, first.setdefault(x, k))
+    _, first, inverse = np.unique(np.array(labels), return_index=True, return_inverse=True)
+    label = first[inverse]
     flat = np.concatenate(lists)
     items, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(items), np.int64)
@@ -361,54 +385,54 @@ def link(sizes: list[int], lists: list[np.ndarray], labels: list[int], percent:
     enough = lambda o, x, y: (100 + percent) * o >= percent * (x + y)
     mask = np.zeros(len(items) + 1, bool)
 
+    def join(k: int, others: np.ndarray) -> None:
+        roots = np.unique(label[np.append(others, k)])
+        if len(roots) > 1:
+            label[np.isin(label, roots)] = roots[0]
+
     # Hubs: one set of each component found so far against all sets at once. This only unites early what the trie would.
-    tried: set[int] = set()
-    for k in range(m):
-        if len(tried) >= 64:
+    tried = np.zeros(m, bool)
+    for _ in range(64 if asks is None else 0):
+        rest = np.flatnonzero(~tried)
+        if not len(rest):
             break
-        if (root := forest.find(k)) in tried:
-            continue
-        tried.add(root)
+        k = int(rest[0])
         mask[sets[k]] = True
         sums = np.concatenate(([0], np.cumsum(mask[flat])))
         overlap = sums[starts[1:]] - sums[starts[:-1]]
         mask[sets[k]] = False
-        for j in np.flatnonzero(enough(overlap, size[k], size)).tolist():
-            forest.join(k, j)
-        tried.add(forest.find(k))
-        if len({forest.find(j) for j in range(m)}) == 1:
-            return [forest.find(j) for j in range(m)]
-
-    trie = _grow(sorted(range(m), key=lambda k: sets[k].astype(">u4").tobytes()), sets, size)
-    _bounds(trie, sizes, forest)
-    for k in range(m):
-        mine, n, own = sets[k], sizes[k], forest.find(k)
+        join(k, np.flatnonzero(enough(overlap, size[k], size)))
+        if (label == label[0]).all():
+            return label.tolist()
+        tried |= label == label[k]
+
+    trie = _Trie(_grow(sorted(range(m), key=lambda k: sets[k].astype(">u4").tobytes()), sets), size, label)
+    for k in range(m) if asks is None else np.flatnonzero(asks).tolist():
+        mine, n = sets[k], sizes[k]
         mask[mine] = True
-        stack = [(trie, 0, 0)]
-        while stack:
-            at, overlap, used = stack.pop()
-            if at.one >= 0 and forest.find(at.one) == own:
-                continue
-            if len(at.edge):
-                hits = int(mask[at.edge].sum())
-                overlap += hits
-                used = int(np.searchsorted(mine, at.edge[-1], "right"))
-            if not enough(overlap + min(at.longest, len(mine) - used), n, max(at.least, -(-n * percent // 100))):
-                continue
-            for j in at.ends:
-                if enough(overlap, n, sizes[j]) and forest.find(j) != own:
-                    forest.join(k, j)
-                    own = forest.find(k)
-            stack += [(x, overlap, used) for x in at.below]
+        at, overlap, used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while True:
+            good = enough(overlap + np.minimum(trie.longest[at], len(mine) - used), n, np.maximum(trie.least[at], -(-n * percent // 100)))
+            at, overlap = at[good], overlap[good]
+            if (count := trie.end_count[at]).any():
+                j, shared = trie.ends[_spread(trie.end[at], count)], np.repeat(overlap, count)
+                join(k, j[enough(shared, n, size[j])])
+            count = trie.kids[at]
+            at, overlap = _spread(trie.kid[at], count), np.repeat(overlap, count)
+            open_ = (trie.one[at] < 0) | (label[trie.one[at]] != label[k])
+            at, overlap = at[open_], overlap[open_]
+            if not len(at):
+                break
+            length = trie.length[at]
+            overlap = overlap + np.add.reduceat(mask[trie.edges[_spread(trie.start[at], length)]], np.cumsum(length) - length, dtype=np.int64)
+            used = np.searchsorted(mine, trie.last[at], "right")
         mask[mine] = False
-    return [forest.find(k) for k in range(m)]
-
-
-_TASK_SQL = "task string, node bigint, label bigint, n bigint, payload binary"
+    return label.tolist()
 
 
 def _link_tasks(rows: DataFrame, percent: int, parts: int | None = None) -> DataFrame:
-    """rows: task, node, label, n, payload. Edges a, b between each node and the least node of its component in the task.
+    """rows: task, node, label, n, payload, asks. Edges a, b between each node and the least node of its component in the task;
+    links between two nodes that don't ask aren't searched.
 
     parts: partitions; None lets Spark join small ones, which suits tasks that take time in proportion to their bytes."""
 
@@ -416,7 +440,7 @@ def _link_tasks(rows: DataFrame, percent: int, parts: int | None = None) -> Data
         def groups() -> Iterator[list[tuple]]:
             task, held = None, []
             for b in it:
-                for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                     if row[0] != task and held:
                         yield held
                         held = []
@@ -427,8 +451,9 @@ def _link_tasks(rows: DataFrame, percent: int, parts: int | None = None) -> Data
 
         def out() -> Iterator[tuple]:
             for held in groups():
-                held = list({r[1]: r for r in held}.values())
-                roots = link([r[3] for r in held], [unpack48(load(r[4])[0]) for r in held], [r[2] for r in held], percent)
+                held = list({r[1]: r for r in sorted(held, key=lambda r: r[5])}.values())
+                asks = [r[5] for r in held]
+                roots = link([r[3] for r in held], [unpack48(load(r[4])[0]) for r in held], [r[2] for r in held], percent, None if all(asks) else asks)
                 least: dict[int, int] = {}
                 for r, root in zip(held, roots, strict=True):
                     least[root] = min(least.get(root, r[1]), r[1])
@@ -438,7 +463,7 @@ def _link_tasks(rows: DataFrame, percent: int, parts: int | None = None) -> Data
 
         yield from batches(_EDGE, out())
 
-    return rows.select("task", "node", "label", "n", "payload").repartition(*([parts] if parts else []), "task").sortWithinPartitions("task").mapInArrow(tidy(run), "a bigint, b bigint")
+    return rows.select("task", "node", "label", "n", "payload", "asks").repartition(*([parts] if parts else []), "task").sortWithinPartitions("task").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
@@ -449,13 +474,14 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     spark = docs.sparkSession
     space, parts = Workspace(spark, "jaccard"), partitions(spark)
     sketch, size = space.weighed(_sketch(docs, width, percent, parts), "sketch")
-    rows = space.settle(sketch.where("kind = 0").select("doc_id", "node", "n", "text_hash"), "rows")
-    chosen = space.settle(_chosen(sketch, rows, parts, tasks_for(size, parts)), "chosen")
+    rows = space.settle(sketch.where("kind = 0").select("doc_id", "node", "n", "text_hash", "size"), "rows")
+    chosen, size = space.weighed(_chosen(sketch, rows, parts, tasks_for(size, parts)), "chosen", F.col("_size"))
     space.drop("sketch")
-    packs, size = space.weighed(_packs(docs, chosen, width, parts), "packs")
+    shards = min(parts, max(_FEW, -(-size // _SHARD)))
+    packs, size = space.weighed(_packs(docs, chosen, shards), "packs")
     space.drop("chosen")
-    tasks = tasks_for(size, parts)
-    lists = space.settle(_shared_lists(packs, width, percent, parts, tasks), "lists")
+    tasks = tasks_for(size, shards)
+    lists = space.settle(_shared_lists(packs, width, percent, shards, tasks), "lists")
     space.drop("packs")
 
     edges = by_shard(lists.where("kind = 1"), tasks, _meet, "a bigint, b bigint", _EDGE)
@@ -487,22 +513,18 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def _chosen(sketch: DataFrame, rows: DataFrame, parts: int, tasks: int) -> DataFrame:
-    """_node, _doc: the nodes that share enough sampled items to have a partner, and a document of each."""
-    met = by_shard(sketch.where("kind = 1"), tasks, _met(parts), _PART_SQL, _PART)
-    met = by_shard(met.unionByName(sketch.where("kind = 2").select("shard", "kind", "payload")), tasks, _enough, "node bigint", _NODE)
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    return nodes.join(met, "node").select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
-
-
-def _packs(docs: DataFrame, chosen: DataFrame, width: int, parts: int) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), "text").join(chosen.hint("merge"), "_doc")
-    texts = texts.select(F.pmod(F.xxhash64("_node"), F.lit(parts)).cast("int").alias("shard"), F.col("_node").alias("node"), "text")
+    """_node, _doc, _hash, _size: the nodes that share enough sampled items to have a partner, a document of each by its
+    doc_id and the hash of its text, and the bytes of that text."""
+    few = -(-parts // _COUNTS)
+    met = by_shard(sketch.where("kind = 1"), tasks, _met(few), _PART_SQL, _PART)
+    met = by_shard(met.unionByName(sketch.where("kind = 2").select("shard", "kind", "payload")), few, _enough, "node bigint", _NODE)
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "size")).alias("x"))
+    return nodes.join(met, "node").select(F.col("node").alias("_node"), F.col("x.doc_id").alias("_doc"), F.col("x.text_hash").alias("_hash"), F.col("x.size").alias("_size"))
 
-    def same_node(columns: list[list[int]], held: list[bytes]) -> list[bool]:
-        """Not rows whose doc_id is a chosen one but whose text makes another node."""
-        return [len(s) > 0 and node_of(s) == node for text, node in zip(held, columns[0], strict=True) for s in shingle_sets([text], width)]
 
-    return pack(texts, ["node"], same_node)
+def _packs(docs: DataFrame, chosen: DataFrame, shards: int) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64("text").alias("_hash"), "text").join(chosen.hint("merge"), ["_doc", "_hash"])
+    return pack(texts.select(F.pmod(F.xxhash64("_node"), F.lit(shards)).cast("int").alias("shard"), F.col("_node").alias("node"), "text"), ["node"])
 
 
 def _shared_lists(packs: DataFrame, width: int, percent: int, parts: int, tasks: int) -> DataFrame:
@@ -526,7 +548,7 @@ def _link_clusters(lists: DataFrame, clusters: DataFrame, percent: int, block: i
     hubs = hubs.select("cluster", F.explode(F.array_distinct(F.array(*(f"h{k}" for k in range(4))))).alias("h"), "blocks")
     hubs = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     extra = hubs.select(name("cluster", "block").alias("task"), "h.node", F.col("h.node").alias("label"), "h.n", "h.payload")
-    first = space.settle(_link_tasks(mine.unionByName(extra), percent), "first")
+    first = space.settle(_link_tasks(mine.unionByName(extra).withColumn("asks", F.lit(True)), percent), "first")
     if not large.limit(1).count():
         return first.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(first.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -538,7 +560,9 @@ def _link_clusters(lists: DataFrame, clusters: DataFrame, percent: int, block: i
     open_ = labelled.join(most, "cluster")
     rest = open_.where("label <> most").select("*", F.pmod(F.xxhash64("node"), F.col("rests")).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c"))
     every = open_.select("*", own.alias("c"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("r"))
-    both = rest.select(*(cols := ["cluster", "r", "c", "node", "label", "n", "payload"])).unionByName(every.select(*cols))
+    # Nodes of one block have met in the first round, so only the rest asks.
+    cols = ["cluster", "r", "c", "node", "label", "n", "payload"]
+    both = rest.select(*cols, F.lit(True).alias("asks")).unionByName(every.select(*cols, F.lit(False).alias("asks")))
     second = _link_tasks(both.withColumn("task", name("cluster", "r", "c")), percent, parts)
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(space.settle(known.unionByName(second), "second"), space, "all")

@@ -6,6 +6,7 @@ an item of every row still costs one request a shard, and no task ever holds all
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -22,6 +23,12 @@ _ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.
 _CHUNK = 8 << 20
 
 
+@functools.cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each in a worker: making them takes longer than a small message."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def dump(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays and byte strings as one compressed byte string."""
     heads, bodies = [len(arrays).to_bytes(2, "little")], []
@@ -30,11 +37,11 @@ def dump(*arrays: np.ndarray | bytes) -> bytes:
         body = a if isinstance(a, bytes) else a.tobytes()
         heads.append(kind + len(body).to_bytes(8, "little"))
         bodies.append(body)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(heads + bodies))
+    return _zstd()[0].compress(b"".join(heads + bodies))
 
 
 def load(payload: bytes) -> list:
-    raw = zstandard.ZstdDecompressor().decompress(payload, max_output_size=1 << 31) if payload else b"\0\0"
+    raw = _zstd()[1].decompress(payload, max_output_size=1 << 31) if payload else b"\0\0"
     n, at = int.from_bytes(raw[:2], "little"), 2
     heads = [(raw[at + 12 * k : at + 12 * k + 4].strip().decode(), int.from_bytes(raw[at + 12 * k + 4 : at + 12 * k + 12], "little")) for k in range(n)]
     at += 12 * n

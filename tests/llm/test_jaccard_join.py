@@ -101,3 +101,76 @@ def test_texts_beyond_a_megabyte(spark):
     got = jaccard_join(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
     assert {r.doc_id: r.component_id for r in got} == {2: 2, 4: 2, 7: 7, 8: 2, 9: 2}  # 9 and 2 are linked through 4 alone
+
+
+def near_copies(seed, n, most):
+    """Sorted sets that differ from one base in up to `most` of its 200 items; replaced items may meet again."""
+    import numpy as np
+
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        base = list(range(200))
+        for at in rng.sample(range(200), rng.randint(0, most)):
+            base[at] = 1000 + rng.randrange(4000)
+        out.append(np.array(sorted(set(base)), np.uint64))
+    return out
+
+
+def same_parts(roots, links):
+    up = list(range(len(roots)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in links:
+        up[find(i)] = find(j)
+    return all((roots[i] == roots[j]) == (find(i) == find(j)) for i in range(len(up)) for j in range(i))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.4, 1.0])
+def test_links_of_the_sets_that_ask(share):
+    sets = near_copies(11, 90, 60)
+    rng = random.Random(2)
+    asks = [rng.random() < share for _ in sets]
+    held = [set(x.tolist()) for x in sets]
+    links = [(i, j) for i in range(90) for j in range(90) if i != j and asks[i] and 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j])]
+    assert same_parts(link([len(x) for x in sets], sets, list(range(90)), 80, asks), links)
+
+
+def test_large_group_without_links_is_not_walked_node_by_node(monkeypatch):
+    """Copies that differ too much to link: a walk looks at a level of the trie at once, not at each edge."""
+    import numpy as np
+
+    sets = [x for x in near_copies(4, 900, 110) if (x >= 1000).sum() > 50][:300]
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    roots = link([len(x) for x in sets], sets, list(range(300)))
+    held = [set(x.tolist()) for x in sets]
+    assert same_parts(roots, [(i, j) for i in range(300) for j in range(i) if 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j])])
+    assert len(calls) < 20 * 300
+
+
+def test_messages_follow_the_data_not_the_partitions(spark, monkeypatch):
+    """Many shuffle partitions over few texts: no message from each shard to each of as many buckets."""
+    from skerry.llm.exchange import Workspace
+
+    seen, settle = {}, Workspace.settle
+
+    def counted(self, df, name):
+        table = settle(self, df, name)
+        seen[name] = {r[0]: r[1] for r in table.groupBy("kind").count().collect()} if name in ("sketch", "lists") else None
+        return table
+
+    monkeypatch.setattr(Workspace, "settle", counted)
+    rows = corpus(3, 500)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "320")
+    try:
+        got = jaccard_join(spark.createDataFrame(rows, SCHEMA).coalesce(1)).select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert seen["sketch"][2] <= 20 and seen["lists"][1] <= 24 * 24
